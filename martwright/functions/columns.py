@@ -34,12 +34,15 @@ def resolved_category(native: Column, english: Column) -> Column:
 
 
 def month_key(timestamp: str) -> Column:
-    return F.date_format(timestamp, "yyyy-MM")
+    """yyyy-MM of a timestamp without zone; stays off the session zone, unlike date_format."""
+    month = F.lpad(F.month(timestamp).cast("string"), 2, "0")
+    return F.concat(F.lpad(F.year(timestamp).cast("string"), 4, "0"), F.lit("-"), month)
 
 
 def exact_money(amount: Column) -> Column:
-    """Decimal money, so that sums used for ranking do not depend on the order of addition."""
-    return amount.cast("decimal(18,4)")
+    """Money in whole ten-thousandths: its sums do not depend on the order of addition, so ranks
+    and ties by them are the same in every run. Sums beyond 64 bits raise an error."""
+    return F.rint(amount * 10_000).cast("long")
 
 
 def largest_first(amount: Column, name: Column) -> Column:

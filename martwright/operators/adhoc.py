@@ -2,87 +2,86 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from martwright.operators.shared import measures
 
-def _sum(name: str, digits: int, to: str) -> Column:
-    return F.round(F.sum(name), digits).alias(to)
+_PLACES = {
+    "gmv": 2, "aov": 2, "avg_review_score": 3, "bad_review_rate": 3, "delay_rate": 3,
+    "late_handover_rate": 3, "cancelled_rate": 3, "avg_delivery_time_days": 2,
+    "avg_handover_days": 2, "avg_transit_days": 2, "avg_total_days": 2,
+}
 
 
-def _mean(name: str, digits: int, to: str) -> Column:
-    return F.round(F.avg(name), digits).alias(to)
-
-
-_ORDERS = F.count("*").alias("orders")
-_GMV = _sum("total_price", 2, "gmv")
-_AOV = _mean("total_price", 2, "aov")
-_SCORE = _mean("review_score", 3, "avg_review_score")
-_BAD = _mean("is_bad_review", 3, "bad_review_rate")
-_DELAYED = _mean("is_delayed", 3, "delay_rate")
-_DAYS = _mean("delivery_time_days", 2, "avg_delivery_time_days")
+def _rounded(table: DataFrame) -> DataFrame:
+    return table.withColumns({
+        name: F.round(name, places) for name, places in _PLACES.items() if name in table.columns
+    })
 
 
 def overall(mart: DataFrame) -> DataFrame:
-    return mart.agg(
-        F.count("*").alias("total_orders"), _GMV, _AOV, _SCORE, _BAD, _DELAYED, _DAYS,
-        _mean("is_cancelled", 3, "cancelled_rate"),
+    table = mart.agg(
+        *measures(
+            "orders gmv aov avg_review_score bad_review_rate delay_rate avg_delivery_time_days"
+        ),
+        F.avg("is_cancelled").alias("cancelled_rate"),
     )
+    return _rounded(table.withColumnRenamed("orders", "total_orders"))
 
 
 def months(mart: DataFrame) -> DataFrame:
-    table = mart.groupBy("order_year_month").agg(_ORDERS, _GMV, _AOV, _SCORE, _BAD, _DELAYED)
-    return table.orderBy("order_year_month")
+    wanted = measures("orders gmv aov avg_review_score bad_review_rate delay_rate")
+    return _rounded(mart.groupBy("order_year_month").agg(*wanted)).orderBy("order_year_month")
 
 
 def worst_categories(mart: DataFrame, min_orders: int = 100, top: int = 20) -> DataFrame:
-    return (
+    table = (
         mart.where(F.col("product_category_name").isNotNull())
         .groupBy("product_category_name")
-        .agg(_ORDERS, _GMV, _SCORE, _BAD, _DELAYED)
+        .agg(*measures("orders gmv avg_review_score bad_review_rate delay_rate"))
         .where(F.col("orders") >= min_orders)
-        .orderBy(F.desc("bad_review_rate"), F.desc("orders"), "product_category_name")
-        .limit(top)
     )
+    worst = (F.desc("bad_review_rate"), F.desc("orders"), "product_category_name")
+    return _rounded(table).orderBy(*worst).limit(top)
 
 
 def late_states(mart: DataFrame, min_orders: int = 100) -> DataFrame:
-    return (
+    table = (
         mart.where(F.col("customer_state").isNotNull())
         .groupBy("customer_state")
-        .agg(_ORDERS, _DELAYED, _DAYS, _SCORE)
+        .agg(*measures("orders delay_rate avg_delivery_time_days avg_review_score"))
         .where(F.col("orders") >= min_orders)
-        .orderBy(F.desc("delay_rate"), F.desc("orders"), "customer_state")
     )
+    return _rounded(table).orderBy(F.desc("delay_rate"), F.desc("orders"), "customer_state")
 
 
 def worst_sellers(seller_mart: DataFrame, min_orders: int = 30, top: int = 20) -> DataFrame:
-    rates = ("delay_rate", "late_handover_rate", "bad_review_rate", "avg_review_score")
-    return (
-        seller_mart.where(F.col("orders") >= min_orders)
-        .select(
-            "seller_id", "seller_state", "top_category", "orders",
-            *[F.round(name, 3).alias(name) for name in rates],
-        )
-        .orderBy(F.desc("bad_review_rate"), F.desc("orders"), "seller_id")
-        .limit(top)
+    table = seller_mart.where(F.col("orders") >= min_orders).select(
+        "seller_id", "seller_state", "top_category", "orders", "delay_rate",
+        "late_handover_rate", "bad_review_rate", "avg_review_score",
     )
+    worst = (F.desc("bad_review_rate"), F.desc("orders"), "seller_id")
+    return _rounded(table).orderBy(*worst).limit(top)
 
 
 def sellers_in_category(order_seller: DataFrame, min_orders: int = 30) -> DataFrame:
-    return (
+    table = (
         order_seller.where(F.col("is_single_seller_order") == 1)
         .groupBy("product_category_name", "seller_id")
-        .agg(_ORDERS, _BAD, _DELAYED, _mean("is_late_handover", 3, "late_handover_rate"))
+        .agg(*measures("orders bad_review_rate delay_rate late_handover_rate"))
         .where(F.col("orders") >= min_orders)
-        .orderBy("product_category_name", F.desc("bad_review_rate"), "seller_id")
+    )
+    return _rounded(table).orderBy(
+        "product_category_name", F.desc("bad_review_rate"), "seller_id"
     )
 
 
 def stages_by_delay(mart: DataFrame) -> DataFrame:
-    return mart.where(F.col("is_delivered") == 1).groupBy("is_delayed").agg(
-        _ORDERS,
-        _mean("handover_time_days", 2, "avg_handover_days"),
-        _mean("transit_time_days", 2, "avg_transit_days"),
-        _mean("delivery_time_days", 2, "avg_total_days"),
-    )
+    delivered = mart.where(F.col("is_delivered") == 1).groupBy("is_delayed")
+    return _rounded(delivered.agg(
+        *measures("orders"),
+        F.avg("handover_time_days").alias("avg_handover_days"),
+        F.avg("transit_time_days").alias("avg_transit_days"),
+        F.avg("delivery_time_days").alias("avg_total_days"),
+    ))

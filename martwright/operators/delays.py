@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 from martwright import labels as L
 from martwright.functions.columns import delay_bucket, delay_stage, label_of, ratio, wilson_interval
-from martwright.operators.shared import ALL_SEGMENTS, ORDERS, complete_labels, label_rows
+from martwright.operators.shared import (
+    all_segments,
+    complete_labels,
+    label_rows,
+    measures,
+)
 
 
 def delay_buckets(mart: DataFrame) -> DataFrame:
@@ -18,7 +23,7 @@ def delay_buckets(mart: DataFrame) -> DataFrame:
         .where(F.col("bucket_id").isNotNull())
         .groupBy("bucket_id")
         .agg(
-            ORDERS,
+            *measures("orders"),
             F.count("is_bad_review").alias("reviewed_orders"),
             F.sum("is_bad_review").alias("_bad"),
             F.avg(F.when(reviewed, F.col("review_score"))).alias("avg_review_score"),
@@ -31,7 +36,7 @@ def delay_buckets(mart: DataFrame) -> DataFrame:
         .withColumns({
             name: F.coalesce(name, F.lit(0)) for name in ("orders", "reviewed_orders", "_bad")
         })
-        .withColumn("_all", F.sum("orders").over(ALL_SEGMENTS))
+        .withColumn("_all", F.sum("orders").over(all_segments()))
         .where("_all > 0")
         .select(
             "bucket_id", "delay_bucket", "orders", "reviewed_orders",
@@ -65,7 +70,7 @@ def delay_stages(mart: DataFrame) -> DataFrame:
             "stage_id",
             label_of(F.col("stage_id"), L.DELAY_STAGES).alias("delay_stage"),
             "delayed_orders",
-            (F.col("delayed_orders") / F.sum("delayed_orders").over(ALL_SEGMENTS)).alias(
+            (F.col("delayed_orders") / F.sum("delayed_orders").over(all_segments())).alias(
                 "share_of_delayed"
             ),
             "avg_delay_days", "bad_review_rate", "avg_review_score",

@@ -24,7 +24,7 @@ from martwright.functions.columns import (
 from martwright.functions.pvalues import tail_p
 from martwright.operators.ranks import cut_points, weighted_rank_correlation, with_positions
 from martwright.operators.sellers import reviewed_rows
-from martwright.operators.shared import ALL_SEGMENTS
+from martwright.operators.shared import all_segments
 
 # Scores run from 1 to 5. These cut points only spread the work of ranking their averages.
 SCORE_CUTS = (2.0, 3.0, 4.0)
@@ -265,7 +265,7 @@ def adjust_p(tests: DataFrame, p: str = "p_value") -> DataFrame:
     One row per test, so the windows run over a handful of rows.
     """
     rank = F.row_number().over(Window.orderBy(F.asc_nulls_last(p)))
-    ranked = tests.withColumns({"_rank": rank, "_tests": F.count(p).over(ALL_SEGMENTS)})
+    ranked = tests.withColumns({"_rank": rank, "_tests": F.count(p).over(all_segments())})
     scaled = F.col(p) * F.col("_tests") / F.col("_rank")
     from_largest = Window.orderBy(F.desc_nulls_last("_rank")).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
@@ -286,7 +286,7 @@ def proportion_posthoc(
     Totals include small and unknown segments. A segment without a counterpart gets no test.
     """
     counts = outcome_counts(rows, group, outcome).withColumns({
-        "_n": F.sum("n").over(ALL_SEGMENTS), "_hits": F.sum("hits").over(ALL_SEGMENTS),
+        "_n": F.sum("n").over(all_segments()), "_hits": F.sum("hits").over(all_segments()),
     })
     large = counts.where(F.col(group).isNotNull() & (F.col("n") >= min_orders))
     n, hits = F.col("n").cast("double"), F.col("hits").cast("double")

@@ -173,7 +173,7 @@ def build_orders_mart(raw: Raw) -> DataFrame:
         "transit_overrun_days": days_between(carrier, delivered)
         - days_between(limit_date, estimated),
     })
-    return mart.select(*schemas.ORDERS_MART)
+    return mart.select(*schemas.mart_columns("orders_mart"))
 
 
 def build_order_seller(raw: Raw, orders_mart: DataFrame) -> DataFrame:
@@ -210,7 +210,7 @@ def build_order_seller(raw: Raw, orders_mart: DataFrame) -> DataFrame:
                 F.col("order_delivered_carrier_date") > F.col("seller_limit_date")
             ),
         })
-        .select(*schemas.ORDER_SELLER)
+        .select(*schemas.mart_columns("order_seller"))
     )
 
 
@@ -257,4 +257,4 @@ def build_seller_mart(order_seller: DataFrame) -> DataFrame:
             for name in SELLER_MEANS
         ],
     )
-    return sellers.select(*schemas.SELLER_MART)
+    return sellers.select(*schemas.mart_columns("seller_mart"))

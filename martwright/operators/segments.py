@@ -8,20 +8,15 @@ from pyspark.sql import functions as F
 from martwright import labels as L
 from martwright.functions.columns import finite, freight_bin
 from martwright.operators.shared import (
-    ALL_SEGMENTS,
-    AOV,
-    BAD_RATE,
-    DELAY_RATE,
-    DELIVERY_DAYS,
-    FREIGHT_SHARE,
-    GMV,
-    ORDERS,
-    SCORE,
+    all_segments,
     complete_labels,
     label_rows,
+    measures,
     pooled,
 )
 
+QUALITY = "orders gmv aov avg_review_score bad_review_rate delay_rate avg_delivery_time_days"
+
 
 def repeat_purchase_rate(mart: DataFrame) -> DataFrame:
     """Share of customers with more than one order: one row, one column."""
@@ -49,14 +44,10 @@ def summary_metrics(mart: DataFrame) -> DataFrame:
         F.count_if(reviewed).alias("reviewed_orders"),
         F.avg(reviewed.cast("double")).alias("review_coverage"),
         F.coalesce(F.sum("total_price"), F.lit(0.0)).alias("gmv"),
-        AOV,
-        SCORE,
-        BAD_RATE,
+        *measures("aov avg_review_score bad_review_rate"),
         F.avg(F.when(F.col("is_delivered") == 1, F.col("is_delayed"))).alias("delay_rate"),
-        DELIVERY_DAYS,
-        F.avg("delay_days").alias("avg_delay_days"),
+        *measures("avg_delivery_time_days avg_delay_days avg_freight_share"),
         F.avg("is_cancelled").alias("cancelled_rate"),
-        FREIGHT_SHARE,
     ).withColumn("repeat_purchase_rate", repeat_purchase_rate(mart).scalar())
 
 
@@ -64,7 +55,7 @@ def segment_metrics(mart: DataFrame, group_col: str, min_orders: int = 30) -> Da
     """Metrics per value of any column, the unknown value included; worst segments first."""
     return (
         mart.groupBy(group_col)
-        .agg(ORDERS, GMV, AOV, SCORE, BAD_RATE, DELAY_RATE, DELIVERY_DAYS, FREIGHT_SHARE)
+        .agg(*measures(f"{QUALITY} avg_freight_share"))
         .where(F.col("orders") >= min_orders)
         .orderBy(F.desc_nulls_last("bad_review_rate"), F.desc("orders"), group_col)
     )
@@ -74,7 +65,7 @@ def monthly_metrics(mart: DataFrame) -> DataFrame:
     return (
         mart.where(F.col("order_year_month").isNotNull())
         .groupBy("order_year_month")
-        .agg(ORDERS, GMV, AOV, SCORE, BAD_RATE, DELAY_RATE, DELIVERY_DAYS)
+        .agg(*measures(QUALITY))
         .orderBy("order_year_month")
     )
 
@@ -87,10 +78,10 @@ def monthly_trend(prepared: DataFrame, smooth_short_series: bool = False) -> Dat
     months = (
         prepared.where(F.col("order_month").isNotNull())
         .groupBy("order_month")
-        .agg(ORDERS, GMV, AOV, SCORE, BAD_RATE, DELAY_RATE)
+        .agg(*measures("orders gmv aov avg_review_score bad_review_rate delay_rate"))
     )
     last_three = Window.orderBy("order_month").rowsBetween(-2, 0)
-    enough = F.lit(smooth_short_series) | (F.count("*").over(ALL_SEGMENTS) >= 3)
+    enough = F.lit(smooth_short_series) | (F.count("*").over(all_segments()) >= 3)
 
     def smooth(name: str):
         return F.when(enough, F.avg(name).over(last_three)).otherwise(F.col(name).cast("double"))
@@ -103,7 +94,9 @@ def monthly_trend(prepared: DataFrame, smooth_short_series: bool = False) -> Dat
 def monthly_extremes(prepared: DataFrame) -> DataFrame:
     """Peak month (the first of equals) and last month, by orders and by GMV: one row."""
     months = (
-        prepared.where(F.col("order_month").isNotNull()).groupBy("order_month").agg(ORDERS, GMV)
+        prepared.where(F.col("order_month").isNotNull())
+        .groupBy("order_month")
+        .agg(*measures("orders gmv"))
     )
 
     def peak_month(measure: str):
@@ -126,7 +119,7 @@ def category_priority(prepared: DataFrame, min_orders: int = 50) -> DataFrame:
     The overall bad rate comes from the same aggregate, before small categories drop out.
     """
     categories = prepared.groupBy("product_category_name").agg(
-        ORDERS, GMV, AOV, SCORE, BAD_RATE, DELAY_RATE, DELIVERY_DAYS,
+        *measures(QUALITY),
         F.sum("is_bad_review").alias("_bad"), F.count("is_bad_review").alias("_known"),
     )
     orders = F.col("orders")
@@ -161,8 +154,10 @@ def state_metrics(prepared: DataFrame, min_orders: int = 50) -> DataFrame:
         prepared.where(F.col("is_delivered") == 1)
         .groupBy("customer_state")
         .agg(
-            ORDERS, GMV, SCORE, BAD_RATE, DELAY_RATE, DELIVERY_DAYS,
-            F.avg("delay_days").alias("avg_delay_days"),
+            *measures(
+                "orders gmv avg_review_score bad_review_rate delay_rate avg_delivery_time_days "
+                "avg_delay_days"
+            )
         )
         .where(F.col("orders") >= min_orders)
     )
@@ -171,7 +166,7 @@ def state_metrics(prepared: DataFrame, min_orders: int = 50) -> DataFrame:
 def payment_metrics(prepared: DataFrame) -> DataFrame:
     return (
         prepared.groupBy("main_payment_type")
-        .agg(ORDERS, GMV, AOV, SCORE, BAD_RATE)
+        .agg(*measures("orders gmv aov avg_review_score bad_review_rate"))
         .orderBy(F.desc("orders"), "main_payment_type")
     )
 
@@ -182,7 +177,7 @@ def freight_share_bins(prepared: DataFrame) -> DataFrame:
         prepared.withColumn("bin_id", freight_bin())
         .where(F.col("bin_id").isNotNull())
         .groupBy("bin_id")
-        .agg(ORDERS, SCORE, BAD_RATE, DELAY_RATE, AOV)
+        .agg(*measures("orders avg_review_score bad_review_rate delay_rate aov"))
     )
     labels = label_rows(prepared.sparkSession, L.FREIGHT_BINS, "bin_id", "freight_share_bin")
     return complete_labels(labels, bins, "bin_id").withColumn(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from martwright.functions.columns import wilson_interval
 from martwright.operators.ranks import histogram, quantiles
-from martwright.operators.shared import ORDERS
+from martwright.operators.shared import measures
 
 RANKING = (
     "seller_id seller_state top_category orders items single_seller_orders distinct_categories "
@@ -32,15 +32,12 @@ def seller_metrics(order_seller: DataFrame, min_orders: int = 30) -> DataFrame:
     return (
         order_seller.groupBy("seller_id")
         .agg(
-            ORDERS,
-            F.sum("seller_price").alias("gmv"),
             F.max("seller_state").alias("seller_state"),
-            F.avg("is_delayed").alias("delay_rate"),
-            F.avg("is_late_handover").alias("late_handover_rate"),
-            F.avg("is_bad_review").alias("bad_review_rate"),
-            F.avg("review_score").alias("avg_review_score"),
-            F.avg("handover_time_days").alias("avg_handover_time_days"),
-            F.avg("transit_time_days").alias("avg_transit_time_days"),
+            *measures(
+                "orders gmv delay_rate late_handover_rate bad_review_rate avg_review_score "
+                "avg_handover_time_days avg_transit_time_days",
+                gmv="seller_price",
+            ),
         )
         .where(F.col("orders") >= min_orders)
     )
@@ -68,14 +65,11 @@ def seller_vs_category(
         reviewed_rows(order_seller, single_seller_only)
         .groupBy("product_category_name", "seller_id")
         .agg(
-            ORDERS,
             F.sum("is_bad_review").alias("bad_reviews"),
-            F.avg("is_bad_review").alias("bad_review_rate"),
-            F.avg("review_score").alias("avg_review_score"),
-            F.avg("is_delayed").alias("delay_rate"),
-            F.avg("is_late_handover").alias("late_handover_rate"),
-            F.avg("handover_time_days").alias("avg_handover_time_days"),
-            F.avg("transit_time_days").alias("avg_transit_time_days"),
+            *measures(
+                "orders bad_review_rate avg_review_score delay_rate late_handover_rate "
+                "avg_handover_time_days avg_transit_time_days"
+            ),
         )
     )
     large = F.col("orders") >= min_seller_orders
@@ -113,12 +107,7 @@ def seller_top_categories(
     per_seller = (
         reviewed_rows(order_seller, single_seller_only)
         .groupBy("product_category_name", "seller_id")
-        .agg(
-            ORDERS,
-            F.avg("is_bad_review").alias("bad_review_rate"),
-            F.avg("is_delayed").alias("delay_rate"),
-            F.avg("review_score").alias("avg_review_score"),
-        )
+        .agg(*measures("orders bad_review_rate delay_rate avg_review_score"))
         .where(F.col("orders") >= min_orders)
     )
     top = (

@@ -9,19 +9,37 @@ from pyspark.sql import functions as F
 
 from martwright.functions.columns import label_of
 
-# The orders mart has one row per order, so count(*) counts orders without a distinct shuffle.
-ORDERS = F.count("*").alias("orders")
-GMV = F.sum("total_price").alias("gmv")
-AOV = F.avg("total_price").alias("aov")
-SCORE = F.avg("review_score").alias("avg_review_score")
-BAD_RATE = F.avg("is_bad_review").alias("bad_review_rate")
-DELAY_RATE = F.avg("is_delayed").alias("delay_rate")
-DELIVERY_DAYS = F.avg("delivery_time_days").alias("avg_delivery_time_days")
-FREIGHT_SHARE = F.avg("freight_share").alias("avg_freight_share")
-
-# All rows of an aggregated table. Only for segment-grain tables (months, buckets, categories,
-# states, tests), never for rows that grow with the orders or the sellers.
-ALL_SEGMENTS = Window.partitionBy()
+# Measure -> (aggregate, source column). The orders mart has one row per order, so counting rows
+# counts orders without a distinct shuffle.
+_MEASURES = {
+    "orders": ("count", "*"),
+    "gmv": ("sum", "total_price"),
+    "aov": ("avg", "total_price"),
+    "avg_review_score": ("avg", "review_score"),
+    "bad_review_rate": ("avg", "is_bad_review"),
+    "delay_rate": ("avg", "is_delayed"),
+    "late_handover_rate": ("avg", "is_late_handover"),
+    "avg_delivery_time_days": ("avg", "delivery_time_days"),
+    "avg_delay_days": ("avg", "delay_days"),
+    "avg_handover_time_days": ("avg", "handover_time_days"),
+    "avg_transit_time_days": ("avg", "transit_time_days"),
+    "avg_freight_share": ("avg", "freight_share"),
+}
+
+
+def measures(names: str, **sources: str) -> list[Column]:
+    """Named aggregates, in the given order; sources replace the source column of a measure."""
+    result = []
+    for name in names.split():
+        function, source = _MEASURES[name]
+        result.append(getattr(F, function)(sources.get(name, source)).alias(name))
+    return result
+
+
+def all_segments():
+    """Window over all rows of an aggregated table. Only for segment-grain tables (months, buckets,
+    categories, states, tests), never for rows that grow with the orders or the sellers."""
+    return Window.partitionBy()
 
 
 def label_rows(spark: SparkSession, texts: Sequence[str], key: str, label: str) -> DataFrame:
@@ -44,7 +62,7 @@ def keep_or_all(segments: DataFrame, condition: Column) -> DataFrame:
     passes = F.coalesce(condition, F.lit(False))
     return (
         segments.withColumn("_passes", passes)
-        .withColumn("_any", F.max("_passes").over(ALL_SEGMENTS))
+        .withColumn("_any", F.max("_passes").over(all_segments()))
         .where("_passes OR NOT _any")
         .drop("_passes", "_any")
     )
@@ -52,8 +70,8 @@ def keep_or_all(segments: DataFrame, condition: Column) -> DataFrame:
 
 def pooled(hits: str, trials: str) -> Column:
     """Rate over all segments of an aggregated table."""
-    total = F.sum(trials).over(ALL_SEGMENTS)
-    return F.when(total > 0, F.sum(hits).over(ALL_SEGMENTS) / total)
+    total = F.sum(trials).over(all_segments())
+    return F.when(total > 0, F.sum(hits).over(all_segments()) / total)
 
 
 def rounded(table: DataFrame, digits: int = 4) -> DataFrame:

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from martwright import schemas
 from martwright.operators import marts as build
 from martwright.sources import tables
 
@@ -20,8 +21,8 @@ class Marts:
     rows: dict[str, int] | None = None
 
 
-def _paths(folder: str) -> dict[str, str]:
-    return {name: f"{folder}/{name}" for name in ("orders_mart", "order_seller", "seller_mart")}
+def _path(folder: str, name: str) -> str:
+    return f"{folder.rstrip('/')}/{name}"
 
 
 def store_raw(raw: dict[str, DataFrame], folder: str) -> tuple[dict[str, DataFrame], dict[str, int]]:
@@ -38,11 +39,12 @@ def refresh_marts(raw: dict[str, DataFrame], folder: str) -> Marts:
     """Builds and replaces the three marts. Each reads the one before from storage, so a lost
     executor costs one step and no plan recomputes the whole lineage."""
     spark = raw["raw_orders"].sparkSession
-    path, rows = _paths(folder), {}
+    rows = {}
 
     def store(name: str, df: DataFrame, partition: str | None = None) -> DataFrame:
-        rows[name] = tables.write_table(df, path[name], partition).get["rows"]
-        return tables.read_table(spark, path[name], df.schema)
+        path = _path(folder, name)
+        rows[name] = tables.write_table(df, path, partition).get["rows"]
+        return tables.read_table(spark, path, schemas.mart_schema(name, raw))
 
     orders = store("orders_mart", build.build_orders_mart(raw), PARTITION)
     order_seller = store("order_seller", build.build_order_seller(raw, orders), PARTITION)
@@ -50,32 +52,19 @@ def refresh_marts(raw: dict[str, DataFrame], folder: str) -> Marts:
     return Marts(orders, order_seller, sellers, rows)
 
 
-def _schemas(raw: dict[str, DataFrame]) -> dict:
-    """Mart schemas that follow the id types of the raw tables; only plans are built."""
-    orders = build.build_orders_mart(raw)
-    order_seller = build.build_order_seller(raw, orders)
-    sellers = build.build_seller_mart(order_seller)
-    return {
-        "orders_mart": orders.schema,
-        "order_seller": order_seller.schema,
-        "seller_mart": sellers.schema,
-    }
-
-
 def read_marts(spark: SparkSession, folder: str, raw: dict[str, DataFrame]) -> Marts:
     """Stored marts. The orders mart must exist; absent seller marts read as empty tables."""
-    path, schema = _paths(folder), _schemas(raw)
-    if not tables.path_exists(spark, path["orders_mart"]):
+    if not tables.path_exists(spark, _path(folder, "orders_mart")):
         raise FileNotFoundError(f"no orders mart in {folder}; run a refresh first")
-    return Marts(
-        tables.read_table(spark, path["orders_mart"], schema["orders_mart"]),
-        tables.read_optional(spark, path["order_seller"], schema["order_seller"]),
-        tables.read_optional(spark, path["seller_mart"], schema["seller_mart"]),
-    )
+    orders, order_seller, sellers = [
+        tables.read_optional(spark, _path(folder, name), schemas.mart_schema(name, raw))
+        for name in schemas.MARTS
+    ]
+    return Marts(orders, order_seller, sellers)
 
 
 def ready_marts(spark: SparkSession, folder: str, raw: dict[str, DataFrame]) -> Marts:
     """Stored marts, built first unless all of them are complete."""
-    if all(tables.is_complete(spark, path) for path in _paths(folder).values()):
+    if all(tables.is_complete(spark, _path(folder, name)) for name in schemas.MARTS):
         return read_marts(spark, folder, raw)
     return refresh_marts(raw, folder)

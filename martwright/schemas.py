@@ -51,32 +51,118 @@ RAW_KEYS = {
     "raw_category_translation": "product_category_name",
 }
 
-ORDERS_MART = (
-    "order_id customer_id customer_unique_id order_status order_purchase_timestamp "
-    "order_approved_at order_delivered_carrier_date order_delivered_customer_date "
-    "order_estimated_delivery_date order_year_month customer_city customer_state main_seller_id "
-    "seller_state product_category_name is_mixed_category order_item_count distinct_products "
-    "distinct_sellers distinct_categories total_price total_freight payment_value payment_count "
-    "max_installments main_payment_type review_score min_review_score review_count has_review "
-    "is_bad_review is_delivered is_cancelled delivery_time_days estimated_delivery_time_days "
-    "delay_days is_delayed freight_share approval_time_days handover_time_days "
-    "transit_time_days is_late_handover seller_overrun_days transit_overrun_days"
-).split()
-
-ORDER_SELLER = (
-    "order_id seller_id seller_state seller_city product_category_name seller_item_count "
-    "seller_price seller_freight distinct_sellers is_single_seller_order order_year_month "
-    "order_purchase_timestamp customer_state is_delivered is_cancelled is_delayed "
-    "delivery_time_days handover_time_days transit_time_days review_score is_bad_review "
-    "has_review is_late_handover"
-).split()
-
-SELLER_MART = (
-    "seller_id seller_state seller_city top_category orders items distinct_categories gmv freight "
-    "single_seller_orders delivered_rate delay_rate bad_review_rate avg_review_score "
-    "review_coverage avg_delivery_time_days avg_handover_time_days avg_transit_time_days "
-    "late_handover_rate"
-).split()
+# Mart columns in order. A type of the form table.column is an id: it has the type of that raw
+# column, so that marts follow text ids and numeric ids alike.
+MARTS: dict[str, dict[str, str]] = {
+    "orders_mart": {
+        "order_id": "raw_orders.order_id",
+        "customer_id": "raw_orders.customer_id",
+        "customer_unique_id": "raw_customers.customer_unique_id",
+        "order_status": "string",
+        "order_purchase_timestamp": "ts",
+        "order_approved_at": "ts",
+        "order_delivered_carrier_date": "ts",
+        "order_delivered_customer_date": "ts",
+        "order_estimated_delivery_date": "ts",
+        "order_year_month": "string",
+        "customer_city": "string",
+        "customer_state": "string",
+        "main_seller_id": "raw_order_items.seller_id",
+        "seller_state": "string",
+        "product_category_name": "string",
+        "is_mixed_category": "int",
+        "order_item_count": "long",
+        "distinct_products": "long",
+        "distinct_sellers": "long",
+        "distinct_categories": "long",
+        "total_price": "double",
+        "total_freight": "double",
+        "payment_value": "double",
+        "payment_count": "long",
+        "max_installments": "int",
+        "main_payment_type": "string",
+        "review_score": "double",
+        "min_review_score": "int",
+        "review_count": "long",
+        "has_review": "int",
+        "is_bad_review": "int",
+        "is_delivered": "int",
+        "is_cancelled": "int",
+        "delivery_time_days": "double",
+        "estimated_delivery_time_days": "double",
+        "delay_days": "double",
+        "is_delayed": "int",
+        "freight_share": "double",
+        "approval_time_days": "double",
+        "handover_time_days": "double",
+        "transit_time_days": "double",
+        "is_late_handover": "int",
+        "seller_overrun_days": "double",
+        "transit_overrun_days": "double",
+    },
+    "order_seller": {
+        "order_id": "raw_order_items.order_id",
+        "seller_id": "raw_order_items.seller_id",
+        "seller_state": "string",
+        "seller_city": "string",
+        "product_category_name": "string",
+        "seller_item_count": "long",
+        "seller_price": "double",
+        "seller_freight": "double",
+        "distinct_sellers": "long",
+        "is_single_seller_order": "int",
+        "order_year_month": "string",
+        "order_purchase_timestamp": "ts",
+        "customer_state": "string",
+        "is_delivered": "int",
+        "is_cancelled": "int",
+        "is_delayed": "int",
+        "delivery_time_days": "double",
+        "handover_time_days": "double",
+        "transit_time_days": "double",
+        "review_score": "double",
+        "is_bad_review": "int",
+        "has_review": "int",
+        "is_late_handover": "int",
+    },
+    "seller_mart": {
+        "seller_id": "raw_order_items.seller_id",
+        "seller_state": "string",
+        "seller_city": "string",
+        "top_category": "string",
+        "orders": "long",
+        "items": "long",
+        "distinct_categories": "long",
+        "gmv": "double",
+        "freight": "double",
+        "single_seller_orders": "long",
+        "delivered_rate": "double",
+        "delay_rate": "double",
+        "bad_review_rate": "double",
+        "avg_review_score": "double",
+        "review_coverage": "double",
+        "avg_delivery_time_days": "double",
+        "avg_handover_time_days": "double",
+        "avg_transit_time_days": "double",
+        "late_handover_rate": "double",
+    },
+}
+
+
+def mart_columns(name: str) -> list[str]:
+    return list(MARTS[name])
+
+
+def mart_schema(name: str, raw: dict[str, DataFrame]) -> T.StructType:
+    """Schema of a stored mart built from the given raw tables."""
+
+    def kind(text: str) -> T.DataType:
+        if text in _TYPES:
+            return _TYPES[text]
+        table, column = text.split(".")
+        return raw[table].schema[column].dataType
+
+    return T.StructType([T.StructField(c, kind(text)) for c, text in MARTS[name].items()])
 
 
 def raw_schema(table: str) -> T.StructType:
