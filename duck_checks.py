@@ -8,9 +8,14 @@ from __future__ import annotations
 
 import re
 
-DEFAULT_PLACES = 6
+DEFAULT_PLACES = 7
+# Means over 2^k rows often end in 5 right after the last place. Rounding there would hang on the
+# last bit of a sum, so the threshold is moved off the middle by this share of a place.
+NUDGE = 0.033
 # Sums of money have few decimals, so rounding to those makes them equal in any summation order.
 PLACES = {
+    "statistic": 6, "t": 6, "expected_bad_reviews": 6, "excess_bad_reviews": 6,
+    "business_priority_score": 6,
     "gmv": 2, "total_price": 2, "seller_price": 2, "peak_gmv": 2, "last_gmv": 2,
     "gmv_ma3": 4, "aov": 4, "payment_value": 4,
     "total_freight": 4, "seller_freight": 4, "freight": 4,
@@ -19,9 +24,16 @@ PLACES = {
 Z = 1.959963984540054
 
 
+def rounding(name: str) -> tuple[int, float]:
+    """Places of a column and what to add before rounding."""
+    places = PLACES.get(name, DEFAULT_PLACES)
+    return places, NUDGE * 10.0**-places
+
+
 def num(expression: str, name: str) -> str:
     """A double column, rounded as in the query."""
-    return f"round(CAST({expression} AS DOUBLE), {PLACES.get(name, DEFAULT_PLACES)}) AS {name}"
+    places, nudge = rounding(name)
+    return f"round(CAST({expression} AS DOUBLE) + {nudge!r}, {places}) AS {name}"
 
 
 def nums(**columns: str) -> str:
@@ -205,6 +217,8 @@ VIEWS: dict[str, str] = {
                        sum(CAST(seller_price AS DECIMAL(18,4))) AS worth
                 FROM os GROUP BY ALL) GROUP BY seller_id) USING (seller_id)
         GROUP BY seller_id""",
+    # order value as exact money: means that are rounded for display must not hang on the last bit
+    "paid": "SELECT *, CAST(CAST(total_price AS DECIMAL(18,4)) AS DECIMAL(28,4)) AS money FROM om",
     # prepared tables: unknown groups named
     "po": """
         SELECT * REPLACE (coalesce(customer_state, 'unknown') AS customer_state,
@@ -262,7 +276,7 @@ VIEWS: dict[str, str] = {
           AND CAST(order_purchase_timestamp AS DATE) BETWEEN DATE '1996-03-05' AND DATE '2000-09-20'
         """,
     "pairs": """
-        SELECT freight_share AS x, review_score AS y FROM om
+        SELECT round(freight_share, 9) AS x, review_score AS y FROM om
         WHERE freight_share IS NOT NULL AND review_score IS NOT NULL""",
 }
 
@@ -389,7 +403,8 @@ def freight_quantile_bins() -> str:
     short = "round({0}, CAST(2 - floor(log10({0})) AS INTEGER))"
     lower = "CASE WHEN bin_id = 0 OR lo = 0 THEN 0 ELSE " + short.format("lo") + " END"
     return f"""
-        WITH d AS (SELECT * FROM om WHERE review_score IS NOT NULL AND freight_share >= 0),
+        WITH d AS (SELECT * REPLACE (round(freight_share, 9) AS freight_share) FROM om
+                   WHERE review_score IS NOT NULL AND freight_share >= 0),
         kept AS (SELECT * FROM d WHERE freight_share <= (
             SELECT quantile_cont(freight_share, 0.98) FROM d)),
         e AS (SELECT list_sort(list_distinct(quantile_cont(
@@ -506,18 +521,21 @@ def top_states(by: str) -> str:
         ORDER BY states_by DESC NULLS LAST, customer_state LIMIT 15""".replace("states_by", by)
 
 
-def priority_categories(where: str, top: int) -> str:
+def priority_categories(min_orders: int, top: int) -> str:
     return f"""
+        WITH c AS (SELECT *, orders >= {min_orders} AND bad_review_rate >= global_bad_review_rate
+                          AS chosen FROM rated_categories)
         SELECT product_category_name, orders,
                {nums(gmv="gmv", avg_review_score="avg_review_score",
                      bad_review_rate="bad_review_rate", bad_reviews="bad_reviews",
                      global_bad_review_rate="global_bad_review_rate")}
-        FROM rated_categories WHERE {where}
-        ORDER BY rated_categories.bad_reviews DESC, product_category_name LIMIT {top}"""
+        FROM c WHERE chosen OR NOT (SELECT bool_or(chosen) FROM c)
+        ORDER BY c.bad_reviews DESC, product_category_name LIMIT {top}"""
 
 
 def category_impact() -> str:
     return f"""
+        WITH c AS (SELECT *, max(orders) OVER () AS most FROM rated_categories)
         SELECT product_category_name, orders,
                {nums(gmv="gmv", bad_review_rate="bad_review_rate", bad_reviews="bad_reviews",
                      global_bad_review_rate="global_bad_review_rate",
@@ -525,9 +543,9 @@ def category_impact() -> str:
                      relative_gmv="gmv / max(gmv) OVER ()")},
                CAST(bad_review_rate >= global_bad_review_rate AS INTEGER) AS is_above_global,
                CASE WHEN row_number() OVER (
-                   ORDER BY rated_categories.bad_reviews DESC, product_category_name) <= 3
+                   ORDER BY c.bad_reviews DESC, product_category_name) <= 3
                    THEN 1 ELSE 0 END AS is_named
-        FROM rated_categories WHERE orders >= 300"""
+        FROM c WHERE orders >= 300 OR most < 300"""
 
 
 def state_experience() -> str:
@@ -574,10 +592,10 @@ def cells_chi_square(groups_sql: str, columns: str) -> str:
 def two_groups(group: str) -> str:
     def of(which: int, what: int) -> str:
         bounds = wilson(
-            f"(SELECT hits FROM g WHERE k = {which})", f"(SELECT n FROM g WHERE k = {which})"
+            f"(SELECT hits FROM g WHERE side = {which})", f"(SELECT n FROM g WHERE side = {which})"
         )
         if what == 0:
-            return f"(SELECT hits / n FROM g WHERE k = {which})"
+            return f"(SELECT hits / n FROM g WHERE side = {which})"
         return bounds[what - 1]
 
     columns = big("total", "n_observations") + ", " + nums(
@@ -588,9 +606,9 @@ def two_groups(group: str) -> str:
             for what, name in enumerate(("rate", "ci_low", "ci_high"))
         },
     )
-    counts = f"""SELECT {group} AS k, count(*) AS n, sum(is_bad_review) AS hits FROM om
+    counts = f"""SELECT {group} AS side, count(*) AS n, sum(is_bad_review) AS hits FROM om
                  WHERE {group} IS NOT NULL AND is_bad_review IS NOT NULL GROUP BY {group}"""
-    return cells_chi_square(counts, columns).replace("count(*) AS k FROM g", "count(*) AS k FROM g")
+    return cells_chi_square(counts, columns)
 
 
 def many_groups(group: str, outcome: str) -> str:
@@ -869,10 +887,8 @@ def queries_sql() -> dict[str, str]:
                   FROM rated WHERE is_delayed = 1) l,
                  (SELECT avg(review_score) AS s, avg(is_bad_review) AS b
                   FROM rated WHERE is_delayed = 0) o""",
-        "priority_categories": priority_categories(
-            "orders >= 300 AND rated_categories.bad_review_rate >= "
-            "rated_categories.global_bad_review_rate", 15),
-        "priority_categories_fallback": priority_categories("true", 4),
+        "priority_categories": priority_categories(300, 15),
+        "priority_categories_fallback": priority_categories(10**12, 4),
         "state_top_delay": top_states("delay_rate"),
         "state_top_time": top_states("avg_delivery_time_days"),
         "category_impact": category_impact(),
@@ -904,23 +920,23 @@ def queries_sql() -> dict[str, str]:
                        "delay_days").split()})}
             FROM po ORDER BY order_id LIMIT 10000""",
         "adhoc_overall": """
-            SELECT count(*) AS total_orders, round(sum(total_price), 2) AS gmv,
-                   round(avg(total_price), 2) AS aov, round(avg(review_score), 3)
+            SELECT count(*) AS total_orders, CAST(round(sum(money), 2) AS DOUBLE) AS gmv,
+                   round(CAST(sum(money) / count(*) AS DOUBLE), 2) AS aov, round(avg(review_score), 3)
                    AS avg_review_score, round(avg(is_bad_review), 3) AS bad_review_rate,
                    round(avg(is_delayed), 3) AS delay_rate,
                    round(avg(delivery_time_days), 2) AS avg_delivery_time_days,
-                   round(avg(is_cancelled), 3) AS cancelled_rate FROM om""",
+                   round(avg(is_cancelled), 3) AS cancelled_rate FROM paid""",
         "adhoc_months": """
-            SELECT order_year_month, count(*) AS orders, round(sum(total_price), 2) AS gmv,
-                   round(avg(total_price), 2) AS aov, round(avg(review_score), 3)
+            SELECT order_year_month, count(*) AS orders, CAST(round(sum(money), 2) AS DOUBLE) AS gmv,
+                   round(CAST(sum(money) / count(*) AS DOUBLE), 2) AS aov, round(avg(review_score), 3)
                    AS avg_review_score, round(avg(is_bad_review), 3) AS bad_review_rate,
-                   round(avg(is_delayed), 3) AS delay_rate FROM om GROUP BY order_year_month""",
+                   round(avg(is_delayed), 3) AS delay_rate FROM paid GROUP BY order_year_month""",
         "adhoc_categories": """
-            SELECT product_category_name, count(*) AS orders, round(sum(total_price), 2) AS gmv,
+            SELECT product_category_name, count(*) AS orders, CAST(round(sum(money), 2) AS DOUBLE) AS gmv,
                    round(avg(review_score), 3) AS avg_review_score,
                    round(avg(is_bad_review), 3) AS bad_review_rate,
                    round(avg(is_delayed), 3) AS delay_rate
-            FROM om GROUP BY product_category_name HAVING count(*) >= 100
+            FROM paid GROUP BY product_category_name HAVING count(*) >= 100
             ORDER BY 5 DESC, 2 DESC, 1 LIMIT 20""",
         "adhoc_states": """
             SELECT customer_state, count(*) AS orders, round(avg(is_delayed), 3) AS delay_rate,

@@ -78,8 +78,14 @@ def delay_stage() -> Column:
     return F.when(seller & transit, 2).when(seller, 0).when(transit, 1).otherwise(3)
 
 
+def comparable_share() -> Column:
+    """Freight share for binning and ranking. Nine places drop the noise of summed doubles, so
+    equal shares tie and bin alike whatever the order of addition was."""
+    return F.round("freight_share", 9)
+
+
 def freight_bin() -> Column:
-    share = F.col("freight_share")
+    share = comparable_share()
     return F.when(
         share > L.FREIGHT_EDGES[0], right_closed_bin(share, L.FREIGHT_EDGES[1:])
     )
@@ -89,30 +95,35 @@ def label_of(position: Column, texts: Sequence[str]) -> Column:
     return F.element_at(F.array(*[F.lit(text) for text in texts]), position + 1)
 
 
-def wilson_interval(successes: Column, trials: Column, z: float = L.Z95) -> tuple[Column, Column]:
+# Interval formulas are SQL text over column names: one expression instead of dozens of calls.
+
+
+def wilson_interval(hits: str, n: str, z: float = L.Z95) -> tuple[str, str]:
     """Score interval for a share; NULL without trials."""
-    n = F.when(trials > 0, trials.cast("double"))
-    share = successes / n
-    widened = 1 + z**2 / n
-    middle = (share + z**2 / (2 * n)) / widened
-    spread = z * F.sqrt(share * (1 - share) / n + z**2 / (4 * n * n)) / widened
-    return middle - spread, middle + spread
+    middle = f"({hits} + {z * z / 2}D)"
+    spread = f"{z}D * sqrt({hits} * ({n} - {hits}) / {n} + {z * z / 4}D)"
+    ends = [f"({middle} {sign} {spread}) / ({n} + {z * z}D)" for sign in "-+"]
+    low, high = [f"CASE WHEN {n} > 0 THEN {end} END" for end in ends]
+    return low, high
 
 
-def mean_interval(
-    mean: Column, deviation: Column, n: Column, z: float = L.Z95
-) -> tuple[Column, Column]:
+def mean_interval(mean: str, deviation: str, n: str, z: float = L.Z95) -> tuple[str, str]:
     """Normal interval for a mean; NULL below two values."""
-    half = F.when(n >= 2, z * deviation / F.sqrt(n.cast("double")))
-    return mean - half, mean + half
+    low, high = [
+        f"CASE WHEN {n} >= 2 THEN {mean} {sign} {z}D * {deviation} / sqrt({n}) END"
+        for sign in "-+"
+    ]
+    return low, high
 
 
-def correlation_interval(rho: Column, n: Column, z: float = L.Z95) -> tuple[Column, Column]:
+def correlation_interval(rho: str, n: str, z: float = L.Z95) -> tuple[str, str]:
     """Fisher interval; NULL below four pairs or for a perfect correlation."""
-    usable = (n >= 4) & (F.abs(rho) < 1)
-    centre = F.when(usable, F.atanh(rho))
-    half = F.when(usable, z / F.sqrt((n - 3).cast("double")))
-    return F.tanh(centre - half), F.tanh(centre + half)
+    low, high = [
+        f"CASE WHEN {n} >= 4 AND abs({rho}) < 1 "
+        f"THEN tanh(atanh({rho}) {sign} {z}D / sqrt({n} - 3)) END"
+        for sign in "-+"
+    ]
+    return low, high
 
 
 def effect_magnitude(effect: Column) -> Column:

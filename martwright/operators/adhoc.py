@@ -1,4 +1,7 @@
-"""Seven quick checks of the marts. They round first and sort on the rounded values."""
+"""Seven quick checks of the marts. They round first and sort on the rounded values.
+
+Money is summed as decimals here: rounding to cents must not hang on the last bit of a sum.
+"""
 
 from __future__ import annotations
 
@@ -16,12 +19,18 @@ _PLACES = {
 
 def _rounded(table: DataFrame) -> DataFrame:
     return table.withColumns({
-        name: F.round(name, places) for name, places in _PLACES.items() if name in table.columns
+        name: F.round(F.col(name).cast("double"), places)
+        for name, places in _PLACES.items()
+        if name in table.columns
     })
 
 
+def _exact_price(mart: DataFrame) -> DataFrame:
+    return mart.withColumn("total_price", F.col("total_price").cast("decimal(18,4)"))
+
+
 def overall(mart: DataFrame) -> DataFrame:
-    table = mart.agg(
+    table = _exact_price(mart).agg(
         *measures(
             "orders gmv aov avg_review_score bad_review_rate delay_rate avg_delivery_time_days"
         ),
@@ -32,12 +41,14 @@ def overall(mart: DataFrame) -> DataFrame:
 
 def months(mart: DataFrame) -> DataFrame:
     wanted = measures("orders gmv aov avg_review_score bad_review_rate delay_rate")
-    return _rounded(mart.groupBy("order_year_month").agg(*wanted)).orderBy("order_year_month")
+    return _rounded(
+        _exact_price(mart).groupBy("order_year_month").agg(*wanted)
+    ).orderBy("order_year_month")
 
 
 def worst_categories(mart: DataFrame, min_orders: int = 100, top: int = 20) -> DataFrame:
     table = (
-        mart.where(F.col("product_category_name").isNotNull())
+        _exact_price(mart.where(F.col("product_category_name").isNotNull()))
         .groupBy("product_category_name")
         .agg(*measures("orders gmv avg_review_score bad_review_rate delay_rate"))
         .where(F.col("orders") >= min_orders)

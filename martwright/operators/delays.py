@@ -30,7 +30,7 @@ def delay_buckets(mart: DataFrame) -> DataFrame:
         )
     )
     labels = label_rows(mart.sparkSession, L.DELAY_BUCKETS, "bucket_id", "delay_bucket")
-    low, high = wilson_interval(F.col("_bad"), F.col("reviewed_orders"))
+    low, high = wilson_interval("_bad", "reviewed_orders")
     return (
         complete_labels(labels, buckets, "bucket_id")
         .withColumns({
@@ -41,8 +41,8 @@ def delay_buckets(mart: DataFrame) -> DataFrame:
         .select(
             "bucket_id", "delay_bucket", "orders", "reviewed_orders",
             ratio(F.col("_bad"), F.col("reviewed_orders")).alias("bad_review_rate"),
-            low.alias("bad_review_rate_ci_low"),
-            high.alias("bad_review_rate_ci_high"),
+            F.expr(low).alias("bad_review_rate_ci_low"),
+            F.expr(high).alias("bad_review_rate_ci_high"),
             "avg_review_score",
         )
         .orderBy("bucket_id")

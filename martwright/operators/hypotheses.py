@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,116 +18,140 @@ COLUMNS = (
     "p_value_adjusted significant interpretation"
 ).split()
 
-_NO_INTERVAL = (None, None)
 MIN_SEGMENT_ORDERS = 30
 
 
-def _row(
+def _text(value: str) -> str:
+    quoted = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{quoted}'"
+
+
+def _layout(
     tested: DataFrame,
-    name: str,
+    names: Sequence[str],
     test: str,
-    first: tuple[str | int | None, ...],
-    second: tuple[str | int | None, ...],
+    first: Sequence[str],
+    second: Sequence[str],
     statistic: str,
     effect: tuple[str, str],
-    tail: tuple[str, str, str | None],
-    scope: Column | None = None,
+    tail: tuple[str, str, str],
+    scope: str | None = None,
 ) -> DataFrame:
-    """The common layout. first and second are (value, low, high); names refer to columns."""
-
-    def number(source) -> Column:
-        column = F.col(source) if isinstance(source, str) else F.lit(source)
-        return column.cast("double")
-
-    statement, scope_text, metric_1, metric_2 = L.HYPOTHESES[name]
-    effect_name, effect_column = effect
-    kind, tail_statistic, dof = tail
-    return tested.select(
-        F.lit(L.HYPOTHESIS_ORDER.index(name)).alias("position"),
-        F.lit(statement).alias("hypothesis"),
-        F.lit(test).alias("test"),
-        (F.lit(scope_text) if scope is None else scope).alias("scope"),
-        F.lit(metric_1).alias("metric_1"),
-        *[number(s).alias(n) for s, n in zip(first, ("value_1", "ci_low_1", "ci_high_1"))],
-        F.lit(metric_2).alias("metric_2"),
-        *[number(s).alias(n) for s, n in zip(second, ("value_2", "ci_low_2", "ci_high_2"))],
-        F.col("n_observations").cast("long").alias("n_observations"),
-        number(statistic).alias("statistic"),
-        F.lit(effect_name).alias("effect_size_name"),
-        number(effect_column).alias("effect_size"),
-        effect_magnitude(F.col(effect_column)).alias("effect_magnitude"),
-        F.lit(kind).alias("tail_kind"),
-        number(tail_statistic).alias("tail_statistic"),
-        number(dof if dof is not None else 0).alias("tail_dof"),
+    """Common columns of rows whose `hypothesis` is one of the names.
+
+    first and second are (value, low, high), tail is (kind, statistic, degrees of freedom), all as
+    SQL over the columns of the tested rows.
+    """
+
+    def fixed(part: int) -> str:
+        cases = " ".join(f"WHEN '{n}' THEN {_text(L.HYPOTHESES[n][part])}" for n in names)
+        return f"CASE hypothesis {cases} END"
+
+    order = " ".join(f"WHEN '{n}' THEN {L.HYPOTHESIS_ORDER.index(n)}" for n in names)
+    ends = ("value", "ci_low", "ci_high")
+    return tested.selectExpr(
+        f"CASE hypothesis {order} END AS position",
+        f"{fixed(0)} AS statement",
+        f"{_text(test)} AS test",
+        f"{scope or fixed(1)} AS scope",
+        f"{fixed(2)} AS metric_1",
+        *[f"double({each}) AS {end}_1" for each, end in zip(first, ends)],
+        f"{fixed(3)} AS metric_2",
+        *[f"double({each}) AS {end}_2" for each, end in zip(second, ends)],
+        "n_observations",
+        f"double({statistic}) AS statistic",
+        f"{_text(effect[0])} AS effect_size_name",
+        f"double({effect[1]}) AS effect_size",
+        f"'{tail[0]}' AS tail_kind",
+        f"double({tail[1]}) AS tail_statistic",
+        f"double({tail[2]}) AS tail_dof",
+    ).where("tail_statistic IS NOT NULL").withColumnRenamed("statement", "hypothesis")
+
+
+_NO_INTERVAL = ("NULL", "NULL")
+
+
+def _order_tests(mart: DataFrame) -> list[DataFrame]:
+    """Six tests over one stacked count of the orders."""
+    counts = inference.stacked_counts(mart, MIN_SEGMENT_ORDERS)
+
+    def only(*names: str) -> DataFrame:
+        return counts.where(F.col("test").isin(*names))
+
+    chi_square = ("chi-square", "statistic", "dof")
+    pairs = inference.two_groups(only("H1", "H7"), ["test"]).withColumnRenamed(
+        "test", "hypothesis"
     )
-
-
-def _two_groups(tested: DataFrame, name: str) -> DataFrame:
-    return _row(
-        tested, name, L.CHI_SQUARE_TEST,
-        ("rate_1", "ci_low_1", "ci_high_1"), ("rate_0", "ci_low_0", "ci_high_0"),
-        "statistic", (L.CRAMERS_V, "effect_size"), ("chi-square", "statistic", "dof"),
+    segments = inference.chi_square(only("H4", "H5"), ["test"]).withColumnRenamed(
+        "test", "hypothesis"
     )
+    scores = inference.rank_sum(only("H2")).withColumn("hypothesis", F.lit("H2"))
+    buckets = inference.trend(only("H8")).withColumn("hypothesis", F.lit("H8"))
+    return [
+        _layout(
+            pairs, ("H1", "H7"), L.CHI_SQUARE_TEST,
+            ("rate_1", "ci_low_1", "ci_high_1"), ("rate_0", "ci_low_0", "ci_high_0"),
+            "statistic", (L.CRAMERS_V, "effect_size"), chi_square,
+        ),
+        _layout(
+            segments, ("H4", "H5"), L.CHI_SQUARE_TEST,
+            ("n_groups", *_NO_INTERVAL), (str(MIN_SEGMENT_ORDERS), *_NO_INTERVAL),
+            "statistic", (L.CRAMERS_V, "effect_size"), chi_square,
+        ),
+        _layout(
+            scores, ("H2",), L.RANK_SUM_TEST,
+            ("mean_1", "ci_low_1", "ci_high_1"), ("mean_2", "ci_low_2", "ci_high_2"),
+            "statistic", (L.RANK_BISERIAL, "effect_size"), ("normal", "z", "0"),
+        ),
+        _layout(
+            buckets, ("H8",), L.TREND_TEST,
+            ("rate_first", *_NO_INTERVAL), ("rate_last", *_NO_INTERVAL),
+            "z", (L.BUCKET_RHO, "rho"), ("normal", "z", "0"),
+        ),
+    ]
 
 
-def _segments(tested: DataFrame, name: str) -> DataFrame:
-    return _row(
-        tested, name, L.CHI_SQUARE_TEST,
-        ("n_groups", *_NO_INTERVAL), (MIN_SEGMENT_ORDERS, *_NO_INTERVAL),
-        "statistic", (L.CRAMERS_V, "effect_size"), ("chi-square", "statistic", "dof"),
+def _freight_test(mart: DataFrame) -> DataFrame:
+    return _layout(
+        inference.freight_score_test(mart).withColumn("hypothesis", F.lit("H3")),
+        ("H3",), L.SPEARMAN_TEST,
+        ("rho", "ci_low", "ci_high"), ("n_observations", *_NO_INTERVAL),
+        "rho", (L.SPEARMAN_RHO, "rho"), ("student", "t", "dof"),
     )
 
 
-def _focal_category(order_seller: DataFrame, **seller_options) -> DataFrame:
+def _focal_category_test(order_seller: DataFrame, **seller_options) -> DataFrame:
     """The seller test of the category with most observations. Its table is rounded first."""
     tests = inference.seller_heterogeneity(order_seller, **seller_options)
     focal = tests.orderBy(F.desc("n_observations"), "product_category_name").limit(1)
     rounded = focal.withColumns({
         name: F.bround(name, 6) for name, kind in focal.dtypes if kind == "double"
     })
-    scope = F.format_string(L.HYPOTHESES["H6"][1], F.col("product_category_name"))
-    return _row(
-        rounded, "H6", L.CHI_SQUARE_TEST,
+    return _layout(
+        rounded.withColumn("hypothesis", F.lit("H6")),
+        ("H6",), L.CHI_SQUARE_TEST,
         ("n_sellers", *_NO_INTERVAL),
         ("category_bad_review_rate", "min_seller_bad_review_rate", "max_seller_bad_review_rate"),
-        "statistic", (L.CRAMERS_V, "effect_size"), ("known", "p_value", None), scope,
+        "statistic", (L.CRAMERS_V, "effect_size"), ("known", "p_value", "0"),
+        f"format_string({_text(L.HYPOTHESES['H6'][1])}, product_category_name)",
     )
 
 
 def hypothesis_table(mart: DataFrame, order_seller: DataFrame, **seller_options) -> DataFrame:
     """All testable hypotheses in report order; seller_options go to the seller test."""
-    h2 = inference.delay_score_test(mart)
-    h3 = inference.freight_score_test(mart)
-    h8 = inference.delay_trend_test(mart)
-    rows = [
-        _two_groups(inference.delay_review_test(mart), "H1"),
-        _row(
-            h2, "H2", L.RANK_SUM_TEST,
-            ("mean_1", "ci_low_1", "ci_high_1"), ("mean_2", "ci_low_2", "ci_high_2"),
-            "statistic", (L.RANK_BISERIAL, "effect_size"), ("normal", "z", None),
-        ),
-        _row(
-            h3, "H3", L.SPEARMAN_TEST,
-            ("rho", "ci_low", "ci_high"), ("n_observations", *_NO_INTERVAL),
-            "rho", (L.SPEARMAN_RHO, "rho"), ("student", "t", "dof"),
-        ),
-        _segments(inference.category_review_test(mart, MIN_SEGMENT_ORDERS), "H4"),
-        _segments(inference.state_delay_test(mart, MIN_SEGMENT_ORDERS), "H5"),
-        _two_groups(inference.handover_review_test(mart), "H7"),
-        _row(
-            h8, "H8", L.TREND_TEST,
-            ("rate_first", *_NO_INTERVAL), ("rate_last", *_NO_INTERVAL),
-            "z", (L.BUCKET_RHO, "rho"), ("normal", "z", None),
-        ),
-        _focal_category(order_seller, **seller_options),
+    parts = [
+        *_order_tests(mart),
+        _freight_test(mart),
+        _focal_category_test(order_seller, **seller_options),
     ]
-    table = rows[0]
-    for row in rows[1:]:
-        table = table.unionByName(row)
+    table = parts[0]
+    for part in parts[1:]:
+        table = table.unionByName(part)
     p = tail_p(F.col("tail_kind"), F.col("tail_statistic"), F.col("tail_dof"))
-    adjusted = inference.adjust_p(table.withColumn("p_value", p))
     return (
-        adjusted.withColumn("interpretation", _interpretation())
+        inference.adjust_p(table.withColumn("p_value", p))
+        .withColumn("effect_magnitude", effect_magnitude(F.col("effect_size")))
+        .withColumn("interpretation", _interpretation())
         .orderBy("position")
         .select(*COLUMNS)
     )

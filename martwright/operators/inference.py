@@ -1,7 +1,8 @@
 """Statistical tests as DataFrames.
 
-Each test reduces to counts per group that a distributed aggregate yields; the closed formulas run
-on the aggregated rows.
+Almost every test here is a statistic of a table with one row per group and two outcomes: x (the
+group, where it has an order), n (rows) and hits (rows with the outcome). A distributed aggregate
+yields that table; the closed formulas run on it, for one table or for many at once.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from martwright import labels as L
 from martwright.functions.columns import (
+    comparable_share,
     correlation_interval,
     delay_bucket,
     effect_magnitude,
@@ -26,168 +28,230 @@ from martwright.operators.ranks import cut_points, weighted_rank_correlation, wi
 from martwright.operators.sellers import reviewed_rows
 from martwright.operators.shared import all_segments
 
-# Scores run from 1 to 5. These cut points only spread the work of ranking their averages.
-SCORE_CUTS = (2.0, 3.0, 4.0)
-
 
 def outcome_counts(rows: DataFrame, group: str | Sequence[str], outcome: str) -> DataFrame:
-    """(group.., n, hits) over rows whose 0/1 outcome is known."""
+    """(group.., n, hits) over rows whose group and 0/1 outcome are known."""
     keys = [group] if isinstance(group, str) else list(group)
-    return rows.where(F.col(outcome).isNotNull()).groupBy(*keys).agg(
+    known = rows.where(F.col(outcome).isNotNull())
+    return known.dropna(subset=keys).groupBy(*keys).agg(
         F.count("*").alias("n"), F.sum(outcome).alias("hits")
     )
 
 
-def chi_square(groups: DataFrame, by: Sequence[str] = (), *extra: Column) -> DataFrame:
-    """Independence of group and outcome from rows (.., n, hits), one group per row.
+def _grouped(counts: DataFrame, by: Sequence[str], sums: Sequence[str]) -> DataFrame:
+    return counts.groupBy(*by).agg(*[F.expr(each) for each in sums])
+
+
+_TOTALS = ["coalesce(sum(n), 0) AS n_observations", "sum(hits) AS n_hits"]
+
+
+def chi_square(
+    counts: DataFrame, by: Sequence[str] = (), extra: Sequence[str] = ()
+) -> DataFrame:
+    """Independence of group and outcome, one row per table; extra are further aggregates.
 
     For two outcomes the statistic needs only sums over the groups, so it is one aggregate however
     many groups there are. A two by two table takes the continuity correction: all four cells then
-    differ from expectation by the same amount, which the sums also give. Without a second group
-    or both outcomes there is no test, and the statistic is NULL. The effect is Cramér's V.
+    differ from expectation by the same amount, the gap, which the sums also give. Without a second
+    group or both outcomes the statistic is NULL. The effect is Cramér's V.
     """
-    n, hits = F.col("n").cast("double"), F.col("hits").cast("double")
-    sums = groups.groupBy(*by).agg(
-        F.count("*").alias("n_groups"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n_observations"),
-        F.sum("hits").alias("n_hits"),
-        F.sum(hits * hits / n).alias("_between"),
-        F.sum(n * n).alias("_squares"),
+    sums = [
+        "count(*) AS n_groups", *_TOTALS,
+        "sum(double(hits) * hits / n) AS _between",
+        "sum(double(n) * n) AS _squares",
         *extra,
+    ]
+    return _grouped(counts, by, sums).selectExpr(
+        "*",
+        """CASE WHEN n_groups >= 2 AND n_hits > 0 AND n_hits < n_observations
+                THEN double(n_observations) END AS _total""",
+        "n_hits / _total AS _rate",
+        "greatest(_between - n_hits * _rate, 0D) / (_rate * (1 - _rate)) AS _plain",
+        """sqrt(_plain * (_total * _total - _squares) / 2 * _rate * (1 - _rate) / _total)
+           AS _gap""",
+        """CASE WHEN n_groups <> 2 THEN _plain
+                WHEN _gap > 0.5D THEN _plain * power((_gap - 0.5D) / _gap, 2)
+                WHEN _gap >= 0 THEN 0D END AS statistic""",
+        "sqrt(statistic / _total) AS effect_size",
+        "double(n_groups - 1) AS dof",
+    ).drop("_between", "_squares", "_total", "_rate", "_plain", "_gap")
+
+
+def two_groups(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Chi-square with n, hits, rate and interval of the groups 1 and 0 where x is one of them."""
+    parts = [
+        f"max(CASE WHEN x = {which} THEN {name} END) AS {name}_{which}"
+        for which in (1, 0)
+        for name in ("n", "hits")
+    ]
+    rates = []
+    for which in (1, 0):
+        low, high = wilson_interval(f"hits_{which}", f"n_{which}")
+        rates += [
+            f"CASE WHEN n_{which} > 0 THEN hits_{which} / n_{which} END AS rate_{which}",
+            f"{low} AS ci_low_{which}", f"{high} AS ci_high_{which}",
+        ]
+    return chi_square(counts, by, parts).selectExpr("*", *rates)
+
+
+def rank_sum(counts: DataFrame, cuts: Sequence[float] = (), extra: Sequence[str] = ()) -> DataFrame:
+    """Mann-Whitney U of two samples from rows (x, n, hits): at most one row.
+
+    hits counts the first sample, n - hits the second; x is the value that both are ranked by. U
+    belongs to the first sample. z is the tie-corrected normal approximation with continuity
+    correction; rho is the Spearman correlation of value and sample. All follow from the rank sum
+    and the ties. extra are further aggregates.
+    """
+    sums = [
+        *_TOTALS,
+        "sum(hits * average_rank) AS _ranks",
+        "sum(double(n) * n * n - n) AS _ties",
+        "sum(hits * double(x)) AS _sum1",
+        "sum((n - hits) * double(x)) AS _sum2",
+        "sum(hits * double(x) * x) AS _squares1",
+        "sum((n - hits) * double(x) * x) AS _squares2",
+        *extra,
+    ]
+    means = []
+    for i in (1, 2):
+        low, high = mean_interval(f"mean_{i}", f"_sd{i}", f"_n{i}")
+        means += [
+            f"_sum{i} / _n{i} AS mean_{i}",
+            f"""CASE WHEN _n{i} > 1 THEN sqrt(
+                greatest(_squares{i} - _sum{i} * mean_{i}, 0D) / (_n{i} - 1)) END AS _sd{i}""",
+            f"{low} AS ci_low_{i}", f"{high} AS ci_high_{i}",
+        ]
+    both = "n_hits > 0 AND n_hits < n_observations"
+    result = _grouped(with_positions(counts, "x", cuts), (), sums).where(both).selectExpr(
+        "*",
+        "n_hits AS n1", "n_observations - n_hits AS n2",
+        "double(n_observations) AS _n", "double(n1) AS _n1", "double(n2) AS _n2",
+        "_ranks - _n1 * (_n1 + 1) / 2 AS statistic",
+        "_n * _n * _n - _n - _ties AS _spread",
+        "greatest(abs(statistic - _n1 * _n2 / 2) - 0.5D, 0D) AS _beyond",
+        """CASE WHEN _spread > 0
+                THEN _beyond / sqrt(_n1 * _n2 * _spread / (_n * (_n - 1) * 12))
+                ELSE 0D END AS z""",
+        "1 - 2 * statistic / (_n1 * _n2) AS effect_size",
+        """CASE WHEN _spread > 0 THEN (_ranks - _n1 * (_n + 1) / 2) * sqrt(_n)
+                / (sqrt(_n1 * _n2) * sqrt(_spread / 12)) END AS rho""",
+        *means,
     )
-    testable = (
-        (F.col("n_groups") >= 2)
-        & (F.col("n_hits") > 0)
-        & (F.col("n_hits") < F.col("n_observations"))
-    )
-    total = F.when(testable, F.col("n_observations").cast("double"))
-    all_hits = F.col("n_hits").cast("double")
-    rate = all_hits / total
-    plain = F.greatest(F.col("_between") - all_hits * rate, F.lit(0.0)) / (rate * (1 - rate))
-    pairs = (total * total - F.col("_squares")) / 2
-    gap = F.sqrt(plain * pairs * rate * (1 - rate) / total)
-    kept = F.when(gap > 0, F.greatest(gap - 0.5, F.lit(0.0)) / gap).otherwise(F.lit(0.0))
-    corrected = F.when(F.col("n_groups") == 2, plain * kept * kept).otherwise(plain)
-    return (
-        sums.withColumn("statistic", F.when(testable, corrected))
-        .withColumn("effect_size", F.sqrt(F.col("statistic") / total))
-        .withColumn("dof", (F.col("n_groups") - 1).cast("double"))
-        .drop("_between", "_squares")
-    )
+    return result.drop(*[name for name in result.columns if name.startswith("_")])
+
 
+def trend(counts: DataFrame) -> DataFrame:
+    """Cochran-Armitage z for a rising share of hits over x, from rows (x, n, hits): one row.
 
-def compare_two(groups: DataFrame, group: str) -> DataFrame:
-    """Chi-square test of group 1 against group 0 with both rates and their intervals: one row."""
+    NULL-free: without variation there is no row. rate_first and rate_last are the shares of the
+    first and last delay bucket; rho correlates group and outcome by rank.
+    """
+    sums = [
+        "sum(x * hits) AS x_hits", "sum(x * n) AS x_n", "sum(double(x) * x * n) AS xx_n",
+        "max(CASE WHEN x = 0 THEN hits / n END) AS rate_first",
+        f"max(CASE WHEN x = {len(L.DELAY_BUCKETS) - 1} THEN hits / n END) AS rate_last",
+    ]
+    return rank_sum(counts, (), sums).selectExpr(
+        "n_observations", "rate_first", "rate_last", "rho",
+        "n1 / n_observations AS p",
+        "p * (1 - p) * (xx_n - double(x_n) * x_n / n_observations) AS variance",
+        "CASE WHEN variance > 0 THEN (x_hits - x_n * p) / sqrt(variance) END AS z",
+    ).where("z IS NOT NULL").select("n_observations", "z", "rate_first", "rate_last", "rho")
 
-    def of(which: int, name: str) -> Column:
-        return F.max(F.when(F.col(group) == which, F.col(name))).alias(f"{name}_{which}")
 
-    parts = [of(which, name) for which in (1, 0) for name in ("n", "hits")]
-    tested = chi_square(groups, (), *parts).where(F.col("statistic").isNotNull())
-    for which in (1, 0):
-        n, hits = F.col(f"n_{which}"), F.col(f"hits_{which}")
-        low, high = wilson_interval(hits, n)
-        tested = tested.withColumns({
-            f"rate_{which}": ratio(hits, n), f"ci_low_{which}": low, f"ci_high_{which}": high,
-        })
-    return tested.select(
-        "n_observations", "statistic", "dof", "effect_size",
-        *[f"{name}_{which}" for which in (1, 0) for name in ("rate", "ci_low", "ci_high")],
-    )
+# Tests of the orders mart.
 
 
-def order_facts(mart: DataFrame) -> DataFrame:
-    """Orders counted by the small set of facts that several tests share: one scan for all."""
-    keys = [F.col("is_delayed"), F.col("is_late_handover"), delay_bucket().alias("bucket_id"),
-            F.col("is_bad_review")]
-    return mart.groupBy(*keys).agg(F.count("*").alias("rows"))
+def _by_x(counts: DataFrame, group: str) -> DataFrame:
+    return counts.withColumnRenamed(group, "x")
 
 
-def fact_counts(facts: DataFrame, group: str) -> DataFrame:
-    """Bad reviews by one of the facts: (group, n, hits)."""
-    known = facts.where(F.col(group).isNotNull() & F.col("is_bad_review").isNotNull())
-    return known.groupBy(group).agg(
-        F.sum("rows").alias("n"), F.sum(F.col("rows") * F.col("is_bad_review")).alias("hits")
+def _compared(counts: DataFrame, group: str) -> DataFrame:
+    return two_groups(_by_x(counts, group)).where("statistic IS NOT NULL").select(
+        "n_observations", "statistic", "dof", "effect_size",
+        "rate_1", "ci_low_1", "ci_high_1", "rate_0", "ci_low_0", "ci_high_0",
     )
 
 
 def delay_review_test(mart: DataFrame) -> DataFrame:
     """Bad reviews of late against on-time orders."""
-    return compare_two(fact_counts(order_facts(mart), "is_delayed"), "is_delayed")
+    return _compared(outcome_counts(mart, "is_delayed", "is_bad_review"), "is_delayed")
 
 
 def handover_review_test(mart: DataFrame) -> DataFrame:
     """Bad reviews of orders handed over late against on time."""
-    return compare_two(fact_counts(order_facts(mart), "is_late_handover"), "is_late_handover")
+    counts = outcome_counts(mart, "is_late_handover", "is_bad_review")
+    return _compared(counts, "is_late_handover")
 
 
-def _segment_test(counts: DataFrame, segment: str, min_orders: int) -> DataFrame:
-    large = counts.where(F.col(segment).isNotNull() & (F.col("n") >= min_orders))
-    return chi_square(large).where(F.col("statistic").isNotNull()).select(
+def _segment_test(counts: DataFrame, min_orders: int) -> DataFrame:
+    tested = chi_square(counts.where(F.col("n") >= min_orders))
+    return tested.where(F.col("statistic").isNotNull()).select(
         "n_groups", "n_observations", "statistic", "dof", "effect_size"
     )
 
 
 def category_review_test(mart: DataFrame, min_orders: int = 30) -> DataFrame:
     """Bad reviews across categories."""
-    counts = outcome_counts(mart, "product_category_name", "is_bad_review")
-    return _segment_test(counts, "product_category_name", min_orders)
+    return _segment_test(
+        outcome_counts(mart, "product_category_name", "is_bad_review"), min_orders
+    )
 
 
 def state_delay_test(mart: DataFrame, min_orders: int = 30) -> DataFrame:
     """Delays across customer states."""
-    counts = outcome_counts(mart, "customer_state", "is_delayed")
-    return _segment_test(counts, "customer_state", min_orders)
-
-
-def rank_sum(cells: DataFrame, value: str, cuts: Sequence[float] = ()) -> DataFrame:
-    """Mann-Whitney U of two samples from rows (value, n1, n2): at most one row.
-
-    U belongs to the first sample; z is the tie-corrected normal approximation with continuity
-    correction; the effect is rank-biserial. Means and deviations come from the same rows.
-    """
-    weighed = cells.withColumn("n", F.col("n1") + F.col("n2"))
-    ties, v = F.col("ties").cast("double"), F.col(value).cast("double")
-    sums = with_positions(weighed, value, cuts).agg(
-        F.sum("n1").alias("n1"),
-        F.sum("n2").alias("n2"),
-        F.sum(F.col("n1") * F.col("average_rank")).alias("_ranks"),
-        F.sum(ties * ties * ties - ties).alias("_ties"),
-        *[F.sum(F.col(f"n{i}") * v).alias(f"_sum{i}") for i in (1, 2)],
-        *[F.sum(F.col(f"n{i}") * v * v).alias(f"_squares{i}") for i in (1, 2)],
-    ).where("n1 > 0 AND n2 > 0")
-    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
-    n = n1 + n2
-    u = F.col("_ranks") - n1 * (n1 + 1) / 2
-    variance = n1 * n2 / 12 * (n + 1 - F.col("_ties") / (n * (n - 1)))
-    beyond = F.greatest(F.greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5, F.lit(0.0))
-    z = F.when(variance > 0, beyond / F.sqrt(variance)).otherwise(F.lit(0.0))
-    result = sums.withColumns({
-        "n_observations": F.col("n1") + F.col("n2"), "statistic": u, "z": z,
-        "effect_size": 1 - 2 * u / (n1 * n2),
-    })
-    for i, size in ((1, n1), (2, n2)):
-        mean = F.col(f"_sum{i}") / size
-        squares = F.greatest(F.col(f"_squares{i}") - F.col(f"_sum{i}") * mean, F.lit(0.0))
-        low, high = mean_interval(mean, F.when(size > 1, F.sqrt(squares / (size - 1))), size)
-        result = result.withColumns({
-            f"mean_{i}": mean, f"ci_low_{i}": low, f"ci_high_{i}": high,
-        })
-    return result.select(
-        "n1", "n2", "n_observations", "statistic", "z", "effect_size",
-        *[f"{name}_{i}" for i in (1, 2) for name in ("mean", "ci_low", "ci_high")],
-    )
+    return _segment_test(outcome_counts(mart, "customer_state", "is_delayed"), min_orders)
 
 
 def delay_score_test(mart: DataFrame) -> DataFrame:
     """Scores of late (first sample) against on-time orders."""
-    late = F.col("is_delayed")
-    cells = (
-        mart.where(late.isNotNull() & F.col("review_score").isNotNull())
-        .groupBy("review_score")
-        .agg(F.count_if(late == 1).alias("n1"), F.count_if(late == 0).alias("n2"))
+    counts = outcome_counts(mart, "review_score", "is_delayed")
+    return rank_sum(_by_x(counts, "review_score")).drop("n_hits", "rho")
+
+
+def delay_trend_test(mart: DataFrame) -> DataFrame:
+    """Share of bad reviews over the delay buckets, and their rank correlation."""
+    buckets = mart.withColumn("x", delay_bucket())
+    return trend(outcome_counts(buckets, "x", "is_bad_review"))
+
+
+# Hypothesis -> (grouping column, outcome, whether small groups drop out).
+STACKED_TESTS = {
+    "H1": ("is_delayed", "is_bad_review", False),
+    "H2": ("review_score", "is_delayed", False),
+    "H4": ("product_category_name", "is_bad_review", True),
+    "H5": ("customer_state", "is_delayed", True),
+    "H7": ("is_late_handover", "is_bad_review", False),
+    "H8": ("bucket_id", "is_bad_review", False),
+}
+
+
+def stacked_counts(mart: DataFrame, min_orders: int) -> DataFrame:
+    """(test, x, n, hits) of all six tables from one scan and one small shuffle."""
+    groups = [group for group, _, _ in STACKED_TESTS.values()]
+    counted = mart.withColumn("bucket_id", delay_bucket()).groupingSets(
+        [[group] for group in groups], *groups
+    ).agg(
+        F.grouping_id().alias("unused"),
+        *[F.count(o).alias(f"{o}__n") for o in ("is_bad_review", "is_delayed")],
+        *[F.sum(o).alias(f"{o}__hits") for o in ("is_bad_review", "is_delayed")],
     )
-    return rank_sum(cells, "review_score", SCORE_CUTS)
+    # grouping_id: one bit per column, first column highest, clear for the column in use
+    everything, top = (1 << len(groups)) - 1, len(groups) - 1
+    cases = {name: [] for name in ("test", "x", "n", "hits")}
+    for position, (name, (group, outcome, large)) in enumerate(STACKED_TESTS.items()):
+        grain = everything - (1 << (top - position))
+        least = min_orders if large else 1
+        when = f"WHEN unused = {grain}"
+        cases["test"].append(
+            f"{when} AND {group} IS NOT NULL AND {outcome}__n >= {least} THEN '{name}'"
+        )
+        cases["x"].append(f"{when} THEN {'NULL' if large else f'double({group})'}")
+        cases["n"].append(f"{when} THEN {outcome}__n")
+        cases["hits"].append(f"{when} THEN {outcome}__hits")
+    return counted.selectExpr(
+        *[f"CASE {' '.join(parts)} END AS {name}" for name, parts in cases.items()]
+    ).where("test IS NOT NULL")
 
 
 def spearman(
@@ -208,57 +272,22 @@ def spearman(
     x_cuts = cut_points(known, "x") if x_cuts is None else x_cuts
     y_cuts = cut_points(known, "y") if y_cuts is None else y_cuts
     cells = known.groupBy("x", "y").agg(F.count("*").alias("n"))
-    rho, n = F.col("rho"), F.col("n")
-    low, high = correlation_interval(rho, n)
-    dof = (n - 2).cast("double")
-    t = F.when(
-        F.abs(rho) < 1, rho * F.sqrt(F.greatest(dof, F.lit(0.0)) / ((rho + 1) * (1 - rho)))
-    ).when(rho.isNotNull(), F.lit(float("inf")))
-    return weighted_rank_correlation(cells, "x", "y", x_cuts, y_cuts).select(
-        n.alias("n_observations"), "rho", low.alias("ci_low"), high.alias("ci_high"),
-        F.when(dof > 0, t).alias("t"), dof.alias("dof"),
-    )
+    low, high = correlation_interval("rho", "n_observations")
+    return weighted_rank_correlation(cells, "x", "y", x_cuts, y_cuts).selectExpr(
+        "n AS n_observations", "rho", f"{low} AS ci_low", f"{high} AS ci_high",
+        "double(n - 2) AS dof",
+        """CASE WHEN dof > 0 AND abs(rho) < 1 THEN rho * sqrt(dof / ((rho + 1) * (1 - rho)))
+                WHEN dof > 0 AND rho IS NOT NULL THEN double('inf') END AS t""",
+    ).select("n_observations", "rho", "ci_low", "ci_high", "t", "dof")
 
 
 def freight_score_test(mart: DataFrame, freight_cuts: Sequence[float] | None = None) -> DataFrame:
     """Freight share against score; needs more than ten orders."""
-    tested = spearman(mart, "freight_share", "review_score", freight_cuts, SCORE_CUTS)
+    shares = mart.withColumn("freight_share", comparable_share())
+    tested = spearman(shares, "freight_share", "review_score", freight_cuts, ())
     return tested.where(F.col("n_observations") > 10)
 
 
-def trend(counts: DataFrame, score: str) -> DataFrame:
-    """Cochran-Armitage z for a rising share over ordered groups (score, n, hits): one row."""
-    s, n, hits = F.col(score).cast("double"), F.col("n"), F.col("hits")
-    sums = counts.agg(
-        F.coalesce(F.sum(n), F.lit(0)).alias("n_observations"),
-        F.sum(hits).alias("n_hits"),
-        F.sum(s * hits).alias("_s_hits"),
-        F.sum(s * n).alias("_s_n"),
-        F.sum(s * s * n).alias("_ss_n"),
-        ratio(F.max(F.when(s == 0, hits)), F.max(F.when(s == 0, n))).alias("rate_first"),
-        ratio(F.max(F.when(s == len(L.DELAY_BUCKETS) - 1, hits)),
-              F.max(F.when(s == len(L.DELAY_BUCKETS) - 1, n))).alias("rate_last"),
-    )
-    total = F.when(F.col("n_observations") > 0, F.col("n_observations").cast("double"))
-    p = F.col("n_hits") / total
-    variance = p * (1 - p) * (F.col("_ss_n") - F.col("_s_n") * F.col("_s_n") / total)
-    z = F.when(variance > 0, (F.col("_s_hits") - F.col("_s_n") * p) / F.sqrt(variance))
-    return sums.select("n_observations", z.alias("z"), "rate_first", "rate_last")
-
-
-def delay_trend_test(mart: DataFrame) -> DataFrame:
-    """Share of bad reviews over the delay buckets, and their rank correlation."""
-    facts = order_facts(mart)
-    cells = (
-        facts.where(F.col("bucket_id").isNotNull() & F.col("is_bad_review").isNotNull())
-        .groupBy("bucket_id", "is_bad_review")
-        .agg(F.sum("rows").alias("n"))
-    )
-    correlation = weighted_rank_correlation(cells, "bucket_id", "is_bad_review", (), ())
-    tested = trend(fact_counts(facts, "bucket_id"), "bucket_id").where(F.col("z").isNotNull())
-    return tested.withColumn("rho", correlation.select("rho").scalar())
-
-
 def adjust_p(tests: DataFrame, p: str = "p_value") -> DataFrame:
     """Benjamini-Hochberg over the known p-values: p_value_adjusted and significant.
 
@@ -285,26 +314,26 @@ def proportion_posthoc(
 
     Totals include small and unknown segments. A segment without a counterpart gets no test.
     """
-    counts = outcome_counts(rows, group, outcome).withColumns({
-        "_n": F.sum("n").over(all_segments()), "_hits": F.sum("hits").over(all_segments()),
+    known = rows.where(F.col(outcome).isNotNull())
+    counts = known.groupBy(group).agg(F.count("*").alias("n"), F.sum(outcome).alias("hits"))
+    everything = all_segments()
+    with_totals = counts.withColumns({
+        "_total": F.sum("n").over(everything), "_all": F.sum("hits").over(everything),
     })
-    large = counts.where(F.col(group).isNotNull() & (F.col("n") >= min_orders))
-    n, hits = F.col("n").cast("double"), F.col("hits").cast("double")
-    total, all_hits = F.col("_n").cast("double"), F.col("_hits").cast("double")
-    rate, overall = hits / n, all_hits / total
-    low, high = wilson_interval(hits, n)
-    cross = F.abs(hits * (total - n - all_hits + hits) - (n - hits) * (all_hits - hits))
-    margins = n * (total - n) * all_hits * (total - all_hits)
-    beyond = F.greatest(cross - total / 2, F.lit(0.0))
-    statistic = F.when(margins > 0, total * beyond * beyond / margins)
-    direction = F.when(rate > overall, L.ABOVE_AVERAGE).otherwise(L.BELOW_AVERAGE)
-    tests = large.select(
-        group, F.col("n").alias("orders"), rate.alias("rate"),
-        low.alias("rate_ci_low"), high.alias("rate_ci_high"),
-        overall.alias("overall_rate"), (rate - overall).alias("rate_diff"),
-        direction.alias("direction"), statistic.alias("statistic"),
-    ).withColumn("p_value", tail_p(F.lit("chi-square"), F.col("statistic"), F.lit(1.0)))
-    return adjust_p(tests).orderBy(F.desc("rate_diff"), group)
+    low, high = wilson_interval("hits", "n")
+    tests = with_totals.where(F.col(group).isNotNull() & (F.col("n") >= min_orders)).selectExpr(
+        group, "n AS orders", "hits / n AS rate", f"{low} AS rate_ci_low", f"{high} AS rate_ci_high",
+        "_all / _total AS overall_rate", "rate - overall_rate AS rate_diff",
+        f"""CASE WHEN rate > overall_rate THEN '{L.ABOVE_AVERAGE}' ELSE '{L.BELOW_AVERAGE}' END
+            AS direction""",
+        "double(_total) * n - double(n) * n AS _rows",
+        "double(_all) * _total - double(_all) * _all AS _columns",
+        "greatest(abs(double(hits) * _total - double(n) * _all) - _total / 2, 0D) AS _beyond",
+        """CASE WHEN _rows > 0 AND _columns > 0
+                THEN _total * (_beyond / _rows) * (_beyond / _columns) END AS statistic""",
+    ).drop("_rows", "_columns", "_beyond")
+    p = tail_p(F.lit("chi-square"), F.col("statistic"), F.lit(1.0))
+    return adjust_p(tests.withColumn("p_value", p)).orderBy(F.desc("rate_diff"), group)
 
 
 def category_posthoc(mart: DataFrame, min_orders: int = 100) -> DataFrame:
@@ -325,12 +354,13 @@ def seller_heterogeneity(
     """Do sellers of one category differ in bad reviews? One test per category."""
     rows = reviewed_rows(order_seller, single_seller_only)
     sellers = outcome_counts(rows, ["product_category_name", "seller_id"], "is_bad_review")
-    rate = F.col("hits") / F.col("n")
     tests = chi_square(
         sellers.where(F.col("n") >= min_seller_orders),
         ["product_category_name"],
-        F.min(rate).alias("min_seller_bad_review_rate"),
-        F.max(rate).alias("max_seller_bad_review_rate"),
+        [
+            "min(hits / n) AS min_seller_bad_review_rate",
+            "max(hits / n) AS max_seller_bad_review_rate",
+        ],
     ).where((F.col("n_groups") >= min_sellers) & F.col("statistic").isNotNull())
     tests = tests.withColumn(
         "p_value", tail_p(F.lit("chi-square"), F.col("statistic"), F.col("dof"))

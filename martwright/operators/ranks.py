@@ -42,33 +42,42 @@ def with_positions(
 ) -> DataFrame:
     """Adds below, ties, average_rank and group_rows to rows that each stand for `weight` rows.
 
-    Several rows may share a value; ties then counts them together.
+    Several rows may share a value; ties then counts them together. Without cut points each group
+    is counted in one window, which suits tables of few distinct values.
     """
     if cuts:
-        splits = [float("-inf"), *cuts, float("inf")]
-        cut = Bucketizer(splits=splits, inputCol=value, outputCol="bucket").transform(cells)
+        placed = _bucketed_positions(cells, value, cuts, by, weight)
     else:
-        cut = cells.withColumn("bucket", F.lit(0.0))
+        group = Window.partitionBy(*by)
+        placed = cells.withColumns({
+            "ties": F.sum(weight).over(Window.partitionBy(*by, value)),
+            "group_rows": F.sum(weight).over(group),
+            "up_to": F.sum(weight).over(group.orderBy(value)),
+        }).withColumn("below", F.col("up_to") - F.col("ties")).drop("up_to")
+    return placed.withColumn("average_rank", F.col("below") + (F.col("ties") + 1) / F.lit(2.0))
+
+
+def _bucketed_positions(
+    cells: DataFrame, value: str, cuts: Sequence[float], by: Sequence[str], weight: str
+) -> DataFrame:
+    splits = [float("-inf"), *cuts, float("inf")]
+    cut = Bucketizer(splits=splits, inputCol=value, outputCol="bucket").transform(cells)
     keys = [*by, "bucket"]
     per_bucket = cut.groupBy(*keys).agg(F.sum(weight).alias("bucket_rows"))
-    in_order = Window.partitionBy(*by).orderBy("bucket")
-    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy(*by)
+    before = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(
-        *by,
-        "bucket",
+        *keys,
         F.coalesce(F.sum("bucket_rows").over(before), F.lit(0)).alias("earlier"),
-        F.sum("bucket_rows").over(everything).alias("group_rows"),
+        F.sum("bucket_rows").over(Window.partitionBy(*by)).alias("group_rows"),
     )
-    inside = Window.partitionBy(*keys)
     counted = cut.withColumns({
-        "up_to": F.sum(weight).over(inside.orderBy(value)),
+        "up_to": F.sum(weight).over(Window.partitionBy(*keys).orderBy(value)),
         "ties": F.sum(weight).over(Window.partitionBy(*keys, value)),
     })
+    below = F.col("earlier") + F.col("up_to") - F.col("ties")
     return (
         counted.join(offsets, keys)
-        .withColumn("below", F.col("earlier") + F.col("up_to") - F.col("ties"))
-        .withColumn("average_rank", F.col("below") + (F.col("ties") + 1) / F.lit(2.0))
+        .withColumn("below", below)
         .drop("bucket", "up_to", "earlier")
     )
 

@@ -77,7 +77,7 @@ def seller_vs_category(
         (F.sum("bad_reviews") / F.sum("orders")).alias("category_bad_review_rate"),
         F.count_if(large).alias("n_sellers_in_category"),
     ).where(F.col("n_sellers_in_category") >= min_sellers)
-    low, high = wilson_interval(F.col("bad_reviews"), F.col("orders"))
+    low, high = wilson_interval("bad_reviews", "orders")
     difference = F.col("bad_review_rate") - F.col("category_bad_review_rate")
     return (
         per_seller.where(large)
@@ -85,8 +85,8 @@ def seller_vs_category(
         .select(
             "product_category_name", "seller_id", "n_sellers_in_category", "orders",
             "bad_review_rate",
-            low.alias("bad_review_rate_ci_low"),
-            high.alias("bad_review_rate_ci_high"),
+            F.expr(low).alias("bad_review_rate_ci_low"),
+            F.expr(high).alias("bad_review_rate_ci_high"),
             "category_bad_review_rate",
             difference.alias("bad_review_rate_diff"),
             "delay_rate", "late_handover_rate", "avg_review_score",
