@@ -7,6 +7,7 @@ tables. Each check is one WITH query that uses the views it needs.
 from __future__ import annotations
 
 import re
+from contextlib import contextmanager
 
 DEFAULT_PLACES = 7
 # Means over 2^k rows often end in 5 right after the last place. Rounding there would hang on the
@@ -30,9 +31,25 @@ def rounding(name: str) -> tuple[int, float]:
     return places, NUDGE * 10.0**-places
 
 
+_exact = False
+
+
+@contextmanager
+def exact():
+    """Columns keep all digits within: for checks that calculate on."""
+    global _exact
+    _exact = True
+    try:
+        yield
+    finally:
+        _exact = False
+
+
 def num(expression: str, name: str) -> str:
     """A double column, rounded as in the query."""
     places, nudge = rounding(name)
+    if _exact:
+        return f"CAST({expression} AS DOUBLE) AS {name}"
     return f"round(CAST({expression} AS DOUBLE) + {nudge!r}, {places}) AS {name}"
 
 
@@ -730,6 +747,145 @@ def heterogeneity(rows: str, min_orders: int) -> str:
         FROM v"""
 
 
+def integral(density: str, start: str, width: str, steps: int = 4000) -> str:
+    """Simpson's rule for a density, written over @, on [start, start + width]."""
+    at = density.replace("@", f"(({start}) + i * ({width}) / {steps}e0)")
+    return f"""(({width}) / {3 * steps}e0 * list_sum(list_transform(range({steps + 1}), lambda i:
+        (CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * ({at}))))"""
+
+
+def tail(kind: str, statistic: str, dof: str) -> str:
+    """p-value by integrating the density of chi, of Student's t or of the normal."""
+    if kind == "chi":
+        start = f"sqrt({statistic})"
+        log = f"""(1 - ({dof}) / 2e0) * ln(2e0) + (({dof}) - 1) * ln(greatest(@, 1e-300))
+                  - @ * @ / 2 - lgamma(({dof}) / 2e0)"""
+        return integral(f"exp({log})", start,
+                        f"greatest(sqrt({dof}) + 12 - {start}, 12)")
+    if kind == "t":
+        log = f"""lgamma((({dof}) + 1) / 2e0) - lgamma(({dof}) / 2e0) - ln(({dof}) * pi()) / 2
+                  - (({dof}) + 1) / 2e0 * ln(1 + @ * @ / ({dof}))"""
+        return "2 * " + integral(f"exp({log})", f"abs({statistic})", "20")
+    return "2 * " + integral("exp(-@ * @ / 2) / sqrt(2 * pi())", f"abs({statistic})", "12")
+
+
+def adjusted(tests: str, columns: str) -> str:
+    """Benjamini-Hochberg over rows with p: the smallest scaled p among those at least as large."""
+    return f"""
+        WITH tests AS ({tests}),
+        ranked AS (SELECT *, p * count(p) OVER () / row_number() OVER (ORDER BY p) AS scaled
+                   FROM tests),
+        done AS (SELECT *, least(1, min(scaled) OVER (ORDER BY p DESC
+                     RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS p_adj FROM ranked)
+        SELECT {columns} FROM done"""
+
+
+P_COLUMNS = (
+    num("p", "p_value") + ", " + num("p_adj", "p_value_adjusted") + ", p_adj < 0.05 AS significant"
+)
+
+
+def with_p(tests: str, dof: str, columns: str) -> str:
+    return adjusted(f"SELECT *, {tail('chi', 'statistic', dof)} AS p FROM ({tests})",
+                    f"{columns}, {P_COLUMNS}")
+
+
+def magnitude(effect: str) -> str:
+    return f"""CASE WHEN abs({effect}) < 0.1 THEN 'незначимый' WHEN abs({effect}) < 0.3 THEN 'слабый'
+                    WHEN abs({effect}) < 0.5 THEN 'умеренный' ELSE 'сильный' END"""
+
+
+def posthoc_with_p(group: str, outcome: str, extra: str) -> str:
+    with exact():
+        tests = posthoc(group, outcome, extra)
+    names = "rate rate_ci_low rate_ci_high overall_rate rate_diff statistic".split()
+    return with_p(tests, "1", f"{group}, orders, direction, " + nums(**{c: c for c in names}))
+
+
+def heterogeneity_with_p(rows: str, min_orders: int) -> str:
+    with exact():
+        tests = heterogeneity(rows, min_orders)
+    names = ("category_bad_review_rate min_seller_bad_review_rate max_seller_bad_review_rate "
+             "statistic effect_size dof").split()
+    return with_p(tests, "dof", "product_category_name, n_sellers, n_observations, "
+                  "effect_size_name, effect_magnitude, " + nums(**{c: c for c in names}))
+
+
+def hypothesis_table() -> str:
+    """All hypotheses from the single checks, with p by integration."""
+    with exact():
+        late, handover = two_groups("is_delayed"), two_groups("is_late_handover")
+        category = many_groups("product_category_name", "is_bad_review")
+        state = many_groups("customer_state", "is_delayed")
+        scores, freight, months = rank_sum(), spearman(), trend()
+        sellers = heterogeneity("sold_multi", 30)
+    chi = ("chi-square test of independence", "Cramér''s V")
+    pair = ("rate_1", "ci_low_1", "ci_high_1", "rate_0", "ci_low_0", "ci_high_0")
+    many = ("n_groups", "NULL", "NULL", "30", "NULL", "NULL")
+    focal = f"""SELECT product_category_name, n_sellers, n_observations, {", ".join(
+        f"round({c}, 6) AS {c}" for c in ("category_bad_review_rate", "min_seller_bad_review_rate",
+        "max_seller_bad_review_rate", "statistic", "effect_size"))},
+        round({tail("chi", "statistic", "dof")}, 6) AS known_p
+        FROM ({sellers}) ORDER BY n_observations DESC, product_category_name LIMIT 1"""
+    # statement, scope, metrics, test and effect names, values, statistic, effect, p, source
+    rows = [
+        ("H1: доля плохих отзывов зависит от факта задержки доставки",
+         "'доставленные заказы с отзывом'", "bad_review_rate_delayed",
+         "bad_review_rate_not_delayed", *chi, pair, "statistic", "effect_size",
+         tail("chi", "statistic", "1"), late),
+        ("H2: оценки заказов с задержкой отличаются от оценок заказов без задержки",
+         "'доставленные заказы с отзывом'", "mean_review_delayed", "mean_review_not_delayed",
+         "Mann-Whitney U test", "rank-biserial correlation",
+         ("mean_1", "ci_low_1", "ci_high_1", "mean_2", "ci_low_2", "ci_high_2"),
+         "statistic", "effect_size", tail("normal", "z", ""), scores),
+        ("H3: доля доставки в стоимости заказа связана с оценкой",
+         "'заказы с отзывом и известной долей доставки'", "spearman_rho", "n_observations",
+         "Spearman correlation", "Spearman rho",
+         ("rho", "ci_low", "ci_high", "n_observations", "NULL", "NULL"), "rho", "rho",
+         tail("t", "t", "dof"), freight),
+        ("H4: категории товаров различаются по доле плохих отзывов",
+         "'заказы с отзывом, категории с >= 30 заказами'", "n_categories",
+         "min_orders_per_category", *chi, many, "statistic", "effect_size",
+         tail("chi", "statistic", "dof"), category),
+        ("H5: регионы покупателей различаются по доле задержанных доставок",
+         "'доставленные заказы, регионы с >= 30 заказами'", "n_states", "min_orders_per_state",
+         *chi, many, "statistic", "effect_size", tail("chi", "statistic", "dof"), state),
+        ("H7: поздняя передача перевозчику (зона продавца) связана с плохим отзывом",
+         "'заказы с отзывом и известным фактом просрочки отгрузки'",
+         "bad_review_rate_late_handover", "bad_review_rate_on_time_handover", *chi, pair,
+         "statistic", "effect_size", tail("chi", "statistic", "1"), handover),
+        ("H8: вероятность плохого отзыва растёт с длительностью задержки",
+         "'доставленные заказы с отзывом, по корзинам длительности задержки'",
+         "bad_review_rate_no_delay", "bad_review_rate_14plus", "Cochran-Armitage trend test",
+         "Spearman rho (корзина vs плохой отзыв)",
+         ("rate_first", "NULL", "NULL", "rate_last", "NULL", "NULL"), "z", "rho",
+         tail("normal", "z", ""), months),
+        ("H6: внутри категории продавцы различаются по доле плохих отзывов",
+         "'single-seller заказы с отзывом, фокусная категория ' || product_category_name "
+         "|| ' (>= 30 заказов на продавца)'", "n_sellers", "category_bad_review_rate", *chi,
+         ("n_sellers", "NULL", "NULL", "category_bad_review_rate", "min_seller_bad_review_rate",
+          "max_seller_bad_review_rate"), "statistic", "effect_size", "known_p", focal),
+    ]
+    ends = ("value_1", "ci_low_1", "ci_high_1", "value_2", "ci_low_2", "ci_high_2")
+    parts = []
+    for statement, scope, one, two, test, effect_name, values, stat, effect, p, source in rows:
+        numbers = ", ".join(f"CAST({v} AS DOUBLE) AS {e}" for v, e in zip(values, ends))
+        parts.append(f"""
+            SELECT '{statement}' AS hypothesis, '{test}' AS test, {scope} AS scope,
+                   '{one}' AS metric_1, '{two}' AS metric_2, {numbers},
+                   CAST(n_observations AS BIGINT) AS n_observations,
+                   CAST({stat} AS DOUBLE) AS statistic, '{effect_name}' AS effect_size_name,
+                   CAST({effect} AS DOUBLE) AS effect_size, {p} AS p FROM ({source})""")
+    doubles = ", ".join(num(c, c) for c in (*ends, "statistic", "effect_size"))
+    return adjusted(" UNION ALL ".join(parts), f"""
+        hypothesis, test, scope, metric_1, metric_2, n_observations, effect_size_name, {doubles},
+        {magnitude('effect_size')} AS effect_magnitude, {P_COLUMNS},
+        'После поправки BH: статистически ' || CASE WHEN p_adj < 0.05 THEN '' ELSE 'не' END
+            || 'значимо (p_adj=' || format('{{:.4g}}', p_adj) || '); эффект '
+            || {magnitude('effect_size')} || ' (' || effect_size_name || '='
+            || format('{{:.3g}}', effect_size) || ')' AS interpretation""")
+
+
 def slice_values() -> str:
     fields = ("product_category_name", "customer_state", "seller_state", "main_payment_type")
     return " UNION ALL ".join(
@@ -969,10 +1125,11 @@ def queries_sql() -> dict[str, str]:
         "mwu_delay_score": rank_sum(),
         "spearman_freight_score": spearman(),
         "trend_delay_bad": trend(),
-        "posthoc_category": posthoc("product_category_name", "is_bad_review", ""),
-        "posthoc_state": posthoc("customer_state", "is_delayed", "AND is_delivered = 1"),
-        "seller_heterogeneity": heterogeneity("sold_multi", 30),
-        "seller_heterogeneity_single": heterogeneity("sold_single", 3),
+        "posthoc_category": posthoc_with_p("product_category_name", "is_bad_review", ""),
+        "posthoc_state": posthoc_with_p("customer_state", "is_delayed", "AND is_delivered = 1"),
+        "seller_heterogeneity": heterogeneity_with_p("sold_multi", 30),
+        "seller_heterogeneity_single": heterogeneity_with_p("sold_single", 3),
+        "hypothesis_table": hypothesis_table(),
     }
 
 
