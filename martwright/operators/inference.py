@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from martwright import labels as L
@@ -322,7 +322,8 @@ def proportion_posthoc(
     })
     low, high = wilson_interval("hits", "n")
     tests = with_totals.where(F.col(group).isNotNull() & (F.col("n") >= min_orders)).selectExpr(
-        group, "n AS orders", "hits / n AS rate", f"{low} AS rate_ci_low", f"{high} AS rate_ci_high",
+        group, "n AS orders", "hits / n AS rate",
+        f"{low} AS rate_ci_low", f"{high} AS rate_ci_high",
         "_all / _total AS overall_rate", "rate - overall_rate AS rate_diff",
         f"""CASE WHEN rate > overall_rate THEN '{L.ABOVE_AVERAGE}' ELSE '{L.BELOW_AVERAGE}' END
             AS direction""",

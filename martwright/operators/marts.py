@@ -35,67 +35,85 @@ def product_categories(products: DataFrame, translation: DataFrame) -> DataFrame
     )
 
 
+def items(raw: Raw) -> DataFrame:
+    return raw["raw_order_items"].select(
+        "order_id", "product_id", "seller_id", "shipping_limit_date",
+        F.col("price").cast("double").alias("price"),
+        exact_money(F.col("price")).alias("rank_price"),
+        F.col("freight_value").cast("double").alias("freight_value"),
+    )
+
+
 def categorised_items(raw: Raw) -> DataFrame:
     categories = product_categories(raw["raw_products"], raw["raw_category_translation"])
-    return (
-        raw["raw_order_items"]
-        .select(
-            "order_id", "product_id", "seller_id", "shipping_limit_date",
-            F.col("price").cast("double").alias("price"),
-            F.col("freight_value").cast("double").alias("freight_value"),
-        )
-        .join(categories, "product_id", "left")
-        .withColumn("category", F.coalesce("category", F.lit(L.MISSING_PRODUCT_CATEGORY)))
+    return items(raw).join(categories, "product_id", "left").withColumn(
+        "category", F.coalesce("category", F.lit(L.MISSING_PRODUCT_CATEGORY))
     )
 
 
+def _main(name: str) -> Column:
+    """The name that earned most in an order."""
+    return F.min_by(name, largest_first(F.col("rank_price"), F.col(name)))
+
+
 def build_items_agg(raw: Raw) -> DataFrame:
-    """Item totals per order with the category and the seller that earned most."""
-    # One aggregation at three grains; grouping_id tells them apart (a set bit is an unused key).
-    by_category, by_seller, by_product = 0b011, 0b101, 0b110
-    grains = (
+    """Item totals per order with the category and the seller that earned most.
+
+    Categories, sellers and products are each counted at their own grain and then per order. The
+    three parts read few columns each, only one needs the product join, and their last shuffle is
+    by order, so joining them moves no rows again.
+    """
+    categories = (
         categorised_items(raw)
-        .groupingSets(
-            [["order_id", "category"], ["order_id", "seller_id"], ["order_id", "product_id"]],
-            "order_id", "category", "seller_id", "product_id",
+        .groupBy("order_id", "category")
+        .agg(F.sum("rank_price").alias("rank_price"))
+        .groupBy("order_id")
+        .agg(
+            F.count("category").alias("distinct_categories"),
+            _main("category").alias("product_category_name"),
         )
+    )
+    sellers = (
+        items(raw)
+        .groupBy("order_id", "seller_id")
         .agg(
-            F.grouping_id().alias("grain"),
             F.count("*").alias("items"),
             F.sum("price").alias("price"),
-            F.sum(exact_money(F.col("price"))).alias("rank_price"),
+            F.sum("rank_price").alias("rank_price"),
             F.sum("freight_value").alias("freight"),
             F.max("shipping_limit_date").alias("limit_date"),
         )
+        .groupBy("order_id")
+        .agg(
+            F.sum("items").alias("order_item_count"),
+            F.count("seller_id").alias("distinct_sellers"),
+            F.sum("price").alias("total_price"),
+            F.sum("freight").alias("total_freight"),
+            F.max("limit_date").alias("max_shipping_limit_date"),
+            _main("seller_id").alias("main_seller_id"),
+        )
     )
-
-    def only(grain: int, column: Column) -> Column:
-        return F.when(F.col("grain") == grain, column)
-
-    def main(grain: int, name: str) -> Column:
-        best = largest_first(F.col("rank_price"), F.col(name))
-        return F.min_by(F.col(name), only(grain, best))
-
-    orders = grains.groupBy("order_id").agg(
-        F.sum(only(by_seller, F.col("items"))).alias("order_item_count"),
-        F.count(only(by_product, F.col("product_id"))).alias("distinct_products"),
-        F.count(only(by_seller, F.col("seller_id"))).alias("distinct_sellers"),
-        F.count(only(by_category, F.col("category"))).alias("distinct_categories"),
-        F.sum(only(by_seller, F.col("price"))).alias("total_price"),
-        F.sum(only(by_seller, F.col("freight"))).alias("total_freight"),
-        F.max(only(by_seller, F.col("limit_date"))).alias("max_shipping_limit_date"),
-        main(by_category, "category").alias("product_category_name"),
-        main(by_seller, "seller_id").alias("main_seller_id"),
+    products = (
+        items(raw)
+        .groupBy("order_id", "product_id")
+        .agg(F.count("*").alias("items"))
+        .groupBy("order_id")
+        .agg(F.count("product_id").alias("distinct_products"))
     )
-    sellers = raw["raw_sellers"].select(
+    states = raw["raw_sellers"].select(
         F.col("seller_id").alias("main_seller_id"), "seller_state"
     )
     mixed = F.when(F.col("distinct_categories") > 1, 1).otherwise(0)
-    return orders.join(sellers, "main_seller_id", "left").select(
-        "order_id", "order_item_count", "distinct_products", "distinct_sellers",
-        "distinct_categories", "total_price", "total_freight", "max_shipping_limit_date",
-        "product_category_name", "main_seller_id", "seller_state",
-        mixed.alias("is_mixed_category"),
+    return (
+        sellers.join(categories, "order_id")
+        .join(products, "order_id")
+        .join(states, "main_seller_id", "left")
+        .select(
+            "order_id", "order_item_count", "distinct_products", "distinct_sellers",
+            "distinct_categories", "total_price", "total_freight", "max_shipping_limit_date",
+            "product_category_name", "main_seller_id", "seller_state",
+            mixed.alias("is_mixed_category"),
+        )
     )
 
 
@@ -181,7 +199,7 @@ def build_order_seller(raw: Raw, orders_mart: DataFrame) -> DataFrame:
     by_category = categorised_items(raw).groupBy("order_id", "seller_id", "category").agg(
         F.count("*").alias("items"),
         F.sum("price").alias("price"),
-        F.sum(exact_money(F.col("price"))).alias("rank_price"),
+        F.sum("rank_price").alias("rank_price"),
         F.sum("freight_value").alias("freight"),
         F.max("shipping_limit_date").alias("limit_date"),
     )
@@ -190,9 +208,7 @@ def build_order_seller(raw: Raw, orders_mart: DataFrame) -> DataFrame:
         F.sum("price").alias("seller_price"),
         F.sum("freight").alias("seller_freight"),
         F.max("limit_date").alias("seller_limit_date"),
-        F.min_by("category", largest_first(F.col("rank_price"), F.col("category"))).alias(
-            "product_category_name"
-        ),
+        _main("category").alias("product_category_name"),
     )
     order_facts = orders_mart.select(
         "order_id", "distinct_sellers", "order_year_month", "order_purchase_timestamp",

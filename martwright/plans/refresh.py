@@ -25,7 +25,9 @@ def _path(folder: str, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}"
 
 
-def store_raw(raw: dict[str, DataFrame], folder: str) -> tuple[dict[str, DataFrame], dict[str, int]]:
+def store_raw(
+    raw: dict[str, DataFrame], folder: str
+) -> tuple[dict[str, DataFrame], dict[str, int]]:
     """Replaces the stored raw tables; returns them read back, and the rows written to each."""
     stored, rows = {}, {}
     for name, df in raw.items():

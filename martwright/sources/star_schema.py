@@ -76,7 +76,8 @@ def _orders(orders: DataFrame) -> DataFrame:
                 WHEN o_orderstatus = 'O' THEN 'delivered' ELSE 'shipped' END AS order_status""",
         "o_orderdate AS order_purchase_timestamp",
         """CASE WHEN o_orderkey % 101 <> 0
-                THEN o_orderdate + INTERVAL '1' HOUR * (o_orderkey % 30) END AS order_approved_at""",
+                THEN o_orderdate + INTERVAL '1' HOUR * (o_orderkey % 30) END
+           AS order_approved_at""",
         f"""CASE WHEN NOT (o_orderstatus = 'P' AND o_orderkey % 3 = 0)
                  THEN o_orderdate + {to_carrier} END AS order_delivered_carrier_date""",
         f"""CASE WHEN o_orderstatus <> 'P' THEN o_orderdate + {to_carrier} + {in_transit} END
