@@ -56,7 +56,7 @@ def _main(name: str) -> Column:
     return F.min_by(name, largest_first(F.col("rank_price"), F.col(name)))
 
 
-def build_items_agg(raw: Raw) -> DataFrame:
+def _item_totals(raw: Raw) -> DataFrame:
     """Item totals per order with the category and the seller that earned most.
 
     Categories, sellers and products are each counted at their own grain and then per order. The
@@ -100,20 +100,27 @@ def build_items_agg(raw: Raw) -> DataFrame:
         .groupBy("order_id")
         .agg(F.count("product_id").alias("distinct_products"))
     )
-    states = raw["raw_sellers"].select(
-        F.col("seller_id").alias("main_seller_id"), "seller_state"
-    )
     mixed = F.when(F.col("distinct_categories") > 1, 1).otherwise(0)
     return (
         sellers.join(categories, "order_id")
         .join(products, "order_id")
-        .join(states, "main_seller_id", "left")
-        .select(
-            "order_id", "order_item_count", "distinct_products", "distinct_sellers",
-            "distinct_categories", "total_price", "total_freight", "max_shipping_limit_date",
-            "product_category_name", "main_seller_id", "seller_state",
-            mixed.alias("is_mixed_category"),
-        )
+        .withColumn("is_mixed_category", mixed)
+    )
+
+
+def _with_seller_state(orders: DataFrame, raw: Raw) -> DataFrame:
+    states = raw["raw_sellers"].select(
+        F.col("seller_id").alias("main_seller_id"), "seller_state"
+    )
+    return orders.join(states, "main_seller_id", "left")
+
+
+def build_items_agg(raw: Raw) -> DataFrame:
+    """Item totals per order, with the state of the main seller."""
+    return _with_seller_state(_item_totals(raw), raw).select(
+        "order_id", "order_item_count", "distinct_products", "distinct_sellers",
+        "distinct_categories", "total_price", "total_freight", "max_shipping_limit_date",
+        "product_category_name", "main_seller_id", "seller_state", "is_mixed_category",
     )
 
 
@@ -147,14 +154,18 @@ def build_reviews_agg(raw: Raw) -> DataFrame:
 
 
 def build_orders_mart(raw: Raw) -> DataFrame:
-    """One row per order. Details are aggregated to orders before they are joined."""
+    """One row per order. Details are aggregated to orders before they are joined.
+
+    The details arrive partitioned by order. The seller state, whose key differs, is joined last,
+    so that this partitioning serves all three joins before.
+    """
     customers = raw["raw_customers"].select(
         "customer_id", "customer_unique_id", "customer_city", "customer_state"
     )
     joined = (
         raw["raw_orders"]
         .join(customers, "customer_id", "left")
-        .join(build_items_agg(raw), "order_id", "left")
+        .join(_item_totals(raw), "order_id", "left")
         .join(build_payments_agg(raw), "order_id", "left")
         .join(build_reviews_agg(raw), "order_id", "left")
     )
@@ -191,7 +202,7 @@ def build_orders_mart(raw: Raw) -> DataFrame:
         "transit_overrun_days": days_between(carrier, delivered)
         - days_between(limit_date, estimated),
     })
-    return mart.select(*schemas.mart_columns("orders_mart"))
+    return _with_seller_state(mart, raw).select(*schemas.mart_columns("orders_mart"))
 
 
 def build_order_seller(raw: Raw, orders_mart: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ def prepare_orders(mart: DataFrame) -> DataFrame:
         "is_delivered": 0,
         "is_cancelled": 0,
     }).withColumns({
-        "order_month": F.date_trunc("MONTH", "order_purchase_timestamp").cast("date"),
+        "order_month": F.trunc(F.to_date("order_purchase_timestamp"), "month"),
         "bad_review_label": F.when(bad == 1, L.BAD_REVIEW)
         .when(bad == 0, L.GOOD_REVIEW)
         .otherwise(L.NO_REVIEW),

@@ -120,24 +120,30 @@ def read_quantiles(
 def weighted_rank_correlation(
     cells: DataFrame, x: str, y: str, x_cuts: Sequence[float], y_cuts: Sequence[float]
 ) -> DataFrame:
-    """Spearman's rho with average ranks from rows (x, y, n): one row with n and rho."""
-    by_x = with_positions(cells, x, x_cuts).select(x, y, "n", F.col("average_rank").alias("rx"))
-    y_cells = cells.groupBy(y).agg(F.sum("n").alias("n"))
-    by_y = with_positions(y_cells, y, y_cuts).select(
-        y, F.col("average_rank").alias("ry"), F.col("group_rows").alias("total")
-    )
-    centred = by_x.join(by_y, y).select(
-        "n",
-        "total",
-        (F.col("rx") - (F.col("total") + 1) / F.lit(2.0)).alias("dx"),
-        (F.col("ry") - (F.col("total") + 1) / F.lit(2.0)).alias("dy"),
+    """Spearman's rho with average ranks from rows (x, y, n): one row with n and rho.
+
+    Ranks of x are summed per y before y is ranked, so a frequent y is merged map-side and the two
+    rankings need no join.
+    """
+    centred = F.col("average_rank") - (F.col("group_rows") + 1) / F.lit(2.0)
+    per_y = (
+        with_positions(cells, x, x_cuts)
+        .select(y, "n", centred.alias("dx"))
+        .groupBy(y)
+        .agg(
+            F.sum("n").alias("n"),
+            F.sum(F.expr("n * dx")).alias("sum_dx"),
+            F.sum(F.expr("n * dx * dx")).alias("sum_dx2"),
+        )
     )
-    sums = centred.agg(
+    sums = with_positions(per_y, y, y_cuts).withColumn("dy", centred).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
-        F.sum(F.col("n") * F.col("dx") * F.col("dy")).alias("sxy"),
-        F.sum(F.col("n") * F.col("dx") * F.col("dx")).alias("sxx"),
-        F.sum(F.col("n") * F.col("dy") * F.col("dy")).alias("syy"),
+        F.sum(F.expr("sum_dx * dy")).alias("sxy"),
+        F.sum("sum_dx2").alias("sxx"),
+        F.sum(F.expr("n * dy * dy")).alias("syy"),
+    )
+    return sums.selectExpr(
+        "n",
+        """CASE WHEN sxx > 0 AND syy > 0
+                THEN greatest(-1D, least(1D, sxy / (sqrt(sxx) * sqrt(syy)))) END AS rho""",
     )
-    scale = F.sqrt(F.col("sxx")) * F.sqrt(F.col("syy"))
-    rho = F.when(scale > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("sxy") / scale)))
-    return sums.select("n", rho.alias("rho"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,24 @@ def store_raw(
     return stored, rows
 
 
+def ready_raw(
+    spark: SparkSession, raw: dict[str, DataFrame], folder: str, names: Sequence[str]
+) -> dict[str, DataFrame]:
+    """The raw tables with the named ones stored, written first unless they are complete.
+
+    For raw tables that are joined together from a source: several marts then read the result
+    instead of repeating the join, and a skewed join can be split because nothing downstream relies
+    on its partitioning.
+    """
+    result = dict(raw)
+    for name in names:
+        path = _path(folder, name)
+        if not tables.is_complete(spark, path):
+            tables.write_table(raw[name], path)
+        result[name] = tables.read_table(spark, path, raw[name].schema)
+    return result
+
+
 def refresh_marts(raw: dict[str, DataFrame], folder: str) -> Marts:
     """Builds and replaces the three marts. Each reads the one before from storage, so a lost
     executor costs one step and no plan recomputes the whole lineage."""
