@@ -112,6 +112,24 @@ def test_partitions_prune_and_keep_their_type(spark, marts):
     assert "PartitionFilters: [isnotnull(order_year_month" in plan
 
 
+class _Session:
+    """The parts of a session that name the shared folder."""
+
+    def __init__(self, master, **conf):
+        context = {"master": master, "applicationId": f"app-{master}"}
+        self.sparkContext = type("Context", (), context)
+        self.conf = conf
+
+
+def test_shared_folder_comes_from_the_cluster():
+    named = {"spark.checkpoint.dir": "hdfs:///shared/"}
+    assert tables.shared_dir(_Session("yarn", **named)) == "hdfs:///shared"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        tables.shared_dir(_Session("spark://host:7077"))
+    local = _Session("local[2]")
+    assert tables.shared_dir(local) == tables.shared_dir(local)
+
+
 def test_results_as_csv(spark, marts, tmp_path):
     names = result_tables.save_results(marts, str(tmp_path))
     assert "metrics_summary" in names and "hypothesis_tests" in names
