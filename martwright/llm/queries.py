@@ -11,6 +11,7 @@ from martwright.llm import (
     packing,
     quality,
     simhash,
+    suffix_dedup,
     token_counts,
     token_files,
     url_filter,
@@ -46,6 +47,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_report(read_documents(spark, sf_dir))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(read_documents(spark, sf_dir))
 
@@ -80,6 +85,7 @@ def queries() -> dict:
         "op1_simhash": op1_simhash,
         "op2_url_filter": op2_url_filter,
         "op3_language_id": op3_language_id,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_fingerprints": op5_fingerprints,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_quality": op7_quality,
