@@ -54,19 +54,34 @@ class _Powers:
 _powers = _Powers()
 
 
-def _least(values: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of each run of width values, by runs of doubled length."""
+def _sliding(pick: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
+    """Minimum or maximum of each run of width values, by runs of doubled length."""
     n, out = 1, values
     while 2 * n <= width:
-        out = np.minimum(out[:-n], out[n:])
+        out = pick(out[:-n], out[n:])
         n *= 2
-    return np.minimum(out[: len(out) - (width - n)], out[width - n :]) if width > n else out
+    return pick(out[: len(out) - (width - n)], out[width - n :]) if width > n else out
 
 
-def snippets(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of the strings of a text: hash, first and last start of each run with one anchor."""
+def _several_places(grams, anchors, first, last, width: int) -> np.ndarray:
+    """Whether a run's anchor stands at more than one place in its snippet."""
+    around = np.zeros(width - 1, np.uint64)
+    places = np.flatnonzero(
+        _sliding(np.maximum, np.concatenate([around, anchors, around]), width) == grams
+    )
+    kinds, own = np.unique(anchors[first], return_inverse=True)
+    span = len(grams) + 1
+    keys = np.sort(np.searchsorted(kinds, grams[places]) * span + places)
+    low = np.searchsorted(keys, own * span + first)
+    return np.searchsorted(keys, own * span + last + width - 1, side="right") - low > 1
+
+
+def snippets(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """Anchors of the strings of a text: hash, first and last start of each run with one anchor, and
+    whether the anchor stands at several places in the run's snippet."""
     gram = min(_GRAM, length)
-    hashes, firsts, lasts = [], [], []
+    width = length - gram + 1
+    hashes, firsts, lasts, inner = [], [], [], []
     for begin in range(0, max(0, len(text) - length + 1), _SCAN):
         part = np.frombuffer(text, np.uint8)[begin : begin + _SCAN + length - 1]
         up, down = _powers.get(len(part))
@@ -74,16 +89,18 @@ def snippets(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray,
             sums = np.zeros(len(part) + 1, np.uint64)
             np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
             grams = mix((sums[gram:] - sums[:-gram]) * down[: len(part) - gram + 1])
-        anchors = _least(grams, length - gram + 1)
+        anchors = _sliding(np.minimum, grams, width)
         cuts = np.flatnonzero(anchors[1:] != anchors[:-1]) + 1
         first = np.concatenate([[0], cuts])
         hashes.append(anchors[first])
         firsts.append(first + begin)
-        lasts.append(np.append(cuts - 1, len(anchors) - 1) + begin)
+        last = np.append(cuts - 1, len(anchors) - 1)
+        lasts.append(last + begin)
+        inner.append(_several_places(grams, anchors, first, last, width))
     if not hashes:
         none = np.zeros(0, np.int64)
-        return none.view(np.uint64), none, none
-    return np.concatenate(hashes), np.concatenate(firsts), np.concatenate(lasts)
+        return none.view(np.uint64), none, none, none.astype(bool)
+    return tuple(map(np.concatenate, (hashes, firsts, lasts, inner)))
 
 
 def _keys(text: bytes, firsts: np.ndarray, lasts: np.ndarray, length: int) -> np.ndarray:
@@ -169,7 +186,7 @@ def _find_snippets(buckets: int, blocks: int, length: int):
         held, size = [], 0
         for batch in batches:
             for doc, text in _batch_texts(batch):
-                hashes, firsts, lasts = snippets(text, length)
+                hashes, firsts, lasts, _ = snippets(text, length)
                 if not len(hashes):
                     continue
                 table = np.zeros(len(hashes), _SNIPPET)
@@ -304,13 +321,12 @@ def _mark_copies(shards: int, length: int):
                 if known is None:
                     known = np.concatenate([np.zeros(0, _FOUND), *told])
                     known = known[np.argsort(known["key"])]
-                hashes, firsts, lasts = snippets(text, length)
+                hashes, firsts, lasts, inner = snippets(text, length)
                 if not len(hashes):
                     continue
                 keys = _keys(text, firsts, lasts, length)
                 copies, several = _standing(known, keys, doc, firsts)
-                # more strings than one place of an anchor explains: it repeats within the snippet
-                several |= ~copies & (lasts - firsts > length - min(_GRAM, length))
+                several |= inner & ~copies  # a string may stand twice within the snippet
                 if copies.any():
                     runs = np.zeros(int(copies.sum()), _RUN)
                     runs["first"], runs["last"] = firsts[copies], lasts[copies]
