@@ -9,6 +9,7 @@ from martwright.llm import (
     fingerprints,
     language_id,
     packing,
+    piece_codec,
     quality,
     simhash,
     suffix_dedup,
@@ -76,6 +77,18 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = piece_codec.encode_pieces(read_documents(spark, sf_dir))
+    decoded = piece_codec.decode_pieces(encoded)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.xxhash64("ids").alias("ids_hash"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.col("text")).alias("lossless"),
+    )
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_documents(spark, sf_dir), "piece_bpe_32k.model")
 
@@ -90,6 +103,7 @@ def queries() -> dict:
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_quality": op7_quality,
         "op8_token_files": op8_token_files,
+        "op9_sentencepiece": op9_sentencepiece,
         "op10_token_counts": op10_token_counts,
     }
 
