@@ -8,6 +8,7 @@ item then finds its place by its rank among the items of its length.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left, insort
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
@@ -22,8 +23,8 @@ from martwright.llm.common import stored
 CAPACITIES = (2048, 4096, 8192, 16384)
 #: Cost of a bin beyond its slots, in slots: padding, attention masks and scheduling of a sequence.
 BIN_COST = 64
-#: Items of one length and bucket that are ranked together, on average.
-_BUCKET_ROWS = 100_000
+#: Least items of the commonest length that a bucket is made for; the root of all items if larger.
+_BUCKET_ROWS = 500
 
 
 @dataclass(frozen=True)
@@ -151,12 +152,13 @@ def pack_documents(
     )
     size = F.least(F.lit(largest).cast("long"), F.col("tokens") - F.col("start"))
     items = stored(pieces.select("doc_id", "piece", "start", size.alias("length")))
-    n_items = items.count()
-    buckets = max(1, -(-n_items // _BUCKET_ROWS))
+    rows = items.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()
+    histogram = {r["length"]: r["n"] for r in rows}
+    plan = plan_bins(histogram, capacities, bin_cost)
+    bucket_rows = max(_BUCKET_ROWS, math.isqrt(sum(histogram.values())))
+    buckets = max(1, -(-max(histogram.values(), default=0) // bucket_rows))
     items = items.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
     counts = items.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    rows = items.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()
-    plan = plan_bins({r["length"]: r["n"] for r in rows}, capacities, bin_cost)
     shared = docs.sparkSession.sparkContext.broadcast(plan)
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(
         Window.unboundedPreceding, -1
