@@ -36,9 +36,10 @@ def _induce(text, smaller, starts, first, size):
 
 def _induce_arrays(text, smaller, starts, first, size):
     n = len(text)
+    text = text.astype(np.uint16)  # sorted by digits
     larger = ~smaller
     kinds = np.bincount(text[larger], minlength=size)  # a bucket holds its larger suffixes first
-    array = np.full(n, -1, np.int64)
+    array = np.full(n, -1, np.int32)
     heads = starts[:-1].copy()
 
     def put(places: np.ndarray, at: np.ndarray, step: int) -> None:

@@ -29,9 +29,9 @@ _GRAM = 32
 _SCAN = 1 << 20
 #: Anchors of a bucket in the search for repeated ones, and bytes of snippets of a shard.
 _BUCKET_BYTES = 24 << 20
-_SHARD_BYTES = 2 << 20
+_SHARD_BYTES = 1 << 19
 #: Snippets of one anchor that a suffix array takes; strings of larger anchors are grouped singly.
-LARGE_ANCHOR = 100_000
+LARGE_ANCHOR = 30_000
 _BASE = 0x9E3779B97F4A7C15
 _WORD = (1 << 64) - 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -150,13 +150,16 @@ def _first_by(table: np.ndarray, *names: str) -> np.ndarray:
     return table[new]
 
 
-def _batch_texts(batch: pa.RecordBatch):
-    return zip(batch["doc"].to_pylist(), batch["text"].to_pylist(), strict=True)
+def _cells(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    """Rows of a batch, a few at a time as Python values: a batch may hold long texts."""
+    for at in range(0, batch.num_rows, 64):
+        part = batch.slice(at, 64)
+        yield from zip(*[part[n].to_pylist() for n in names], strict=True)
 
 
 _BLOB = pa.schema([("place", pa.int32()), ("blob", pa.binary())])
 #: Bytes of records that a task holds before it merges equal ones.
-_HELD = 64 << 20
+_HELD = 16 << 20
 
 
 def _find_snippets(buckets: int, blocks: int, length: int):
@@ -185,7 +188,7 @@ def _find_snippets(buckets: int, blocks: int, length: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for doc, text in _batch_texts(batch):
+            for doc, text in _cells(batch, "doc", "text"):
                 hashes, firsts, lasts, _ = snippets(text, length)
                 if not len(hashes):
                     continue
@@ -311,8 +314,8 @@ def _mark_copies(shards: int, length: int):
                 for name, value in zip(rows, values, strict=True):
                     rows[name].append(value)
 
-            columns = [batch[c].to_pylist() for c in ("place", "blob", "doc", "text_hash", "text")]
-            for place, blob, doc, text_hash, text in zip(*columns, strict=True):
+            names = ("place", "blob", "doc", "text_hash", "text")
+            for place, blob, doc, text_hash, text in _cells(batch, *names):
                 if place != block:
                     block, told, known = place, [], None
                 if blob is not None:
@@ -380,8 +383,8 @@ def repeated_starts(
     later = (docs[own] != docs[own[leader]]) | (position != position[leader])
     own, at = own[later], at[later]
     order = np.lexsort([at, own])
-    cuts = np.searchsorted(own[order], np.arange(len(bodies) + 1))
-    return [at[order][a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    cuts = np.searchsorted(own[order], np.arange(1, len(bodies)))
+    return np.split(at[order], cuts)
 
 
 def _sort_shards(length: int):
@@ -407,8 +410,7 @@ def _sort_shards(length: int):
         names = ("doc", "text_hash", "start", "anchor", "body")
         held, size = {n: [] for n in names}, 0
         for batch in batches:
-            columns = [batch[n].to_pylist() for n in names]
-            for row in zip(*columns, strict=True):
+            for row in _cells(batch, *names):
                 if size > _SHARD_BYTES and row[3] != held["anchor"][-1]:
                     found = solve(held)
                     if found is not None:
@@ -454,8 +456,7 @@ def _split_strings(length: int):
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch[n].to_pylist() for n in ("doc", "text_hash", "start", "body")]
-            for doc, text_hash, start, body in zip(*columns, strict=True):
+            for doc, text_hash, start, body in _cells(batch, "doc", "text_hash", "start", "body"):
                 n = len(body) - length + 1
                 yield record_batch(
                     schema, string=[body[i : i + length] for i in range(n)], doc=[doc] * n,
@@ -551,18 +552,15 @@ def _cut(length: int, schema: pa.Schema):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, notes = None, {}
         for batch in batches:
-            places, blobs = batch["place"].to_pylist(), batch["blob"].to_pylist()
-            docs, hashes = batch["doc"].to_pylist(), batch["text_hash"].to_pylist()
-            texts = batch["text"].to_pylist()
             taken, out = [], {f.name: [] for f in schema if f.name != "row"}
-            for i, (place, blob, *key) in enumerate(zip(places, blobs, docs, hashes, strict=True)):
+            names = ("place", "blob", "text", "doc", "text_hash")
+            for i, (place, blob, text, *key) in enumerate(_cells(batch, *names)):
                 if place != block:
                     block, notes = place, {}
                 if blob is not None:
                     notes.setdefault(tuple(key), []).append(blob)
                     continue
-                text, removed, spans = texts[i], 0, 0
-                size = len(text)
+                size, removed, spans = len(text), 0, 0
                 runs = notes.get(tuple(key))
                 if runs:
                     gone = _covered(size, runs, length)
