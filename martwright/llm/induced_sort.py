@@ -79,8 +79,11 @@ def _induce_arrays(text, smaller, starts, first, size):
 
 
 def _induce_steps(text, smaller, starts, first):
-    symbols, is_smaller = text.tolist(), smaller.tolist()
-    n = len(symbols)
+    symbols, n = text.tolist(), len(text)
+    # whether the suffix before a place is larger or smaller than its own next one; the entry after
+    # the last serves places that are not filled yet, -1
+    after_larger = [False, *(~smaller[:-1]).tolist(), False]
+    after_smaller = [False, *smaller[:-1].tolist(), False]
     array = [-1] * n
     heads, tails = starts[:-1].tolist(), (starts[1:] - 1).tolist()
     at = tails.copy()
@@ -91,19 +94,20 @@ def _induce_steps(text, smaller, starts, first):
     symbol = symbols[n - 1]
     array[heads[symbol]] = n - 1
     heads[symbol] += 1
-    for i in range(n):
-        place = array[i] - 1
-        if place >= 0 and not is_smaller[place]:
+    for place in array:  # entries further on are filled on the way
+        if after_larger[place]:
+            place -= 1
             symbol = symbols[place]
-            array[heads[symbol]] = place
-            heads[symbol] += 1
-    at = tails
-    for i in range(n - 1, -1, -1):
-        place = array[i] - 1
-        if place >= 0 and is_smaller[place]:
+            head = heads[symbol]
+            array[head] = place
+            heads[symbol] = head + 1
+    for place in reversed(array):
+        if after_smaller[place]:
+            place -= 1
             symbol = symbols[place]
-            array[at[symbol]] = place
-            at[symbol] -= 1
+            tail = tails[symbol]
+            array[tail] = place
+            tails[symbol] = tail - 1
     return np.array(array, np.int64)
 
 

@@ -1,7 +1,7 @@
 """Repeated passages removed through suffix arrays of shards.
 
 A byte goes if it lies in a string of 100 bytes that starts earlier in the corpus as well. Every such
-string is known by its least hash of 32 bytes (its anchor), so all its occurrences meet in the shard
+string is known by its least hash of 50 bytes (its anchor), so all its occurrences meet in the shard
 of that hash, with the run of strings around them that have the same anchor (a snippet). Equal
 snippets are merged before, and only anchors with several different snippets need a shard's suffix
 array: it is induced over the snippets, and neighbours with a common prefix of 100 bytes are
@@ -24,11 +24,13 @@ from martwright.llm.common import mix, parts_for, record_batch, stored, text_byt
 from martwright.llm.induced_sort import permuted_prefixes, suffix_array
 
 LENGTH = 100
-_GRAM = 32
+#: Long enough that texts which share nothing longer hardly share an anchor.
+_GRAM = 50
 #: Strings that a text is scanned by at a time; snippets end there, what is removed does not change.
 _SCAN = 1 << 20
 #: Anchors of a bucket in the search for repeated ones, and bytes of snippets of a shard.
-_BUCKET_BYTES = 24 << 20
+_BUCKET_BYTES = 16 << 20
+_BLOCK_BYTES = 8 << 20
 _SHARD_BYTES = 1 << 19
 #: Snippets of one anchor that a suffix array takes; strings of larger anchors are grouped singly.
 LARGE_ANCHOR = 30_000
@@ -165,19 +167,18 @@ _HELD = 16 << 20
 def _find_snippets(buckets: int, blocks: int, length: int):
     """Records of all snippets by bucket of the anchor; equal ones of a block once per task's share."""
 
-    def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        table = np.concatenate(held)
+    def flush(held: list[np.ndarray], held_buckets: list) -> Iterator[pa.RecordBatch]:
+        table, bucket = np.concatenate(held), np.concatenate(held_buckets)
         block = _block(table["doc"], blocks)
         # equal snippets of one block are told the same later: the first one stands for them, with
         # a second record where there are more, so that a repeat is still seen as one
         order = np.lexsort([table["start"], table["doc"], block, table["key"]])
-        table, block = table[order], block[order]
+        table, block, bucket = table[order], block[order], bucket[order]
         same = np.zeros(len(table), bool)
         same[1:] = (table["key"][1:] == table["key"][:-1]) & (block[1:] == block[:-1])
         third = np.zeros(len(table), bool)
         third[1:] = same[1:] & same[:-1]
-        table = table[~third]
-        bucket = table["anchor"] % np.uint32(buckets)
+        table, bucket = table[~third], bucket[~third]
         order = np.lexsort([table["start"], table["doc"], bucket])
         table, bucket = table[order], bucket[order]
         cuts = np.searchsorted(bucket, np.arange(buckets + 1))
@@ -186,23 +187,25 @@ def _find_snippets(buckets: int, blocks: int, length: int):
         yield record_batch(_BLOB, place=filled.astype(np.int32), blob=blobs)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, held_buckets, size = [], [], 0
         for batch in batches:
             for doc, text in _cells(batch, "doc", "text"):
                 hashes, firsts, lasts, _ = snippets(text, length)
                 if not len(hashes):
                     continue
                 table = np.zeros(len(hashes), _SNIPPET)
+                # upper bits tell anchors of a bucket apart, lower ones choose the bucket
                 table["anchor"] = (hashes >> np.uint64(32)).astype(np.uint32)
+                held_buckets.append((hashes & np.uint64(0xFFFFFFFF)) % np.uint64(buckets))
                 table["key"] = _keys(text, firsts, lasts, length)
                 table["doc"], table["start"] = doc, firsts
                 held.append(table)
                 size += table.nbytes
                 if size > _HELD:
-                    yield from flush(held)
-                    held, size = [], 0
+                    yield from flush(held, held_buckets)
+                    held, held_buckets, size = [], [], 0
         if held:
-            yield from flush(held)
+            yield from flush(held, held_buckets)
 
     return find
 
@@ -502,7 +505,7 @@ def repeated_runs(
     """doc, text_hash and body: packed runs of starts of strings that start earlier as well."""
     rows = _rows(docs, id_column, text_column)
     volume = text_bytes(docs, text_column)
-    blocks = parts_for(volume)
+    blocks = parts_for(volume, _BLOCK_BYTES)
     buckets = parts_for(volume, _BUCKET_BYTES)
     shards = parts_for(volume, 8 * _SHARD_BYTES)
     found = rows.select("doc", "text").mapInArrow(
@@ -596,7 +599,7 @@ def remove_repeats(
     rows.
     """
     runs = repeated_runs(docs, length, id_column, text_column, large)
-    blocks = parts_for(text_bytes(docs, text_column))
+    blocks = parts_for(text_bytes(docs, text_column), _BLOCK_BYTES)
     row = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(0).alias("none"))
     rows = _rows(docs.select(row.alias("row"), F.col(id_column), F.col(text_column)),
                  id_column, text_column, "row")
