@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -30,6 +31,8 @@ HIDDEN = "\U0010fffd"
 DROPOUT, VARIANTS, SEED = 0.1, 8, 17
 _CUT = "\0"
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+#: Characters of texts whose distinct words are segmented together.
+_SLICE = 8 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Symbols that words are given room for at a time; longer words stand alone.
 _WIDTHS = (8, 16, 32, 64)
@@ -63,14 +66,14 @@ class PieceCodec:
         ]
         pairs.sort()
         self.pair_keys = np.array([k for k, _ in pairs], np.int64)
-        self.pair_ids = np.array([i for _, i in pairs], np.int64)
+        self.pair_ids = np.array([i for _, i in pairs], np.int32)
         order = np.lexsort([np.arange(n), -scores])
         rank = np.empty(n, np.int64)
         rank[order] = np.arange(n)
         # equal scores rank alike: the leftmost goes first
         ranked = scores[order]
         rank[order] = np.cumsum(np.append(0, ranked[1:] != ranked[:-1]))
-        self.pair_ranks = rank[self.pair_ids]
+        self.pair_ranks = rank[self.pair_ids].astype(np.int32)
         bodies = [
             bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(SPACE, " ").encode()
             if plain[i] else b"" for i, p in enumerate(pieces)
@@ -82,9 +85,9 @@ class PieceCodec:
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Row of the merge table of each pair, -1 if the model has none."""
         known = (left >= 0) & (right >= 0)
-        keys = np.where(known, left * self.size + right, -1)
+        keys = np.where(known, left.astype(np.int64) * self.size + right, -1)
         at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == keys, at, -1)
+        return np.where(self.pair_keys[at] == keys, at, -1).astype(np.int32)
 
     def _agendas(self, symbols: np.ndarray, keys: np.ndarray, dropout: float) -> np.ndarray:
         """Merges the symbols of all rows in step; -1 closes a row, below that are foreign characters.
@@ -94,10 +97,10 @@ class PieceCodec:
         n, width = symbols.shape
         if width < 2:
             return symbols
-        never = np.iinfo(np.int64).max
+        never = np.iinfo(np.int32).max
         limit = np.uint64(min(int(dropout * 2.0**64), (1 << 64) - 1))
         merges = self._pairs(symbols[:, :-1], symbols[:, 1:])
-        agenda = np.where(merges >= 0, self.pair_ranks[merges], never)
+        agenda = np.where(merges >= 0, self.pair_ranks[merges], np.int32(never))
         rows, out, step = np.arange(n), symbols, np.uint64(0)
         while len(rows):
             at = agenda.argmin(axis=1)
@@ -124,12 +127,12 @@ class PieceCodec:
             spot, new = at[~skipped], self.pair_ids[merged[~skipped]]
             columns = np.arange(width)
             moved = columns[None, :] + (columns[None, :] > spot[:, None])
-            own = np.concatenate([symbols[on], np.full((len(on), 1), -1)], axis=1)
+            own = np.concatenate([symbols[on], np.full((len(on), 1), -1, np.int32)], axis=1)
             own = np.take_along_axis(own, moved, axis=1)
             own[np.arange(len(on)), spot] = new
             symbols[on] = own
             for table, fill in ((agenda, never), (merges, -1)):
-                part = np.concatenate([table[on], np.full((len(on), 1), fill)], axis=1)
+                part = np.concatenate([table[on], np.full((len(on), 1), fill, np.int32)], axis=1)
                 table[on] = np.take_along_axis(part, moved[:, :-1], axis=1)
             for shift in (-1, 0):  # the two pairs of the new symbol are new candidates
                 pair = spot + shift
@@ -151,7 +154,9 @@ class PieceCodec:
         known = np.array([self.chars.get(int(k), -2 - int(k)) for k in kinds], np.int64)
         flat = known[which] if len(points) else points
         starts = np.cumsum(sizes) - sizes
-        each: list = [None] * len(words)
+        counts = np.zeros(len(words), np.int64)
+        places = np.zeros(len(words), np.int64)  # of each word's ids among the found ones
+        found, held = [], 0
         widest = int(sizes.max(initial=1))
         low = 0
         for width in [w for w in _WIDTHS if w < widest] + [widest]:
@@ -160,18 +165,15 @@ class PieceCodec:
             for part in np.array_split(rows, max(1, len(rows) * width // (1 << 21))):
                 if not len(part):
                     continue
-                symbols = np.full((len(part), width), -1, np.int64)
+                symbols = np.full((len(part), width), -1, np.int32)
                 symbols[np.arange(width) < sizes[part][:, None]] = flat[ranges(starts[part], sizes[part])]
                 done = self._agendas(symbols, keys[part], dropout)
                 kept = done != -1
-                for row, ids in zip(
-                    part.tolist(), np.split(done[kept], np.cumsum(kept.sum(axis=1))[:-1]), strict=True
-                ):
-                    each[row] = ids
-        empty = np.zeros(0, np.int64)
-        each = [e if e is not None else empty for e in each]
-        counts = np.fromiter(map(len, each), np.int64, len(each))
-        ids = np.concatenate(each) if each else empty
+                counts[part] = kept.sum(axis=1)
+                places[part] = held + np.cumsum(counts[part]) - counts[part]
+                found.append(done[kept])
+                held += len(found[-1])
+        ids = np.concatenate(found)[ranges(places, counts)] if found else np.zeros(0, np.int32)
         return self._with_bytes(ids, counts)
 
     def _with_bytes(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,7 +208,7 @@ class PieceCodec:
             base = rows.astype(np.int64).view(np.uint64) + np.uint64(seed) * _STEP
             place = (np.arange(len(owner)) - first[owner]).astype(np.uint64)
             variant = (mix(mix(base)[owner] + place) % np.uint64(variants)).astype(np.int64)
-        combined, which = np.unique(index.astype(np.int64) * variants + variant, return_inverse=True)
+        which, combined = pd.factorize(index.astype(np.int64) * variants + variant)
         own = combined // variants
         hashes = _word_hashes(lists)
         with np.errstate(over="ignore"):
@@ -310,7 +312,7 @@ def encode_pieces(
         codec = worker_codec(file)
         for batch in batches:
             texts, keys = batch["text"].to_pylist(), batch["key"].to_numpy()
-            for part in slices(texts):
+            for part in slices(texts, _SLICE):
                 ids, counts = codec.encode(texts[part], keys[part], seed, dropout, variants)
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 own = batch.slice(part.start, part.stop - part.start)
