@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from martwright.llm import language_id, packing, quality, simhash, suffix_dedup
-from martwright.llm.common import read_documents
+from martwright.llm.common import read_documents, send_package
 from martwright.llm.queries import learned_languages
 from martwright.sources.tables import shared_dir
 
@@ -43,12 +43,20 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
+def _sent(stage):
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        send_package(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("language_id", known_language),
-    ("quality", good_quality),
-    ("simhash", first_of_near_duplicates),
-    ("suffix_dedup", without_repeated_passages),
-    ("best_fit_packing", packed),
+    ("language_id", _sent(known_language)),
+    ("quality", _sent(good_quality)),
+    ("simhash", _sent(first_of_near_duplicates)),
+    ("suffix_dedup", _sent(without_repeated_passages)),
+    ("best_fit_packing", _sent(packed)),
 ]
 
 #: Contexts, trees and packing are beyond SQL; tests hold the stages against plain versions.

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+import tempfile
+import zipfile
 from collections.abc import Iterator, Sequence
+from pathlib import Path
 from typing import Any
 
 import numpy as np
@@ -19,7 +22,25 @@ SLICE_BYTES = 4 << 20
 PART_BYTES = 16 << 20
 
 
+_sent: set[str] = set()
+
+
+def send_package(spark: SparkSession) -> None:
+    """Executors need not have this package installed: Spark sends it to them, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _sent:
+        return
+    root = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="package-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(target))
+    _sent.add(context.applicationId)
+
+
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
+    send_package(spark)
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
