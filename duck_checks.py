@@ -861,7 +861,7 @@ def hypothesis_table() -> str:
          ("rate_first", "NULL", "NULL", "rate_last", "NULL", "NULL"), "z", "rho",
          tail("normal", "z", ""), months),
         ("H6: внутри категории продавцы различаются по доле плохих отзывов",
-         "'single-seller заказы с отзывом, фокусная категория ' || product_category_name "
+         "'заказы с отзывом, фокусная категория ' || product_category_name "
          "|| ' (>= 30 заказов на продавца)'", "n_sellers", "category_bad_review_rate", *chi,
          ("n_sellers", "NULL", "NULL", "category_bad_review_rate", "min_seller_bad_review_rate",
           "max_seller_bad_review_rate"), "statistic", "effect_size", "known_p", focal),

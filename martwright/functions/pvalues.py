@@ -36,7 +36,7 @@ def _continued_fraction(terms) -> float:
         numerator = (b + a / numerator) or _TINY
         step = numerator * denominator
         value *= step
-        if abs(step - 1.0) < _EPSILON * 4:
+        if abs(step - 1.0) < _EPSILON * 4 or not math.isfinite(value):
             break
     return value
 
@@ -68,21 +68,41 @@ def upper_gamma(a: float, x: float) -> float:
 def chi_square_tail(statistic: float, dof: float) -> float:
     if dof <= 0:
         return 1.0
+    if math.isinf(statistic):
+        return 0.0
     if dof == 1:
         return math.erfc(math.sqrt(max(statistic, 0.0) / 2.0))
     return upper_gamma(dof / 2.0, statistic / 2.0)
 
 
-def _beta_tail(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function I_x(a, b)."""
-    if x <= 0.0 or x >= 1.0:
+def _stirling_rest(z: float) -> float:
+    """What lgamma(z) adds to (z - 1/2) log z - z + log(2 pi) / 2, for z of 20 and more."""
+    w = 1.0 / (z * z)
+    return (1.0 / 12.0 - w * (1.0 / 360.0 - w * (1.0 / 1260.0 - w / 1680.0))) / z
+
+
+def _log_gamma_step(a: float, b: float) -> float:
+    """lgamma(a + b) - lgamma(a) for a small b, without the cancellation of two large numbers."""
+    rest = 0.0
+    while a < 20.0:
+        rest += math.log(a / (a + b))
+        a += 1.0
+    return (
+        rest + (a - 0.5) * math.log1p(b / a) + b * math.log(a + b) - b
+        + _stirling_rest(a + b) - _stirling_rest(a)
+    )
+
+
+def _beta_tail(a: float, b: float, x: float, y: float) -> float:
+    """Regularised incomplete beta function I_x(a, b), y being 1 - x."""
+    if x <= 0.0 or y <= 0.0:
         return 0.0 if x <= 0.0 else 1.0
     if x > (a + 1.0) / (a + b + 2.0):
-        return 1.0 - _beta_tail(b, a, 1.0 - x)
-    front = math.exp(
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-        + a * math.log(x) + b * math.log1p(-x)
-    )
+        return 1.0 - _beta_tail(b, a, y, x)
+    large, small = max(a, b), min(a, b)
+    log_x = math.log(x) if x < y else math.log1p(-y)
+    log_y = math.log(y) if y < x else math.log1p(-x)
+    front = math.exp(_log_gamma_step(large, small) - math.lgamma(small) + a * log_x + b * log_y)
 
     def terms():
         yield 0.0, 1.0
@@ -98,12 +118,7 @@ def _beta_tail(a: float, b: float, x: float) -> float:
 def student_two_sided(t: float, dof: float) -> float:
     if math.isinf(t):
         return 0.0
-    if dof > 1e6:
-        # Wallace's normal approximation: far below rounding error at this many observations,
-        # and free of the cancellation of lgamma at huge arguments.
-        z = math.sqrt(dof * math.log1p(t * t / dof)) * (8.0 * dof + 1.0) / (8.0 * dof + 3.0)
-        return normal_two_sided(z)
-    return _beta_tail(dof / 2.0, 0.5, dof / (dof + t * t))
+    return _beta_tail(dof / 2.0, 0.5, dof / (dof + t * t), t * t / (dof + t * t))
 
 
 _TAILS = {

@@ -27,6 +27,8 @@ DELIVERED, NOT_DELIVERED = "Доставлен", "Не доставлен"
 EFFECT_EDGES = (0.1, 0.3, 0.5)
 EFFECT_SIZES = ("незначимый", "слабый", "умеренный", "сильный")
 EFFECT_UNDEFINED = "не определена"
+# Orders that the seller test takes, with and without those of several sellers.
+ANY_SELLER, SINGLE_SELLER = "заказы", "single-seller заказы"
 ABOVE_AVERAGE, BELOW_AVERAGE = "выше среднего", "ниже среднего"
 
 # Pieces of the interpretation sentence.
@@ -79,7 +81,7 @@ HYPOTHESES = {
     ),
     "H6": (
         "H6: внутри категории продавцы различаются по доле плохих отзывов",
-        "single-seller заказы с отзывом, фокусная категория %s (>= 30 заказов на продавца)",
+        "%s с отзывом, фокусная категория %s (>= %s заказов на продавца)",
         "n_sellers",
         "category_bad_review_rate",
     ),

@@ -120,9 +120,14 @@ def _freight_test(mart: DataFrame) -> DataFrame:
     )
 
 
-def _focal_category_test(order_seller: DataFrame, **seller_options) -> DataFrame:
+def _focal_category_test(
+    order_seller: DataFrame, min_seller_orders: int = 30, single_seller_only: bool = True, **options
+) -> DataFrame:
     """The seller test of the category with most observations. Its table is rounded first."""
-    tests = inference.seller_heterogeneity(order_seller, **seller_options)
+    tests = inference.seller_heterogeneity(
+        order_seller, min_seller_orders, single_seller_only=single_seller_only, **options
+    )
+    population = L.SINGLE_SELLER if single_seller_only else L.ANY_SELLER
     focal = tests.orderBy(F.desc("n_observations"), "product_category_name").limit(1)
     rounded = focal.withColumns({
         name: F.bround(name, 6) for name, kind in focal.dtypes if kind == "double"
@@ -133,7 +138,8 @@ def _focal_category_test(order_seller: DataFrame, **seller_options) -> DataFrame
         ("n_sellers", *_NO_INTERVAL),
         ("category_bad_review_rate", "min_seller_bad_review_rate", "max_seller_bad_review_rate"),
         "statistic", (L.CRAMERS_V, "effect_size"), ("known", "p_value", "0"),
-        f"format_string({_text(L.HYPOTHESES['H6'][1])}, product_category_name)",
+        f"format_string({_text(L.HYPOTHESES['H6'][1])}, {_text(population)}, "
+        f"product_category_name, '{min_seller_orders}')",
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from martwright import schemas
 from martwright.operators import marts as build
 from martwright.sources import tables
+from martwright.sources.csv_raw import duplicate_keys
 
 PARTITION = "order_year_month"
 
@@ -58,7 +59,12 @@ def ready_raw(
 
 def refresh_marts(raw: dict[str, DataFrame], folder: str) -> Marts:
     """Builds and replaces the three marts. Each reads the one before from storage, so a lost
-    executor costs one step and no plan recomputes the whole lineage."""
+    executor costs one step and no plan recomputes the whole lineage. Repeated keys raise: a join
+    would multiply rows, and with them every count."""
+    repeated = duplicate_keys(raw).limit(20).collect()
+    if repeated:
+        found = ", ".join(f"{r.table} {r.key} ({r.rows} rows)" for r in repeated)
+        raise ValueError(f"keys that occur more than once: {found}")
     spark = raw["raw_orders"].sparkSession
     rows = {}
 

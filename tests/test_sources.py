@@ -161,3 +161,13 @@ def test_text_and_numeric_ids_give_the_same_marts(spark, small):
     one = build.build_orders_mart(raw).select(F.col("order_id").cast("string"), *columns)
     other = build.build_orders_mart(text).select("order_id", *columns)
     assert one.exceptAll(other).count() == 0 and other.count() == one.count()
+
+
+def test_refresh_names_repeated_keys(spark, small, tmp_path):
+    from martwright.plans.refresh import refresh_marts
+    from martwright.sources.star_schema import read_star_schema
+
+    raw = dict(read_star_schema(spark, small))
+    raw["raw_customers"] = raw["raw_customers"].unionByName(raw["raw_customers"].limit(1))
+    with pytest.raises(ValueError, match="raw_customers .* 2 rows"):
+        refresh_marts(raw, str(tmp_path / "marts"))

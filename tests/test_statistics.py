@@ -344,3 +344,15 @@ def test_exact_counts_survive_large_numbers(spark):
         for _, n, h in big
     )
     assert row.statistic == pytest.approx(float(exact), rel=1e-6)
+
+
+def test_student_tail_is_one_formula_for_every_dof():
+    for t in (1e-9, 0.5, 3.0):
+        values = [pvalues.student_two_sided(t, dof) for dof in (999_999, 1_000_000, 1_000_001)]
+        assert max(values) - min(values) < 1e-10
+        assert abs((values[0] + values[2]) / 2 - values[1]) < 1e-12
+
+
+def test_tails_of_infinite_statistics_are_zero():
+    assert pvalues.chi_square_tail(math.inf, 5) == 0
+    assert pvalues.student_two_sided(math.inf, 5) == 0
