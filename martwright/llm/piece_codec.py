@@ -11,6 +11,7 @@ library's own segmentation.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ DROPOUT, VARIANTS, SEED = 0.1, 8, 17
 _CUT = "\0"
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Characters of texts whose distinct words are segmented together.
-_SLICE = 8 << 20
+_SLICE = 4 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Symbols that words are given room for at a time; longer words stand alone.
 _WIDTHS = (8, 16, 32, 64)
@@ -57,7 +58,11 @@ class PieceCodec:
         if len(set(self.byte_ids.tolist())) < 256:
             raise ValueError("the model has no byte pieces, so it cannot hold every text")
         ids = {p: i for i, p in enumerate(pieces) if plain[i]}
-        self.chars = {ord(p): i for p, i in ids.items() if len(p) == 1}
+        # a character without a piece is kept as -2 minus its code point
+        self.char_ids = -2 - np.arange(sys.maxunicode + 1, dtype=np.int32)
+        for piece, i in ids.items():
+            if len(piece) == 1:
+                self.char_ids[ord(piece)] = i
         pairs = [
             (ids[p[:k]] * n + ids[p[k:]], i)
             for p, i in ids.items()
@@ -149,10 +154,7 @@ class PieceCodec:
         """Ids of all words in a row, and how many each has."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         points = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
-        kinds, which = np.unique(points, return_inverse=True)
-        # a character without a piece is kept as -2 minus its code point
-        known = np.array([self.chars.get(int(k), -2 - int(k)) for k in kinds], np.int64)
-        flat = known[which] if len(points) else points
+        flat = self.char_ids[points]
         starts = np.cumsum(sizes) - sizes
         counts = np.zeros(len(words), np.int64)
         places = np.zeros(len(words), np.int64)  # of each word's ids among the found ones
