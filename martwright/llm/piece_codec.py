@@ -34,6 +34,8 @@ _CUT = "\0"
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Characters of texts whose distinct words are segmented together.
 _SLICE = 4 << 20
+#: Ids that are decoded together.
+_DECODED = 1 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Symbols that words are given room for at a time; longer words stand alone.
 _WIDTHS = (8, 16, 32, 64)
@@ -341,7 +343,10 @@ def decode_pieces(
         for batch in batches:
             lists = pc.fill_null(pc.list_value_length(batch[ids_column]), 0).to_numpy()
             ids = pc.list_flatten(batch[ids_column]).to_numpy()
-            texts = [_show(t) for t in codec.decode(ids, lists)]
+            ends, texts = np.cumsum(lists), []
+            for part in slices([range(n) for n in lists.tolist()], _DECODED):
+                first, last = ends[part.start] - lists[part.start], ends[part.stop - 1]
+                texts += map(_show, codec.decode(ids[first:last], lists[part]))
             yield pa.record_batch([*batch.columns, pa.array(texts, pa.string())], schema=schema)
 
     return rows.mapInArrow(decode, out)
