@@ -130,7 +130,9 @@ VIEWS: dict[str, str] = {
     "i_totals": """
         SELECT order_id, count(*) AS items, count(DISTINCT product_id) AS products,
                count(DISTINCT seller_id) AS sellers, count(DISTINCT category) AS categories,
-               sum(price) AS price, sum(freight) AS freight, max(limit_date) AS limit_date
+               CAST(sum(CAST(price AS DECIMAL(18,4))) AS DOUBLE) AS price,
+               CAST(sum(CAST(freight AS DECIMAL(18,4))) AS DOUBLE) AS freight,
+               max(limit_date) AS limit_date
         FROM r_items GROUP BY order_id""",
     "i_category": """
         SELECT order_id, first(category ORDER BY worth DESC, category) AS category FROM (
@@ -293,7 +295,7 @@ VIEWS: dict[str, str] = {
           AND CAST(order_purchase_timestamp AS DATE) BETWEEN DATE '1996-03-05' AND DATE '2000-09-20'
         """,
     "pairs": """
-        SELECT round(freight_share, 9) AS x, review_score AS y FROM om
+        SELECT freight_share AS x, review_score AS y FROM om
         WHERE freight_share IS NOT NULL AND review_score IS NOT NULL""",
 }
 
@@ -420,7 +422,7 @@ def freight_quantile_bins() -> str:
     short = "round({0}, CAST(2 - floor(log10({0})) AS INTEGER))"
     lower = "CASE WHEN bin_id = 0 OR lo = 0 THEN 0 ELSE " + short.format("lo") + " END"
     return f"""
-        WITH d AS (SELECT * REPLACE (round(freight_share, 9) AS freight_share) FROM om
+        WITH d AS (SELECT * FROM om
                    WHERE review_score IS NOT NULL AND freight_share >= 0),
         kept AS (SELECT * FROM d WHERE freight_share <= (
             SELECT quantile_cont(freight_share, 0.98) FROM d)),
@@ -894,15 +896,12 @@ def slice_values() -> str:
 
 
 def lane_square() -> str:
-    axis = [f"NATION_{i}" for i in range(5)]
-    rows = ", ".join(f"('{state}')" for state in axis)
-    cells = ", ".join(
-        num(f"max(CASE WHEN customer_state = '{state}' THEN delay_rate END)", state)
-        for state in axis
-    )
-    return f"""SELECT a.seller_state, {cells}
-               FROM (VALUES {rows}) a(seller_state) LEFT JOIN lanes USING (seller_state)
-               GROUP BY a.seller_state"""
+    measured = nums(delay_rate="delay_rate", avg_delivery_time_days="avg_delivery_time_days")
+    return f"""WITH axis AS (SELECT seller_state AS state FROM lanes
+                             UNION SELECT customer_state FROM lanes)
+               SELECT a.state AS seller_state, b.state AS customer_state, orders, {measured}
+               FROM axis a CROSS JOIN axis b LEFT JOIN lanes
+                    ON a.state = lanes.seller_state AND b.state = lanes.customer_state"""
 
 
 ROUNDED_MART = {

@@ -45,6 +45,11 @@ def exact_money(amount: Column) -> Column:
     return F.rint(amount * 10_000).cast("long")
 
 
+def as_money(exact: Column) -> Column:
+    """Whole ten-thousandths as the double nearest to the amount."""
+    return exact.cast("double") / F.lit(10_000.0)
+
+
 def largest_first(amount: Column, name: Column) -> Column:
     """Ordering for min_by: biggest amount, then the first name; unknown amounts come last."""
     return F.struct(amount.isNull(), -amount, name)
@@ -78,14 +83,8 @@ def delay_stage() -> Column:
     return F.when(seller & transit, 2).when(seller, 0).when(transit, 1).otherwise(3)
 
 
-def comparable_share() -> Column:
-    """Freight share for binning and ranking. Nine places drop the noise of summed doubles, so
-    equal shares tie and bin alike whatever the order of addition was."""
-    return F.round("freight_share", 9)
-
-
 def freight_bin() -> Column:
-    share = comparable_share()
+    share = F.col("freight_share")
     return F.when(
         share > L.FREIGHT_EDGES[0], right_closed_bin(share, L.FREIGHT_EDGES[1:])
     )

@@ -79,12 +79,13 @@ def delay_stages(mart: DataFrame) -> DataFrame:
     )
 
 
-def stage_decomposition(rows: DataFrame) -> DataFrame:
+def stage_decomposition(rows: DataFrame, one_per_order: bool = False) -> DataFrame:
     """Mean seller and transport days by delay group, from orders or order-and-seller rows.
 
     Delivered orders whose delay is unknown count as not delayed. An order occurs once per seller
-    in order-and-seller rows, so orders are counted as distinct ids.
+    in order-and-seller rows, so orders are counted as distinct ids, unless there is one row each.
     """
+    orders = F.count("*") if one_per_order else F.countDistinct("order_id")
     late = F.coalesce((F.col("is_delayed") == 1).cast("int"), F.lit(0))
     return (
         rows.where(F.col("is_delivered") == 1)
@@ -93,7 +94,7 @@ def stage_decomposition(rows: DataFrame) -> DataFrame:
         .agg(
             F.avg("handover_time_days").alias("handover"),
             F.avg("transit_time_days").alias("transit"),
-            F.countDistinct("order_id").alias("orders"),
+            orders.alias("orders"),
         )
         .select(
             "group_id",

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from martwright import labels as L
 from martwright.functions.columns import (
-    comparable_share,
     correlation_interval,
     delay_bucket,
     effect_magnitude,
@@ -283,8 +282,7 @@ def spearman(
 
 def freight_score_test(mart: DataFrame, freight_cuts: Sequence[float] | None = None) -> DataFrame:
     """Freight share against score; needs more than ten orders."""
-    shares = mart.withColumn("freight_share", comparable_share())
-    tested = spearman(shares, "freight_share", "review_score", freight_cuts, ())
+    tested = spearman(mart, "freight_share", "review_score", freight_cuts, ())
     return tested.where(F.col("n_observations") > 10)
 
 

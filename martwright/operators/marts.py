@@ -1,17 +1,19 @@
 """Order, order-and-seller, and seller marts.
 
+Items are merged once, to lines of (order, seller, product); both item marts roll up from these.
 Every step that argmaxes or counts distinct names first aggregates at the grain of that name, so
-a hot order or seller is combined before each shuffle and never gathered as a group.
+a hot order or seller is never gathered as a group.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from martwright import labels as L
 from martwright import schemas
 from martwright.functions.columns import (
+    as_money,
     days_between,
     exact_money,
     flag,
@@ -35,76 +37,77 @@ def product_categories(products: DataFrame, translation: DataFrame) -> DataFrame
     )
 
 
-def items(raw: Raw) -> DataFrame:
-    return raw["raw_order_items"].select(
-        "order_id", "product_id", "seller_id", "shipping_limit_date",
-        F.col("price").cast("double").alias("price"),
-        exact_money(F.col("price")).alias("rank_price"),
-        F.col("freight_value").cast("double").alias("freight_value"),
-    )
-
+def order_lines(raw: Raw) -> DataFrame:
+    """One row per order, seller and product with its category: what both marts are rolled up from.
 
-def categorised_items(raw: Raw) -> DataFrame:
+    Repeated items of an order are merged before the product join, so a huge order is at most its
+    distinct (seller, product) pairs afterwards. Money stays in whole ten-thousandths.
+    """
+    merged = (
+        raw["raw_order_items"]
+        .groupBy("order_id", "seller_id", "product_id")
+        .agg(
+            F.count("*").alias("items"),
+            F.sum(exact_money(F.col("price").cast("double"))).alias("price"),
+            F.sum(exact_money(F.col("freight_value").cast("double"))).alias("freight"),
+            F.max("shipping_limit_date").alias("limit_date"),
+        )
+    )
     categories = product_categories(raw["raw_products"], raw["raw_category_translation"])
-    return items(raw).join(categories, "product_id", "left").withColumn(
+    return merged.join(categories, "product_id", "left").withColumn(
         "category", F.coalesce("category", F.lit(L.MISSING_PRODUCT_CATEGORY))
     )
 
 
-def _main(name: str) -> Column:
-    """The name that earned most in an order."""
-    return F.min_by(name, largest_first(F.col("rank_price"), F.col(name)))
+def _sums() -> list[Column]:
+    added = [F.sum(name).alias(name) for name in ("items", "price", "freight")]
+    return [*added, F.max("limit_date").alias("limit_date")]
+
 
+def _main_category() -> Column:
+    """The category that earned most."""
+    return F.min_by("category", largest_first(F.col("price"), F.col("category")))
 
-def _item_totals(raw: Raw) -> DataFrame:
+
+def _item_totals(lines: DataFrame) -> DataFrame:
     """Item totals per order with the category and the seller that earned most.
 
-    Categories, sellers and products are each counted at their own grain and then per order. The
-    three parts read few columns each, only one needs the product join, and their last shuffle is
-    by order, so joining them moves no rows again.
+    Lines move once, by order. What a seller earned is added within that partitioning, then lines
+    roll up to products, categories and orders without another exchange.
     """
-    categories = (
-        categorised_items(raw)
-        .groupBy("order_id", "category")
-        .agg(F.sum("rank_price").alias("rank_price"))
-        .groupBy("order_id")
-        .agg(
-            F.count("category").alias("distinct_categories"),
-            _main("category").alias("product_category_name"),
-        )
+    seller = (
+        Window.partitionBy("order_id", "seller_id")
+        .orderBy("product_id")
+        .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     )
-    sellers = (
-        items(raw)
-        .groupBy("order_id", "seller_id")
-        .agg(
-            F.count("*").alias("items"),
-            F.sum("price").alias("price"),
-            F.sum("rank_price").alias("rank_price"),
-            F.sum("freight_value").alias("freight"),
-            F.max("shipping_limit_date").alias("limit_date"),
-        )
+    first = F.row_number().over(
+        Window.partitionBy("order_id", "seller_id").orderBy("product_id")
+    ) == 1
+    earned = lines.repartition("order_id").withColumns({
+        "best": largest_first(F.sum("price").over(seller), F.col("seller_id")),
+        "sellers": (first & F.col("seller_id").isNotNull()).cast("int"),
+    })
+    rolled = [*_sums(), F.min("best").alias("best"), F.sum("sellers").alias("sellers")]
+    return (
+        earned.groupBy("order_id", "category", "product_id")
+        .agg(*rolled)
+        .groupBy("order_id", "category")
+        .agg(*rolled, F.count("product_id").alias("products"))
         .groupBy("order_id")
         .agg(
             F.sum("items").alias("order_item_count"),
-            F.count("seller_id").alias("distinct_sellers"),
-            F.sum("price").alias("total_price"),
-            F.sum("freight").alias("total_freight"),
+            F.sum("products").alias("distinct_products"),
+            F.sum("sellers").alias("distinct_sellers"),
+            F.count("category").alias("distinct_categories"),
+            as_money(F.sum("price")).alias("total_price"),
+            as_money(F.sum("freight")).alias("total_freight"),
             F.max("limit_date").alias("max_shipping_limit_date"),
-            _main("seller_id").alias("main_seller_id"),
+            _main_category().alias("product_category_name"),
+            F.min("best")["seller_id"].alias("main_seller_id"),
+        )
+        .withColumn(
+            "is_mixed_category", F.when(F.col("distinct_categories") > 1, 1).otherwise(0)
         )
-    )
-    products = (
-        items(raw)
-        .groupBy("order_id", "product_id")
-        .agg(F.count("*").alias("items"))
-        .groupBy("order_id")
-        .agg(F.count("product_id").alias("distinct_products"))
-    )
-    mixed = F.when(F.col("distinct_categories") > 1, 1).otherwise(0)
-    return (
-        sellers.join(categories, "order_id")
-        .join(products, "order_id")
-        .withColumn("is_mixed_category", mixed)
     )
 
 
@@ -117,7 +120,7 @@ def _with_seller_state(orders: DataFrame, raw: Raw) -> DataFrame:
 
 def build_items_agg(raw: Raw) -> DataFrame:
     """Item totals per order, with the state of the main seller."""
-    return _with_seller_state(_item_totals(raw), raw).select(
+    return _with_seller_state(_item_totals(order_lines(raw)), raw).select(
         "order_id", "order_item_count", "distinct_products", "distinct_sellers",
         "distinct_categories", "total_price", "total_freight", "max_shipping_limit_date",
         "product_category_name", "main_seller_id", "seller_state", "is_mixed_category",
@@ -153,8 +156,9 @@ def build_reviews_agg(raw: Raw) -> DataFrame:
     )
 
 
-def build_orders_mart(raw: Raw) -> DataFrame:
-    """One row per order. Details are aggregated to orders before they are joined.
+def build_orders_mart(raw: Raw, lines: DataFrame | None = None) -> DataFrame:
+    """One row per order. Details are aggregated to orders before they are joined; lines are the
+    stored order lines, derived from the raw items if absent.
 
     The details arrive partitioned by order. The seller state, whose key differs, is joined last,
     so that this partitioning serves all three joins before.
@@ -165,7 +169,7 @@ def build_orders_mart(raw: Raw) -> DataFrame:
     joined = (
         raw["raw_orders"]
         .join(customers, "customer_id", "left")
-        .join(_item_totals(raw), "order_id", "left")
+        .join(_item_totals(order_lines(raw) if lines is None else lines), "order_id", "left")
         .join(build_payments_agg(raw), "order_id", "left")
         .join(build_reviews_agg(raw), "order_id", "left")
     )
@@ -205,21 +209,23 @@ def build_orders_mart(raw: Raw) -> DataFrame:
     return _with_seller_state(mart, raw).select(*schemas.mart_columns("orders_mart"))
 
 
-def build_order_seller(raw: Raw, orders_mart: DataFrame) -> DataFrame:
+def build_order_seller(
+    raw: Raw, orders_mart: DataFrame, lines: DataFrame | None = None
+) -> DataFrame:
     """One row per order and seller; order-level facts repeat on each seller of the order."""
-    by_category = categorised_items(raw).groupBy("order_id", "seller_id", "category").agg(
-        F.count("*").alias("items"),
-        F.sum("price").alias("price"),
-        F.sum("rank_price").alias("rank_price"),
-        F.sum("freight_value").alias("freight"),
-        F.max("shipping_limit_date").alias("limit_date"),
-    )
-    totals = by_category.groupBy("order_id", "seller_id").agg(
-        F.sum("items").alias("seller_item_count"),
-        F.sum("price").alias("seller_price"),
-        F.sum("freight").alias("seller_freight"),
-        F.max("limit_date").alias("seller_limit_date"),
-        _main("category").alias("product_category_name"),
+    lines = order_lines(raw) if lines is None else lines
+    totals = (
+        lines.repartition("order_id")
+        .groupBy("order_id", "seller_id", "category")
+        .agg(*_sums())
+        .groupBy("order_id", "seller_id")
+        .agg(
+            F.sum("items").alias("seller_item_count"),
+            as_money(F.sum("price")).alias("seller_price"),
+            as_money(F.sum("freight")).alias("seller_freight"),
+            F.max("limit_date").alias("seller_limit_date"),
+            _main_category().alias("product_category_name"),
+        )
     )
     order_facts = orders_mart.select(
         "order_id", "distinct_sellers", "order_year_month", "order_purchase_timestamp",
@@ -229,8 +235,8 @@ def build_order_seller(raw: Raw, orders_mart: DataFrame) -> DataFrame:
     )
     sellers = raw["raw_sellers"].select("seller_id", "seller_state", "seller_city")
     return (
-        totals.join(sellers, "seller_id", "left")
-        .join(order_facts, "order_id", "left")
+        totals.join(order_facts, "order_id", "left")
+        .join(sellers, "seller_id", "left")
         .withColumns({
             "is_single_seller_order": F.when(F.col("distinct_sellers") == 1, 1).otherwise(0),
             "is_late_handover": flag(

@@ -16,13 +16,15 @@ from pyspark.sql import functions as F
 
 
 def cut_points(df: DataFrame, value: str, buckets: int | None = None) -> list[float]:
-    """Approximate quantiles that split the values evenly. Runs one pass; returns few numbers."""
+    """Approximate quantiles of the distinct values, which are what a bucket counts: a value that
+    holds most rows takes no more cuts than any other. Runs one pass; returns few numbers."""
     if buckets is None:
-        buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        buckets = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if buckets < 2:
         return []
     shares = [i / buckets for i in range(1, buckets)]
-    cuts = df.where(F.col(value).isNotNull()).approxQuantile(value, shares, 0.25 / buckets)
+    distinct = df.where(F.col(value).isNotNull()).select(value).distinct()
+    cuts = distinct.approxQuantile(value, shares, 0.25 / buckets)
     return sorted(set(cuts))
 
 

@@ -58,9 +58,10 @@ def ready_raw(
 
 
 def refresh_marts(raw: dict[str, DataFrame], folder: str) -> Marts:
-    """Builds and replaces the three marts. Each reads the one before from storage, so a lost
-    executor costs one step and no plan recomputes the whole lineage. Repeated keys raise: a join
-    would multiply rows, and with them every count."""
+    """Builds and replaces the order lines and the three marts. Each reads the one before from
+    storage, so a lost executor costs one step and no plan recomputes the whole lineage; items are
+    joined with products once. Repeated keys raise: a join would multiply rows, and with them every
+    count."""
     repeated = duplicate_keys(raw).limit(20).collect()
     if repeated:
         found = ", ".join(f"{r.table} {r.key} ({r.rows} rows)" for r in repeated)
@@ -73,8 +74,14 @@ def refresh_marts(raw: dict[str, DataFrame], folder: str) -> Marts:
         rows[name] = tables.write_table(df, path, partition).get["rows"]
         return tables.read_table(spark, path, schemas.mart_schema(name, raw))
 
-    orders = store("orders_mart", build.build_orders_mart(raw), PARTITION)
-    order_seller = store("order_seller", build.build_order_seller(raw, orders), PARTITION)
+    lines = build.order_lines(raw)
+    path = _path(folder, "order_lines")
+    tables.write_table(lines, path)
+    lines = tables.read_table(spark, path, lines.schema)
+    orders = store("orders_mart", build.build_orders_mart(raw, lines), PARTITION)
+    order_seller = store(
+        "order_seller", build.build_order_seller(raw, orders, lines), PARTITION
+    )
     sellers = store("seller_mart", build.build_seller_mart(order_seller))
     return Marts(orders, order_seller, sellers, rows)
 
