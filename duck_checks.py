@@ -480,6 +480,51 @@ def category_priority() -> str:
               FROM po GROUP BY product_category_name HAVING count(*) >= 50)"""
 
 
+def exactly(check) -> str:
+    with exact():
+        return check()
+
+
+def category_priority_chart() -> str:
+    names = ("gmv aov avg_review_score bad_review_rate delay_rate avg_delivery_time_days "
+             "bad_reviews expected_bad_reviews excess_bad_reviews business_priority_score "
+             "overall_bad_review_rate median_orders").split()
+    return f"""
+        SELECT product_category_name, orders, {nums(**{name: name for name in names})},
+               CAST(bad_review_rate > overall_bad_review_rate AS INTEGER) AS is_above_overall,
+               CAST(place <= 3 AS INTEGER) AS is_named
+        FROM (SELECT *, (SELECT avg(is_bad_review) FROM po) AS overall_bad_review_rate,
+                     median(orders) OVER () AS median_orders,
+                     row_number() OVER (ORDER BY business_priority_score DESC,
+                                        product_category_name) AS place
+              FROM ({exactly(category_priority)}))"""
+
+
+def result_category_posthoc() -> str:
+    names = "rate rate_ci_low rate_ci_high overall_rate rate_diff statistic".split()
+    short = ", ".join(f"round_even({name}, 4) AS {name}" for name in names)
+    with exact():
+        tests = posthoc("product_category_name", "is_bad_review", "")
+    tested = with_p(tests, "1", f"product_category_name, orders, direction, {', '.join(names)}")
+    return f"""
+        SELECT product_category_name, orders, direction, significant, {short}
+        FROM ({tested})"""
+
+
+def row_counts() -> str:
+    sources = {
+        "raw_customers": "customer", "raw_sellers": "supplier", "raw_products": "part",
+        "raw_category_translation": "(SELECT DISTINCT p_type FROM part WHERE p_type <> 'SMALL')",
+        "raw_order_items": "(SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey)",
+        "raw_orders": "orders", "raw_order_payments": "(SELECT * FROM r_payments)",
+        "raw_order_reviews": "(SELECT * FROM r_reviews)",
+    }
+    return " UNION ALL ".join(
+        f"""SELECT '{name}' AS "table", count(*) AS rows FROM {source}"""
+        for name, source in sources.items()
+    )
+
+
 def seller_metrics(table: str, min_orders: int) -> str:
     return f"""
         SELECT seller_id, count(DISTINCT order_id) AS orders, max(seller_state) AS seller_state,
@@ -813,14 +858,14 @@ def heterogeneity_with_p(rows: str, min_orders: int) -> str:
                   "effect_size_name, effect_magnitude, " + nums(**{c: c for c in names}))
 
 
-def hypothesis_table() -> str:
+def hypothesis_table(rows: str, min_orders: int, population: str) -> str:
     """All hypotheses from the single checks, with p by integration."""
     with exact():
         late, handover = two_groups("is_delayed"), two_groups("is_late_handover")
         category = many_groups("product_category_name", "is_bad_review")
         state = many_groups("customer_state", "is_delayed")
         scores, freight, months = rank_sum(), spearman(), trend()
-        sellers = heterogeneity("sold_multi", 30)
+        sellers = heterogeneity(rows, min_orders)
     chi = ("chi-square test of independence", "Cramér''s V")
     pair = ("rate_1", "ci_low_1", "ci_high_1", "rate_0", "ci_low_0", "ci_high_0")
     many = ("n_groups", "NULL", "NULL", "30", "NULL", "NULL")
@@ -863,8 +908,8 @@ def hypothesis_table() -> str:
          ("rate_first", "NULL", "NULL", "rate_last", "NULL", "NULL"), "z", "rho",
          tail("normal", "z", ""), months),
         ("H6: внутри категории продавцы различаются по доле плохих отзывов",
-         "'заказы с отзывом, фокусная категория ' || product_category_name "
-         "|| ' (>= 30 заказов на продавца)'", "n_sellers", "category_bad_review_rate", *chi,
+         f"'{population} с отзывом, фокусная категория ' || product_category_name "
+         f"|| ' (>= {min_orders} заказов на продавца)'", "n_sellers", "category_bad_review_rate", *chi,
          ("n_sellers", "NULL", "NULL", "category_bad_review_rate", "min_seller_bad_review_rate",
           "max_seller_bad_review_rate"), "statistic", "effect_size", "known_p", focal),
     ]
@@ -1128,7 +1173,29 @@ def queries_sql() -> dict[str, str]:
         "posthoc_state": posthoc_with_p("customer_state", "is_delayed", "AND is_delivered = 1"),
         "seller_heterogeneity": heterogeneity_with_p("sold_multi", 30),
         "seller_heterogeneity_single": heterogeneity_with_p("sold_single", 3),
-        "hypothesis_table": hypothesis_table(),
+        "hypothesis_table": hypothesis_table("sold_multi", 30, "заказы"),
+        "hypothesis_table_single": hypothesis_table("sold_single", 3, "single-seller заказы"),
+        "result_category_posthoc": result_category_posthoc(),
+        "result_delay_stages": """
+            SELECT delay_stage, delayed_orders, round_even(share_of_delayed, 4) AS share_of_delayed,
+                   round_even(avg_delay_days, 2) AS avg_delay_days,
+                   round_even(bad_review_rate, 4) AS bad_review_rate,
+                   round_even(avg_review_score, 4) AS avg_review_score
+            FROM (SELECT * FROM (""" + exactly(delay_stages) + "))",
+        "category_priority_chart": category_priority_chart(),
+        "source_row_counts": row_counts(),
+        "csv_row_counts": row_counts(),
+        "source_duplicate_keys": " UNION ALL ".join(
+            f"""SELECT '{table}' AS "table", CAST({key} AS VARCHAR) AS key, count(*) AS rows
+                FROM {source} GROUP BY {key} HAVING count(*) > 1"""
+            for table, key, source in (
+                ("raw_customers", "c_custkey", "customer"), ("raw_orders", "o_orderkey", "orders"),
+                ("raw_products", "p_partkey", "part"), ("raw_sellers", "s_suppkey", "supplier"),
+            )
+        ),
+        "slice_export": """
+            SELECT CAST(order_id AS VARCHAR) AS order_id, order_status,
+                   round(total_price, 2) AS total_price, review_score FROM cut""",
     }
 
 

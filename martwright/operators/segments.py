@@ -114,20 +114,40 @@ def monthly_extremes(prepared: DataFrame) -> DataFrame:
 
 
 def category_priority(prepared: DataFrame, min_orders: int = 50) -> DataFrame:
-    """Categories with bad reviews beyond expectation, weighed by the logarithm of their GMV.
+    """Categories with bad reviews beyond expectation, weighed by the logarithm of their GMV."""
+    return _scored_categories(prepared, min_orders).drop("overall_bad_review_rate")
 
-    The overall bad rate comes from the same aggregate, before small categories drop out.
-    """
+
+def category_priority_chart(
+    prepared: DataFrame, min_orders: int = 50, named: int = 8
+) -> DataFrame:
+    """The priority table with its reference lines, the flag of categories above the overall rate
+    and the categories to name."""
+    place = F.row_number().over(
+        all_segments().orderBy(F.desc_nulls_last("business_priority_score"), "product_category_name")
+    )
+    above = F.col("bad_review_rate") > F.col("overall_bad_review_rate")
+    return _scored_categories(prepared, min_orders).withColumns({
+        "median_orders": F.median("orders").over(all_segments()),
+        "is_above_overall": F.coalesce(above.cast("int"), F.lit(0)),
+        "is_named": (place <= named).cast("int"),
+    })
+
+
+def _scored_categories(prepared: DataFrame, min_orders: int) -> DataFrame:
+    """The overall bad rate comes from the same aggregate, before small categories drop out."""
     categories = prepared.groupBy("product_category_name").agg(
         *measures(QUALITY),
         F.sum("is_bad_review").alias("_bad"), F.count("is_bad_review").alias("_known"),
     )
     orders = F.col("orders")
     scored = (
-        categories.withColumn("_base", F.coalesce(pooled("_bad", "_known"), F.lit(0.0)))
+        categories.withColumn(
+            "overall_bad_review_rate", F.coalesce(pooled("_bad", "_known"), F.lit(0.0))
+        )
         .where(orders >= min_orders)
         .withColumn("bad_reviews", orders * F.col("bad_review_rate"))
-        .withColumn("expected_bad_reviews", orders * F.col("_base"))
+        .withColumn("expected_bad_reviews", orders * F.col("overall_bad_review_rate"))
         .withColumn("excess_bad_reviews", F.col("bad_reviews") - F.col("expected_bad_reviews"))
     )
     # greatest() would skip an unknown excess and turn it into zero
@@ -137,7 +157,7 @@ def category_priority(prepared: DataFrame, min_orders: int = 50) -> DataFrame:
     )
     return (
         scored.withColumn("business_priority_score", finite(known_excess * F.log1p("gmv")))
-        .drop("_bad", "_known", "_base")
+        .drop("_bad", "_known")
     )
 
 

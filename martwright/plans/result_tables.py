@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from martwright.operators import delays, hypotheses, inference, reports, segments, sellers
 from martwright.operators.prepare import prepare_orders
@@ -20,7 +21,7 @@ OPTIONAL = {
 
 
 def metric_tables(marts: Marts) -> dict[str, DataFrame]:
-    """Metric tables, rounded to four places."""
+    """Metric tables, rounded to four places; the mean delay of a stage to two."""
     orders = marts.orders
     tables = {
         "metrics_summary": segments.summary_metrics(orders),
@@ -29,7 +30,9 @@ def metric_tables(marts: Marts) -> dict[str, DataFrame]:
         "seller_state_metrics": segments.segment_metrics(orders, "seller_state"),
         "monthly_metrics": segments.monthly_metrics(orders),
         "delay_bucket_metrics": delays.delay_buckets(orders).drop("bucket_id"),
-        "delay_stage_breakdown": delays.delay_stages(orders).drop("stage_id"),
+        "delay_stage_breakdown": delays.delay_stages(orders)
+        .drop("stage_id")
+        .withColumn("avg_delay_days", F.bround("avg_delay_days", 2)),
         "seller_metrics": sellers.seller_ranking(marts.sellers),
         "seller_category_comparison": sellers.seller_vs_category(marts.order_seller),
     }
@@ -37,10 +40,15 @@ def metric_tables(marts: Marts) -> dict[str, DataFrame]:
 
 
 def test_tables(marts: Marts) -> dict[str, DataFrame]:
-    """Hypothesis tests and post-hoc comparisons, rounded to six places."""
+    """Hypothesis tests and post-hoc comparisons, rounded to six places; rates and statistics of
+    the post-hoc tables to four, sorted by the rounded difference."""
     tables = {
-        "category_posthoc": inference.category_posthoc(marts.orders),
-        "state_posthoc": inference.state_posthoc(marts.orders),
+        "category_posthoc": _posthoc_as_written(
+            inference.category_posthoc(marts.orders), "product_category_name"
+        ),
+        "state_posthoc": _posthoc_as_written(
+            inference.state_posthoc(marts.orders), "customer_state"
+        ),
         "seller_within_category_tests": inference.seller_heterogeneity(marts.order_seller).drop(
             "dof"
         ),
@@ -49,6 +57,12 @@ def test_tables(marts: Marts) -> dict[str, DataFrame]:
     return {name: rounded(table, 6) for name, table in tables.items()}
 
 
+def _posthoc_as_written(table: DataFrame, segment: str) -> DataFrame:
+    short = "rate rate_ci_low rate_ci_high overall_rate rate_diff statistic".split()
+    written = table.withColumns({name: F.bround(name, 4) for name in short})
+    return written.orderBy(F.desc("rate_diff"), segment)
+
+
 def report_tables(marts: Marts, min_orders: int = 50, top: int = 15) -> dict[str, DataFrame]:
     """The data of the report: KPIs and the table behind each figure."""
     orders = prepare_orders(marts.orders)

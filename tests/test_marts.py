@@ -236,3 +236,23 @@ def test_refresh_replaces_and_absent_seller_marts_read_empty(spark, small, tmp_p
     again.orders.write.parquet(f"{only_orders}/orders_mart")
     partial = refresh.read_marts(spark, only_orders, raw)
     assert partial.order_seller.count() == 0 and partial.sellers.columns == read.sellers.columns
+
+
+def test_items_move_few_times(spark, raw):
+    """One product join in the plan, and one exchange by order after it."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = build.build_items_agg(raw)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") <= 8
+    assert plan.count("Join [product_id") == 1
+
+
+def test_stored_lines_give_the_same_marts(raw):
+    lines = build.order_lines(raw)
+    orders = build.build_orders_mart(raw)
+    assert build.build_orders_mart(raw, lines).exceptAll(orders).isEmpty()
+    sellers = build.build_order_seller(raw, orders)
+    assert build.build_order_seller(raw, orders, lines).exceptAll(sellers).isEmpty()

@@ -79,7 +79,7 @@ def test_stage_decomposition_counts_orders_once(orders):
 def test_freight_bins(orders):
     shares = [0.0, 0.05, 0.050001, 0.1, 0.2, 0.1 + 0.1 + 1e-16, 0.51, None]
     rows = segments.freight_share_bins(orders(*[{"freight_share": s} for s in shares])).collect()
-    assert [r.orders for r in rows] == [2, 2, 2, 0, 0, 1]
+    assert [r.orders for r in rows] == [2, 2, 1, 1, 0, 1]
     assert [r.freight_share_bin for r in rows] == list(labels.FREIGHT_BINS)
 
 
@@ -293,3 +293,12 @@ def test_summary_shuffles_only_customer_ids(marts):
     plan = plan_of(segments.summary_metrics(marts.orders))
     assert plan.count("Exchange hashpartitioning(customer_unique_id") <= 1
     assert "Exchange hashpartitioning(order_id" not in plan
+
+
+def test_lane_grid_has_every_pair_of_states(orders):
+    lanes = reports.lane_matrix(orders, 1)
+    states = [r.state for r in reports.lane_states(lanes).collect()]
+    grid = {(r.seller_state, r.customer_state): r.orders for r in reports.lane_grid(lanes).collect()}
+    assert set(grid) == {(a, b) for a in states for b in states}
+    known = {(r.seller_state, r.customer_state): r.orders for r in lanes.collect()}
+    assert {k: n for k, n in grid.items() if n is not None} == known

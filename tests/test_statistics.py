@@ -356,3 +356,13 @@ def test_student_tail_is_one_formula_for_every_dof():
 def test_tails_of_infinite_statistics_are_zero():
     assert pvalues.chi_square_tail(math.inf, 5) == 0
     assert pvalues.student_two_sided(math.inf, 5) == 0
+
+
+def test_cuts_spread_the_distinct_values(spark):
+    """A value that holds 99 % of the rows takes no more cuts than any other."""
+    frame = spark.range(100_000).selectExpr("IF(id % 100 = 0, double(id), 50.5D) AS v")
+    cuts = ranks.cut_points(frame, "v", 50)
+    values = frame.distinct().selectExpr("v", f"aggregate(array({','.join(map(str, cuts))}), 0, "
+                                         "(n, c) -> n + int(v >= c)) AS bucket")
+    largest = values.groupBy("bucket").count().agg(F.max("count")).first()[0]
+    assert largest <= 0.05 * values.count()
