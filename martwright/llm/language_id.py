@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from martwright.llm.common import record_batch, slices
+from martwright.llm.common import SLICE_BYTES, record_batch, slices
 
 ORDER = 3
 #: Every text is read after these bytes, so that its first byte has a context too.
@@ -46,6 +46,20 @@ def _codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return codes, lengths
 
 
+def _runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows, codes and lengths of some texts at a time; a longer text comes in several runs."""
+    for part in slices(texts):
+        rows = np.arange(part.start, part.stop)
+        if len(rows) > 1 or len(texts[part.start]) <= SLICE_BYTES:
+            yield rows, *_codes(texts[part])
+            continue
+        text = texts[part.start]
+        for start in range(0, len(text), SLICE_BYTES):
+            before = min(start, ORDER)
+            codes, _ = _codes([text[start - before : start + SLICE_BYTES]])
+            yield rows, codes[before:], np.array([len(codes) - before])
+
+
 @dataclass(frozen=True)
 class ContextModel:
     """Code lengths in bits, a column for each language.
@@ -171,8 +185,7 @@ def _count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         texts = batch["text"].to_pylist()
         for lang in np.unique(langs):
             own = [texts[i] for i in np.flatnonzero(langs == lang)]
-            for part in slices(own):
-                codes, _ = _codes(own[part])
+            for _, codes, _ in _runs(own):
                 for length in range(1, ORDER + 2):
                     keep = (1 << 8 * length) - 1
                     found, n = np.unique(codes & np.uint32(keep), return_counts=True)
@@ -197,27 +210,34 @@ def fit_languages(
 ) -> ContextModel:
     """Statistics from whole texts of each language, in the order of their hash, up to sample_bytes.
 
-    Rows with a null language or text teach nothing. A language without a text that fits into
-    sample_bytes is not learned. The model has at most four entries for each sampled byte, which
-    bounds what comes to the driver and what is broadcast.
+    Rows with a null language or text teach nothing. Texts above sample_bytes stand back: only a
+    language that has no other is learned from one of them, the first by hash, in whole. The model
+    has at most four entries for each sampled byte, which bounds what comes to the driver and what is
+    broadcast.
     """
     rows = labelled.select(
         F.col(lang_column).cast("string").alias("lang"), F.col(text_column).alias("text")
     ).dropna()
-    size = F.octet_length("text")
-    totals = rows.groupBy("lang").agg(F.sum(size).alias("total"))
-    totals = totals.where("total > 0").orderBy(F.desc("total"), "lang").limit(most_languages)
-    shares = totals.select("lang", F.least(F.lit(1.0), 3 * sample_bytes / F.col("total")).alias("share"))
-    key = F.xxhash64("text")
+    size, key = F.octet_length("text"), F.xxhash64("text")
+    totals = rows.where(size > 0).groupBy("lang").agg(
+        F.sum(size).alias("whole"),
+        F.sum(F.when(size <= sample_bytes, size)).alias("total"),
+        F.min(F.struct(size > sample_bytes, key.alias("key"))).alias("first"),
+    )
+    totals = totals.orderBy(F.desc("whole"), "lang").limit(most_languages)
     # three times the bytes wanted are drawn before any order, so that the windows stay small
+    share = F.coalesce(F.least(F.lit(1.0), 3 * sample_bytes / F.col("total")), F.lit(0.0))
+    shares = totals.select("lang", share.alias("share"), "first.key")
     drawn = rows.join(F.broadcast(shares), "lang").where(
-        F.pmod(key, F.lit(1 << 20)) < F.col("share") * (1 << 20)
+        ((size <= sample_bytes) & (F.pmod(key, F.lit(1 << 20)) < F.col("share") * (1 << 20)))
+        | (key == F.col("key"))
     )
     drawn = drawn.select("lang", "text", key.alias("order"), size.alias("size")).distinct()
     so_far = F.sum("size").over(
         Window.partitionBy("lang").orderBy("order", "text").rowsBetween(Window.unboundedPreceding, 0)
     )
-    sample = drawn.withColumn("so_far", so_far).where(F.col("so_far") <= sample_bytes)
+    sample = drawn.withColumn("so_far", so_far)
+    sample = sample.where((F.col("so_far") <= sample_bytes) | (F.col("so_far") == F.col("size")))
     texts = sample.select("lang", F.col("text").cast("binary").alias("text"))
     counts = texts.mapInArrow(_count_contexts, "lang string, length int, code long, n long")
     counts = counts.groupBy("lang", "length", "code").agg(F.sum("n").alias("n"))
