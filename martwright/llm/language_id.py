@@ -3,18 +3,19 @@
 Each language has counts of bytes after contexts of 0 to 3 bytes. A byte unseen after a context
 costs that context's escape (distinct bytes over bytes and distinct bytes) and is coded by the
 next shorter one, at last as one of 256. The counts are frozen after training, so every code length
-is a table entry; a text's length in bits under each language decides.
+follows from table entries; a text's length in bits under each language decides.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from martwright.llm.common import SLICE_BYTES, record_batch, slices
@@ -24,8 +25,8 @@ ORDER = 3
 _BEFORE = b"\n" * ORDER
 #: Bytes of whole sample texts per language, at most.
 SAMPLE_BYTES = 1 << 20
-#: Languages learned, at most: those with the most bytes.
-MOST_LANGUAGES = 64
+#: Bytes of sample texts of all languages: with more than 64 languages each has an equal share.
+ALL_SAMPLE_BYTES = 64 << 20
 UNKNOWN = "und"
 
 _COUNTS = pa.schema([
@@ -33,6 +34,11 @@ _COUNTS = pa.schema([
 ])
 
 
+def _mask(length: int) -> np.uint32:
+    """The last bytes of a code."""
+    return np.uint32((1 << 8 * length) - 1)
+
+
 def _codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """For each byte of the texts the code of it and the three before it; each text's length."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -61,48 +67,52 @@ def _runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 @dataclass(frozen=True)
-class ContextModel:
-    """Code lengths in bits, a column for each language.
+class Contexts:
+    """Code lengths in bits of a language's bytes after contexts of one length, sorted by code.
 
-    codes3/bits3: four bytes seen in some language. contexts3/escape3: three bytes seen before some
-    byte; 0 bits where a language has not seen them. The same for two bytes; one byte is dense.
+    codes/bits: bytes seen after their context. contexts/escape: contexts seen before some byte.
     """
 
+    codes: np.ndarray
+    bits: np.ndarray
+    contexts: np.ndarray
+    escape: np.ndarray
+
+
+def _bits(tables: list[Contexts], codes: np.ndarray) -> np.ndarray:
+    """Bits of bytes under one language, its longest contexts first."""
+    bits = np.zeros(len(codes))
+    rest = np.arange(len(codes))
+    for length in range(ORDER + 1, 0, -1):
+        table, own = tables[length - 1], codes[rest] & _mask(length)
+        at, hit = _find(table.codes, own)
+        bits[rest[hit]] += table.bits[at[hit]]
+        rest, own = rest[~hit], own[~hit]
+        at, hit = _find(table.contexts, own >> 8)
+        bits[rest[hit]] += table.escape[at[hit]]
+    bits[rest] += 8.0
+    return bits
+
+
+@dataclass(frozen=True)
+class ContextModel:
+    """Each language with its own tables of contexts of 0 to ORDER bytes, so size follows the sample."""
+
     languages: list[str]
-    codes3: np.ndarray
-    bits3: np.ndarray
-    contexts3: np.ndarray
-    escape3: np.ndarray
-    codes2: np.ndarray
-    bits2: np.ndarray
-    escape2: np.ndarray
-    bits1: np.ndarray
-
-    def _shorter(self, codes: np.ndarray) -> np.ndarray:
-        """Bits of bytes after a two-byte context."""
-        codes = codes & 0xFFFFFF
-        at, hit = _find(self.codes2, codes)
-        bits = np.empty((len(codes), len(self.languages)))
-        bits[hit] = self.bits2[at[hit]]
-        rest = codes[~hit]
-        bits[~hit] = self.escape2[rest >> 8] + self.bits1[rest & 0xFFFF]
-        return bits
+    tables: list[list[Contexts]]
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each text under each language."""
-        codes, lengths = _codes(texts)
-        at, hit = _find(self.codes3, codes)
-        bits = self.bits3[np.where(hit, at, 0)]
-        missed = codes[~hit]
-        more = self._shorter(missed)
-        context, known = _find(self.contexts3, missed >> 8)
-        more[known] += self.escape3[context[known]]
-        bits[~hit] = more
         out = np.zeros((len(texts), len(self.languages)))
-        full = np.flatnonzero(lengths)
-        if len(full):
+        for rows, codes, lengths in _runs(texts):
+            places, found = pd.factorize(codes, sort=True)
+            full = np.flatnonzero(lengths)
+            if not len(full):
+                continue
             starts = (np.cumsum(lengths) - lengths)[full]
-            out[full] = np.add.reduceat(bits, starts, axis=0)
+            for column, tables in enumerate(self.tables):
+                bits = _bits(tables, found)[places]
+                out[rows[full], column] += np.add.reduceat(bits, starts)
         return out
 
     def predict(self, texts: list[str | None]) -> pd.DataFrame:
@@ -130,53 +140,23 @@ def _find(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, table[at] == wanted
 
 
-def build_model(counts: pd.DataFrame) -> ContextModel:
-    """From (lang, length, code, n): n times the length bytes of code stood together."""
-    languages = sorted(counts["lang"].unique())
-    size = len(languages)
-    column = {name: i for i, name in enumerate(languages)}
-
-    def table(length: int):
-        """Codes, counts by language, contexts, context's place of each code, bits of its escape."""
-        part = counts[counts["length"] == length]
-        codes = np.unique(part["code"].to_numpy(np.uint32))
-        n = np.zeros((len(codes), size))
-        n[np.searchsorted(codes, part["code"].to_numpy(np.uint32)),
-          part["lang"].map(column).to_numpy(int)] = part["n"]
+def language_tables(counts: pd.DataFrame) -> list[Contexts]:
+    """From one language's (length, code, n): n times the length bytes of code stood together."""
+    tables = []
+    for length in range(1, ORDER + 2):
+        part = counts[counts["length"] == length].sort_values("code")
+        codes, n = part["code"].to_numpy(np.uint32), part["n"].to_numpy(float)
         contexts, place = np.unique(codes >> 8, return_inverse=True)
-        total = np.zeros((len(contexts), size))
-        kinds = np.zeros((len(contexts), size))
-        np.add.at(total, place, n)
-        np.add.at(kinds, place, n > 0)
-        whole = total + kinds
-        with np.errstate(divide="ignore", invalid="ignore"):
-            escape = np.where(total > 0, -np.log2(kinds / whole), 0.0)
-            seen = -np.log2(n / whole[place])
-        return codes, n, contexts, place, escape, seen
-
-    if not size:
-        none = np.zeros(0, np.uint32)
-        empty = np.zeros((0, 0))
-        return ContextModel([], none, empty, none, empty, none, empty, empty, empty)
-    codes, n, _, _, escape, seen = table(1)  # one context, the empty one
-    bits0 = escape[0] + np.full((256, size), 8.0)
-    bits0[codes] = np.where(n > 0, seen, bits0[codes])
-    codes, n, contexts, _, escape, seen = table(2)
-    escape1 = np.zeros((256, size))
-    escape1[contexts] = escape
-    bits1 = np.repeat(escape1, 256, axis=0) + np.tile(bits0, (256, 1))
-    bits1[codes] = np.where(n > 0, seen, bits1[codes])
-    codes2, n, contexts, place, escape, seen = table(3)
-    escape2 = np.zeros((65536, size))
-    escape2[contexts] = escape
-    bits2 = np.where(n > 0, seen, escape[place] + bits1[codes2 & 0xFFFF])
-    codes3, n, contexts3, place, escape3, seen = table(4)
-    model = ContextModel(
-        languages, codes3, np.zeros((len(codes3), size)), contexts3, escape3, codes2, bits2,
-        escape2, bits1,
-    )
-    model.bits3[:] = np.where(n > 0, seen, escape3[place] + model._shorter(codes3))
-    return model
+        kinds = np.bincount(place, minlength=len(contexts))
+        whole = np.bincount(place, n, len(contexts)) + kinds
+        tables.append(Contexts(codes, -np.log2(n / whole[place]), contexts, -np.log2(kinds / whole)))
+    return tables
+
+
+def build_model(counts: pd.DataFrame) -> ContextModel:
+    """From (lang, length, code, n) of all languages."""
+    groups = sorted(counts.groupby("lang"))
+    return ContextModel([name for name, _ in groups], [language_tables(own) for _, own in groups])
 
 
 def _count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,8 +167,7 @@ def _count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             own = [texts[i] for i in np.flatnonzero(langs == lang)]
             for _, codes, _ in _runs(own):
                 for length in range(1, ORDER + 2):
-                    keep = (1 << 8 * length) - 1
-                    found, n = np.unique(codes & np.uint32(keep), return_counts=True)
+                    found, n = np.unique(codes & _mask(length), return_counts=True)
                     yield record_batch(
                         _COUNTS, lang=[lang] * len(found), length=[length] * len(found),
                         code=found.astype(np.int64), n=n,
@@ -201,36 +180,50 @@ def is_held_out(id_column: F.Column) -> F.Column:
     return F.coalesce(rest == 2, F.lit(False))
 
 
+def _totals(rows: DataFrame, sample_bytes: int) -> list[Row]:
+    """Each language's bytes in texts of up to sample_bytes, and its first text's key by hash.
+
+    Texts above sample_bytes come after all others.
+    """
+    size, key = F.octet_length("text"), F.xxhash64("text")
+    fits = size <= sample_bytes
+    return rows.where(size > 0).groupBy("lang").agg(
+        F.sum(F.when(fits, size)).alias("total"),
+        F.coalesce(F.min(F.when(fits, key)), F.min(key)).alias("first"),
+    ).collect()
+
+
 def fit_languages(
     labelled: DataFrame,
     sample_bytes: int = SAMPLE_BYTES,
-    most_languages: int = MOST_LANGUAGES,
+    all_sample_bytes: int = ALL_SAMPLE_BYTES,
     lang_column: str = "lang",
     text_column: str = "text",
 ) -> ContextModel:
     """Statistics from whole texts of each language, in the order of their hash, up to sample_bytes.
 
-    Rows with a null language or text teach nothing. Texts above sample_bytes stand back: only a
-    language that has no other is learned from one of them, the first by hash, in whole. The model
-    has at most four entries for each sampled byte, which bounds what comes to the driver and what is
-    broadcast.
+    Every language with a text that is not empty is learned; if there are so many that their samples
+    pass all_sample_bytes, each has an equal share of these. Rows with a null language or text teach
+    nothing. Texts above a language's bytes stand back: only a language that has no other is learned
+    from one of them, the first by hash, in whole. The model has at most four entries for each
+    sampled byte, which bounds what comes to the driver and what is broadcast.
     """
     rows = labelled.select(
         F.col(lang_column).cast("string").alias("lang"), F.col(text_column).alias("text")
     ).dropna()
-    size, key = F.octet_length("text"), F.xxhash64("text")
-    totals = rows.where(size > 0).groupBy("lang").agg(
-        F.sum(size).alias("whole"),
-        F.sum(F.when(size <= sample_bytes, size)).alias("total"),
-        F.min(F.struct(size > sample_bytes, key.alias("key"))).alias("first"),
-    )
-    totals = totals.orderBy(F.desc("whole"), "lang").limit(most_languages)
+    totals = _totals(rows, sample_bytes)
+    if len(totals) * sample_bytes > all_sample_bytes:
+        sample_bytes = max(1, all_sample_bytes // len(totals))
+        totals = _totals(rows, sample_bytes)
     # three times the bytes wanted are drawn before any order, so that the windows stay small
-    share = F.coalesce(F.least(F.lit(1.0), 3 * sample_bytes / F.col("total")), F.lit(0.0))
-    shares = totals.select("lang", share.alias("share"), "first.key")
+    drawn_of = [
+        (t.lang, min(1.0, 3 * sample_bytes / t.total) if t.total else 0.0, t.first) for t in totals
+    ]
+    shares = labelled.sparkSession.createDataFrame(drawn_of, "lang string, share double, first long")
+    size, key = F.octet_length("text"), F.xxhash64("text")
     drawn = rows.join(F.broadcast(shares), "lang").where(
         ((size <= sample_bytes) & (F.pmod(key, F.lit(1 << 20)) < F.col("share") * (1 << 20)))
-        | (key == F.col("key"))
+        | (key == F.col("first"))
     )
     drawn = drawn.select("lang", "text", key.alias("order"), size.alias("size")).distinct()
     so_far = F.sum("size").over(
@@ -241,7 +234,16 @@ def fit_languages(
     texts = sample.select("lang", F.col("text").cast("binary").alias("text"))
     counts = texts.mapInArrow(_count_contexts, "lang string, length int, code long, n long")
     counts = counts.groupBy("lang", "length", "code").agg(F.sum("n").alias("n"))
-    return build_model(counts.toPandas())
+    # tables are made beside the counts, so that the driver gets arrays and not rows
+    made = counts.groupBy("lang").applyInPandas(_pickled_tables, "lang string, tables binary")
+    learned = sorted((r.lang, r.tables) for r in made.collect())
+    return ContextModel([lang for lang, _ in learned], [pickle.loads(t) for _, t in learned])
+
+
+def _pickled_tables(counts: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({
+        "lang": counts["lang"].iloc[:1], "tables": [pickle.dumps(language_tables(counts))],
+    })
 
 
 def predict_languages(

@@ -33,3 +33,14 @@ def test_long_texts_are_scored_in_runs(monkeypatch):
     runs = list(language_id._runs([text]))
     assert len(runs) > 1
     assert [c for _, codes, _ in runs for c in codes] == whole.tolist()
+
+
+def test_every_language_is_learned(spark):
+    names = [f"l{i:02}" for i in range(80)]
+    texts = {n: filled(f"{chr(0x4E00 + 7 * i)}{chr(0x4E03 + 7 * i)} ", 300 + i) for i, n in enumerate(names)}
+    docs = spark.createDataFrame(list(texts.items()), "lang string, text string")
+    for options in ({}, {"sample_bytes": 2000, "all_sample_bytes": 80 * 100}):
+        model = language_id.fit_languages(docs, **options)
+        assert model.languages == names
+        found = language_id.predict_languages(docs.withColumnRenamed("lang", "doc_id"), model)
+        assert {r.doc_id: r.lang_pred for r in found.collect()} == {n: n for n in names}
