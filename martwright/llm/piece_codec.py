@@ -2,10 +2,11 @@
 
 Words (a run of spaces and what follows) are segmented apart from each other. For each word an agenda
 holds the pairs of neighbouring symbols that the model can merge, best score first and leftmost among
-equals. A candidate taken from the agenda is skipped if a hash keyed by seed, word and candidate
-falls below the dropout; it comes back only if a neighbour changes. All distinct words of a slice of
-texts go through their agendas in step, as rows of one array. Without dropout the result is the
-library's own segmentation.
+equals. A candidate taken from the agenda is skipped if a hash keyed by seed, document, place in the
+document and candidate falls below the dropout; it comes back only if a neighbour changes. So each
+occurrence of a word draws by itself. All words of a slice of texts go through their agendas in step,
+as rows of one array; occurrences of a word share a row until their draws differ. Without dropout the
+result is the library's own segmentation.
 """
 
 from __future__ import annotations
@@ -29,16 +30,18 @@ from martwright.llm.word_pieces import tokenizer_file
 SPACE = "▁"
 #: Stands for the model's own space mark inside texts; doubled with a digit so that it is unique.
 HIDDEN = "\U0010fffd"
-DROPOUT, VARIANTS, SEED = 0.1, 8, 17
+DROPOUT, SEED = 0.1, 17
 _CUT = "\0"
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Characters of texts whose distinct words are segmented together.
-_SLICE = 4 << 20
+_SLICE = 1 << 20
 #: Ids that are decoded together.
 _DECODED = 1 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Symbols that words are given room for at a time; longer words stand alone.
 _WIDTHS = (8, 16, 32, 64)
+#: Symbols that the occurrences of words in step would have, were no two of them alike.
+_IN_STEP = 1 << 20
 
 
 class PieceCodec:
@@ -96,38 +99,65 @@ class PieceCodec:
         at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[at] == keys, at, -1).astype(np.int32)
 
-    def _agendas(self, symbols: np.ndarray, keys: np.ndarray, dropout: float) -> np.ndarray:
+    def _agendas(
+        self, symbols: np.ndarray, owner: np.ndarray, keys: np.ndarray, dropout: float
+    ) -> tuple[np.ndarray, np.ndarray]:
         """Merges the symbols of all rows in step; -1 closes a row, below that are foreign characters.
 
-        keys: of each row's word, seed included.
+        owner: row of each occurrence, every row having some; keys: of each occurrence, seed included.
+        A row whose occurrences draw differently goes on as two. Gives the final rows, and the row of
+        each occurrence.
         """
         n, width = symbols.shape
+        state = owner.astype(np.int64)
         if width < 2:
-            return symbols
+            return symbols, state
         never = np.iinfo(np.int32).max
         limit = np.uint64(min(int(dropout * 2.0**64), (1 << 64) - 1))
         merges = self._pairs(symbols[:, :-1], symbols[:, 1:])
         agenda = np.where(merges >= 0, self.pair_ranks[merges], np.int32(never))
-        rows, out, step = np.arange(n), symbols, np.uint64(0)
+        rows, total, step = np.arange(n), n, np.uint64(0)
+        # open occurrences and where their rows stand
+        open_ones, local = np.arange(len(state)), state.copy()
+        closed, closed_rows = [], []
         while len(rows):
             at = agenda.argmin(axis=1)
-            here = np.arange(len(rows))
-            live = agenda[here, at] != never
+            live = agenda[np.arange(len(rows)), at] != never
             if not live.all():
-                out[rows[~live]] = symbols[~live]
-                rows, symbols, agenda, merges, keys, at = (
-                    a[live] for a in (rows, symbols, agenda, merges, keys, at)
+                closed_rows.append(rows[~live])
+                closed.append(symbols[~live])
+                stay = live[local]
+                open_ones, keys, local = open_ones[stay], keys[stay], (np.cumsum(live) - 1)[local[stay]]
+                rows, symbols, agenda, merges, at = (
+                    a[live] for a in (rows, symbols, agenda, merges, at)
                 )
-                here = np.arange(len(rows))
                 if not len(rows):
                     break
             step += np.uint64(1)
-            merged = merges[here, at]
-            with np.errstate(over="ignore"):
-                drawn = mix(keys + step * _STEP + mix(merged.astype(np.uint64)))
-            skipped = drawn < limit
-            agenda[here[skipped], at[skipped]] = never
-            on = here[~skipped]
+            merged = merges[np.arange(len(rows)), at]
+            skipped = np.zeros(len(rows), bool)
+            if limit:
+                with np.errstate(over="ignore"):
+                    drawn = mix(keys + (step * _STEP + mix(merged.astype(np.uint64)))[local]) < limit
+                skips = np.bincount(local[drawn], minlength=len(rows))
+                whole = np.bincount(local, minlength=len(rows))
+                skipped = skips == whole
+                split = np.flatnonzero((skips > 0) & ~skipped)
+                if len(split):  # those that skip go on in a row of their own
+                    copies = np.full(len(rows), -1)
+                    copies[split] = np.arange(len(split))
+                    own = np.flatnonzero(drawn & (copies[local] >= 0))
+                    copy = copies[local[own]]
+                    local[own] = len(rows) + copy
+                    state[open_ones[own]] = total + copy
+                    rows = np.concatenate([rows, total + np.arange(len(split))])
+                    total += len(split)
+                    symbols, agenda, merges, at, merged = (
+                        np.concatenate([a, a[split]]) for a in (symbols, agenda, merges, at, merged)
+                    )
+                    skipped = np.concatenate([skipped, np.ones(len(split), bool)])
+            agenda[np.flatnonzero(skipped), at[skipped]] = never
+            on = np.flatnonzero(~skipped)
             if not len(on):
                 continue
             # the merged pair becomes one symbol; all to its right move up by one
@@ -148,37 +178,48 @@ class PieceCodec:
                 found = self._pairs(symbols[r, c], symbols[r, c + 1])
                 merges[r, c] = found
                 agenda[r, c] = np.where(found >= 0, self.pair_ranks[found], never)
-        return out
+        out = np.empty((total, width), np.int32)
+        out[np.concatenate(closed_rows)] = np.concatenate(closed)
+        return out, state
 
     def segment(
-        self, words: list[str], keys: np.ndarray, dropout: float
-    ) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words in a row, and how many each has."""
+        self, words: list[str], index: np.ndarray, keys: np.ndarray, dropout: float
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all segmentations in a row, how many each has, and that of each occurrence.
+
+        index: word of each occurrence, every word having some; keys: of each occurrence.
+        """
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         points = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
         flat = self.char_ids[points]
         starts = np.cumsum(sizes) - sizes
-        counts = np.zeros(len(words), np.int64)
-        places = np.zeros(len(words), np.int64)  # of each word's ids among the found ones
-        found, held = [], 0
+        order = np.argsort(index, kind="stable")  # occurrences by word
+        often = np.bincount(index, minlength=len(words))
+        begin = np.cumsum(often) - often
+        which = np.zeros(len(index), np.int64)
+        found, counts, held = [], [], 0
         widest = int(sizes.max(initial=1))
         low = 0
         for width in [w for w in _WIDTHS if w < widest] + [widest]:
             rows = np.flatnonzero((sizes > low) & (sizes <= width))
             low = width
-            for part in np.array_split(rows, max(1, len(rows) * width // (1 << 21))):
+            full = (np.cumsum(often[rows]) - often[rows]) * width // _IN_STEP
+            for part in np.split(rows, np.flatnonzero(np.diff(full)) + 1):
                 if not len(part):
                     continue
                 symbols = np.full((len(part), width), -1, np.int32)
                 symbols[np.arange(width) < sizes[part][:, None]] = flat[ranges(starts[part], sizes[part])]
-                done = self._agendas(symbols, keys[part], dropout)
+                own = order[ranges(begin[part], often[part])]
+                owner = np.repeat(np.arange(len(part)), often[part])
+                done, state = self._agendas(symbols, owner, keys[own], dropout)
                 kept = done != -1
-                counts[part] = kept.sum(axis=1)
-                places[part] = held + np.cumsum(counts[part]) - counts[part]
+                which[own] = held + state
+                held += len(done)
+                counts.append(kept.sum(axis=1))
                 found.append(done[kept])
-                held += len(found[-1])
-        ids = np.concatenate(found)[ranges(places, counts)] if found else np.zeros(0, np.int32)
-        return self._with_bytes(ids, counts)
+        if not found:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64), which
+        return *self._with_bytes(np.concatenate(found), np.concatenate(counts)), which
 
     def _with_bytes(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Foreign characters as their bytes."""
@@ -196,28 +237,25 @@ class PieceCodec:
         return out.astype(np.int32), np.bincount(owner, widths, len(counts)).astype(np.int64)
 
     def encode(
-        self, texts: list[str], rows: np.ndarray, seed: int, dropout: float, variants: int
+        self, texts: list[str], rows: np.ndarray, seed: int, dropout: float, variants: int | None = None
     ) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each has. rows: a key for each text.
 
-        Each place of a word draws one of variants keys, so a word is segmented in several ways, and
-        each (word, variant) of the slice once.
+        Each place of a word draws by itself; with variants it draws one of so many keys of the word.
         """
         words, owner = _split(texts)
         known = words.dictionary_encode()
-        index = known.indices.to_numpy()
+        index = known.indices.to_numpy().astype(np.int64)
         lists = known.dictionary.to_numpy(zero_copy_only=False).tolist()
         first = np.searchsorted(owner, np.arange(len(texts)))
         with np.errstate(over="ignore"):
             base = rows.astype(np.int64).view(np.uint64) + np.uint64(seed) * _STEP
             place = (np.arange(len(owner)) - first[owner]).astype(np.uint64)
-            variant = (mix(mix(base)[owner] + place) % np.uint64(variants)).astype(np.int64)
-        which, combined = pd.factorize(index.astype(np.int64) * variants + variant)
-        own = combined // variants
-        hashes = _word_hashes(lists)
-        with np.errstate(over="ignore"):
-            keys = mix(hashes[own] + (combined % variants).astype(np.uint64) * _STEP + np.uint64(seed))
-        ids, counts = self.segment([lists[i] for i in own.tolist()], keys, dropout)
+            keys = mix(mix(base)[owner] + place)
+            if variants is not None:
+                variant = keys % np.uint64(variants)
+                keys = mix(_word_hashes(lists)[index] + variant * _STEP + np.uint64(seed))
+        ids, counts, which = self.segment(lists, index, keys, dropout)
         starts = np.cumsum(counts) - counts
         flat = ids[ranges(starts[which], counts[which])]
         return flat, np.bincount(owner, counts[which], len(texts)).astype(np.int64)
@@ -288,19 +326,20 @@ def encode_pieces(
     tokenizer: str = "piece_bpe_32k.model",
     seed: int = SEED,
     dropout: float = DROPOUT,
-    variants: int = VARIANTS,
+    variants: int | None = None,
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
     """doc_id, text and ids (array of int) of every row, without begin and end ids.
 
     The same seed, id and text give the same ids wherever they are encoded; another seed gives others.
+    Each occurrence of a word draws by itself, unless variants bounds the segmentations of a word.
     dropout 0 gives the library's ids, 1 single characters. Null and empty texts have no ids; null
     ids count as 0 in the key. Rows are encoded one by one, repeated rows alike; an empty table
     gives none. Other columns are not read.
     """
     file = tokenizer_file(tokenizer)
-    if not 0 <= dropout <= 1 or variants < 1:
+    if not 0 <= dropout <= 1 or (variants is not None and variants < 1):
         raise ValueError("dropout lies between 0 and 1, and there is a variant at least")
     rows = docs.select(
         F.col(id_column).alias("doc_id"), F.xxhash64(F.col(id_column).cast("string")).alias("key"),

@@ -1,8 +1,11 @@
 """Inputs beyond the test tables: long texts, many languages, hot ids, frequent words."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from martwright.llm import language_id
+from martwright.llm import language_id, piece_codec
+from martwright.llm.word_pieces import tokenizer_file
 
 LONG = 2 << 20
 
@@ -44,3 +47,31 @@ def test_every_language_is_learned(spark):
         assert model.languages == names
         found = language_id.predict_languages(docs.withColumnRenamed("lang", "doc_id"), model)
         assert {r.doc_id: r.lang_pred for r in found.collect()} == {n: n for n in names}
+
+
+@pytest.fixture(scope="module")
+def codec():
+    return piece_codec.PieceCodec(tokenizer_file("piece_bpe_32k.model"))
+
+
+def test_each_occurrence_of_a_word_draws_by_itself(codec):
+    ids, counts = codec.encode(["information"] * 4000, np.arange(4000), 1, 0.1)
+    assert len(set(map(tuple, np.split(ids, np.cumsum(counts)[:-1])))) > 20
+    plain, n = codec.encode(["of"], np.arange(1), 1, 0.0)
+    assert n.tolist() == [1]
+    ids, counts = codec.encode(["of " * 1000], np.arange(1), 1, 0.1)
+    # both merges kept, or both after the first one was skipped and another way was found
+    assert 850 < (ids == plain[0]).sum() < 930
+
+
+def test_shared_rows_give_what_single_ones_give(codec):
+    words = ["▁the", "▁information", "▁a", "▁misunderstandings", "▁日本x", "▁" + "banana" * 12]
+    index = np.random.default_rng(3).integers(0, len(words), 600)
+    index[: len(words)] = np.arange(len(words))
+    keys = piece_codec.mix(np.arange(600, dtype=np.uint64))
+    for dropout in (0.1, 0.5, 1.0):
+        ids, counts, which = codec.segment(words, index, keys, dropout)
+        ends = np.cumsum(counts)
+        for i, word in enumerate(index):
+            alone, _, _ = codec.segment([words[word]], np.zeros(1, int), keys[i : i + 1], dropout)
+            assert ids[ends[which[i]] - counts[which[i]] : ends[which[i]]].tolist() == alone.tolist()
