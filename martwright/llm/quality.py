@@ -132,20 +132,27 @@ def fit_quality(
 ) -> QualityModel:
     """Trees fitted on at most sample_rows labelled documents, chosen by the hash of their id.
 
-    labels: doc_id and quality (1 good, 0 not). Null ids and qualities are not used; of several
-    labels the majority counts, a tie is good. Without labels, or with one class, the score is the
-    same for all. The sample's size is a parameter, so both its broadcast and its collect are bounded.
+    labels: doc_id and quality (1 good, 0 not). Null ids and qualities are not used, nor are labels
+    of ids that docs does not hold; of several labels the majority counts, a tie is good. Each id
+    counts once, by the first of its texts by hash. Without labels, or with one class, the score is
+    the same for all. The sample's size is a parameter, so both its broadcast and its collect are
+    bounded.
     """
     known = labels.select(F.col("doc_id").alias("label_id"), F.col("quality").cast("double"))
     known = known.dropna().groupBy("label_id").agg(F.avg("quality").alias("quality"))
     order = [F.xxhash64("label_id"), F.col("label_id")]
+    present = docs.select(F.col(id_column).alias("doc_id")).distinct()
+    known = known.join(present, F.col("label_id") == F.col("doc_id"), "left_semi")
     sample = known.orderBy(*order).limit(sample_rows)
     texts = docs.select(F.col(id_column).alias("doc_id"), _bytes(text_column).alias("text"))
     counted = texts.join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select(
-        "label_id", "quality", _text_counts("text").alias("counts")
-    ).select("label_id", "quality", "counts.*")
-    # repeated documents could pass the bound once more
-    rows = counted.orderBy(*order, *COUNTS).limit(sample_rows).toPandas()
+        "label_id", "quality", F.xxhash64("text").alias("text_hash"), _text_counts("text").alias("counts")
+    ).select("label_id", "quality", "text_hash", "counts.*")
+    # copies of an id are merged before they are moved
+    single = counted.groupBy("label_id", "quality").agg(
+        F.min(F.struct("text_hash", *COUNTS)).alias("first")
+    ).select("label_id", "quality", "first.*")
+    rows = single.orderBy(*order).toPandas()
     x = features(rows[list(COUNTS)].to_numpy(np.int64).reshape(-1, len(COUNTS)))
     y = (rows["quality"].to_numpy(float) >= 0.5).astype(float)
     return QualityModel(fit(x, y, MONOTONE), **options)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from martwright.llm import language_id, piece_codec
+from martwright.llm import language_id, piece_codec, quality
 from martwright.llm.word_pieces import tokenizer_file
 
 LONG = 2 << 20
@@ -75,3 +75,19 @@ def test_shared_rows_give_what_single_ones_give(codec):
         for i, word in enumerate(index):
             alone, _, _ = codec.segment([words[word]], np.zeros(1, int), keys[i : i + 1], dropout)
             assert ids[ends[which[i]] - counts[which[i]] : ends[which[i]]].tolist() == alone.tolist()
+
+
+def test_copies_and_absent_ids_do_not_use_up_the_labels(spark):
+    good = [(i, " ".join(f"word{i}x{j}" for j in range(40))) for i in range(60)]
+    bad = [(100 + i, "### $$$ &&& " * (20 + i)) for i in range(60)]
+    rows = [(i, 1) for i, _ in good] + [(i, 0) for i, _ in bad]
+    labels = spark.createDataFrame(rows + [(i, 1) for i in range(1000, 9000)], "doc_id long, quality int")
+    once = spark.createDataFrame(good + bad, "doc_id long, text string")
+    hot = once.join(labels, "doc_id").orderBy(F.xxhash64("doc_id")).limit(1).drop("quality")
+    docs = once.union(hot.crossJoin(spark.range(500).select()))
+    model = quality.fit_quality(docs, labels, sample_rows=150)
+    verdicts = {r.doc_id: r.score for r in quality.quality_verdicts(once, model).collect()}
+    assert len(model.forest.roots)
+    assert min(verdicts[i] for i, _ in good) > 0.5 > max(verdicts[i] for i, _ in bad)
+    same = quality.fit_quality(once, labels, sample_rows=150).forest
+    assert (same.value == model.forest.value).all()
