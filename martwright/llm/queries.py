@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martwright.llm import (
+    fill_middle,
     fingerprints,
     language_id,
     packing,
     piece_codec,
+    pivot_index,
     quality,
     simhash,
     suffix_dedup,
@@ -93,6 +95,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_documents(spark, sf_dir), "piece_bpe_32k.model")
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(read_documents(spark, sf_dir))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(back, 256).alias("restored_sha256"),
+    )
+
+
+def op12_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return pivot_index.nearest_vectors(vectors, F.col("vec_id") % 20 == 0)
+
+
 def queries() -> dict:
     return {
         "op1_simhash": op1_simhash,
@@ -105,6 +122,8 @@ def queries() -> dict:
         "op8_token_files": op8_token_files,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_token_counts": op10_token_counts,
+        "op11_fill_middle": op11_fill_middle,
+        "op12_nearest_vectors": op12_nearest_vectors,
     }
 
 
@@ -131,8 +150,42 @@ FROM numbered LEFT JOIN fitting USING (n)
 """
 
 
+_FILL_MIDDLE_SQL = r"""
+WITH cut AS (
+    SELECT doc_id, coalesce(text, '') AS text,
+        regexp_extract_all(
+            coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+'
+        ) AS units,
+        sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+    FROM documents
+), drawn AS (
+    SELECT doc_id, text, units, len(units) AS n,
+        CAST('0x' || substr(h, 1, 8) AS UBIGINT) % (len(units) + 1) AS cut1,
+        CAST('0x' || substr(h, 9, 8) AS UBIGINT) % (len(units) + 1) AS cut2,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                OR CAST('0x' || substr(h, 17, 8) AS UBIGINT) % 100 >= 50 THEN 'plain'
+            WHEN CAST('0x' || substr(h, 25, 8) AS UBIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+    FROM cut
+), parted AS (
+    SELECT *, array_to_string(units[:least(cut1, cut2)], '') AS prefix,
+        array_to_string(units[least(cut1, cut2) + 1:greatest(cut1, cut2)], '') AS middle,
+        array_to_string(units[greatest(cut1, cut2) + 1:], '') AS suffix
+    FROM drawn
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+    CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text
+        WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+    sha256(CASE form WHEN 'plain' THEN text ELSE prefix || middle || suffix END) AS restored_sha256
+FROM parted
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_fill_middle": _FILL_MIDDLE_SQL,
         "op2_url_filter": _URL_SQL.format(
             upper=url_filter.UPPER,
             lower=url_filter.LOWER,
