@@ -15,6 +15,7 @@ from martwright.llm import (
     quality,
     simhash,
     suffix_dedup,
+    token_alignment,
     token_counts,
     token_files,
     url_filter,
@@ -110,6 +111,12 @@ def op12_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_index.nearest_vectors(vectors, F.col("vec_id") % 20 == 0)
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = token_alignment.align_tokenizers(read_documents(spark, sf_dir))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return aligned.withColumn("groups_sha256", digest).drop("groups")
+
+
 def queries() -> dict:
     return {
         "op1_simhash": op1_simhash,
@@ -124,6 +131,7 @@ def queries() -> dict:
         "op10_token_counts": op10_token_counts,
         "op11_fill_middle": op11_fill_middle,
         "op12_nearest_vectors": op12_nearest_vectors,
+        "op13_token_alignment": op13_token_alignment,
     }
 
 
