@@ -9,18 +9,23 @@ follows from table entries; a text's length in bits under each language decides.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from martwright.llm.common import SLICE_BYTES, record_batch, slices
+from martwright.llm.common import record_batch, slices
 
 ORDER = 3
+#: Bytes of text that are coded at a time.
+SLICE_BYTES = 1 << 19
+#: Bits beyond eight a byte from which a text is of no learned language.
+SLACK_BITS = 256
 #: Every text is read after these bytes, so that its first byte has a context too.
 _BEFORE = b"\n" * ORDER
 #: Bytes of whole sample texts per language, at most.
@@ -54,7 +59,7 @@ def _codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Rows, codes and lengths of some texts at a time; a longer text comes in several runs."""
-    for part in slices(texts):
+    for part in slices(texts, SLICE_BYTES):
         rows = np.arange(part.start, part.stop)
         if len(rows) > 1 or len(texts[part.start]) <= SLICE_BYTES:
             yield rows, *_codes(texts[part])
@@ -116,20 +121,26 @@ class ContextModel:
         return out
 
     def predict(self, texts: list[str | None]) -> pd.DataFrame:
-        """Language and its posterior, every language being as likely beforehand."""
+        """Language, its posterior, every language being as likely beforehand, and whether it fits:
+        the text takes at most SLACK_BITS more than eight bits a byte, which any bytes take without
+        a model."""
         names = np.full(len(texts), UNKNOWN, object)
         scores = np.zeros(len(texts))
-        told = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
+        fits = np.zeros(len(texts), bool)
         if self.languages:
-            known = [texts[i].encode() for i in told]
-            for part in slices(known):
-                bits = self.code_lengths(known[part])
+            for part in slices(texts, SLICE_BYTES):
+                told = [i for i in range(part.start, part.stop)
+                        if texts[i] and any(map(str.isalpha, texts[i]))]
+                if not told:
+                    continue
+                known = [texts[i].encode() for i in told]
+                bits = self.code_lengths(known)
                 best = bits.argmin(axis=1)
                 least = bits[np.arange(len(bits)), best]
-                rows = told[part]
-                names[rows] = np.array(self.languages, object)[best]
-                scores[rows] = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1)
-        return pd.DataFrame({"lang_pred": names, "score": scores})
+                names[told] = np.array(self.languages, object)[best]
+                scores[told] = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1)
+                fits[told] = least <= 8 * np.fromiter(map(len, known), float, len(known)) + SLACK_BITS
+        return pd.DataFrame({"lang_pred": names, "score": scores, "fits": fits})
 
 
 def _find(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -263,16 +274,55 @@ def predict_languages(
 
 
 def predictor(docs: DataFrame, model: ContextModel):
-    """The model as a function of a text column: struct of lang_pred and score."""
+    """The model as a function of a text column: struct of lang_pred and score; und and 0 for texts
+    that are null or have no letter."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        return shared.value.predict(texts.tolist())
+        return shared.value.predict(texts.tolist())[["lang_pred", "score"]]
 
     return predict
 
 
-def keep_known_languages(docs: DataFrame, model: ContextModel, text_column: str = "text") -> DataFrame:
-    """The documents whose text has a learned language, with all their columns."""
-    return docs.where(predictor(docs, model)(F.col(text_column)).lang_pred != UNKNOWN)
+def keep_languages(
+    docs: DataFrame,
+    model: ContextModel,
+    wanted: Sequence[str] | None = None,
+    least_score: float = 0.0,
+    lang_column: str = "lang",
+    text_column: str = "text",
+) -> DataFrame:
+    """The documents in a wanted language (all learned ones, if none are named), with all their columns.
+
+    A document goes if its text is null or has no letter, if no learned language fits it (more than
+    SLACK_BITS above eight bits a byte under each), if the predicted language is not wanted or if that
+    language's posterior is below least_score. The predicted language is written to lang_column where
+    that is null, if there is such a column; other labels stay and are never read. Repeated rows share their fate; null ids are
+    like others. If nothing was learned, all documents go. An empty table gives no rows. Rows pass by
+    in slices, in their order, and nothing is shuffled.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    wanted = None if wanted is None else frozenset(wanted)
+    names = docs.columns
+    text_at = names.index(text_column)
+    lang_at = names.index(lang_column) if lang_column in names else None
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.column(text_at).nbytes))
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                found = shared.value.predict(part.column(text_at).to_pylist())
+                kept = found["fits"] & (found["score"] >= least_score)
+                if wanted is not None:
+                    kept &= found["lang_pred"].isin(wanted)
+                columns = list(part.columns)
+                if lang_at is not None:
+                    told = pa.array(found["lang_pred"], pa.string()).cast(columns[lang_at].type)
+                    columns[lang_at] = pc.coalesce(columns[lang_at], told)
+                yield pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(
+                    pa.array(kept.to_numpy(bool))
+                )
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -275,12 +275,18 @@ def fingerprint_links(
     return placed.mapInArrow(_linker(matches, bits), "a long, b long").distinct()
 
 
+def _text_key(text: F.Column) -> F.Column:
+    """128 bits of hash that stand for a text."""
+    return F.struct(F.xxhash64(text).alias("low"), F.xxhash64(F.lit(1), text).alias("high"))
+
+
 def _with_components(
     docs: DataFrame, width: int, bits: int, id_column: str, text_column: str
 ) -> DataFrame:
-    """doc_id, fingerprint, root (the least fingerprint of the component) and component_id."""
+    """doc_id, text_key, fingerprint, root (the component's least fingerprint) and component_id."""
     prints = stored(docs.select(
-        F.col(id_column).alias("doc_id"), fingerprint_of(width)(F.col(text_column)).alias("fingerprint")
+        F.col(id_column).alias("doc_id"), _text_key(F.col(text_column)).alias("text_key"),
+        fingerprint_of(width)(F.col(text_column)).alias("fingerprint"),
     ))
     firsts = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"))
     roots = components(fingerprint_links(firsts.select("fingerprint"), bits))
@@ -321,21 +327,24 @@ def keep_first(
     """One document of each component, that with the least id, with all its columns.
 
     Null ids come last. Of several rows with that id the least fingerprint, then the least hash of
-    the text stays.
+    the text stays; of rows that agree in id and text, one. Survivors are chosen on ids and hashes; the
+    documents are then only filtered. An empty table gives no rows.
     """
     ranked = _with_components(docs, width, bits, id_column, text_column)
-    rank = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id"), F.col("fingerprint"))
-    first = ranked.groupBy("root").agg(F.min(rank).alias("first")).select(
-        F.col("first.doc_id").alias("first_id"), F.col("first.fingerprint").alias("first_print")
-    )
-    rows = docs.select(
+    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "fingerprint", "text_key")
+    rows = ranked.groupBy("root", place.alias("place")).agg(F.count(F.lit(1)).alias("n"))
+    first = rows.groupBy("root").agg(F.min(F.struct("place", "n")).alias("first"))
+    kept = stored(first.select(
+        F.col("first.place.doc_id").alias("first_id"), F.col("first.place.text_key").alias("first_key"),
+        F.col("first.n").alias("n"),
+    ))
+    own = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        F.col(id_column).alias("own_id"),
-        F.xxhash64(F.col(text_column)).alias("text_hash"),
-        fingerprint_of(width)(F.col(text_column)).alias("own_print"),
+        F.col(id_column).alias("own_id"), _text_key(F.col(text_column)).alias("own_key"),
     )
-    met = rows.join(first, F.col("own_id").eqNullSafe(F.col("first_id"))
-                    & (F.col("own_print") == F.col("first_print")))
-    # as partitioned for the join: rows of one id only
-    place = F.row_number().over(Window.partitionBy("own_id", "own_print").orderBy("text_hash"))
-    return met.withColumn("place", place).where("place = 1").select("row.*")
+    same = F.col("own_id").eqNullSafe(F.col("first_id")) & (F.col("own_key") == F.col("first_key"))
+    once = own.join(kept.where("n = 1"), same, "left_semi").select("row")
+    # rows alike in id and text are merged in their tasks before they meet
+    several = own.join(kept.where("n > 1"), same, "left_semi")
+    several = several.groupBy("own_id", "own_key").agg(F.first("row").alias("row")).select("row")
+    return once.unionByName(several).select("row.*")

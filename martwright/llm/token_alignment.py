@@ -36,7 +36,7 @@ from martwright.llm.perfect_hash import KeySlots
 from martwright.llm.word_pieces import ByteModel, PieceModel, tokenizer_file
 
 #: Words that a worker keeps, and characters of what they are aligned to; others are aligned again.
-KEPT_WORDS, KEPT_CHARS = 300_000, 64 << 20
+KEPT_WORDS, KEPT_CHARS = 600_000, 64 << 20
 #: Characters of texts that are aligned at a time.
 _SLICE = 1 << 20
 #: Bytes of text whose pairs one task holds.
@@ -101,10 +101,11 @@ class Aligner:
     """Aligns texts word by word and keeps what words are aligned to.
 
     Rows of the store: tokens of either side, links (pairs of ids as one number, the second side's
-    above), the groups as text, and whether the tokens hold the bytes of the word.
+    above), the groups as text if wanted, and whether the tokens hold the bytes of the word.
     """
 
-    def __init__(self, byte_file: str, piece_file: str):
+    def __init__(self, byte_file: str, piece_file: str, with_groups: bool = True):
+        self.with_groups = with_groups
         self.a, self.b = _byte_side(byte_file), _piece_side(piece_file)
         self.at: dict[str, int] = {}
         self.chars = 0
@@ -153,6 +154,9 @@ class Aligner:
         links = ids_b[last_b] << 32 | ids_a[last_a]
         unit_ends = np.searchsorted(last_a, np.cumsum(n_a))
         n_links = np.diff(unit_ends, prepend=0)
+        groups = np.full(len(n_a), "", object)
+        if not self.with_groups:
+            return links, n_links, groups
         closes_a, closes_b = np.zeros(len(ids_a), np.int64), np.zeros(len(ids_b), np.int64)
         closes_a[last_a] = closes_b[last_b] = 1
         # a group's tokens of the first side stand before those of the second
@@ -165,7 +169,6 @@ class Aligner:
         ]
         cuts = np.cumsum(n_a + n_b)
         parts = text.tolist()
-        groups = np.empty(len(n_a), object)
         groups[:] = [
             "".join(parts[stop - n : stop])
             for stop, n in zip(cuts.tolist(), (n_a + n_b).tolist(), strict=True)
@@ -211,14 +214,15 @@ class Aligner:
             self.links, self.chars = self.links[: kept[1]], kept[2]
 
 
-_aligners: dict[tuple[str, str], Aligner] = {}
+_aligners: dict[tuple, Aligner] = {}
 
 
-def _aligner(files: tuple[str, str]) -> Aligner:
-    """One for each Python worker."""
-    if files not in _aligners:
-        _aligners[files] = Aligner(*files)
-    return _aligners[files]
+def _aligner(files: tuple[str, str], with_groups: bool) -> Aligner:
+    """One for each Python worker; that of the other pass goes."""
+    if (files, with_groups) not in _aligners:
+        _aligners.clear()
+        _aligners[files, with_groups] = Aligner(*files, with_groups)
+    return _aligners[files, with_groups]
 
 
 def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -310,7 +314,7 @@ def _count_pairs(files: tuple[str, str], buckets: int):
     """Rows of a block; gives the block's pairs with their counts by bucket."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _aligner(files)
+        aligner = _aligner(files, with_groups=False)
         for block, rows in _grouped(_places(batches, "place", "text")):
             held, size = [], 0
 
@@ -446,7 +450,7 @@ def _report(files: tuple[str, str], schema: pa.Schema):
     """Rows of a block: what it is told of its pairs, then its documents."""
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _aligner(files)
+        aligner = _aligner(files, with_groups=True)
         names = ("place", "body", "doc_id", "text")
         for _, rows in _grouped(_places(batches, *names)):
             told, docs = [np.zeros((3, 0), np.int64)], []

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from martwright.llm import language_id, piece_codec, quality
+from martwright.llm import language_id, piece_codec, quality, simhash
 from martwright.llm.word_pieces import tokenizer_file
 
 LONG = 2 << 20
@@ -32,7 +32,7 @@ def test_long_texts_are_scored_in_runs(monkeypatch):
     text = filled("river of stone, banana ", 1000).encode()
     whole = language_id._codes([text])[0]
     monkeypatch.setattr(language_id, "SLICE_BYTES", 64)
-    monkeypatch.setattr(language_id, "slices", lambda texts: [slice(i, i + 1) for i in range(len(texts))])
+    monkeypatch.setattr(language_id, "slices", lambda texts, most: [slice(i, i + 1) for i in range(len(texts))])
     runs = list(language_id._runs([text]))
     assert len(runs) > 1
     assert [c for _, codes, _ in runs for c in codes] == whole.tolist()
@@ -49,6 +49,43 @@ def test_every_language_is_learned(spark):
         assert {r.doc_id: r.lang_pred for r in found.collect()} == {n: n for n in names}
 
 
+def test_documents_of_other_languages_go(spark):
+    english, french = "a stone by the river and the sea ", "une pierre dans la rivière et la mer "
+    greek = "Ελληνικά είναι μια γλώσσα που μιλιέται στην Ελλάδα και στην Κύπρο. "
+    rows = [(i, filled(english, 300 + i), "en", "part") for i in range(20)]
+    rows += [(100 + i, filled(french, 300 + i), "fr", None) for i in range(20)]
+    model = language_id.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string, keep string"))
+    asked = [(200, english, None, None), (200, english, None, None), (201, french, "en", "x"),
+             (202, greek * 3, "el", None), (203, None, "en", None), (204, "12 34", None, None),
+             (None, french * 9, None, None), (205, "", None, None)]
+    docs = spark.createDataFrame(asked, "doc_id long, text string, lang string, fits string")
+    kept = language_id.keep_languages(docs, model)
+    assert kept.columns == docs.columns
+    want = [(200, english, "en", None)] * 2 + [(201, french, "en", "x"), (None, french * 9, "fr", None)]
+    assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, want))
+    only = language_id.keep_languages(docs, model, wanted=["en"]).collect()
+    assert [r.doc_id for r in only] == [200, 200]
+    sure = language_id.keep_languages(docs.drop("lang"), model, least_score=0.999999)
+    assert {r.doc_id for r in sure.collect()} <= {200, 201, None}
+    none = language_id.keep_languages(docs, language_id.fit_languages(docs.limit(0)))
+    assert none.count() == 0 and language_id.keep_languages(docs.limit(0), model).count() == 0
+
+
+def test_one_fingerprint_for_each_text_and_one_row_for_each_group(spark):
+    text = " ".join(f"word{i}" for i in range(80))
+    rows = [(5, text, "a"), (5, text, "a"), (5, text + " end", "b"), (2, "other words here now", "c"),
+            (None, text, "d"), (None, "quite another text of its own", "e"), (9, None, "f"), (8, "", "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fingerprint string")
+    docs = docs.union(docs.where("fingerprint = 'a'").crossJoin(spark.range(40).select())).repartition(4)
+    kept = simhash.keep_first(docs)
+    # the stored hashes decide: texts are not fingerprinted again
+    assert "Python" not in kept._jdf.queryExecution().executedPlan().toString()
+    got = sorted(kept.collect(), key=repr)
+    linked = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert len(got) == 4 and linked[5] == 5
+    assert {r.doc_id for r in got} == {5, 2, None, 8}
+
+
 @pytest.fixture(scope="module")
 def codec():
     return piece_codec.PieceCodec(tokenizer_file("piece_bpe_32k.model"))
