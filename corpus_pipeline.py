@@ -18,8 +18,8 @@ from martwright.sources.tables import shared_dir
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, and so without a language, go."""
-    return language_id.keep_known_languages(docs, learned_languages(docs))
+    """Documents without a letter and those that no learned language fits go; null lang is filled."""
+    return language_id.keep_languages(docs, learned_languages(docs))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
