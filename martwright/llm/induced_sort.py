@@ -9,6 +9,10 @@ from __future__ import annotations
 
 import numpy as np
 
+from martwright.llm.common import ranges
+
+#: Symbols that are compared at a time.
+_COMPARED = 1 << 16
 #: Up to this many symbols a bucket is induced in array steps; above, one suffix at a time.
 _ARRAY_SYMBOLS = 1024
 
@@ -34,8 +38,22 @@ def _induce(text, smaller, starts, first, size):
     return _induce_steps(text, smaller, starts, first)
 
 
+def _with_runs(block: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Places of a bucket, then those before them in their runs of its symbol, nearest ones first."""
+    steps = left[block]
+    if not steps.any():
+        return block
+    own = np.repeat(np.arange(len(block)), steps + 1)
+    back = ranges(np.zeros(len(block), np.int64), steps + 1)
+    order = np.argsort(back, kind="stable")
+    return (block[own] - back)[order]
+
+
 def _induce_arrays(text, smaller, starts, first, size):
     n = len(text)
+    place = np.arange(n)
+    changes = np.append(True, text[1:] != text[:-1])
+    left = place - np.maximum.accumulate(np.where(changes, place, 0))  # equal symbols before a place
     text = text.astype(np.uint16)  # sorted by digits
     larger = ~smaller
     kinds = np.bincount(text[larger], minlength=size)  # a bucket holds its larger suffixes first
@@ -55,22 +73,24 @@ def _induce_arrays(text, smaller, starts, first, size):
     seeds = np.split(first, np.searchsorted(text[first], np.arange(1, size)))
     put(np.array([n - 1]), heads, 1)
     for symbol in np.flatnonzero(np.diff(starts)):
-        done = starts[symbol]
-        while done < heads[symbol]:  # larger suffixes of the bucket, some induced by itself
-            block = array[done : heads[symbol]]
-            done = heads[symbol]
-            before = block[block > 0] - 1
+        block = array[starts[symbol] : heads[symbol]]  # larger suffixes of the bucket
+        if len(block):
+            block = _with_runs(block, left)
+            array[starts[symbol] : starts[symbol] + len(block)] = block
+            before = block[left[block] == 0] - 1  # of another symbol, or before the text
+            before = before[before >= 0]
             put(before[larger[before]], heads, 1)
         before = seeds[symbol] - 1
         put(before[larger[before]], heads, 1)
     tails = starts[1:] - 1
     tails = tails.copy()
     for symbol in np.flatnonzero(np.diff(starts))[::-1]:
-        done = starts[symbol + 1] - 1
-        while done > tails[symbol]:
-            block = array[tails[symbol] + 1 : done + 1][::-1]
-            done = tails[symbol]
-            before = block[block > 0] - 1
+        block = array[tails[symbol] + 1 : starts[symbol + 1]][::-1]
+        if len(block):
+            block = _with_runs(block, left)
+            array[starts[symbol + 1] - len(block) : starts[symbol + 1]] = block[::-1]
+            before = block[left[block] == 0] - 1
+            before = before[before >= 0]
             put(before[smaller[before]], tails, -1)
         block = array[starts[symbol] : starts[symbol] + kinds[symbol]][::-1]
         before = block[block > 0] - 1
@@ -125,11 +145,15 @@ def _names(text, leftmost, ordered):
     rows = np.flatnonzero(same)
     step = 0
     while len(rows):
-        open_rows = rows[lengths[a[rows]] > step]
-        equal = text[leftmost[a[open_rows]] + step] == text[leftmost[b[open_rows]] + step]
-        same[open_rows[~equal]] = False
-        rows = open_rows[equal]
-        step += 1
+        rows = rows[lengths[a[rows]] > step]
+        width = max(1, _COMPARED // max(1, len(rows)))
+        reach = np.arange(step, step + width)
+        inside = reach < lengths[a[rows], None]
+        first, second = (np.where(inside, leftmost[x[rows], None] + reach, 0) for x in (a, b))
+        equal = (text[first] == text[second]).all(axis=1)
+        same[rows[~equal]] = False
+        rows = rows[equal]
+        step += width
     names = np.empty(m, np.int64)
     names[order] = np.cumsum(np.append(0, ~same))
     return names, int(m - same.sum())
@@ -175,11 +199,17 @@ def permuted_prefixes(text: np.ndarray, array: np.ndarray, separator: int = 0) -
     shared = np.zeros(n, np.int64)
     rows, step = np.flatnonzero(~follows & (before >= 0)), 0
     while len(rows):
-        rows = rows[np.maximum(rows, before[rows]) + step < n]
-        symbols = text[rows + step]
-        rows = rows[(symbols == text[before[rows] + step]) & (symbols != separator)]
-        step += 1
-        shared[rows] = step
+        width = max(1, _COMPARED // len(rows))
+        reach = np.arange(step, step + width)
+        one, other = rows[:, None] + reach, before[rows, None] + reach
+        inside = np.maximum(one, other) < n
+        one, other = np.where(inside, one, 0), np.where(inside, other, 0)
+        symbols = text[one]
+        equal = inside & (symbols == text[other]) & (symbols != separator)
+        whole = equal.all(axis=1)
+        shared[rows] = step + np.where(whole, width, equal.argmin(axis=1))
+        rows = rows[whole]
+        step += width
     place = np.arange(n)
     root = np.maximum.accumulate(np.where(follows, 0, place))
     return shared[root] - (place - root)

@@ -11,6 +11,8 @@ occurrences of one string, of which the earliest stays.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,8 @@ LENGTH = 100
 _GRAM = 50
 #: Strings that a text is scanned by at a time; snippets end there, what is removed does not change.
 _SCAN = 1 << 20
+#: Bytes of short texts that are scanned together.
+_CHUNK = 1 << 15
 #: Anchors of a bucket in the search for repeated ones, and bytes of snippets of a shard.
 _BUCKET_BYTES = 16 << 20
 _BLOCK_BYTES = 8 << 20
@@ -78,31 +82,79 @@ def _several_places(grams, anchors, first, last, width: int) -> np.ndarray:
     return np.searchsorted(keys, own * span + last + width - 1, side="right") - low > 1
 
 
-def snippets(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """Anchors of the strings of a text: hash, first and last start of each run with one anchor, and
-    whether the anchor stands at several places in the run's snippet."""
+def _runs_of_anchors(part: np.ndarray, length: int, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Anchors of the strings of some texts, which end at ends: hash, first and last start of each run
+    with one anchor, and whether the anchor stands at several places in the run's snippet."""
     gram = min(_GRAM, length)
     width = length - gram + 1
-    hashes, firsts, lasts, inner = [], [], [], []
-    for begin in range(0, max(0, len(text) - length + 1), _SCAN):
+    up, down = _powers.get(len(part))
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
+        grams = mix((sums[gram:] - sums[:-gram]) * down[: len(part) - gram + 1])
+    anchors = _sliding(np.minimum, grams, width)
+    own = np.ones(len(part) + 1, bool)  # false where a string would go on into the next text
+    inner = ends[:-1]
+    own[(inner[:, None] - np.arange(1, length)).ravel()] = False
+    own = own[: len(anchors)]
+    new = np.ones(len(anchors), bool)
+    new[1:] = (anchors[1:] != anchors[:-1]) | ~own[:-1]
+    first = np.flatnonzero(new & own)
+    closes = np.ones(len(anchors), bool)
+    closes[:-1] = new[1:] | ~own[1:]
+    last = np.flatnonzero(closes & own)
+    told = np.where(own, anchors, np.uint64(0))
+    return anchors[first], first, last, _several_places(grams, told, first, last, width)
+
+
+def snippets(texts: Sequence[bytes], length: int = LENGTH) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each text the runs of its strings with one anchor: hash, first and last start, and whether
+    the anchor stands at several places in the run's snippet. Short texts are read together."""
+    sizes = [len(t) for t in texts]
+    at = 0
+    while at < len(texts):
+        stop, size = at + 1, sizes[at]
+        while stop < len(texts) and size + sizes[stop] <= _CHUNK:
+            size += sizes[stop]
+            stop += 1
+        if size > _CHUNK and size >= length:
+            yield _long_snippets(texts[at], length)
+        else:
+            yield from _short_snippets(texts[at:stop], length)
+        at = stop
+
+
+def _short_snippets(texts: Sequence[bytes], length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    whole = [t for t in texts if len(t) >= length]
+    none = np.zeros(0, np.int64)
+    empty = none.view(np.uint64), none, none, none.astype(bool)
+    if not whole:
+        yield from (empty for _ in texts)
+        return
+    ends = np.cumsum(np.fromiter(map(len, whole), np.int64, len(whole)))
+    hashes, first, last, inner = _runs_of_anchors(
+        np.frombuffer(b"".join(whole), np.uint8), length, ends
+    )
+    cuts = np.append(0, np.searchsorted(first, ends)).tolist()
+    begins = np.append(0, ends).tolist()
+    n = 0
+    for text in texts:
+        if len(text) < length:
+            yield empty
+            continue
+        rows, begin = slice(cuts[n], cuts[n + 1]), begins[n]
+        yield hashes[rows], first[rows] - begin, last[rows] - begin, inner[rows]
+        n += 1
+
+
+def _long_snippets(text: bytes, length: int) -> tuple[np.ndarray, ...]:
+    """Those of a text that is scanned a part at a time."""
+    found = []
+    for begin in range(0, len(text) - length + 1, _SCAN):
         part = np.frombuffer(text, np.uint8)[begin : begin + _SCAN + length - 1]
-        up, down = _powers.get(len(part))
-        with np.errstate(over="ignore"):
-            sums = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
-            grams = mix((sums[gram:] - sums[:-gram]) * down[: len(part) - gram + 1])
-        anchors = _sliding(np.minimum, grams, width)
-        cuts = np.flatnonzero(anchors[1:] != anchors[:-1]) + 1
-        first = np.concatenate([[0], cuts])
-        hashes.append(anchors[first])
-        firsts.append(first + begin)
-        last = np.append(cuts - 1, len(anchors) - 1)
-        lasts.append(last + begin)
-        inner.append(_several_places(grams, anchors, first, last, width))
-    if not hashes:
-        none = np.zeros(0, np.int64)
-        return none.view(np.uint64), none, none, none.astype(bool)
-    return tuple(map(np.concatenate, (hashes, firsts, lasts, inner)))
+        hashes, first, last, inner = _runs_of_anchors(part, length, np.array([len(part)]))
+        found.append((hashes, first + begin, last + begin, inner))
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
 
 
 def _keys(text: bytes, firsts: np.ndarray, lasts: np.ndarray, length: int) -> np.ndarray:
@@ -152,11 +204,17 @@ def _first_by(table: np.ndarray, *names: str) -> np.ndarray:
     return table[new]
 
 
+def _few(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[tuple]]:
+    """Rows of batches, a few at a time as Python values: a batch may hold long texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            yield list(zip(*[part[n].to_pylist() for n in names], strict=True))
+
+
 def _cells(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
-    """Rows of a batch, a few at a time as Python values: a batch may hold long texts."""
-    for at in range(0, batch.num_rows, 64):
-        part = batch.slice(at, 64)
-        yield from zip(*[part[n].to_pylist() for n in names], strict=True)
+    for rows in _few(iter([batch]), *names):
+        yield from rows
 
 
 _BLOB = pa.schema([("place", pa.int32()), ("blob", pa.binary())])
@@ -188,9 +246,9 @@ def _find_snippets(buckets: int, blocks: int, length: int):
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, held_buckets, size = [], [], 0
-        for batch in batches:
-            for doc, text in _cells(batch, "doc", "text"):
-                hashes, firsts, lasts, _ = snippets(text, length)
+        for rows in _few(batches, "doc", "text"):
+            found = snippets([text for _, text in rows], length)
+            for (doc, text), (hashes, firsts, lasts, _) in zip(rows, found, strict=True):
                 if not len(hashes):
                     continue
                 table = np.zeros(len(hashes), _SNIPPET)
@@ -211,17 +269,9 @@ def _find_snippets(buckets: int, blocks: int, length: int):
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[bytes]]]:
-    """Place and blobs of rows that are sorted by place."""
-    place, held = None, []
-    for batch in batches:
-        for own, blob in zip(batch["place"].to_pylist(), batch["blob"].to_pylist(), strict=True):
-            if own != place:
-                if held:
-                    yield place, held
-                place, held = own, []
-            held.append(blob)
-    if held:
-        yield place, held
+    """Place and blobs, as they come, of rows that are sorted by place."""
+    rows = (row for part in _few(batches, "place", "blob") for row in part)
+    return ((place, (blob for _, blob in own)) for place, own in groupby(rows, itemgetter(0)))
 
 
 def _tell_repeats(blocks: int):
@@ -310,15 +360,15 @@ def _mark_copies(shards: int, length: int):
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, told, known = None, [], None
-        for batch in batches:
+        for part in _few(batches, "place", "blob", "doc", "text_hash", "text"):
             rows = {f.name: [] for f in _MARKED}
 
             def add(*values, rows=rows):
                 for name, value in zip(rows, values, strict=True):
                     rows[name].append(value)
 
-            names = ("place", "blob", "doc", "text_hash", "text")
-            for place, blob, doc, text_hash, text in _cells(batch, *names):
+            found = snippets([text or b"" for *_, text in part], length)
+            for (place, blob, doc, text_hash, text), snippets_ in zip(part, found, strict=True):
                 if place != block:
                     block, told, known = place, [], None
                 if blob is not None:
@@ -327,7 +377,7 @@ def _mark_copies(shards: int, length: int):
                 if known is None:
                     known = np.concatenate([np.zeros(0, _FOUND), *told])
                     known = known[np.argsort(known["key"])]
-                hashes, firsts, lasts, inner = snippets(text, length)
+                hashes, firsts, lasts, inner = snippets_
                 if not len(hashes):
                     continue
                 keys = _keys(text, firsts, lasts, length)
@@ -511,7 +561,7 @@ def repeated_runs(
     found = rows.select("doc", "text").mapInArrow(
         _find_snippets(buckets, blocks, length), "place int, blob binary"
     )
-    told = found.repartition(buckets, "place").sortWithinPartitions("place").mapInArrow(
+    told = found.repartitionById(buckets, "place").sortWithinPartitions("place").mapInArrow(
         _tell_repeats(blocks), "place int, blob binary"
     )
     meeting = _meet(told.select("place", "blob"), rows, blocks)
@@ -525,7 +575,7 @@ def repeated_runs(
         over = several.join(sizes, "anchor", "left_semi").select("doc", "text_hash", "start", "body")
         runs = runs.unionByName(_large_anchors(over, length))
         several = several.join(sizes, "anchor", "left_anti")
-    ordered = several.repartition(shards, "shard").sortWithinPartitions(
+    ordered = several.repartitionById(shards, "shard").sortWithinPartitions(
         "shard", "anchor", "doc", "start"
     )
     arrays = ordered.select("doc", "text_hash", "start", "anchor", "body").mapInArrow(
@@ -545,7 +595,7 @@ def _block_of(doc: Column, blocks: int) -> Column:
 def _meet(notes: DataFrame, rows: DataFrame, blocks: int) -> DataFrame:
     """Notes (by place, the block) and documents in one partition for each block, notes first."""
     placed = rows.withColumn("place", _block_of(F.col("doc"), blocks))
-    both = notes.unionByName(placed, allowMissingColumns=True).repartition(blocks, "place")
+    both = notes.unionByName(placed, allowMissingColumns=True).repartitionById(blocks, "place")
     return both.sortWithinPartitions("place", F.col("blob").isNull())
 
 
