@@ -1,4 +1,4 @@
-"""Full refresh: raw tables to stored marts."""
+"""Full refresh: raw tables to stored marts, published as one set."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from martwright import schemas
 from martwright.operators import marts as build
-from martwright.sources import tables
+from martwright.sources import tables, versions
 from martwright.sources.csv_raw import duplicate_keys
 
 PARTITION = "order_year_month"
@@ -57,48 +57,57 @@ def ready_raw(
     return result
 
 
-def refresh_marts(raw: dict[str, DataFrame], folder: str) -> Marts:
-    """Builds and replaces the order lines and the three marts. Each reads the one before from
-    storage, so a lost executor costs one step and no plan recomputes the whole lineage; items are
-    joined with products once. Repeated keys raise: a join would multiply rows, and with them every
-    count."""
+def refresh_marts(raw: dict[str, DataFrame], folder: str, kept: int = 1) -> Marts:
+    """Builds the order lines and the three marts as a new version of the folder, and publishes it.
+
+    Each mart reads the one before from storage, so a lost executor costs one step and no plan
+    recomputes the whole lineage; items are joined with products once. Readers see the version before
+    until all tables are written, then this one; a refresh that dies leaves them the old set. Of the
+    superseded versions the last kept ones stay for whoever still reads them. Repeated keys raise
+    before anything is written: a join would multiply rows, and with them every count.
+    """
     repeated = duplicate_keys(raw).limit(20).collect()
     if repeated:
         found = ", ".join(f"{r.table} {r.key} ({r.rows} rows)" for r in repeated)
         raise ValueError(f"keys that occur more than once: {found}")
     spark = raw["raw_orders"].sparkSession
+    version = versions.new_version()
+    path = version.path(folder)
     rows = {}
 
     def store(name: str, df: DataFrame, partition: str | None = None) -> DataFrame:
-        path = _path(folder, name)
-        rows[name] = tables.write_table(df, path, partition).get["rows"]
-        return tables.read_table(spark, path, schemas.mart_schema(name, raw))
+        rows[name] = tables.write_table(df, _path(path, name), partition).get["rows"]
+        return tables.read_table(spark, _path(path, name), schemas.mart_schema(name, raw))
 
     lines = build.order_lines(raw)
-    path = _path(folder, "order_lines")
-    tables.write_table(lines, path)
-    lines = tables.read_table(spark, path, lines.schema)
+    tables.write_table(lines, _path(path, "order_lines"))
+    lines = tables.read_table(spark, _path(path, "order_lines"), lines.schema)
     orders = store("orders_mart", build.build_orders_mart(raw, lines), PARTITION)
     order_seller = store(
         "order_seller", build.build_order_seller(raw, orders, lines), PARTITION
     )
     sellers = store("seller_mart", build.build_seller_mart(order_seller))
+    versions.publish(spark, folder, version, rows)
+    versions.remove_superseded(spark, folder, kept)
     return Marts(orders, order_seller, sellers, rows)
 
 
 def read_marts(spark: SparkSession, folder: str, raw: dict[str, DataFrame]) -> Marts:
-    """Stored marts. The orders mart must exist; absent seller marts read as empty tables."""
-    if not tables.path_exists(spark, _path(folder, "orders_mart")):
+    """The marts of the published version, or of a folder that holds the tables themselves. The
+    orders mart must exist; absent seller marts read as empty tables."""
+    version = versions.current_version(spark, folder)
+    path = version.path(folder) if version else folder
+    if not tables.path_exists(spark, _path(path, "orders_mart")):
         raise FileNotFoundError(f"no orders mart in {folder}; run a refresh first")
     orders, order_seller, sellers = [
-        tables.read_optional(spark, _path(folder, name), schemas.mart_schema(name, raw))
+        tables.read_optional(spark, _path(path, name), schemas.mart_schema(name, raw))
         for name in schemas.MARTS
     ]
-    return Marts(orders, order_seller, sellers)
+    return Marts(orders, order_seller, sellers, version.rows if version else None)
 
 
 def ready_marts(spark: SparkSession, folder: str, raw: dict[str, DataFrame]) -> Marts:
-    """Stored marts, built first unless all of them are complete."""
-    if all(tables.is_complete(spark, _path(folder, name)) for name in schemas.MARTS):
+    """Stored marts, built first unless a version is published."""
+    if versions.current_version(spark, folder):
         return read_marts(spark, folder, raw)
     return refresh_marts(raw, folder)
