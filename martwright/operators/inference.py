@@ -23,7 +23,7 @@ from martwright.functions.columns import (
     wilson_interval,
 )
 from martwright.functions.pvalues import tail_p
-from martwright.operators.ranks import cut_points, weighted_rank_correlation, with_positions
+from martwright.operators.ranks import weighted_rank_correlation, with_positions
 from martwright.operators.sellers import reviewed_rows
 from martwright.operators.shared import all_segments
 
@@ -262,14 +262,12 @@ def spearman(
 ) -> DataFrame:
     """Rank correlation with average ranks, its interval and t: one row.
 
-    Pairs first collapse to distinct (x, y) with counts. Cut points that are not given are
-    estimated from the data in one pass each; they never change the result.
+    Pairs first collapse to distinct (x, y) with counts; cuts are those of with_positions and never
+    change the result.
     """
     known = rows.select(finite(F.col(x)).alias("x"), finite(F.col(y)).alias("y")).where(
         F.col("x").isNotNull() & F.col("y").isNotNull()
     )
-    x_cuts = cut_points(known, "x") if x_cuts is None else x_cuts
-    y_cuts = cut_points(known, "y") if y_cuts is None else y_cuts
     cells = known.groupBy("x", "y").agg(F.count("*").alias("n"))
     low, high = correlation_interval("rho", "n_observations")
     return weighted_rank_correlation(cells, "x", "y", x_cuts, y_cuts).selectExpr(

@@ -3,7 +3,8 @@
 Rows first collapse to one row per distinct value, so a value that holds a third of the data is
 one row. The distinct values are cut into ordered buckets, positions are counted inside each
 bucket, and the number of rows in earlier buckets is added from a table that has one row per
-bucket. Cut points only balance the work; results are exact wherever the cuts fall.
+bucket. Cuts only balance the work; results are exact wherever they fall. By default they are those
+of a range exchange within the plan, so nothing runs before the result is asked for.
 """
 
 from __future__ import annotations
@@ -38,16 +39,22 @@ def histogram(df: DataFrame, value: str, by: Sequence[str] = (), **extra: Column
 def with_positions(
     cells: DataFrame,
     value: str,
-    cuts: Sequence[float],
+    cuts: Sequence[float] | None = None,
     by: Sequence[str] = (),
     weight: str = "n",
 ) -> DataFrame:
     """Adds below, ties, average_rank and group_rows to rows that each stand for `weight` rows.
 
-    Several rows may share a value; ties then counts them together. Without cut points each group
-    is counted in one window, which suits tables of few distinct values.
+    Several rows may share a value; ties then counts them together. Rows that agree in all columns
+    but the weight may come back as one. cuts are the cut points of buckets; None stands for a range
+    exchange, of all rows as one group. With no cut points each group is counted in one window, which
+    suits tables of few distinct values.
     """
-    if cuts:
+    if cuts is None:
+        if by:
+            raise ValueError("groups are not ranked by a range exchange: give cut points")
+        placed = _ranged_positions(cells, value, weight)
+    elif cuts:
         placed = _bucketed_positions(cells, value, cuts, by, weight)
     else:
         group = Window.partitionBy(*by)
@@ -59,6 +66,38 @@ def with_positions(
     return placed.withColumn("average_rank", F.col("below") + (F.col("ties") + 1) / F.lit(2.0))
 
 
+def _ranged_positions(cells: DataFrame, value: str, weight: str) -> DataFrame:
+    """Positions within the partitions of a range exchange, and the rows of the partitions before.
+
+    Partition sizes and rows both read that exchange. Grouping by every column keeps the columns of
+    both uses alike, so that it runs once; were it to run twice with other ranges, sizes would not
+    agree and the query would fail.
+    """
+    parts = max(2, int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    others = [name for name in cells.columns if name != weight]
+    ranged = cells.repartitionByRange(parts, value).withColumn("_part", F.spark_partition_id())
+    placed = ranged.groupBy("_part", *others).agg(F.sum(weight).alias(weight))
+    sizes = placed.groupBy("_part").agg(F.sum(weight).alias("_size"))
+    # as many rows as the exchange has partitions
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(
+        "_part", "_size",
+        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_earlier"),
+        F.sum("_size").over(Window.partitionBy()).alias("group_rows"),
+    )
+    part = Window.partitionBy("_part")
+    counted = placed.withColumns({
+        "_up_to": F.sum(weight).over(part.orderBy(value)),
+        "ties": F.sum(weight).over(Window.partitionBy("_part", value)),
+        "_here": F.sum(weight).over(part),
+    }).join(F.broadcast(offsets), "_part")
+    earlier = F.when(F.col("_size") == F.col("_here"), F.col("_earlier")).otherwise(
+        F.raise_error(F.lit("the ranges of a global rank were computed twice and differ"))
+    )
+    below = earlier + F.col("_up_to") - F.col("ties")
+    return counted.withColumn("below", below).drop("_part", "_size", "_earlier", "_up_to", "_here")
+
+
 def _bucketed_positions(
     cells: DataFrame, value: str, cuts: Sequence[float], by: Sequence[str], weight: str
 ) -> DataFrame:
@@ -120,12 +159,16 @@ def read_quantiles(
 
 
 def weighted_rank_correlation(
-    cells: DataFrame, x: str, y: str, x_cuts: Sequence[float], y_cuts: Sequence[float]
+    cells: DataFrame,
+    x: str,
+    y: str,
+    x_cuts: Sequence[float] | None = None,
+    y_cuts: Sequence[float] | None = None,
 ) -> DataFrame:
     """Spearman's rho with average ranks from rows (x, y, n): one row with n and rho.
 
     Ranks of x are summed per y before y is ranked, so a frequent y is merged map-side and the two
-    rankings need no join.
+    rankings need no join. cuts are those of with_positions.
     """
     centred = F.col("average_rank") - (F.col("group_rows") + 1) / F.lit(2.0)
     per_y = (
