@@ -24,7 +24,7 @@ from martwright.functions.columns import (
 )
 from martwright.functions.pvalues import tail_p
 from martwright.operators.ranks import weighted_rank_correlation, with_positions
-from martwright.operators.sellers import reviewed_rows
+from martwright.operators.sellers import per_seller
 from martwright.operators.shared import all_segments
 
 
@@ -348,9 +348,11 @@ def seller_heterogeneity(
     min_sellers: int = 3,
     single_seller_only: bool = True,
 ) -> DataFrame:
-    """Do sellers of one category differ in bad reviews? One test per category."""
-    rows = reviewed_rows(order_seller, single_seller_only)
-    sellers = outcome_counts(rows, ["product_category_name", "seller_id"], "is_bad_review")
+    """Do sellers of one category differ in bad reviews? One test per category. Takes order-and-seller
+    rows or their seller_sums."""
+    sellers = per_seller(order_seller, single_seller_only).dropna(subset=["seller_id"]).select(
+        "product_category_name", "seller_id", F.col("orders").alias("n"), F.col("bad_reviews").alias("hits")
+    )
     tests = chi_square(
         sellers.where(F.col("n") >= min_seller_orders),
         ["product_category_name"],

@@ -1,13 +1,13 @@
 """Order, order-and-seller, and seller marts.
 
 Items are merged once, to lines of (order, seller, product); both item marts roll up from these.
-Every step that argmaxes or counts distinct names first aggregates at the grain of that name, so
-a hot order or seller is never gathered as a group.
+Every step that argmaxes or counts distinct names first aggregates at the grain of that name, and
+each aggregate merges within its tasks before rows move, so a hot order or seller is never gathered.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from martwright import labels as L
@@ -37,26 +37,37 @@ def product_categories(products: DataFrame, translation: DataFrame) -> DataFrame
     )
 
 
+def _items(raw: Raw) -> DataFrame:
+    """Raw items as lines of one item each, money in whole ten-thousandths."""
+    return raw["raw_order_items"].select(
+        "order_id", "seller_id", "product_id",
+        F.lit(1).cast("long").alias("items"),
+        exact_money(F.col("price").cast("double")).alias("price"),
+        exact_money(F.col("freight_value").cast("double")).alias("freight"),
+        F.col("shipping_limit_date").alias("limit_date"),
+    )
+
+
+def _with_category(lines: DataFrame, raw: Raw) -> DataFrame:
+    categories = product_categories(raw["raw_products"], raw["raw_category_translation"])
+    return lines.join(categories, "product_id", "left").withColumn(
+        "category", F.coalesce("category", F.lit(L.MISSING_PRODUCT_CATEGORY))
+    )
+
+
+def item_lines(raw: Raw) -> DataFrame:
+    """One row per item with its category: for one mart alone, as its first aggregate merges them."""
+    return _with_category(_items(raw), raw)
+
+
 def order_lines(raw: Raw) -> DataFrame:
     """One row per order, seller and product with its category: what both marts are rolled up from.
 
     Repeated items of an order are merged before the product join, so a huge order is at most its
     distinct (seller, product) pairs afterwards. Money stays in whole ten-thousandths.
     """
-    merged = (
-        raw["raw_order_items"]
-        .groupBy("order_id", "seller_id", "product_id")
-        .agg(
-            F.count("*").alias("items"),
-            F.sum(exact_money(F.col("price").cast("double"))).alias("price"),
-            F.sum(exact_money(F.col("freight_value").cast("double"))).alias("freight"),
-            F.max("shipping_limit_date").alias("limit_date"),
-        )
-    )
-    categories = product_categories(raw["raw_products"], raw["raw_category_translation"])
-    return merged.join(categories, "product_id", "left").withColumn(
-        "category", F.coalesce("category", F.lit(L.MISSING_PRODUCT_CATEGORY))
-    )
+    merged = _items(raw).groupBy("order_id", "seller_id", "product_id").agg(*_sums())
+    return _with_category(merged, raw)
 
 
 def _sums() -> list[Column]:
@@ -72,42 +83,43 @@ def _main_category() -> Column:
 def _item_totals(lines: DataFrame) -> DataFrame:
     """Item totals per order with the category and the seller that earned most.
 
-    Lines move once, by order. What a seller earned is added within that partitioning, then lines
-    roll up to products, categories and orders without another exchange.
+    Lines are merged per seller, per category and per product of an order in one pass of grouping
+    sets, then to orders. Both steps merge within their tasks before they move rows, so an order with
+    much of all lines is spread over the tasks until one row a task is left of it.
     """
-    seller = (
-        Window.partitionBy("order_id", "seller_id")
-        .orderBy("product_id")
-        .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    keys = ("order_id", "seller_id", "category", "product_id")
+    rolled = lines.groupingSets([[keys[0], own] for own in keys[1:]], *keys).agg(
+        F.grouping_id().alias("unused"), *_sums()
     )
-    first = F.row_number().over(
-        Window.partitionBy("order_id", "seller_id").orderBy("product_id")
-    ) == 1
-    earned = lines.repartition("order_id").withColumns({
-        "best": largest_first(F.sum("price").over(seller), F.col("seller_id")),
-        "sellers": (first & F.col("seller_id").isNotNull()).cast("int"),
-    })
-    rolled = [*_sums(), F.min("best").alias("best"), F.sum("sellers").alias("sellers")]
-    return (
-        earned.groupBy("order_id", "category", "product_id")
-        .agg(*rolled)
-        .groupBy("order_id", "category")
-        .agg(*rolled, F.count("product_id").alias("products"))
-        .groupBy("order_id")
-        .agg(
-            F.sum("items").alias("order_item_count"),
-            F.sum("products").alias("distinct_products"),
-            F.sum("sellers").alias("distinct_sellers"),
-            F.count("category").alias("distinct_categories"),
-            as_money(F.sum("price")).alias("total_price"),
-            as_money(F.sum("freight")).alias("total_freight"),
-            F.max("limit_date").alias("max_shipping_limit_date"),
-            _main_category().alias("product_category_name"),
-            F.min("best")["seller_id"].alias("main_seller_id"),
-        )
-        .withColumn(
-            "is_mixed_category", F.when(F.col("distinct_categories") > 1, 1).otherwise(0)
-        )
+
+    def of(own: str, value: Column) -> Column:
+        """The value in rows of one kind. grouping_id has a bit for each key that is not in use."""
+        bits = sum(1 << (len(keys) - 1 - i) for i, key in enumerate(keys) if i and key != own)
+        return F.when(F.col("unused") == bits, value)
+
+    def main(own: str) -> Column:
+        """The name that earned most."""
+        return F.min(of(own, largest_first(F.col("price"), F.col(own))))[own]
+
+    totals = rolled.groupBy("order_id").agg(
+        F.sum(of("category", F.col("items"))).alias("order_item_count"),
+        *[
+            F.count(of(own, F.col(own))).alias(name)
+            for name, own in (
+                ("distinct_products", "product_id"), ("distinct_sellers", "seller_id"),
+                ("distinct_categories", "category"),
+            )
+        ],
+        *[
+            as_money(F.sum(of("category", F.col(name)))).alias(f"total_{name}")
+            for name in ("price", "freight")
+        ],
+        F.max("limit_date").alias("max_shipping_limit_date"),
+        main("category").alias("product_category_name"),
+        main("seller_id").alias("main_seller_id"),
+    )
+    return totals.withColumn(
+        "is_mixed_category", F.when(F.col("distinct_categories") > 1, 1).otherwise(0)
     )
 
 
@@ -120,7 +132,7 @@ def _with_seller_state(orders: DataFrame, raw: Raw) -> DataFrame:
 
 def build_items_agg(raw: Raw) -> DataFrame:
     """Item totals per order, with the state of the main seller."""
-    return _with_seller_state(_item_totals(order_lines(raw)), raw).select(
+    return _with_seller_state(_item_totals(item_lines(raw)), raw).select(
         "order_id", "order_item_count", "distinct_products", "distinct_sellers",
         "distinct_categories", "total_price", "total_freight", "max_shipping_limit_date",
         "product_category_name", "main_seller_id", "seller_state", "is_mixed_category",
@@ -169,7 +181,7 @@ def build_orders_mart(raw: Raw, lines: DataFrame | None = None) -> DataFrame:
     joined = (
         raw["raw_orders"]
         .join(customers, "customer_id", "left")
-        .join(_item_totals(order_lines(raw) if lines is None else lines), "order_id", "left")
+        .join(_item_totals(item_lines(raw) if lines is None else lines), "order_id", "left")
         .join(build_payments_agg(raw), "order_id", "left")
         .join(build_reviews_agg(raw), "order_id", "left")
     )
@@ -212,11 +224,13 @@ def build_orders_mart(raw: Raw, lines: DataFrame | None = None) -> DataFrame:
 def build_order_seller(
     raw: Raw, orders_mart: DataFrame, lines: DataFrame | None = None
 ) -> DataFrame:
-    """One row per order and seller; order-level facts repeat on each seller of the order."""
+    """One row per order and seller; order-level facts repeat on each seller of the order.
+
+    Lines are merged by category, then to sellers, each time before they move.
+    """
     lines = order_lines(raw) if lines is None else lines
     totals = (
-        lines.repartition("order_id")
-        .groupBy("order_id", "seller_id", "category")
+        lines.groupBy("order_id", "seller_id", "category")
         .agg(*_sums())
         .groupBy("order_id", "seller_id")
         .agg(

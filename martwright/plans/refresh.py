@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from martwright import schemas
 from martwright.operators import marts as build
+from martwright.operators.sellers import seller_sums
 from martwright.sources import tables, versions
 from martwright.sources.csv_raw import duplicate_keys
 
@@ -21,6 +22,12 @@ class Marts:
     order_seller: DataFrame
     sellers: DataFrame
     rows: dict[str, int] | None = None
+    sums: DataFrame | None = None
+
+    @property
+    def seller_sums(self) -> DataFrame:
+        """Sums by category and seller: stored ones, else made from the order-and-seller rows."""
+        return seller_sums(self.order_seller) if self.sums is None else self.sums
 
 
 def _path(folder: str, name: str) -> str:
@@ -58,7 +65,7 @@ def ready_raw(
 
 
 def refresh_marts(raw: dict[str, DataFrame], folder: str, kept: int = 1) -> Marts:
-    """Builds the order lines and the three marts as a new version of the folder, and publishes it.
+    """Builds the order lines, the three marts and the sums by category and seller as a new version of the folder, and publishes it.
 
     Each mart reads the one before from storage, so a lost executor costs one step and no plan
     recomputes the whole lineage; items are joined with products once. Readers see the version before
@@ -87,9 +94,12 @@ def refresh_marts(raw: dict[str, DataFrame], folder: str, kept: int = 1) -> Mart
         "order_seller", build.build_order_seller(raw, orders, lines), PARTITION
     )
     sellers = store("seller_mart", build.build_seller_mart(order_seller))
+    sums = seller_sums(order_seller)
+    rows["seller_sums"] = tables.write_table(sums, _path(path, "seller_sums")).get["rows"]
+    sums = tables.read_table(spark, _path(path, "seller_sums"), sums.schema)
     versions.publish(spark, folder, version, rows)
     versions.remove_superseded(spark, folder, kept)
-    return Marts(orders, order_seller, sellers, rows)
+    return Marts(orders, order_seller, sellers, rows, sums)
 
 
 def read_marts(spark: SparkSession, folder: str, raw: dict[str, DataFrame]) -> Marts:
@@ -103,7 +113,10 @@ def read_marts(spark: SparkSession, folder: str, raw: dict[str, DataFrame]) -> M
         tables.read_optional(spark, _path(path, name), schemas.mart_schema(name, raw))
         for name in schemas.MARTS
     ]
-    return Marts(orders, order_seller, sellers, version.rows if version else None)
+    sums = None
+    if tables.path_exists(spark, _path(path, "seller_sums")):
+        sums = tables.read_table(spark, _path(path, "seller_sums"), seller_sums(order_seller).schema)
+    return Marts(orders, order_seller, sellers, version.rows if version else None, sums)
 
 
 def ready_marts(spark: SparkSession, folder: str, raw: dict[str, DataFrame]) -> Marts:

@@ -34,7 +34,7 @@ def metric_tables(marts: Marts) -> dict[str, DataFrame]:
         .drop("stage_id")
         .withColumn("avg_delay_days", F.bround("avg_delay_days", 2)),
         "seller_metrics": sellers.seller_ranking(marts.sellers),
-        "seller_category_comparison": sellers.seller_vs_category(marts.order_seller),
+        "seller_category_comparison": sellers.seller_vs_category(marts.seller_sums),
     }
     return {name: rounded(table) for name, table in tables.items()}
 
@@ -49,10 +49,10 @@ def test_tables(marts: Marts) -> dict[str, DataFrame]:
         "state_posthoc": _posthoc_as_written(
             inference.state_posthoc(marts.orders), "customer_state"
         ),
-        "seller_within_category_tests": inference.seller_heterogeneity(marts.order_seller).drop(
+        "seller_within_category_tests": inference.seller_heterogeneity(marts.seller_sums).drop(
             "dof"
         ),
-        "hypothesis_tests": hypotheses.hypothesis_table(marts.orders, marts.order_seller),
+        "hypothesis_tests": hypotheses.hypothesis_table(marts.orders, marts.seller_sums),
     }
     return {name: rounded(table, 6) for name, table in tables.items()}
 

@@ -250,6 +250,35 @@ def test_items_move_few_times(spark, raw):
     assert plan.count("Join [product_id") == 1
 
 
+def test_an_order_with_a_third_of_all_lines_is_spread(spark, raw):
+    """The lines of a hot order are merged in the tasks that hold them: what reaches the task of its
+    key is at most a row from each task before, and the tasks before share its names."""
+    n = 6000
+    lines = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("o"), "id")).alias("order_id"),
+        F.concat(F.lit("s"), F.col("id") % 700).alias("seller_id"),
+        F.concat(F.lit("p"), "id").alias("product_id"),
+        F.concat(F.lit("c"), F.col("id") % 300).alias("category"),
+        F.lit(1).cast("long").alias("items"), (F.col("id") % 97).alias("price"),
+        F.lit(5).cast("long").alias("freight"), F.lit(None).cast("timestamp_ntz").alias("limit_date"),
+    ).repartition(8)
+    totals = build._item_totals(lines)
+    got = totals.where("order_id = 'hot'").first()
+    assert (got.order_item_count, got.distinct_products, got.distinct_sellers) == (2000, 2000, 700)
+    assert got.distinct_categories == 100
+    earned = {}
+    for i in range(0, n, 3):
+        for name in (f"s{i % 700}", f"c{i % 300}"):
+            earned[name] = earned.get(name, 0) + i % 97
+    for kind, name in (("s", got.main_seller_id), ("c", got.product_category_name)):
+        assert name == min((v for v in earned if v[0] == kind), key=lambda v: (-earned[v], v))
+    plan = totals._jdf.queryExecution().executedPlan().toString()
+    exchanges = [i for i, row in enumerate(plan.splitlines()) if "Exchange hashpartitioning" in row]
+    rows = plan.splitlines()
+    assert len(exchanges) == 2 and all("partial_" in rows[i + 1] for i in exchanges)
+    assert "RoundRobin" in plan  # of this test's input; nothing else moves rows that are not merged
+
+
 def test_stored_lines_give_the_same_marts(raw):
     lines = build.order_lines(raw)
     orders = build.build_orders_mart(raw)
