@@ -941,10 +941,13 @@ def slice_values() -> str:
 
 
 def lane_square() -> str:
-    measured = nums(delay_rate="delay_rate", avg_delivery_time_days="avg_delivery_time_days")
+    measured = nums(
+        delay_rate="delay_rate", avg_delivery_time_days="coalesce(avg_delivery_time_days, 0)"
+    )
     return f"""WITH axis AS (SELECT seller_state AS state FROM lanes
                              UNION SELECT customer_state FROM lanes)
-               SELECT a.state AS seller_state, b.state AS customer_state, orders, {measured}
+               SELECT a.state AS seller_state, b.state AS customer_state,
+                      coalesce(orders, 0) AS orders, {measured}
                FROM axis a CROSS JOIN axis b LEFT JOIN lanes
                     ON a.state = lanes.seller_state AND b.state = lanes.customer_state"""
 

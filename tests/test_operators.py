@@ -306,4 +306,6 @@ def test_lane_grid_has_every_pair_of_states(orders):
     grid = {(r.seller_state, r.customer_state): r.orders for r in reports.lane_grid(lanes).collect()}
     assert set(grid) == {(a, b) for a in states for b in states}
     known = {(r.seller_state, r.customer_state): r.orders for r in lanes.collect()}
-    assert {k: n for k, n in grid.items() if n is not None} == known
+    assert {k: n for k, n in grid.items() if n} == known
+    empty = [r for r in reports.lane_grid(lanes).collect() if not r.orders]
+    assert empty and all((r.orders, r.avg_delivery_time_days, r.delay_rate) == (0, 0, None) for r in empty)
