@@ -20,13 +20,21 @@ from martwright.sources.tables import shared_dir
 SLICE_BYTES = 4 << 20
 #: Bytes of text that a partition is made for.
 PART_BYTES = 16 << 20
+#: Bytes of a batch of rows that Spark hands to a Python task, where the session leaves its default.
+BATCH_BYTES = 4 << 20
+_BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20)
 
 
 _sent: set[str] = set()
 
 
 def send_package(spark: SparkSession) -> None:
-    """Executors need not have this package installed: Spark sends it to them, once per application."""
+    """Executors need not have this package installed: Spark sends it to them, once per application.
+
+    Batches for Python tasks are bounded by bytes in this session, as rows may hold long texts.
+    """
+    if spark.conf.get(_BATCH_KEY).rstrip("b") == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_KEY, BATCH_BYTES)
     context = spark.sparkContext
     if context.applicationId in _sent:
         return
