@@ -36,7 +36,7 @@ from martwright.llm.perfect_hash import KeySlots
 from martwright.llm.word_pieces import ByteModel, PieceModel, tokenizer_file
 
 #: Words that a worker keeps, and characters of what they are aligned to; others are aligned again.
-KEPT_WORDS, KEPT_CHARS = 600_000, 64 << 20
+KEPT_WORDS, KEPT_CHARS = 300_000, 32 << 20
 #: Characters of texts that are aligned at a time.
 _SLICE = 1 << 20
 #: Bytes of text whose pairs one task holds.
