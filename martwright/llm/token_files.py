@@ -262,7 +262,7 @@ def write_token_files(
     parts = parts_for(text_bytes(rows, "text"), most=10_000)
     splits = id_splits(rows, "doc_id", parts)
     ordered = rows.select(id_part(F.col("doc_id"), splits).alias("part"), "doc_id", "text")
-    ordered = ordered.repartition(parts, "part").sortWithinPartitions("part", "doc_id", "text")
+    ordered = ordered.repartitionById(parts, "part").sortWithinPartitions("part", "doc_id", "text")
     entries = stored(ordered.mapInArrow(_shard_writer(folder, file, end_id, kind), _ENTRY_DDL))
     totals = entries.groupBy("part", "file").agg(
         F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("docs")
