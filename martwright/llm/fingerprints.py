@@ -183,7 +183,7 @@ def _with_heads(placed: DataFrame, heads: F.Column, order: list, parts: int) ->
     late = heads_rows.groupBy("own", "before", "doc_id").agg(F.min("text").alias("text")).select(
         F.col("before").alias("part"), F.lit(1).alias("late"), "doc_id", "text"
     )
-    ordered = own.unionByName(late).repartition(parts, "part").sortWithinPartitions(
+    ordered = own.unionByName(late).repartitionById(parts, "part").sortWithinPartitions(
         "part", "late", *order
     )
     return ordered.select("part", "doc_id", "text").mapInArrow(_fingerprint_rows, _ddl(_OUT))
