@@ -715,6 +715,40 @@ def rank_sum() -> str:
         FROM u"""
 
 
+def rank_sum_slices(by: str) -> str:
+    """The test in each slice; its exact law by listing every choice of n1 among n places."""
+    normal = tail("normal", "z", "")
+    known = " AND ".join(f"{name} IS NOT NULL" for name in by.split(", "))
+    return f"""
+        WITH s AS (SELECT {by}, review_score AS v, is_delayed AS late FROM om
+                   WHERE is_delayed IS NOT NULL AND review_score IS NOT NULL AND {known}),
+        r AS (SELECT *, rank() OVER (PARTITION BY {by} ORDER BY v)
+                        + (count(*) OVER (PARTITION BY {by}, v) - 1) / 2e0 AS r,
+                     count(*) OVER (PARTITION BY {by}, v) AS c FROM s),
+        a AS (SELECT {by}, count(*) FILTER (WHERE late = 1) AS n1,
+                     count(*) FILTER (WHERE late = 0) AS n2, count(*) AS n,
+                     sum(r) FILTER (WHERE late = 1) AS ranks,
+                     avg(v) FILTER (WHERE late = 1) AS m1, avg(v) FILTER (WHERE late = 0) AS m2,
+                     sum(c * c - 1e0) AS tie FROM r GROUP BY {by}),
+        u AS (SELECT *, ranks - n1 * (n1 + 1) / 2e0 AS u, tie = 0 AND least(n1, n2) <= 8 AS exact
+              FROM a WHERE n1 > 0 AND n2 > 0),
+        z AS (SELECT *, coalesce(greatest(greatest(u, n1 * n2 - u) - n1 * n2 / 2e0 - 0.5, 0)
+                  / nullif(sqrt(n1 * n2 / 12e0 * (n + 1 - tie / (n * (n - 1e0)))), 0), 0) AS z
+              FROM u),
+        masks AS (SELECT m, bit_count(m) AS ones, list_sum(list_transform(range(12), lambda i:
+                         ((m >> i) & 1) * (i + 1))) AS places FROM range(4096) t(m)),
+        law AS (SELECT n, n1, places - n1 * (n1 + 1) // 2 AS value
+                FROM (SELECT DISTINCT n, n1 FROM z WHERE exact) k
+                     JOIN masks ON ones = n1 AND m < power(2, n)),
+        p AS (SELECT {by}, 2e0 * count(*) FILTER (WHERE value >= greatest(u, n1 * n2 - u))
+                           / count(*) AS p FROM z JOIN law USING (n, n1) WHERE exact GROUP BY {by})
+        SELECT {by}, n1, n2, n AS n_observations, exact AS is_exact,
+               {nums(mean_1="m1", mean_2="m2", statistic="u", z="z",
+                     effect_size="1 - 2 * u / (n1 * n2)",
+                     p_value=f"CASE WHEN exact THEN least(p, 1) ELSE {normal} END")}
+        FROM z LEFT JOIN p USING ({by})"""
+
+
 def spearman() -> str:
     def rank(c: str) -> str:
         return f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2e0"
@@ -1170,6 +1204,7 @@ def queries_sql() -> dict[str, str]:
         "chi2_category": many_groups("product_category_name", "is_bad_review"),
         "chi2_state": many_groups("customer_state", "is_delayed"),
         "mwu_delay_score": rank_sum(),
+        "mwu_delay_score_slices": rank_sum_slices("customer_state, order_year_month"),
         "spearman_freight_score": spearman(),
         "trend_delay_bad": trend(),
         "posthoc_category": posthoc_with_p("product_category_name", "is_bad_review", ""),

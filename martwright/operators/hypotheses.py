@@ -85,7 +85,7 @@ def _order_tests(mart: DataFrame) -> list[DataFrame]:
     segments = inference.chi_square(only("H4", "H5"), ["test"]).withColumnRenamed(
         "test", "hypothesis"
     )
-    scores = inference.rank_sum(only("H2")).withColumn("hypothesis", F.lit("H2"))
+    scores = inference.rank_sum_test(only("H2")).withColumn("hypothesis", F.lit("H2"))
     buckets = inference.trend(only("H8")).withColumn("hypothesis", F.lit("H8"))
     return [
         _layout(
@@ -101,7 +101,7 @@ def _order_tests(mart: DataFrame) -> list[DataFrame]:
         _layout(
             scores, ("H2",), L.RANK_SUM_TEST,
             ("mean_1", "ci_low_1", "ci_high_1"), ("mean_2", "ci_low_2", "ci_high_2"),
-            "statistic", (L.RANK_BISERIAL, "effect_size"), ("normal", "z", "0"),
+            "statistic", (L.RANK_BISERIAL, "effect_size"), ("known", "p_value", "0"),
         ),
         _layout(
             buckets, ("H8",), L.TREND_TEST,

@@ -22,7 +22,7 @@ from martwright.functions.columns import (
     ratio,
     wilson_interval,
 )
-from martwright.functions.pvalues import tail_p
+from martwright.functions.pvalues import rank_sum_p, tail_p
 from martwright.operators.ranks import weighted_rank_correlation, with_positions
 from martwright.operators.sellers import per_seller
 from martwright.operators.shared import all_segments
@@ -93,13 +93,23 @@ def two_groups(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return chi_square(counts, by, parts).selectExpr("*", *rates)
 
 
-def rank_sum(counts: DataFrame, cuts: Sequence[float] = (), extra: Sequence[str] = ()) -> DataFrame:
-    """Mann-Whitney U of two samples from rows (x, n, hits): at most one row.
+# A sample of at most this size, and no ties: U follows its exact law, else a normal one.
+SMALL_SAMPLE = 8
+
+
+def rank_sum(
+    counts: DataFrame,
+    cuts: Sequence[float] | None = (),
+    extra: Sequence[str] = (),
+    by: Sequence[str] = (),
+) -> DataFrame:
+    """Mann-Whitney U of two samples from rows (by.., x, n, hits): at most one row per group.
 
     hits counts the first sample, n - hits the second; x is the value that both are ranked by. U
     belongs to the first sample. z is the tie-corrected normal approximation with continuity
     correction; rho is the Spearman correlation of value and sample. All follow from the rank sum
-    and the ties. extra are further aggregates.
+    and the ties. is_exact tells whether the exact law of U applies: one sample is small and no
+    value occurs twice. extra are further aggregates.
     """
     sums = [
         *_TOTALS,
@@ -121,7 +131,7 @@ def rank_sum(counts: DataFrame, cuts: Sequence[float] = (), extra: Sequence[str]
             f"{low} AS ci_low_{i}", f"{high} AS ci_high_{i}",
         ]
     both = "n_hits > 0 AND n_hits < n_observations"
-    result = _grouped(with_positions(counts, "x", cuts), (), sums).where(both).selectExpr(
+    result = _grouped(with_positions(counts, "x", cuts, by), by, sums).where(both).selectExpr(
         "*",
         "n_hits AS n1", "n_observations - n_hits AS n2",
         "double(n_observations) AS _n", "double(n1) AS _n1", "double(n2) AS _n2",
@@ -134,11 +144,18 @@ def rank_sum(counts: DataFrame, cuts: Sequence[float] = (), extra: Sequence[str]
         "1 - 2 * statistic / (_n1 * _n2) AS effect_size",
         """CASE WHEN _spread > 0 THEN (_ranks - _n1 * (_n + 1) / 2) * sqrt(_n)
                 / (sqrt(_n1 * _n2) * sqrt(_spread / 12)) END AS rho""",
+        f"_ties = 0 AND least(n1, n2) <= {SMALL_SAMPLE} AS is_exact",
         *means,
     )
     return result.drop(*[name for name in result.columns if name.startswith("_")])
 
 
+def rank_sum_test(counts: DataFrame, **options) -> DataFrame:
+    """rank_sum with its two-sided p_value: exact for a small sample without ties, else normal."""
+    p = rank_sum_p("is_exact", "statistic", "n1", "n2", "z")
+    return rank_sum(counts, **options).withColumn("p_value", p)
+
+
 def trend(counts: DataFrame) -> DataFrame:
     """Cochran-Armitage z for a rising share of hits over x, from rows (x, n, hits): one row.
 
@@ -205,7 +222,20 @@ def state_delay_test(mart: DataFrame, min_orders: int = 30) -> DataFrame:
 def delay_score_test(mart: DataFrame) -> DataFrame:
     """Scores of late (first sample) against on-time orders."""
     counts = outcome_counts(mart, "review_score", "is_delayed")
-    return rank_sum(_by_x(counts, "review_score")).drop("n_hits", "rho")
+    return rank_sum(_by_x(counts, "review_score")).drop("n_hits", "rho", "is_exact")
+
+
+def delay_score_tests(mart: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The same test within each slice that holds late and on-time orders with a score.
+
+    Rows whose slice is unknown take no part. Orders merge to one row per slice and score before
+    they are ranked, so a window holds the distinct scores of a slice, whatever its size.
+    """
+    counts = _by_x(outcome_counts(mart, [*by, "review_score"], "is_delayed"), "review_score")
+    return rank_sum_test(counts, by=by).select(
+        *by, "n1", "n2", "n_observations", "mean_1", "mean_2", "statistic", "effect_size", "z",
+        "is_exact", "p_value",
+    )
 
 
 def delay_trend_test(mart: DataFrame) -> DataFrame:

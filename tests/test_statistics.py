@@ -143,6 +143,64 @@ def test_rank_sum_of_equal_values_has_no_evidence(spark):
     assert (row.z, row.rho) == (0.0, None)
 
 
+def listed_p(first, second):
+    """Two-sided p of U from every choice of len(first) among all values."""
+    values = sorted([*first, *second])
+
+    def u(chosen):
+        others = [v for v in values if v not in chosen]
+        return sum(a > b for a in chosen for b in others)
+
+    largest = max(u(first), len(first) * len(second) - u(first))
+    found = [u(c) >= largest for c in itertools.combinations(values, len(first))]
+    return min(1.0, 2 * sum(found) / len(found))
+
+
+@pytest.mark.parametrize("sizes", [(1, 1), (1, 7), (2, 3), (3, 3), (5, 6), (8, 4), (8, 8), (7, 9)])
+def test_exact_law_against_all_choices(spark, sizes):
+    rng = random.Random(repr(sizes))
+    for _ in range(2):
+        values = rng.sample(range(1000), sum(sizes))
+        first, second = values[:sizes[0]], values[sizes[0]:]
+        rows = [(float(v), 1, int(v in first)) for v in values]
+        row = inference.rank_sum_test(table(spark, rows)).first()
+        assert row.is_exact and row.p_value == pytest.approx(listed_p(first, second), rel=1e-12)
+
+
+def test_exact_law_sums_to_one_and_is_even():
+    for n1, n2 in ((3, 50), (8, 200), (8, 3), (1, 4000)):
+        product = n1 * n2
+        for u in (0, 1, product // 3, product // 2):
+            p = pvalues.rank_sum_two_sided(u, n1, n2)
+            assert p == pvalues.rank_sum_two_sided(product - u, n2, n1) <= 1
+        assert pvalues.rank_sum_two_sided(0, n1, n2) == 2 / math.comb(n1 + n2, n1)
+        assert pvalues.rank_sum_two_sided(product // 2, n1, n2) == 1.0
+    # large samples come near the normal law
+    u, n1, n2 = 500.0, 8, 200
+    z = (abs(u - n1 * n2 / 2) - 0.5) / math.sqrt(n1 * n2 * (n1 + n2 + 1) / 12)
+    assert pvalues.rank_sum_two_sided(u, n1, n2) == pytest.approx(
+        pvalues.normal_two_sided(z), rel=0.02)
+
+
+def test_ties_or_two_large_samples_take_the_normal_law(spark):
+    tied = inference.rank_sum_test(table(spark, [(1.0, 2, 1), (2.0, 1, 1), (3.0, 1, 0)])).first()
+    large = [(float(v), 1, v % 2) for v in range(18)]
+    for row in (tied, inference.rank_sum_test(table(spark, large)).first()):
+        assert not row.is_exact
+        assert row.p_value == pytest.approx(pvalues.normal_two_sided(row.z))
+    assert inference.rank_sum_test(table(spark, large[:17])).first().is_exact
+
+
+def test_tests_of_slices_are_those_of_each_slice(spark, marts):
+    by = {r.customer_state: r for r in
+          inference.delay_score_tests(marts.orders, ["customer_state"]).collect()}
+    assert len(by) > 5 and None not in by
+    for state in sorted(by)[:3]:
+        alone = inference.delay_score_test(marts.orders.where(F.col("customer_state") == state)).first()
+        assert (by[state].statistic, by[state].z, by[state].n1) == pytest.approx(
+            (alone.statistic, alone.z, alone.n1))
+
+
 def test_rank_sum_needs_both_samples(spark):
     assert inference.rank_sum(table(spark, [(3.0, 4, 4), (4.0, 2, 2)])).count() == 0
 
