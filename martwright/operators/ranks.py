@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def cut_points(df: DataFrame, value: str, buckets: int | None = None) -> list[float]:
@@ -29,6 +30,63 @@ def cut_points(df: DataFrame, value: str, buckets: int | None = None) -> list[fl
     return sorted(set(cuts))
 
 
+# A level of the key histogram tells this many characters apart: 4,096 cells of hexadecimal keys.
+CELL_WIDTH, CELL_LEVELS = 3, 2
+
+
+def among_smallest(df: DataFrame, key: str, rows: int, levels: int = CELL_LEVELS) -> Column:
+    """A condition on df that its first rows by key meet, and of the others only those in the same
+    cell as the last of them.
+
+    Keys are counted by their leading characters after the part that all have in common, one pass
+    over the key column per level, merged within tasks; a level looks into the cell where the one
+    before reached the number of rows. All of this is scalar subqueries of the plan. NULL keys, which
+    sort first, meet the condition, and so do all rows of a table that has fewer. Keys are text or
+    whole numbers. Rows that share one key are in one cell.
+    """
+    text = _as_sorted_text(df, key)
+    keys = df.where(F.col(key).isNotNull()).select(text.alias("_key"))
+    shared = keys.agg(F.min("_key").alias("low"), F.max("_key").alias("high")).selectExpr(
+        """aggregate(sequence(1, greatest(length(low), 1)), 0, (same, at) -> CASE
+               WHEN same = at - 1 AND substr(low, at, 1) = substr(high, at, 1) AND at <= length(high)
+               THEN at ELSE same END) AS shared"""
+    ).scalar()
+
+    def cell(source: Column, level: int, width: int = CELL_WIDTH) -> Column:
+        return F.substr(source, shared + level * CELL_WIDTH + 1, F.lit(width))
+
+    bound, before = F.lit(""), F.lit(0)
+    for level in range(levels):
+        inside = keys.where(cell(F.col("_key"), 0, level * CELL_WIDTH) == bound) if level else keys
+        cells = inside.groupBy(cell(F.col("_key"), level).alias("cell")).agg(
+            F.count("*").alias("n")
+        )
+        # each cell has a row, so no more cells than rows are of use
+        first = cells.orderBy("cell").limit(rows)
+        up_to = F.sum("n").over(Window.partitionBy().orderBy("cell"))
+        reached = (
+            first.withColumn("up_to", before + up_to)
+            .where(F.col("up_to") >= rows)
+            .agg(F.min_by(
+                F.struct("cell", (F.col("up_to") - F.col("n")).alias("before")), "cell"
+            ).alias("reached"))
+            .scalar()
+        )
+        bound, before = F.concat(bound, reached["cell"]), reached["before"]
+    return F.coalesce(cell(text, 0, levels * CELL_WIDTH) <= bound, F.lit(True))
+
+
+def _as_sorted_text(df: DataFrame, key: str) -> Column:
+    """Text that sorts as the key does: whole numbers by their distance from the smallest one."""
+    kind = df.schema[key].dataType
+    if isinstance(kind, T.StringType):
+        return F.col(key)
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"{key} is neither text nor a whole number")
+    distance = F.col(key).cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")
+    return F.lpad(distance.cast("decimal(20,0)").cast("string"), 20, "0")
+
+
 def histogram(df: DataFrame, value: str, by: Sequence[str] = (), **extra: Column) -> DataFrame:
     """One row per distinct known value (per group) with its row count."""
     known = df.where(F.col(value).isNotNull())

@@ -94,3 +94,52 @@ def test_bins_of_equal_and_few_shares(spark, marts):
     two = prepared.withColumn("freight_share", F.when(F.col("order_id") % 2 == 0, 0.125).otherwise(0.375))
     found = reports.freight_quantile_bins(two).collect()
     assert [(r.bin_id, r.bin_label, r.lower_edge, r.upper_edge) for r in found] == [(0, "12–38%", 0.125, 0.375)]
+
+
+def preview_keys(kind, seed):
+    rng = random.Random(seed)
+    return {
+        "digits": [f"order_{i:06d}" for i in rng.sample(range(10**6), 900)],
+        "hex": [f"{rng.getrandbits(128):032x}" for _ in range(900)],
+        "ragged": ["".join(rng.choices("ab\u00e9z", k=rng.randint(0, 7))) for _ in range(900)],
+        "prefixes": ["a" * i for i in range(40)],
+        "hot": ["m"] * 500 + [rng.choice("abcxyz") * rng.randint(1, 9) for _ in range(300)],
+        "one": ["same"] * 300,
+        "long": [rng.randint(-2**63, 2**63 - 1) for _ in range(500)] + [-1, 0, 1, 2**63 - 1, -2**63],
+        "near": list(range(-50, 900)),
+        "none": [],
+    }[kind]
+
+
+@pytest.mark.parametrize("kind", "digits hex ragged prefixes hot one long near none".split())
+@pytest.mark.parametrize("rows", [1, 37, 5000])
+def test_smallest_keys(spark, kind, rows):
+    keys = preview_keys(kind, rows)
+    kind_of = "long" if kind in ("long", "near") else "string"
+    frame = spark.createDataFrame([(k,) for k in [*keys, None]], f"k {kind_of}").repartition(5)
+    kept = [r.k for r in frame.where(ranks.among_smallest(frame, "k", rows)).collect()]
+
+    def first(values):
+        known = sorted(v for v in values if v is not None)
+        return known[:rows]
+
+    assert first(kept) == first(keys) and None in kept
+    assert len(kept) == len(keys) + 1 or len(kept) > rows
+    if kind == "hex" and rows < 900:
+        assert len(kept) <= rows + 2
+
+
+def test_preview_sorts_few_rows(spark, marts):
+    """The wide rows that reach the sort are those of the preview, however many tasks there are."""
+    from martwright.operators.slices import PREVIEW, slice_preview
+
+    prepared = prepare_orders(marts.orders)
+    want = sorted(prepared.select(*PREVIEW).collect(), key=lambda r: r.order_id)[:50]
+    for parts in (3, 40):
+        spread = prepared.repartition(parts)
+        assert slice_preview(spread, 50).collect() == want
+        kept = spread.where(ranks.among_smallest(spread, "order_id", 50)).count()
+        assert 50 <= kept < 60
+    before = jobs(spark)
+    slice_preview(prepared)
+    assert jobs(spark) == before
