@@ -38,11 +38,11 @@ _exact = False
 def exact():
     """Columns keep all digits within: for checks that calculate on."""
     global _exact
-    _exact = True
+    before, _exact = _exact, True
     try:
         yield
     finally:
-        _exact = False
+        _exact = before
 
 
 def num(expression: str, name: str) -> str:
@@ -319,15 +319,13 @@ def with_views(sql: str) -> str:
     return f"WITH {clauses}\n" + (", " + body[5:] if body.startswith("WITH ") else body)
 
 
-SEGMENT = nums(
-    gmv="sum(total_price)", aov="avg(total_price)", avg_review_score="avg(review_score)",
-    bad_review_rate="avg(is_bad_review)", delay_rate="avg(is_delayed)",
-    avg_delivery_time_days="avg(delivery_time_days)", avg_freight_share="avg(freight_share)",
-)
-
-
 def segment(column: str) -> str:
-    return f"""SELECT {column}, count(*) AS orders, {SEGMENT}
+    measured = nums(
+        gmv="sum(total_price)", aov="avg(total_price)", avg_review_score="avg(review_score)",
+        bad_review_rate="avg(is_bad_review)", delay_rate="avg(is_delayed)",
+        avg_delivery_time_days="avg(delivery_time_days)", avg_freight_share="avg(freight_share)",
+    )
+    return f"""SELECT {column}, count(*) AS orders, {measured}
                FROM om GROUP BY {column} HAVING count(*) >= 30"""
 
 
@@ -861,14 +859,13 @@ def adjusted(tests: str, columns: str) -> str:
         SELECT {columns} FROM done"""
 
 
-P_COLUMNS = (
-    num("p", "p_value") + ", " + num("p_adj", "p_value_adjusted") + ", p_adj < 0.05 AS significant"
-)
+def p_columns() -> str:
+    return f"{nums(p_value='p', p_value_adjusted='p_adj')}, p_adj < 0.05 AS significant"
 
 
 def with_p(tests: str, dof: str, columns: str) -> str:
     return adjusted(f"SELECT *, {tail('chi', 'statistic', dof)} AS p FROM ({tests})",
-                    f"{columns}, {P_COLUMNS}")
+                    f"{columns}, {p_columns()}")
 
 
 def magnitude(effect: str) -> str:
@@ -960,7 +957,7 @@ def hypothesis_table(rows: str, min_orders: int, population: str) -> str:
     doubles = ", ".join(num(c, c) for c in (*ends, "statistic", "effect_size"))
     return adjusted(" UNION ALL ".join(parts), f"""
         hypothesis, test, scope, metric_1, metric_2, n_observations, effect_size_name, {doubles},
-        {magnitude('effect_size')} AS effect_magnitude, {P_COLUMNS},
+        {magnitude('effect_size')} AS effect_magnitude, {p_columns()},
         'После поправки BH: статистически ' || CASE WHEN p_adj < 0.05 THEN '' ELSE 'не' END
             || 'значимо (p_adj=' || format('{{:.4g}}', p_adj) || '); эффект '
             || {magnitude('effect_size')} || ' (' || effect_size_name || '='
@@ -1002,12 +999,69 @@ def mart(name: str) -> str:
     return f"SELECT * REPLACE ({columns}) FROM {name}"
 
 
-RANKING = (
-    "seller_id, seller_state, top_category, orders, items, single_seller_orders, "
-    "distinct_categories, " + nums(**{c: c for c in (
+def seller_ranking() -> str:
+    measured = nums(**{c: c for c in (
         "gmv delay_rate late_handover_rate bad_review_rate avg_review_score review_coverage "
         "avg_delivery_time_days avg_handover_time_days avg_transit_time_days").split()})
-)
+    return f"""SELECT seller_id, seller_state, top_category, orders, items, single_seller_orders,
+                      distinct_categories, {measured} FROM sm WHERE orders >= 30"""
+
+
+# Result table -> its check and the doubles it holds, which are rounded half to even when written.
+_SEGMENT = ("gmv aov avg_review_score bad_review_rate delay_rate avg_delivery_time_days "
+            "avg_freight_share")
+_POSTHOC = "rate rate_ci_low rate_ci_high overall_rate rate_diff statistic"
+_P = "p_value p_value_adjusted"
+
+
+def saved_results() -> dict[str, str]:
+    with exact():
+        checks = queries_sql()
+        compared = seller_vs_category("sold_single", 30)
+        tested = heterogeneity_with_p("sold_single", 30)
+        table = hypothesis_table("sold_single", 30, "single-seller заказы")
+
+    def written(sql: str, names: str, places: int = 4, drop: str = "", **other: int) -> str:
+        short = ", ".join(
+            f"round_even(round({name}, 10), {other.get(name, places)}) AS {name}"
+            for name in names.split()
+        )
+        left_out = f"EXCLUDE ({drop})" if drop else ""
+        return f"SELECT * {left_out} REPLACE ({short}) FROM ({sql})"
+
+    def posthoc_written(sql: str) -> str:
+        return written(written(sql, _POSTHOC), _P, 6)
+
+    return {
+        "metrics_summary": written(checks["summary_metrics"], (
+            f"{_SEGMENT} review_coverage avg_delay_days cancelled_rate repeat_purchase_rate")),
+        "category_metrics": written(checks["segment_category"], _SEGMENT),
+        "customer_state_metrics": written(checks["segment_customer_state"], _SEGMENT),
+        "seller_state_metrics": written(checks["segment_seller_state"], _SEGMENT),
+        "monthly_metrics": written(
+            checks["monthly_metrics"], _SEGMENT.replace(" avg_freight_share", "")),
+        "delay_bucket_metrics": written(checks["delay_buckets"], (
+            "bad_review_rate bad_review_rate_ci_low bad_review_rate_ci_high avg_review_score"),
+            drop="bucket_id"),
+        "delay_stage_breakdown": written(checks["delay_stages"], (
+            "share_of_delayed avg_delay_days bad_review_rate avg_review_score"),
+            drop="stage_id", avg_delay_days=2),
+        "seller_metrics": written(checks["seller_ranking"], (
+            "gmv delay_rate late_handover_rate bad_review_rate avg_review_score review_coverage "
+            "avg_delivery_time_days avg_handover_time_days avg_transit_time_days")),
+        "seller_category_comparison": written(compared, (
+            "bad_review_rate bad_review_rate_ci_low bad_review_rate_ci_high "
+            "category_bad_review_rate bad_review_rate_diff delay_rate late_handover_rate "
+            "avg_review_score avg_handover_time_days avg_transit_time_days")),
+        "category_posthoc": posthoc_written(checks["posthoc_category"]),
+        "state_posthoc": posthoc_written(checks["posthoc_state"]),
+        "seller_within_category_tests": written(tested, (
+            "category_bad_review_rate min_seller_bad_review_rate max_seller_bad_review_rate "
+            f"statistic effect_size {_P}"), 6, drop="dof"),
+        "hypothesis_tests": written(table, (
+            "value_1 ci_low_1 ci_high_1 value_2 ci_low_2 ci_high_2 statistic effect_size "
+            f"{_P}"), 6),
+    }
 
 
 def queries_sql() -> dict[str, str]:
@@ -1076,7 +1130,7 @@ def queries_sql() -> dict[str, str]:
         "freight_quantile_bins": freight_quantile_bins(),
         "monthly_ma3": monthly_ma3(),
         "monthly_peak_last": monthly_peak_last(),
-        "seller_ranking": f"SELECT {RANKING} FROM sm WHERE orders >= 30",
+        "seller_ranking": seller_ranking(),
         "seller_metrics": seller_metrics("ps", 30),
         "seller_vs_category": seller_vs_category("sold_multi", 30),
         "seller_vs_category_single": seller_vs_category("sold_single", 3),
@@ -1238,4 +1292,5 @@ def queries_sql() -> dict[str, str]:
 
 
 def checks() -> dict[str, str]:
-    return {name: with_views(sql) for name, sql in queries_sql().items()}
+    saved = {f"saved_{name}": sql for name, sql in saved_results().items()}
+    return {name: with_views(sql) for name, sql in (queries_sql() | saved).items()}

@@ -77,4 +77,10 @@ def pooled(hits: str, trials: str) -> Column:
 def rounded(table: DataFrame, digits: int = 4) -> DataFrame:
     """Doubles rounded half to even, for output only."""
     doubles = [name for name, kind in table.dtypes if kind == "double"]
-    return table.withColumns({name: F.bround(name, digits) for name in doubles})
+    return table.withColumns({name: half_even(name, digits) for name in doubles})
+
+
+def half_even(name: str, digits: int) -> Column:
+    """A double rounded half to even. Ten places first: in a mean that ends in a half, the last bits,
+    which depend on the order of addition, would decide."""
+    return F.bround(F.round(name, 10), digits)

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martwright.operators import delays, hypotheses, inference, reports, segments, sellers
 from martwright.operators.prepare import prepare_orders
-from martwright.operators.shared import rounded
+from martwright.operators.shared import half_even, rounded
 from martwright.operators.slices import kpi_summary
 from martwright.plans.refresh import Marts
-from martwright.sources.tables import export_results
+from martwright.schemas import RESULTS, result_schema
+from martwright.sources.tables import export_results, path_exists, read_csv_table
 
 # Result tables that are left out when they have no rows.
 OPTIONAL = {
@@ -32,7 +33,7 @@ def metric_tables(marts: Marts) -> dict[str, DataFrame]:
         "delay_bucket_metrics": delays.delay_buckets(orders).drop("bucket_id"),
         "delay_stage_breakdown": delays.delay_stages(orders)
         .drop("stage_id")
-        .withColumn("avg_delay_days", F.bround("avg_delay_days", 2)),
+        .withColumn("avg_delay_days", half_even("avg_delay_days", 2)),
         "seller_metrics": sellers.seller_ranking(marts.sellers),
         "seller_category_comparison": sellers.seller_vs_category(marts.seller_sums),
     }
@@ -59,7 +60,7 @@ def test_tables(marts: Marts) -> dict[str, DataFrame]:
 
 def _posthoc_as_written(table: DataFrame, segment: str) -> DataFrame:
     short = "rate rate_ci_low rate_ci_high overall_rate rate_diff statistic".split()
-    written = table.withColumns({name: F.bround(name, 4) for name in short})
+    written = table.withColumns({name: half_even(name, 4) for name in short})
     return written.orderBy(F.desc("rate_diff"), segment)
 
 
@@ -84,3 +85,22 @@ def report_tables(marts: Marts, min_orders: int = 50, top: int = 15) -> dict[str
 def save_results(marts: Marts, folder: str) -> list[str]:
     """Writes all metric and test tables as CSV folders; returns the names written."""
     return export_results({**metric_tables(marts), **test_tables(marts)}, folder, OPTIONAL)
+
+
+def read_results(
+    spark: SparkSession, folder: str, seller_id: str = "string"
+) -> dict[str, DataFrame]:
+    """All result tables of a folder that save_results wrote, typed; seller_id is the type of that
+    column. Optional tables that were left out are empty; absent others are an error that names them."""
+    found, absent = {}, []
+    for name in RESULTS:
+        path, schema = f"{folder.rstrip('/')}/{name}", result_schema(name, seller_id)
+        if path_exists(spark, path):
+            found[name] = read_csv_table(spark, path, schema)
+        elif name in OPTIONAL:
+            found[name] = spark.createDataFrame([], schema)
+        else:
+            absent.append(path)
+    if absent:
+        raise FileNotFoundError("result tables not found:\n" + "\n".join(absent))
+    return found

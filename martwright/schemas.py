@@ -175,3 +175,63 @@ def require_columns(df: DataFrame, columns: Iterable[str], what: str = "table")
     if absent:
         raise ValueError(f"{what} lacks columns: {', '.join(absent)}")
     return df
+
+
+_SEGMENT_RESULT = """
+    orders long, gmv double, aov double, avg_review_score double, bad_review_rate double,
+    delay_rate double, avg_delivery_time_days double"""
+_POSTHOC_RESULT = """
+    orders long, rate double, rate_ci_low double, rate_ci_high double, overall_rate double,
+    rate_diff double, direction string, statistic double, p_value double,
+    p_value_adjusted double, significant boolean"""
+
+# Written result tables, in DDL. The type of seller_id is that of the source.
+RESULTS: dict[str, str] = {
+    "metrics_summary": """
+        total_orders long, delivered_orders long, cancelled_orders long, reviewed_orders long,
+        review_coverage double, gmv double, aov double, avg_review_score double,
+        bad_review_rate double, delay_rate double, avg_delivery_time_days double,
+        avg_delay_days double, avg_freight_share double, cancelled_rate double,
+        repeat_purchase_rate double""",
+    "category_metrics": f"product_category_name string, {_SEGMENT_RESULT}, avg_freight_share double",
+    "customer_state_metrics": f"customer_state string, {_SEGMENT_RESULT}, avg_freight_share double",
+    "seller_state_metrics": f"seller_state string, {_SEGMENT_RESULT}, avg_freight_share double",
+    "monthly_metrics": f"order_year_month string, {_SEGMENT_RESULT}",
+    "delay_bucket_metrics": """
+        delay_bucket string, orders long, reviewed_orders long, bad_review_rate double,
+        bad_review_rate_ci_low double, bad_review_rate_ci_high double, avg_review_score double""",
+    "delay_stage_breakdown": """
+        delay_stage string, delayed_orders long, share_of_delayed double, avg_delay_days double,
+        bad_review_rate double, avg_review_score double""",
+    "seller_metrics": """
+        seller_id {seller_id}, seller_state string, top_category string, orders long, items long,
+        single_seller_orders long, distinct_categories long, gmv double, delay_rate double,
+        late_handover_rate double, bad_review_rate double, avg_review_score double,
+        review_coverage double, avg_delivery_time_days double, avg_handover_time_days double,
+        avg_transit_time_days double""",
+    "seller_category_comparison": """
+        product_category_name string, seller_id {seller_id}, n_sellers_in_category long,
+        orders long, bad_review_rate double, bad_review_rate_ci_low double,
+        bad_review_rate_ci_high double, category_bad_review_rate double,
+        bad_review_rate_diff double, delay_rate double, late_handover_rate double,
+        avg_review_score double, avg_handover_time_days double, avg_transit_time_days double""",
+    "category_posthoc": f"product_category_name string, {_POSTHOC_RESULT}",
+    "state_posthoc": f"customer_state string, {_POSTHOC_RESULT}",
+    "seller_within_category_tests": """
+        product_category_name string, n_sellers long, n_observations long,
+        category_bad_review_rate double, min_seller_bad_review_rate double,
+        max_seller_bad_review_rate double, statistic double, effect_size_name string,
+        effect_size double, effect_magnitude string, p_value double, p_value_adjusted double,
+        significant boolean""",
+    "hypothesis_tests": """
+        hypothesis string, test string, scope string, metric_1 string, value_1 double,
+        ci_low_1 double, ci_high_1 double, metric_2 string, value_2 double, ci_low_2 double,
+        ci_high_2 double, n_observations long, statistic double, effect_size_name string,
+        effect_size double, effect_magnitude string, p_value double, p_value_adjusted double,
+        significant boolean, interpretation string""",
+}
+
+
+def result_schema(name: str, seller_id: str = "string") -> T.StructType:
+    """Schema of a written result table."""
+    return T.StructType.fromDDL(RESULTS[name].replace("{seller_id}", seller_id))

@@ -71,8 +71,22 @@ def export_csv(df: DataFrame, path: str, columns: Sequence[str] | None = None) -
     chosen.write.mode("overwrite").option("header", True).csv(path)
 
 
+def remove_table(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def read_csv_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A table that export_csv wrote; a file with other columns or unreadable cells fails."""
+    return (
+        spark.read.schema(schema).option("header", True).option("enforceSchema", False)
+        .option("mode", "FAILFAST").csv(path)
+    )
+
+
 def export_results(results: dict[str, DataFrame], folder: str, optional: set[str]) -> list[str]:
-    """Writes result tables as CSV. Optional ones without rows are left out.
+    """Writes result tables as CSV. Optional ones without rows are left out; what an earlier export
+    left in their place goes, so a folder holds the tables of one export.
 
     Results are segment-sized; they are persisted so that the emptiness check costs no second pass.
     """
@@ -82,5 +96,7 @@ def export_results(results: dict[str, DataFrame], folder: str, optional: set[str
         if name not in optional or not kept.isEmpty():
             export_csv(kept, f"{folder}/{name}")
             saved.append(name)
+        else:
+            remove_table(table.sparkSession, f"{folder}/{name}")
         kept.unpersist()
     return saved

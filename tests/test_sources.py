@@ -139,6 +139,40 @@ def test_results_as_csv(spark, marts, tmp_path):
     assert len(result_tables.report_tables(marts)) == 11
 
 
+def test_results_read_back(spark, marts, tmp_path):
+    folder = str(tmp_path / "results")
+    wanted = result_tables.metric_tables(marts) | result_tables.test_tables(marts)
+    result_tables.save_results(marts, folder)
+    back = result_tables.read_results(spark, folder, "long")
+    assert list(back) == list(schemas.RESULTS) and set(back) == set(wanted)
+    for name, table in back.items():
+        assert table.dtypes == wanted[name].dtypes, name
+    for name in ("metrics_summary", "seller_metrics", "hypothesis_tests"):
+        assert sorted(map(repr, back[name].collect())) == sorted(map(repr, wanted[name].collect()))
+    assert back["seller_category_comparison"].count() == 0
+
+
+def test_results_of_an_earlier_export_do_not_stay(spark, tmp_path):
+    folder = str(tmp_path)
+    table = spark.createDataFrame([("a", 1, 1.0)], "delay_stage string, n long, x double")
+    assert tables.export_results({"t": table}, folder, {"t"}) == ["t"]
+    assert tables.export_results({"t": table.limit(0)}, folder, {"t"}) == []
+    assert not tables.path_exists(spark, f"{folder}/t")
+    assert tables.export_results({"t": table.limit(0)}, folder, set()) == ["t"]
+    with pytest.raises(FileNotFoundError, match="(?s)metrics_summary.*hypothesis_tests"):
+        result_tables.read_results(spark, folder)
+
+
+def test_results_with_other_columns_fail(spark, tmp_path):
+    tables.export_csv(spark.createDataFrame([("a", 1.5)], "x string, y double"), f"{tmp_path}/t")
+    with pytest.raises(Exception, match="(?i)header|malformed|column"):
+        tables.read_csv_table(spark, f"{tmp_path}/t", schemas.T.StructType.fromDDL(
+            "x string, z double")).collect()
+    with pytest.raises(Exception, match="(?i)malformed|parse"):
+        tables.read_csv_table(spark, f"{tmp_path}/t", schemas.T.StructType.fromDDL(
+            "x string, y long")).collect()
+
+
 def test_export_of_a_slice(spark, marts, tmp_path):
     from martwright.operators.prepare import prepare_orders
     from martwright.operators.slices import PREVIEW, slice_orders
