@@ -392,8 +392,10 @@ def test_token_files_round_trip(docs, rows):
     files.delete(docs.sparkSession)
 
 
+@pytest.mark.parametrize("frequent", [0, 60, token_counts.FREQUENT])
 @pytest.mark.parametrize("tokenizer", ["piece_bpe_32k.model", "byte_bpe_50k.json"])
-def test_token_counts(docs, rows, tokenizer):
+def test_token_counts(docs, rows, tokenizer, frequent, monkeypatch):
+    monkeypatch.setattr(token_counts, "FREQUENT", frequent)  # none, some, all of this small table
     model = load_model(tokenizer_file(tokenizer))
     got = token_counts.count_tokens(docs, tokenizer, limit=50).collect()
     want = [(r[0], len((r[1] or "").encode()), len(model.encode(r[1])) if r[1] else 0) for r in rows]
@@ -401,6 +403,39 @@ def test_token_counts(docs, rows, tokenizer):
     assert all(r.over_limit == (r.n_tokens > 50) for r in got)
 
 
+def test_pretokens_are_counted_once(spark, docs, rows):
+    file = tokenizer_file("byte_bpe_50k.json")
+    model = load_model(file)
+    found = token_counts.distinct_pretokens(docs, file).collect()
+    split = [r[1] for r in rows if r[1] and model.splits(r[1])]
+    want = {}
+    for text in split:
+        for i, word in enumerate(text.split(" ")):
+            word = " " * (i > 0) + word
+            want[word] = want.get(word, 0) + 1
+    assert {r.word: r.n for r in found} == want and len(found) == len(want)
+    assert all(r.pieces == len(model.encode(r.word)) for r in found)
+
+
+def test_frequent_pretokens_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "FREQUENT", 4)
+    rows = [("a", 50, 1), ("b", 20, 2), ("c" * 200, 26, 9), ("d" * 100, 4, 3)]
+    words = spark.createDataFrame(rows, "word string, n long, pieces long")
+    assert token_counts._frequent(words) == {"a": 1}
+    longer = spark.createDataFrame([("c" * 100, 50, 9), ("a", 50, 1)], words.schema)
+    assert set(token_counts._frequent(longer)) == {"c" * 100, "a"}
+
+
+def test_copies_of_a_row_in_many_parts(spark):
+    rows = [(1, "the river of stone")] * 300 + [(2, None)] * 50 + [(1, "a stone")] * 7
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = token_counts.count_tokens(docs)
+    model = load_model(tokenizer_file("piece_bpe_32k.model"))
+    want = {t: len(model.encode(t)) if t else 0 for _, t in rows}
+    assert sorted((r.doc_id, r.n_tokens) for r in got.collect()) == sorted(
+        (i, want[t]) for i, t in rows)
+
+
 def test_pieces_decode_to_the_text(docs):
     for dropout in (0.0, 0.3):
         encoded = piece_codec.encode_pieces(docs, dropout=dropout)
