@@ -10,29 +10,31 @@ marks) are counted whole in the second pass.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from martwright.llm.common import record_batch, slices, stored
+from martwright.llm.common import record_batch, slices
 from martwright.llm.word_pieces import ByteModel, PieceModel, load_model, tokenizer_file
+from martwright.sources.tables import shared_dir, write_table
 
-#: A pre-token is frequent from this share of all occurrences on, longer ones from a multiple of it:
-#: one for each WORD_BYTES begun. So the frequent ones are at most FREQUENT many and together hold at
-#: most FREQUENT * WORD_BYTES bytes (12.8 MB) whatever the corpus, and no other is hot in the join.
-FREQUENT = 200_000
+#: Frequent pre-tokens are those with most occurrences for each WORD_BYTES begun, FREQUENT such units
+#: at most: 25.6 MB whatever the corpus. No other is hot in the join.
+FREQUENT = 400_000
 WORD_BYTES = 64
+#: Occurrences are told apart by this many steps for each doubling.
+_STEPS = 8
 
 _WORDS = pa.schema([("word", pa.large_string()), ("n", pa.int64())])
 _PIECES = pa.schema([("word", pa.large_string()), ("n", pa.int64()), ("pieces", pa.int64())])
-_ROW = [("part", pa.int32()), ("n_bytes", pa.int64()), ("digest", pa.int64())]
 _FREQUENCIES = [
-    *_ROW, ("word", pa.large_string()), ("freq", pa.int64()), ("base", pa.int64()),
-    ("copies", pa.int64()),
+    ("part", pa.int32()), ("digest", pa.int64()), ("word", pa.large_string()),
+    ("freq", pa.int64()), ("base", pa.int64()), ("copies", pa.int64()), ("n_bytes", pa.int64()),
 ]
 
 _models: dict[str, PieceModel | ByteModel] = {}
@@ -96,12 +98,30 @@ def distinct_pretokens(docs: DataFrame, file: str, text_column: str = "text") ->
     return merged.mapInArrow(pieces, "word string, n long, pieces long")
 
 
-def _frequent(words: DataFrame) -> dict[str, int]:
+def _units() -> Column:
+    return F.greatest(F.ceil(F.octet_length("word") / WORD_BYTES), F.lit(1))
+
+
+def _step() -> Column:
+    """Where a pre-token stands by its occurrences for each unit."""
+    return F.floor(_STEPS * F.log2(F.col("n") / _units())).cast("int")
+
+
+def _least_step(words: DataFrame) -> int:
+    """The least step from which on pre-tokens are frequent. Steps are a few hundred at most."""
+    steps = words.groupBy(_step().alias("step")).agg(F.sum(_units()).alias("units")).collect()
+    held, least = 0, 1 << 30
+    for row in sorted(steps, key=lambda r: -r.step):
+        held += row.units
+        if held > FREQUENT:
+            break
+        least = row.step
+    return least
+
+
+def _frequent(words: DataFrame, least: int) -> dict[str, int]:
     """Pieces of the frequent pre-tokens, see FREQUENT."""
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    units = F.greatest(F.ceil(F.octet_length("word") / WORD_BYTES), F.lit(1))
-    found = words.where(F.col("n") * FREQUENT >= units * F.lit(total)).select("word", "pieces")
-    table = found.toArrow()
+    table = words.where(_step() >= least).select("word", "pieces").toArrow()
     return dict(zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True))
 
 
@@ -109,7 +129,7 @@ def _frequencies(rows: DataFrame, file: str, frequent: dict[str, int]) -> DataFr
     """Pre-token frequencies of each row beyond the frequent ones.
 
     base, on one row of each document, is what the frequent pre-tokens come to, or a whole text's
-    count; copies is one there and zero elsewhere. A document without other pre-tokens has one row,
+    count; copies is one and n_bytes is filled there, both are zero elsewhere. A document without other pre-tokens has one row,
     with freq zero and a word that spreads such rows.
     """
     known = rows.sparkSession.sparkContext.broadcast(frequent)
@@ -122,8 +142,8 @@ def _frequencies(rows: DataFrame, file: str, frequent: dict[str, int]) -> DataFr
             for part in slices(texts):
                 yield _of_slice(model, pieces, batch.slice(part.start, part.stop - part.start))
 
-    names = f"doc_id {id_type}, part int, n_bytes long, digest long"
-    return rows.mapInArrow(count, f"{names}, word string, freq long, base long, copies long")
+    names = f"doc_id {id_type}, part int, digest long, word string"
+    return rows.mapInArrow(count, f"{names}, freq long, base long, copies long, n_bytes long")
 
 
 def _of_slice(
@@ -156,7 +176,8 @@ def _of_slice(
     everything = np.concatenate([rows, alone])
     leads = np.concatenate([first, np.ones(len(alone), bool)])
     digests = batch.column("digest").take(pa.array(alone)).cast(pa.string()).cast(pa.large_string())
-    head = batch.select(["doc_id", "part", "n_bytes", "digest"]).take(pa.array(everything))
+    head = batch.select(["doc_id", "part", "digest"]).take(pa.array(everything))
+    n_bytes = batch.column("n_bytes").to_numpy()
     schema = pa.schema([head.schema.field("doc_id"), *_FREQUENCIES])
     return record_batch(
         schema,
@@ -165,9 +186,17 @@ def _of_slice(
         freq=np.concatenate([freq, np.zeros(len(alone), np.int64)]),
         base=np.where(leads, base[everything], 0),
         copies=leads.astype(np.int64),
+        n_bytes=np.where(leads, n_bytes[everything], 0),
     )
 
 
+def _stored_words(words: DataFrame) -> DataFrame:
+    """The table, written as Parquet to the shared folder: less than half of a checkpoint's bytes."""
+    path = f"{shared_dir(words.sparkSession)}/pretokens/{uuid.uuid4().hex}"
+    write_table(words, path)
+    return words.sparkSession.read.schema(words.schema).parquet(path)
+
+
 def count_tokens(
     docs: DataFrame,
     tokenizer: str = "piece_bpe_32k.model",
@@ -180,12 +209,12 @@ def count_tokens(
     Counts are those of the library for the file, sentencepiece for .model and tokenizers for
     .json, over the whole text, without begin, end or added special tokens. A null text is empty and
     has no tokens. Every row is counted: repeated rows and null ids stay. An empty table gives no
-    rows. Other columns are not read. The table of distinct pre-tokens is written to the checkpoint
-    folder when this is called. Repeated rows are summed together within a partition of the input,
+    rows. Other columns are not read. The table of distinct pre-tokens is written to the shared folder
+    when this is called, and stays there. Repeated rows are summed together within a partition of the input,
     which also bounds how often one is repeated again.
     """
     file = tokenizer_file(tokenizer)
-    words = stored(distinct_pretokens(docs, file, text_column))
+    words = _stored_words(distinct_pretokens(docs, file, text_column))
     whole = F.coalesce(F.col(text_column), F.lit(""))
     rows = docs.select(
         F.col(id_column).alias("doc_id"),
@@ -194,15 +223,16 @@ def count_tokens(
         F.xxhash64(whole).alias("digest"),
         whole.alias("text"),
     )
-    counted = _frequencies(rows, file, _frequent(words)).join(
-        words.select("word", "pieces"), "word", "left"
-    )
+    least = _least_step(words)
+    rare = words.where(_step() < least).select("word", "pieces")
+    counted = _frequencies(rows, file, _frequent(words, least)).join(rare, "word", "left")
     lost = F.raise_error(F.lit("a pre-token has no count"))
     pieces = F.when(F.col("freq") == 0, F.lit(0)).otherwise(
         F.col("freq") * F.coalesce(F.col("pieces"), lost.cast("long"))
     )
-    summed = counted.groupBy("doc_id", "part", "n_bytes", "digest").agg(
-        F.sum(F.col("base") + pieces).alias("total"), F.sum("copies").alias("copies")
+    summed = counted.groupBy("doc_id", "part", "digest").agg(
+        F.sum(F.col("base") + pieces).alias("total"), F.sum("copies").alias("copies"),
+        F.max("n_bytes").alias("n_bytes"),
     )
     each = summed.select(
         "doc_id", "n_bytes",

@@ -418,12 +418,14 @@ def test_pretokens_are_counted_once(spark, docs, rows):
 
 
 def test_frequent_pretokens_are_bounded(spark, monkeypatch):
-    monkeypatch.setattr(token_counts, "FREQUENT", 4)
-    rows = [("a", 50, 1), ("b", 20, 2), ("c" * 200, 26, 9), ("d" * 100, 4, 3)]
+    rows = [("a", 500, 1), ("b", 200, 2), ("c" * 200, 460, 9), ("d" * 100, 4, 3), ("e", 1, 1)]
     words = spark.createDataFrame(rows, "word string, n long, pieces long")
-    assert token_counts._frequent(words) == {"a": 1}
-    longer = spark.createDataFrame([("c" * 100, 50, 9), ("a", 50, 1)], words.schema)
-    assert set(token_counts._frequent(longer)) == {"c" * 100, "a"}
+    # in order of occurrences for each 64 bytes begun: a, b, c (four units), d (two), e
+    for most, want in ((0, ""), (1, "a"), (2, "ab"), (5, "ab"), (6, "abc"), (8, "abcd"), (9, "abcde")):
+        monkeypatch.setattr(token_counts, "FREQUENT", most)
+        assert {
+            w[0] for w in token_counts._frequent(words, token_counts._least_step(words))
+        } == set(want)
 
 
 def test_copies_of_a_row_in_many_parts(spark):
