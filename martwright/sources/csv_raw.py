@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from martwright import labels, schemas
 from martwright.sources.tables import path_exists
 
-# Review texts may hold line breaks. Only that file is read whole by one task; the others split.
+# Review texts may hold line breaks, so one task reads a file of them whole; the others split. A name may
+# be that of a folder: its files are read by a task each.
 MULTI_LINE = frozenset({"raw_order_reviews"})
 
 
@@ -44,7 +45,11 @@ def _typed(name: str, kind) -> Column:
 def read_raw_csv(
     spark: SparkSession, folder: str, files: dict[str, str] | None = None
 ) -> dict[str, DataFrame]:
-    """Tables with fixed types, matched by header name; unreadable cells become NULL."""
+    """Tables with fixed types, matched by header name; unreadable cells become NULL.
+
+    Each name is that of a file or of a folder of files with the same header. Rows of tables whose
+    files do not split are spread over tasks, without the columns that are not in use.
+    """
     files = files or file_names()
     require_files(spark, folder, files)
     tables = {}
@@ -57,7 +62,8 @@ def read_raw_csv(
         )
         columns = schemas.RAW[table]
         schemas.require_columns(text, columns, table)
-        tables[table] = text.select(*[_typed(column, kind) for column, kind in columns.items()])
+        typed = text.select(*[_typed(column, kind) for column, kind in columns.items()])
+        tables[table] = typed.hint("rebalance") if table in MULTI_LINE else typed
     return tables
 
 

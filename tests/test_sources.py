@@ -70,6 +70,27 @@ def test_csv_tables(spark, folder):
     assert raw["raw_category_translation"].first().product_category_name == "moveis"
 
 
+def test_reviews_as_a_folder_of_files(spark, folder, tmp_path):
+    place, files = folder
+    reviews = tmp_path / "reviews"
+    reviews.mkdir()
+    header = ["review_id", "order_id", "review_score", "review_comment_message"]
+    for i in range(5):
+        write_csv(reviews / f"part-{i}.csv", header, [
+            [f"r{i}-{j}", f"o{j}", str(1 + (i + j) % 5), 'two\nlines, "quoted"\n\n'] for j in range(6)
+        ])
+    named = {**files, "raw_order_reviews": str(reviews).lstrip("/")}
+    others = {t: f"{place.lstrip('/')}/{n}" for t, n in files.items() if t != "raw_order_reviews"}
+    found = csv_raw.read_raw_csv(spark, "/", {**named, **others})["raw_order_reviews"]
+    rows = found.collect()
+    assert len(rows) == 30
+    assert sorted(r.review_score for r in rows) == sorted(1 + (i + j) % 5 for i in range(5) for j in range(6))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "REBALANCE" in plan and "review_comment_message" not in plan.split("ReadSchema")[1]
+    tasks = spark.read.option("header", True).option("multiLine", True).csv(str(reviews))
+    assert tasks.select(F.spark_partition_id()).distinct().count() == 5
+
+
 def test_marts_from_csv(spark, folder, tmp_path):
     raw = csv_raw.read_raw_csv(spark, *folder)
     stored, rows = refresh.store_raw(raw, str(tmp_path / "raw"))
