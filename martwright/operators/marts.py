@@ -286,10 +286,18 @@ SELLER_MEANS = {
 
 
 def build_seller_mart(order_seller: DataFrame) -> DataFrame:
-    """One row per seller, rolled up from (seller, category) so one pass gives every column."""
-    by_category = order_seller.groupBy("seller_id", "product_category_name").agg(
-        F.max("seller_state").alias("seller_state"),
-        F.max("seller_city").alias("seller_city"),
+    """One row per seller, rolled up from (seller, category) so one pass gives every column.
+
+    Order rows are first merged with the texts as keys: sums of numbers alone merge in place, while a
+    largest text among them would have every task sort all its order rows.
+    """
+    added = [
+        "orders", "items", "gmv", "rank_gmv", "freight", "single_seller_orders",
+        *[f"{name}__{part}" for part in ("sum", "n") for name in SELLER_MEANS],
+    ]
+    merged = order_seller.groupBy(
+        "seller_id", "product_category_name", "seller_state", "seller_city"
+    ).agg(
         F.count("order_id").alias("orders"),
         F.sum("seller_item_count").alias("items"),
         F.sum("seller_price").alias("gmv"),
@@ -308,6 +316,11 @@ def build_seller_mart(order_seller: DataFrame) -> DataFrame:
         *[
             F.sum(name).alias(name)
             for name in ("orders", "items", "gmv", "freight", "single_seller_orders")
+    by_category = merged.groupBy("seller_id", "product_category_name").agg(
+        F.max("seller_state").alias("seller_state"),
+        F.max("seller_city").alias("seller_city"),
+        *[F.sum(name).alias(name) for name in added],
+    )
         ],
         *[
             ratio(F.sum(f"{name}__sum"), F.sum(f"{name}__n")).alias(name)

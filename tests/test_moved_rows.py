@@ -47,3 +47,14 @@ def test_rows_of_item_totals_hold_their_kind_only(raw):
     assert (a.total_price, a.total_freight, a.main_seller_id) == (50.0, 6.0, "s2")
     # an unknown seller is none to count, but may be the one that earned most
     assert (b.distinct_sellers, b.main_seller_id, b.product_category_name) == (1, None, "toys")
+
+
+def test_seller_mart_sorts_no_order_rows(spark, raw):
+    """Texts are keys of the first merge, so that it is a hash aggregate; results stay."""
+    rows = build.build_order_seller(raw, build.build_orders_mart(raw))
+    stated = rows.withColumn("seller_state", F.when(F.col("order_id") == "a", F.col("seller_state")))
+    plan = plan_of(build.build_seller_mart(rows.localCheckpoint()))
+    lowest = [row for row in plan.splitlines() if "Aggregate" in row][-1]
+    assert "HashAggregate" in lowest and "partial_sum" in lowest
+    got = {r.seller_id: r for r in build.build_seller_mart(stated).collect()}
+    assert got["s1"].seller_state == "SP" and got["s1"].orders == 2 and got["s1"].distinct_categories == 1
