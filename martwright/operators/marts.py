@@ -179,25 +179,28 @@ def build_reviews_agg(raw: Raw) -> DataFrame:
 
 
 def build_orders_mart(raw: Raw, lines: DataFrame | None = None) -> DataFrame:
-    """One row per order. Details are aggregated to orders before they are joined; lines are the
-    stored order lines, derived from the raw items if absent.
+    """One row per order; lines are the stored order lines, derived from the raw items if absent."""
+    return with_durations(joined_orders(raw, lines))
 
-    The details arrive partitioned by order. The seller state, whose key differs, is joined last,
-    so that this partitioning serves all three joins before.
+
+def joined_orders(raw: Raw, lines: DataFrame | None = None) -> DataFrame:
+    """Orders with their month and their details, which are aggregated to orders before they are joined.
+
+    The seller state, whose key differs, is joined to the item totals: they are narrow, so that little
+    moves by seller. What follows from an order's own columns is left to with_durations, so that a
+    writer can move the rows before they have it.
     """
+    totals = _item_totals(item_lines(raw) if lines is None else lines)
     customers = raw["raw_customers"].select(
         "customer_id", "customer_unique_id", "customer_city", "customer_state"
     )
     joined = (
         raw["raw_orders"]
         .join(customers, "customer_id", "left")
-        .join(_item_totals(item_lines(raw) if lines is None else lines), "order_id", "left")
+        .join(_with_seller_state(totals, raw), "order_id", "left")
         .join(build_payments_agg(raw), "order_id", "left")
         .join(build_reviews_agg(raw), "order_id", "left")
     )
-    purchase, approved = "order_purchase_timestamp", "order_approved_at"
-    carrier, delivered = "order_delivered_carrier_date", "order_delivered_customer_date"
-    estimated, limit_date = "order_estimated_delivery_date", "max_shipping_limit_date"
     defaults = {
         "is_mixed_category": 0, "order_item_count": 0, "distinct_products": 0,
         "distinct_sellers": 0, "distinct_categories": 0, "total_price": 0.0,
@@ -205,11 +208,17 @@ def build_orders_mart(raw: Raw, lines: DataFrame | None = None) -> DataFrame:
         "main_payment_type": L.UNKNOWN, "review_count": 0,
         "product_category_name": L.NO_ORDER_ITEMS,
     }
-    filled = joined.withColumns({
+    return joined.withColumns({
         name: F.coalesce(F.col(name), F.lit(value)) for name, value in defaults.items()
-    })
-    mart = filled.withColumns({
-        "order_year_month": month_key(purchase),
+    }).withColumn("order_year_month", month_key("order_purchase_timestamp"))
+
+
+def with_durations(joined: DataFrame) -> DataFrame:
+    """The orders mart from joined orders: flags, durations and overruns of each row."""
+    purchase, approved = "order_purchase_timestamp", "order_approved_at"
+    carrier, delivered = "order_delivered_carrier_date", "order_delivered_customer_date"
+    estimated, limit_date = "order_estimated_delivery_date", "max_shipping_limit_date"
+    mart = joined.withColumns({
         "has_review": F.when(F.col("review_count") > 0, 1).otherwise(0),
         "is_delivered": F.when(F.col(delivered).isNotNull(), 1).otherwise(0),
         "is_cancelled": F.when(F.col("order_status") == "canceled", 1).otherwise(0),
@@ -228,7 +237,7 @@ def build_orders_mart(raw: Raw, lines: DataFrame | None = None) -> DataFrame:
         "transit_overrun_days": days_between(carrier, delivered)
         - days_between(limit_date, estimated),
     })
-    return _with_seller_state(mart, raw).select(*schemas.mart_columns("orders_mart"))
+    return mart.select(*schemas.mart_columns("orders_mart"))
 
 
 def build_order_seller(
@@ -259,8 +268,8 @@ def build_order_seller(
     )
     sellers = raw["raw_sellers"].select("seller_id", "seller_state", "seller_city")
     return (
-        totals.join(order_facts, "order_id", "left")
-        .join(sellers, "seller_id", "left")
+        totals.join(sellers, "seller_id", "left")  # while the rows are narrow
+        .join(order_facts, "order_id", "left")
         .withColumns({
             "is_single_seller_order": F.when(F.col("distinct_sellers") == 1, 1).otherwise(0),
             "is_late_handover": flag(
@@ -307,6 +316,11 @@ def build_seller_mart(order_seller: DataFrame) -> DataFrame:
         *[F.sum(source).alias(f"{name}__sum") for name, source in SELLER_MEANS.items()],
         *[F.count(source).alias(f"{name}__n") for name, source in SELLER_MEANS.items()],
     )
+    by_category = merged.groupBy("seller_id", "product_category_name").agg(
+        F.max("seller_state").alias("seller_state"),
+        F.max("seller_city").alias("seller_city"),
+        *[F.sum(name).alias(name) for name in added],
+    )
     best = largest_first(F.col("rank_gmv"), F.col("product_category_name"))
     sellers = by_category.groupBy("seller_id").agg(
         F.max("seller_state").alias("seller_state"),
@@ -316,11 +330,6 @@ def build_seller_mart(order_seller: DataFrame) -> DataFrame:
         *[
             F.sum(name).alias(name)
             for name in ("orders", "items", "gmv", "freight", "single_seller_orders")
-    by_category = merged.groupBy("seller_id", "product_category_name").agg(
-        F.max("seller_state").alias("seller_state"),
-        F.max("seller_city").alias("seller_city"),
-        *[F.sum(name).alias(name) for name in added],
-    )
         ],
         *[
             ratio(F.sum(f"{name}__sum"), F.sum(f"{name}__n")).alias(name)

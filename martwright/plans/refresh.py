@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +30,14 @@ class Marts:
         return seller_sums(self.order_seller) if self.sums is None else self.sums
 
 
+def _orders_mart(raw: dict[str, DataFrame], lines: DataFrame | None = None) -> DataFrame:
+    """The orders mart with its rows brought to their month before the columns are added that follow
+    from the others, about half of all."""
+    return build.with_durations(
+        tables.by_partition(build.joined_orders(raw, lines), PARTITION)
+    )
+
+
 def _path(folder: str, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}"
 
@@ -46,22 +54,50 @@ def store_raw(
     return stored, rows
 
 
-def ready_raw(
-    spark: SparkSession, raw: dict[str, DataFrame], folder: str, names: Sequence[str]
-) -> dict[str, DataFrame]:
-    """The raw tables with the named ones stored, written first unless they are complete.
+def require_unique_keys(raw: dict[str, DataFrame]) -> None:
+    """Raises if a key occurs more than once: a join would multiply rows, and with them every count."""
+    repeated = duplicate_keys(raw).limit(20).collect()
+    if repeated:
+        found = ", ".join(f"{r.table} {r.key} ({r.rows} rows)" for r in repeated)
+        raise ValueError(f"keys that occur more than once: {found}")
+
+
+class MartsOnDemand:
+    """The marts of raw tables, each stored in a folder when it is first asked for.
 
-    For raw tables that are joined together from a source: several marts then read the result
-    instead of repeating the join, and a skewed join can be split because nothing downstream relies
-    on its partitioning.
+    For single results: one that is made from orders costs the orders mart alone, with the items joined
+    and merged on their way to it and nothing else written. Later marts read the stored ones. A whole
+    set, published at once, is made by refresh_marts.
     """
-    result = dict(raw)
-    for name in names:
-        path = _path(folder, name)
-        if not tables.is_complete(spark, path):
-            tables.write_table(raw[name], path)
-        result[name] = tables.read_table(spark, path, raw[name].schema)
-    return result
+
+    def __init__(self, raw: dict[str, DataFrame], folder: str):
+        self._raw, self._folder = raw, folder
+
+    def _ready(
+        self, name: str, df: DataFrame, partition: str | None = None, moved: bool = False
+    ) -> DataFrame:
+        path = _path(self._folder, name)
+        if not tables.is_complete(df.sparkSession, path):
+            tables.write_table(df, path, partition, moved)
+        return tables.read_table(df.sparkSession, path, df.schema)
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        require_unique_keys(self._raw)
+        return self._ready("orders_mart", _orders_mart(self._raw), PARTITION, moved=True)
+
+    @cached_property
+    def order_seller(self) -> DataFrame:
+        rows = build.build_order_seller(self._raw, self.orders)
+        return self._ready("order_seller", rows, PARTITION)
+
+    @cached_property
+    def sellers(self) -> DataFrame:
+        return self._ready("seller_mart", build.build_seller_mart(self.order_seller))
+
+    @cached_property
+    def seller_sums(self) -> DataFrame:
+        return self._ready("seller_sums", seller_sums(self.order_seller))
 
 
 def refresh_marts(raw: dict[str, DataFrame], folder: str, kept: int = 1) -> Marts:
@@ -73,23 +109,22 @@ def refresh_marts(raw: dict[str, DataFrame], folder: str, kept: int = 1) -> Mart
     superseded versions the last kept ones stay for whoever still reads them. Repeated keys raise
     before anything is written: a join would multiply rows, and with them every count.
     """
-    repeated = duplicate_keys(raw).limit(20).collect()
-    if repeated:
-        found = ", ".join(f"{r.table} {r.key} ({r.rows} rows)" for r in repeated)
-        raise ValueError(f"keys that occur more than once: {found}")
+    require_unique_keys(raw)
     spark = raw["raw_orders"].sparkSession
     version = versions.new_version()
     path = version.path(folder)
     rows = {}
 
-    def store(name: str, df: DataFrame, partition: str | None = None) -> DataFrame:
-        rows[name] = tables.write_table(df, _path(path, name), partition).get["rows"]
+    def store(
+        name: str, df: DataFrame, partition: str | None = None, moved: bool = False
+    ) -> DataFrame:
+        rows[name] = tables.write_table(df, _path(path, name), partition, moved).get["rows"]
         return tables.read_table(spark, _path(path, name), schemas.mart_schema(name, raw))
 
     lines = build.order_lines(raw)
     tables.write_table(lines, _path(path, "order_lines"))
     lines = tables.read_table(spark, _path(path, "order_lines"), lines.schema)
-    orders = store("orders_mart", build.build_orders_mart(raw, lines), PARTITION)
+    orders = store("orders_mart", _orders_mart(raw, lines), PARTITION, moved=True)
     order_seller = store(
         "order_seller", build.build_order_seller(raw, orders, lines), PARTITION
     )

@@ -31,18 +31,24 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[application]
 
 
+def by_partition(df: DataFrame, partition_by: str) -> DataFrame:
+    """Rows brought together for a table in partitions: adaptive execution splits a month that holds
+    much of the data over several tasks and merges small months."""
+    return df.hint("rebalance", partition_by)
+
+
 def write_table(
-    df: DataFrame, path: str, partition_by: str | None = None
+    df: DataFrame, path: str, partition_by: str | None = None, moved: bool = False
 ) -> Observation:
     """Replaces a Parquet table. The row count is observed during the write, not in a second job.
 
-    A partitioned table is rebalanced first: adaptive execution splits a month that holds much of
-    the data over several tasks and merges small months.
+    The rows of a table in partitions go through by_partition first, unless they were moved before
+    columns were added that follow from the others.
     """
     written = Observation()
     df = df.observe(written, F.count(F.lit(1)).alias("rows"))
     if partition_by:
-        df = df.hint("rebalance", partition_by)
+        df = df if moved else by_partition(df, partition_by)
         df.write.mode("overwrite").partitionBy(partition_by).parquet(path)
     else:
         df.write.mode("overwrite").parquet(path)

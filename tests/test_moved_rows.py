@@ -36,6 +36,33 @@ def no_broadcast(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_reviews_and_payments_build_no_mart(spark, small, monkeypatch):
+    def none(*_):
+        raise AssertionError("a mart was built")
+
+    monkeypatch.setattr(entry, "stored_marts", none)
+    for name in ("reviews_agg", "payments_agg", "order_items_agg", "orders_mart"):
+        assert entry.queries()[name](spark, small).limit(1).count() == 1
+
+
+def test_marts_are_stored_when_asked_for(raw, tmp_path):
+    stored = refresh.MartsOnDemand(raw, str(tmp_path))
+    assert list(tmp_path.iterdir()) == []
+    assert stored.orders.exceptAll(build.build_orders_mart(raw)).isEmpty()
+    assert {p.name for p in tmp_path.iterdir()} == {"orders_mart"}
+    again = refresh.MartsOnDemand(raw, str(tmp_path))
+    assert again.sellers.count() == 3
+    assert {p.name for p in tmp_path.iterdir()} == {"orders_mart", "order_seller", "seller_mart"}
+    assert sorted(f.name for f in stored.orders.schema) == sorted(build.build_orders_mart(raw).columns)
+
+
+def test_repeated_keys_store_nothing(raw, tmp_path):
+    twice = raw | {"raw_orders": raw["raw_orders"].union(raw["raw_orders"])}
+    with pytest.raises(ValueError, match="more than once"):
+        refresh.MartsOnDemand(twice, str(tmp_path)).orders
+    assert list(tmp_path.iterdir()) == []
+
+
 def test_rows_of_item_totals_hold_their_kind_only(raw):
     """Neither the seller nor the product of a line moves with the money of its category."""
     totals = build._item_totals(build.item_lines(raw))
@@ -49,6 +76,21 @@ def test_rows_of_item_totals_hold_their_kind_only(raw):
     assert (b.distinct_sellers, b.main_seller_id, b.product_category_name) == (1, None, "toys")
 
 
+def test_orders_reach_their_month_without_what_follows_from_them(spark, raw, no_broadcast):
+    spark.conf.set("spark.sql.debug.maxToStringFields", "200")
+    try:
+        plan = plan_of(refresh._orders_mart(raw))
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    above = plan[: plan.index("REBALANCE_PARTITIONS_BY_COL")]
+    below = plan[plan.index("REBALANCE_PARTITIONS_BY_COL"):]
+    assert "delivery_time_days" in above and "delivery_time_days" not in below
+    assert "Exchange" not in above.rsplit("Exchange", 1)[0]
+    # by seller only the narrow totals move, not whole orders
+    moved = below[below.index("Exchange hashpartitioning(main_seller_id"):].splitlines()[:2]
+    assert not any("customer_id" in row for row in moved)
+
+
 def test_seller_mart_sorts_no_order_rows(spark, raw):
     """Texts are keys of the first merge, so that it is a hash aggregate; results stay."""
     rows = build.build_order_seller(raw, build.build_orders_mart(raw))
