@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Collection
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,41 +23,61 @@ OPTIONAL = {
 }
 
 
-def metric_tables(marts: Marts) -> dict[str, DataFrame]:
-    """Metric tables, rounded to four places; the mean delay of a stage to two."""
-    orders = marts.orders
-    tables = {
-        "metrics_summary": segments.summary_metrics(orders),
-        "category_metrics": segments.segment_metrics(orders, "product_category_name"),
-        "customer_state_metrics": segments.segment_metrics(orders, "customer_state"),
-        "seller_state_metrics": segments.segment_metrics(orders, "seller_state"),
-        "monthly_metrics": segments.monthly_metrics(orders),
-        "delay_bucket_metrics": delays.delay_buckets(orders).drop("bucket_id"),
-        "delay_stage_breakdown": delays.delay_stages(orders)
+def _metric_plans(marts: Marts) -> dict[str, Callable[[], DataFrame]]:
+    """What makes each metric table. Only the marts of the tables in use are touched."""
+    return {
+        "metrics_summary": lambda: segments.summary_metrics(marts.orders),
+        "category_metrics": lambda: segments.segment_metrics(
+            marts.orders, "product_category_name"
+        ),
+        "customer_state_metrics": lambda: segments.segment_metrics(marts.orders, "customer_state"),
+        "seller_state_metrics": lambda: segments.segment_metrics(marts.orders, "seller_state"),
+        "monthly_metrics": lambda: segments.monthly_metrics(marts.orders),
+        "delay_bucket_metrics": lambda: delays.delay_buckets(marts.orders).drop("bucket_id"),
+        "delay_stage_breakdown": lambda: delays.delay_stages(marts.orders)
         .drop("stage_id")
         .withColumn("avg_delay_days", half_even("avg_delay_days", 2)),
-        "seller_metrics": sellers.seller_ranking(marts.sellers),
-        "seller_category_comparison": sellers.seller_vs_category(marts.seller_sums),
+        "seller_metrics": lambda: sellers.seller_ranking(marts.sellers),
+        "seller_category_comparison": lambda: sellers.seller_vs_category(marts.seller_sums),
     }
-    return {name: rounded(table) for name, table in tables.items()}
 
 
-def test_tables(marts: Marts) -> dict[str, DataFrame]:
-    """Hypothesis tests and post-hoc comparisons, rounded to six places; rates and statistics of
-    the post-hoc tables to four, sorted by the rounded difference."""
-    tables = {
-        "category_posthoc": _posthoc_as_written(
+def _test_plans(marts: Marts) -> dict[str, Callable[[], DataFrame]]:
+    return {
+        "category_posthoc": lambda: _posthoc_as_written(
             inference.category_posthoc(marts.orders), "product_category_name"
         ),
-        "state_posthoc": _posthoc_as_written(
+        "state_posthoc": lambda: _posthoc_as_written(
             inference.state_posthoc(marts.orders), "customer_state"
         ),
-        "seller_within_category_tests": inference.seller_heterogeneity(marts.seller_sums).drop(
-            "dof"
-        ),
-        "hypothesis_tests": hypotheses.hypothesis_table(marts.orders, marts.seller_sums),
+        "seller_within_category_tests": lambda: inference.seller_heterogeneity(
+            marts.seller_sums
+        ).drop("dof"),
+        "hypothesis_tests": lambda: hypotheses.hypothesis_table(marts.orders, marts.seller_sums),
     }
-    return {name: rounded(table, 6) for name, table in tables.items()}
+
+
+def _made(
+    plans: dict[str, Callable[[], DataFrame]], names: Collection[str] | None, digits: int
+) -> dict[str, DataFrame]:
+    return {
+        name: rounded(make(), digits)
+        for name, make in plans.items() if names is None or name in names
+    }
+
+
+def metric_tables(
+    marts: Marts, names: Collection[str] | None = None
+) -> dict[str, DataFrame]:
+    """Metric tables (the named ones, else all), rounded to four places; the mean delay of a stage
+    to two."""
+    return _made(_metric_plans(marts), names, 4)
+
+
+def test_tables(marts: Marts, names: Collection[str] | None = None) -> dict[str, DataFrame]:
+    """Hypothesis tests and post-hoc comparisons (the named ones, else all), rounded to six places;
+    rates and statistics of the post-hoc tables to four, sorted by the rounded difference."""
+    return _made(_test_plans(marts), names, 6)
 
 
 def _posthoc_as_written(table: DataFrame, segment: str) -> DataFrame:
@@ -82,18 +104,23 @@ def report_tables(marts: Marts, min_orders: int = 50, top: int = 15) -> dict[str
     }
 
 
-def save_results(marts: Marts, folder: str) -> list[str]:
-    """Writes all metric and test tables as CSV folders; returns the names written."""
-    return export_results({**metric_tables(marts), **test_tables(marts)}, folder, OPTIONAL)
+def save_results(
+    marts: Marts, folder: str, names: Collection[str] | None = None
+) -> list[str]:
+    """Writes the named metric and test tables, else all, as CSV folders; returns the names written."""
+    made = {**metric_tables(marts, names), **test_tables(marts, names)}
+    return export_results(made, folder, OPTIONAL)
 
 
 def read_results(
-    spark: SparkSession, folder: str, seller_id: str = "string"
+    spark: SparkSession, folder: str, seller_id: str = "string",
+    names: Collection[str] | None = None,
 ) -> dict[str, DataFrame]:
-    """All result tables of a folder that save_results wrote, typed; seller_id is the type of that
-    column. Optional tables that were left out are empty; absent others are an error that names them."""
+    """The named result tables, else all, of a folder that save_results wrote, typed; seller_id is the
+    type of that column. Optional tables that were left out are empty; absent others are an error that
+    names them."""
     found, absent = {}, []
-    for name in RESULTS:
+    for name in RESULTS if names is None else names:
         path, schema = f"{folder.rstrip('/')}/{name}", result_schema(name, seller_id)
         if path_exists(spark, path):
             found[name] = read_csv_table(spark, path, schema)

@@ -63,6 +63,15 @@ def test_repeated_keys_store_nothing(raw, tmp_path):
     assert list(tmp_path.iterdir()) == []
 
 
+def test_a_result_of_orders_leaves_the_seller_marts(spark, raw, tmp_path, monkeypatch):
+    stored = refresh.MartsOnDemand(raw, str(tmp_path / "marts"))
+    monkeypatch.setattr(entry, "stored_marts", lambda *_: stored)
+    for name in ("saved_state_posthoc", "saved_category_metrics", "saved_delay_stage_breakdown",
+                 "monthly_peak_last", "adhoc_categories"):
+        entry.queries()[name](spark, "/root/testdata/sf0.001").collect()
+    assert {p.name for p in (tmp_path / "marts").iterdir()} == {"orders_mart"}
+
+
 def test_rows_of_item_totals_hold_their_kind_only(raw):
     """Neither the seller nor the product of a line moves with the money of its category."""
     totals = build._item_totals(build.item_lines(raw))
