@@ -88,7 +88,8 @@ class MartsOnDemand:
 
     @cached_property
     def order_seller(self) -> DataFrame:
-        rows = build.build_order_seller(self._raw, self.orders)
+        lines = build.item_lines(self._raw)  # the first aggregate merges them
+        rows = build.build_order_seller(self._raw, self.orders, lines)
         return self._ready("order_seller", rows, PARTITION)
 
     @cached_property

@@ -56,6 +56,14 @@ def test_marts_are_stored_when_asked_for(raw, tmp_path):
     assert sorted(f.name for f in stored.orders.schema) == sorted(build.build_orders_mart(raw).columns)
 
 
+def test_lines_on_demand_are_merged_once(raw, tmp_path, monkeypatch):
+    """Order-and-seller rows come from the items in one merge by category, not by product before."""
+    want = build.build_order_seller(raw, build.build_orders_mart(raw))
+    stored = refresh.MartsOnDemand(raw, str(tmp_path))
+    monkeypatch.delattr(build, "order_lines")
+    assert stored.order_seller.exceptAll(want).isEmpty() and want.exceptAll(stored.order_seller).isEmpty()
+
+
 def test_repeated_keys_store_nothing(raw, tmp_path):
     twice = raw | {"raw_orders": raw["raw_orders"].union(raw["raw_orders"])}
     with pytest.raises(ValueError, match="more than once"):
