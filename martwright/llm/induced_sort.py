@@ -2,7 +2,8 @@
 
 Suffixes are classified as smaller (S) or larger (L) than the next one. Leftmost S suffixes (LMS)
 cut the text; their substrings are sorted by one round of induction and named, the text of names is
-sorted recursively where names repeat, and a last round induces the order of all suffixes.
+sorted where names repeat, by induction again or, with many names, by doubled prefixes, and a last
+round induces the order of all suffixes.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from martwright.llm.common import ranges
 
 #: Symbols that are compared at a time.
 _COMPARED = 1 << 16
-#: Up to this many symbols a bucket is induced in array steps; above, one suffix at a time.
+#: Up to this many symbols buckets are induced in array steps; above, a text (of names, as a rule) has
+#: so many small buckets that doubled prefixes sort it in less time.
 _ARRAY_SYMBOLS = 1024
 
 
@@ -31,13 +33,6 @@ def _classes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return smaller, leftmost
 
 
-def _induce(text, smaller, starts, first, size):
-    """All suffixes sorted, given the leftmost smaller ones in order; starts: of each bucket."""
-    if size <= _ARRAY_SYMBOLS:
-        return _induce_arrays(text, smaller, starts, first, size)
-    return _induce_steps(text, smaller, starts, first)
-
-
 def _with_runs(block: np.ndarray, left: np.ndarray) -> np.ndarray:
     """Places of a bucket, then those before them in their runs of its symbol, nearest ones first."""
     steps = left[block]
@@ -49,7 +44,8 @@ def _with_runs(block: np.ndarray, left: np.ndarray) -> np.ndarray:
     return (block[own] - back)[order]
 
 
-def _induce_arrays(text, smaller, starts, first, size):
+def _induce(text, smaller, starts, first, size):
+    """All suffixes sorted, given the leftmost smaller ones in order; starts: of each bucket."""
     n = len(text)
     place = np.arange(n)
     changes = np.append(True, text[1:] != text[:-1])
@@ -98,37 +94,29 @@ def _induce_arrays(text, smaller, starts, first, size):
     return array
 
 
-def _induce_steps(text, smaller, starts, first):
-    symbols, n = text.tolist(), len(text)
-    # whether the suffix before a place is larger or smaller than its own next one; the entry after
-    # the last serves places that are not filled yet, -1
-    after_larger = [False, *(~smaller[:-1]).tolist(), False]
-    after_smaller = [False, *smaller[:-1].tolist(), False]
-    array = [-1] * n
-    heads, tails = starts[:-1].tolist(), (starts[1:] - 1).tolist()
-    at = tails.copy()
-    for place in first[::-1].tolist():
-        symbol = symbols[place]
-        array[at[symbol]] = place
-        at[symbol] -= 1
-    symbol = symbols[n - 1]
-    array[heads[symbol]] = n - 1
-    heads[symbol] += 1
-    for place in array:  # entries further on are filled on the way
-        if after_larger[place]:
-            place -= 1
-            symbol = symbols[place]
-            head = heads[symbol]
-            array[head] = place
-            heads[symbol] = head + 1
-    for place in reversed(array):
-        if after_smaller[place]:
-            place -= 1
-            symbol = symbols[place]
-            tail = tails[symbol]
-            array[tail] = place
-            tails[symbol] = tail - 1
-    return np.array(array, np.int64)
+def _by_doubling(text: np.ndarray) -> np.ndarray:
+    """Starts of the suffixes in order, by prefixes of doubled length.
+
+    A suffix's rank is the first row of those that share its prefix. Only rows that share one are
+    sorted again, each by its rank and that of the suffix a prefix further on.
+    """
+    n = len(text)
+    array = np.argsort(text, kind="stable")
+    keys, rows, step = text[array].astype(np.int64), np.arange(n), 0
+    rank = np.empty(n, np.int64)
+    while True:
+        heads = np.append(True, keys[1:] != keys[:-1])
+        rank[array[rows]] = rows[np.maximum.accumulate(np.where(heads, np.arange(len(rows)), 0))]
+        alone = heads & np.append(heads[1:], True)
+        rows = rows[~alone]
+        if not len(rows):
+            return array
+        step = 2 * step or 1
+        own = array[rows]
+        further = np.where(own + step < n, rank[np.minimum(own + step, n - 1)] + 1, 0)
+        keys = rank[own] * (n + 1) + further
+        order = np.argsort(keys)
+        array[rows], keys = own[order], keys[order]
 
 
 def _names(text, leftmost, ordered):
@@ -166,6 +154,8 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     if n < 2:
         return np.arange(n)
     size = int(text.max()) + 1
+    if size > _ARRAY_SYMBOLS:
+        return _by_doubling(text)
     smaller, leftmost = _classes(text)
     starts = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=size))])
     if len(leftmost) < 2:

@@ -75,16 +75,34 @@ def _several_places(grams, anchors, first, last, width: int) -> np.ndarray:
     places = np.flatnonzero(
         _sliding(np.maximum, np.concatenate([around, anchors, around]), width) == grams
     )
-    kinds, own = np.unique(anchors[first], return_inverse=True)
+    several = np.zeros(len(first), bool)
+    kinds = np.sort(grams[places])
+    kinds = np.unique(kinds[1:][kinds[1:] == kinds[:-1]])
+    if not len(kinds):
+        return several
+    # only hashes that stand twice in the text
+    own, known = _among(kinds, anchors[first])
+    runs = np.flatnonzero(known)
+    of_place, known = _among(kinds, grams[places])
     span = len(grams) + 1
-    keys = np.sort(np.searchsorted(kinds, grams[places]) * span + places)
-    low = np.searchsorted(keys, own * span + first)
-    return np.searchsorted(keys, own * span + last + width - 1, side="right") - low > 1
+    keys = np.sort(of_place[known] * span + places[known])
+    low = np.searchsorted(keys, own[runs] * span + first[runs])
+    high = np.searchsorted(keys, own[runs] * span + last[runs] + width - 1, side="right")
+    several[runs] = high - low > 1
+    return several
 
 
-def _runs_of_anchors(part: np.ndarray, length: int, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+def _among(kinds: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of values in sorted kinds, and whether they are there."""
+    at = np.minimum(np.searchsorted(kinds, values), len(kinds) - 1)
+    return at, kinds[at] == values
+
+
+def _runs_of_anchors(
+    part: np.ndarray, length: int, ends: np.ndarray, with_inner: bool
+) -> tuple[np.ndarray, ...]:
     """Anchors of the strings of some texts, which end at ends: hash, first and last start of each run
-    with one anchor, and whether the anchor stands at several places in the run's snippet."""
+    with one anchor, and, if asked, whether the anchor stands at several places in the run's snippet."""
     gram = min(_GRAM, length)
     width = length - gram + 1
     up, down = _powers.get(len(part))
@@ -103,13 +121,18 @@ def _runs_of_anchors(part: np.ndarray, length: int, ends: np.ndarray) -> tuple[n
     closes = np.ones(len(anchors), bool)
     closes[:-1] = new[1:] | ~own[1:]
     last = np.flatnonzero(closes & own)
+    if not with_inner:
+        return anchors[first], first, last, np.zeros(len(first), bool)
     told = np.where(own, anchors, np.uint64(0))
     return anchors[first], first, last, _several_places(grams, told, first, last, width)
 
 
-def snippets(texts: Sequence[bytes], length: int = LENGTH) -> Iterator[tuple[np.ndarray, ...]]:
+def snippets(
+    texts: Sequence[bytes], length: int = LENGTH, with_inner: bool = True
+) -> Iterator[tuple[np.ndarray, ...]]:
     """For each text the runs of its strings with one anchor: hash, first and last start, and whether
-    the anchor stands at several places in the run's snippet. Short texts are read together."""
+    the anchor stands at several places in the run's snippet (false without with_inner). Short texts
+    are read together."""
     sizes = [len(t) for t in texts]
     at = 0
     while at < len(texts):
@@ -118,13 +141,15 @@ def snippets(texts: Sequence[bytes], length: int = LENGTH) -> Iterator[tuple[np.
             size += sizes[stop]
             stop += 1
         if size > _CHUNK and size >= length:
-            yield _long_snippets(texts[at], length)
+            yield _long_snippets(texts[at], length, with_inner)
         else:
-            yield from _short_snippets(texts[at:stop], length)
+            yield from _short_snippets(texts[at:stop], length, with_inner)
         at = stop
 
 
-def _short_snippets(texts: Sequence[bytes], length: int) -> Iterator[tuple[np.ndarray, ...]]:
+def _short_snippets(
+    texts: Sequence[bytes], length: int, with_inner: bool
+) -> Iterator[tuple[np.ndarray, ...]]:
     whole = [t for t in texts if len(t) >= length]
     none = np.zeros(0, np.int64)
     empty = none.view(np.uint64), none, none, none.astype(bool)
@@ -133,7 +158,7 @@ def _short_snippets(texts: Sequence[bytes], length: int) -> Iterator[tuple[np.nd
         return
     ends = np.cumsum(np.fromiter(map(len, whole), np.int64, len(whole)))
     hashes, first, last, inner = _runs_of_anchors(
-        np.frombuffer(b"".join(whole), np.uint8), length, ends
+        np.frombuffer(b"".join(whole), np.uint8), length, ends, with_inner
     )
     cuts = np.append(0, np.searchsorted(first, ends)).tolist()
     begins = np.append(0, ends).tolist()
@@ -147,61 +172,79 @@ def _short_snippets(texts: Sequence[bytes], length: int) -> Iterator[tuple[np.nd
         n += 1
 
 
-def _long_snippets(text: bytes, length: int) -> tuple[np.ndarray, ...]:
+def _long_snippets(text: bytes, length: int, with_inner: bool = True) -> tuple[np.ndarray, ...]:
     """Those of a text that is scanned a part at a time."""
     found = []
     for begin in range(0, len(text) - length + 1, _SCAN):
         part = np.frombuffer(text, np.uint8)[begin : begin + _SCAN + length - 1]
-        hashes, first, last, inner = _runs_of_anchors(part, length, np.array([len(part)]))
+        hashes, first, last, inner = _runs_of_anchors(part, length, np.array([len(part)]), with_inner)
         found.append((hashes, first + begin, last + begin, inner))
     return tuple(map(np.concatenate, zip(*found, strict=True)))
 
 
 def _keys(text: bytes, firsts: np.ndarray, lasts: np.ndarray, length: int) -> np.ndarray:
     """A hash of each snippet."""
-    digest = xxhash.xxh3_64_intdigest
-    cuts = zip(firsts.tolist(), (lasts + length).tolist(), strict=True)
-    return np.fromiter((digest(text[a:b]) for a, b in cuts), np.uint64, len(firsts))
+    cuts = map(slice, firsts.tolist(), (lasts + length).tolist())
+    found = map(xxhash.xxh3_64_intdigest, map(text.__getitem__, cuts))
+    return np.fromiter(found, np.uint64, len(firsts))
 
 
-# A record of a snippet: short anchor, snippet's key, id of its document and its start there.
-_SNIPPET = np.dtype([("anchor", "<u4"), ("key", "<u8"), ("doc", "<i8"), ("start", "<i8")])
-# What a document's block is told of a key: where it stands first, and whether its anchor has others.
-_FOUND = np.dtype([("key", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("several", "?")])
+# Columns of a record of a snippet: short anchor, snippet's key, id of its document and its start there.
+_SNIPPET = ("<u4", "<u8", "<i8", "<i8")
+# What a document's block is told of a key: the key, the document and start where it stands first, and
+# whether its anchor has others.
+_FOUND = ("<u8", "<i8", "<i8", "?")
+#: A prime, and a factor that spreads ids; their products are below 2 ** 63.
+_PRIME, _FACTOR = (1 << 31) - 1, 1_583_458_089
 
 
 def _block(doc: np.ndarray, blocks: int) -> np.ndarray:
-    return (mix(doc.view(np.uint64)) % np.uint64(blocks)).astype(np.int32)
+    """The block of a document; _block_of is the same for a column."""
+    return (doc % _PRIME * _FACTOR % _PRIME % blocks).astype(np.int32)
 
 
-def _packed(table: np.ndarray) -> bytes:
-    """Columns one after the other, deltas of the last one, compressed."""
+def _packed(columns: Sequence[np.ndarray]) -> bytes:
+    """Columns one after the other, compressed."""
     import zstandard
 
-    body = b"".join(np.ascontiguousarray(table[name]).tobytes() for name in table.dtype.names)
-    return zstandard.ZstdCompressor(level=1).compress(body)
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(c.tobytes() for c in columns))
 
 
-def _unpacked(blob: bytes, kind: np.dtype) -> np.ndarray:
+def _unpacked(blob: bytes, kinds: Sequence[str]) -> list[np.ndarray]:
     import zstandard
 
     body = zstandard.ZstdDecompressor().decompress(blob)
-    n, at = len(body) // kind.itemsize, 0
-    table = np.zeros(n, kind)
-    for name in kind.names:
-        table[name] = np.frombuffer(body, kind[name], n, at)
-        at += n * kind[name].itemsize
-    return table
+    sizes = [np.dtype(kind).itemsize for kind in kinds]
+    n, at, columns = len(body) // sum(sizes), 0, []
+    for kind, size in zip(kinds, sizes, strict=True):
+        columns.append(np.frombuffer(body, kind, n, at))
+        at += n * size
+    return columns
+
+
+def _joined(tables: Sequence[Sequence[np.ndarray]]) -> list[np.ndarray]:
+    return [np.concatenate(columns) for columns in zip(*tables, strict=True)]
+
 
+def _by_value(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in ascending order of values, and how many have each value."""
+    order = np.argsort(values)
+    values = values[order]
+    edges = np.append(np.flatnonzero(values[1:] != values[:-1]) + 1, len(values))
+    return order, np.diff(edges, prepend=0)
 
-def _first_by(table: np.ndarray, *names: str) -> np.ndarray:
-    """The first row, by document and start, for each value of the names; sorted by the names."""
-    if not len(table):
-        return table
-    table = table[np.lexsort([table["start"], table["doc"], *[table[n] for n in reversed(names)]])]
-    new = np.ones(len(table), bool)
-    new[1:] = np.logical_or.reduce([table[n][1:] != table[n][:-1] for n in names])
-    return table[new]
+
+def _at_most_two(key: np.ndarray, doc: np.ndarray, start: np.ndarray, blocks: int) -> np.ndarray:
+    """Which records are among the first two, by document and start, of their key and block."""
+    kept = np.ones(len(key), bool)
+    order, counts = _by_value(key)
+    rows = order[np.repeat(counts > 2, counts)]
+    block = _block(doc[rows], blocks)
+    order = np.lexsort([start[rows], doc[rows], block, key[rows]])
+    rows, block = rows[order], block[order]
+    same = (key[rows[1:]] == key[rows[:-1]]) & (block[1:] == block[:-1])
+    kept[rows[2:][same[1:] & same[:-1]]] = False
+    return kept
 
 
 def _few(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[tuple]]:
@@ -220,50 +263,44 @@ def _cells(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
 _BLOB = pa.schema([("place", pa.int32()), ("blob", pa.binary())])
 #: Bytes of records that a task holds before it merges equal ones.
 _HELD = 16 << 20
+_SNIPPET_BYTES = 28
 
 
 def _find_snippets(buckets: int, blocks: int, length: int):
     """Records of all snippets by bucket of the anchor; equal ones of a block once per task's share."""
 
-    def flush(held: list[np.ndarray], held_buckets: list) -> Iterator[pa.RecordBatch]:
-        table, bucket = np.concatenate(held), np.concatenate(held_buckets)
-        block = _block(table["doc"], blocks)
+    few = np.min_scalar_type(buckets)  # small whole numbers are sorted by digits
+
+    def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        hashes, key, doc, start = _joined(held)
         # equal snippets of one block are told the same later: the first one stands for them, with
         # a second record where there are more, so that a repeat is still seen as one
-        order = np.lexsort([table["start"], table["doc"], block, table["key"]])
-        table, block, bucket = table[order], block[order], bucket[order]
-        same = np.zeros(len(table), bool)
-        same[1:] = (table["key"][1:] == table["key"][:-1]) & (block[1:] == block[:-1])
-        third = np.zeros(len(table), bool)
-        third[1:] = same[1:] & same[:-1]
-        table, bucket = table[~third], bucket[~third]
-        order = np.lexsort([table["start"], table["doc"], bucket])
-        table, bucket = table[order], bucket[order]
-        cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+        kept = np.flatnonzero(_at_most_two(key, doc, start, blocks))
+        # upper bits tell anchors of a bucket apart, lower ones choose the bucket
+        bucket = ((hashes[kept] & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(few)
+        order = np.argsort(bucket, kind="stable")
+        kept = kept[order]
+        table = (hashes >> np.uint64(32)).astype("<u4")[kept], key[kept], doc[kept], start[kept]
+        cuts = np.append(0, np.cumsum(np.bincount(bucket, minlength=buckets)))
         filled = np.flatnonzero(np.diff(cuts))
-        blobs = [_packed(table[cuts[b] : cuts[b + 1]]) for b in filled]
+        blobs = [_packed([c[cuts[b] : cuts[b + 1]] for c in table]) for b in filled]
         yield record_batch(_BLOB, place=filled.astype(np.int32), blob=blobs)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, held_buckets, size = [], [], 0
+        held, size = [], 0
         for rows in _few(batches, "doc", "text"):
-            found = snippets([text for _, text in rows], length)
+            found = snippets([text for _, text in rows], length, with_inner=False)
             for (doc, text), (hashes, firsts, lasts, _) in zip(rows, found, strict=True):
                 if not len(hashes):
                     continue
-                table = np.zeros(len(hashes), _SNIPPET)
-                # upper bits tell anchors of a bucket apart, lower ones choose the bucket
-                table["anchor"] = (hashes >> np.uint64(32)).astype(np.uint32)
-                held_buckets.append((hashes & np.uint64(0xFFFFFFFF)) % np.uint64(buckets))
-                table["key"] = _keys(text, firsts, lasts, length)
-                table["doc"], table["start"] = doc, firsts
-                held.append(table)
-                size += table.nbytes
+                keys = _keys(text, firsts, lasts, length)
+                held.append((hashes, keys, np.full(len(keys), doc, np.int64), firsts))
+                size += len(keys) * _SNIPPET_BYTES
                 if size > _HELD:
-                    yield from flush(held, held_buckets)
-                    held, held_buckets, size = [], [], 0
+                    yield from flush(held)
+                    held, size = [], 0
         if held:
-            yield from flush(held, held_buckets)
+            yield from flush(held)
 
     return find
 
@@ -278,69 +315,63 @@ def _tell_repeats(blocks: int):
     """For each bucket the keys that stand several times or share their anchor, told to each block
     that holds them."""
 
-    def merged(tables: list[np.ndarray]) -> np.ndarray:
+    def merged(tables: list[list[np.ndarray]]) -> list[np.ndarray]:
         """Two records at most of a key and block: more say nothing new."""
-        table = np.concatenate(tables)
-        block = _block(table["doc"], blocks)
-        order = np.lexsort([table["start"], table["doc"], block, table["key"]])
-        table, block = table[order], block[order]
-        same = np.zeros(len(table), bool)
-        same[1:] = (table["key"][1:] == table["key"][:-1]) & (block[1:] == block[:-1])
-        third = np.zeros(len(table), bool)
-        third[1:] = same[1:] & same[:-1]
-        return table[~third]
+        table = _joined(tables)
+        kept = _at_most_two(*table[1:], blocks)
+        return [column[kept] for column in table]
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, blobs in _groups(batches):
             tables, size = [], 0
             for blob in blobs:
                 tables.append(_unpacked(blob, _SNIPPET))
-                size += tables[-1].nbytes
+                size += len(tables[-1][0]) * _SNIPPET_BYTES
                 if size > 4 * _HELD:
                     tables = [merged(tables)]
-                    size = tables[0].nbytes // 2
-            table = merged(tables)
-            firsts = _first_by(table, "anchor", "key")
-            keys, counts = np.unique(table["key"], return_counts=True)
-            repeated = counts[np.searchsorted(keys, firsts["key"])] > 1
-            anchors, which = np.unique(firsts["anchor"], return_inverse=True)
-            several = np.bincount(which, minlength=len(anchors))[which] > 1
-            wanted = firsts[repeated | several]
+                    size = len(tables[0][0]) * _SNIPPET_BYTES // 2
+            anchor, key, doc, start = merged(tables)
+            rows, counts = _by_value(key)
+            repeated = counts > 1
+            firsts = rows[np.cumsum(counts) - counts]
+            again = rows[np.repeat(repeated, counts)]
+            again = again[np.lexsort([start[again], doc[again], key[again]])]
+            firsts[repeated] = again[np.cumsum(counts[repeated]) - counts[repeated]]
+            order, sharing = _by_value(anchor[firsts])
+            several = np.empty(len(firsts), bool)
+            several[order] = np.repeat(sharing > 1, sharing)
+            wanted = np.flatnonzero(repeated | several)
             if not len(wanted):
                 continue
-            flags = several[repeated | several]
-            order = np.argsort(wanted["key"])
-            wanted, flags = wanted[order], flags[order]
-            at = np.searchsorted(wanted["key"], table["key"])
-            hit = wanted["key"][np.minimum(at, len(wanted) - 1)] == table["key"]
-            pairs = np.unique(np.column_stack([
-                _block(table["doc"][hit], blocks).astype(np.int64), at[hit]
-            ]), axis=0)
-            found = np.zeros(len(pairs), _FOUND)
-            for name in ("key", "doc", "start"):
-                found[name] = wanted[name][pairs[:, 1]]
-            found["several"] = flags[pairs[:, 1]]
-            cuts = np.searchsorted(pairs[:, 0], np.arange(blocks + 1))
+            which = np.full(len(firsts), -1)
+            which[wanted] = np.arange(len(wanted))
+            which = np.repeat(which, counts)
+            rows, which = rows[which >= 0], which[which >= 0]
+            pairs = np.unique(_block(doc[rows], blocks) * np.int64(len(wanted)) + which)
+            block, which = np.divmod(pairs, len(wanted))
+            own = wanted[which]
+            found = [column[firsts[own]] for column in (key, doc, start)] + [several[own]]
+            cuts = np.searchsorted(block, np.arange(blocks + 1))
             filled = np.flatnonzero(np.diff(cuts))
             yield record_batch(
                 _BLOB, place=filled.astype(np.int32),
-                blob=[_packed(found[cuts[b] : cuts[b + 1]]) for b in filled],
+                blob=[_packed([c[cuts[b] : cuts[b + 1]] for c in found]) for b in filled],
             )
 
     return tell
 
 
 def _standing(
-    known: np.ndarray, keys: np.ndarray, doc: int, starts: np.ndarray
+    known: Sequence[np.ndarray], keys: np.ndarray, doc: int, starts: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray]:
     """Which snippets of a document are copies of an earlier one, and which are the first of theirs
     while their anchor has several."""
-    if not len(known):
+    key, docs, firsts, several = known
+    if not len(key):
         return np.zeros(len(keys), bool), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(known["key"], keys), len(known) - 1)
-    hit = known["key"][at] == keys
-    first = (known["doc"][at] == doc) & (known["start"][at] == starts)
-    return hit & ~first, hit & first & known["several"][at]
+    at, hit = _among(key, keys)
+    first = (docs[at] == doc) & (firsts[at] == starts)
+    return hit & ~first, hit & first & several[at]
 
 
 _RUN = np.dtype([("first", "<i8"), ("last", "<i8")])
@@ -375,8 +406,9 @@ def _mark_copies(shards: int, length: int):
                     told.append(_unpacked(blob, _FOUND))
                     continue
                 if known is None:
-                    known = np.concatenate([np.zeros(0, _FOUND), *told])
-                    known = known[np.argsort(known["key"])]
+                    known = _joined([[np.zeros(0, kind) for kind in _FOUND], *told])
+                    order = np.argsort(known[0])
+                    known = [column[order] for column in known]
                 hashes, firsts, lasts, inner = snippets_
                 if not len(hashes):
                     continue
@@ -585,11 +617,8 @@ def repeated_runs(
 
 
 def _block_of(doc: Column, blocks: int) -> Column:
-    @F.pandas_udf("int")
-    def block(docs):
-        return type(docs)(_block(docs.to_numpy(), blocks))
-
-    return block(doc)
+    spread = F.pmod(doc, F.lit(_PRIME)) * F.lit(_FACTOR)
+    return F.pmod(F.pmod(spread, F.lit(_PRIME)), F.lit(blocks)).cast("int")
 
 
 def _meet(notes: DataFrame, rows: DataFrame, blocks: int) -> DataFrame:

@@ -5,8 +5,9 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from martwright.llm import suffix_dedup
+from martwright.llm import induced_sort, suffix_dedup
 from martwright.llm.induced_sort import permuted_prefixes, suffix_array
 
 SCHEMA = "doc_id long, text string"
@@ -110,3 +111,42 @@ def test_short_texts_read_together(monkeypatch):
         monkeypatch.setattr(suffix_dedup, "_CHUNK", chunk)
         for own, one in zip(suffix_dedup.snippets(texts, 20), alone, strict=True):
             assert (one is None and not len(own[0])) or all(map(np.array_equal, own, one))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_texts_of_many_names_are_sorted_by_doubled_prefixes(seed, monkeypatch):
+    rng = np.random.default_rng(seed)
+    for kinds in (1, 2, 50, 4000):
+        text = np.tile(rng.integers(0, kinds, rng.integers(2, 300)), rng.integers(1, 4))
+        whole = text.tolist()
+        plainly = sorted(range(len(whole)), key=lambda i: whole[i:])
+        assert induced_sort._by_doubling(text).tolist() == plainly
+        for symbols in (3, 1024):  # names go one way or the other
+            monkeypatch.setattr(induced_sort, "_ARRAY_SYMBOLS", symbols)
+            assert suffix_array(text).tolist() == plainly
+
+
+def test_two_records_stay_of_each_key_and_block():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 400):
+        key = rng.integers(0, 40, n).astype(np.uint64)
+        doc, start = rng.integers(-20, 20, n), rng.integers(0, 3, n)
+        kept = suffix_dedup._at_most_two(key, doc, start, 3)
+        table = list(zip(key.tolist(), suffix_dedup._block(doc, 3).tolist(), doc.tolist(), start.tolist()))
+        wanted = []
+        for place in {row[:2] for row in table}:
+            wanted += sorted(row for row in table if row[:2] == place)[:2]
+        assert sorted(row for row, k in zip(table, kept) if k) == sorted(wanted)
+
+
+def test_documents_are_dealt_to_blocks_without_python(spark):
+    ids = [0, 1, -1, 7, (1 << 31) - 1, 1 << 31, (1 << 63) - 1, -(1 << 63), 999_999_999_999]
+    docs = spark.createDataFrame([(i, "some text") for i in ids], SCHEMA)
+    for blocks in (1, 7, 6000):
+        column = suffix_dedup._block_of(F.col("doc_id"), blocks)
+        got = docs.select("doc_id", column.alias("block")).collect()
+        assert {r.doc_id: r.block for r in got} == dict(
+            zip(ids, suffix_dedup._block(np.array(ids), blocks).tolist())
+        )
+    plan = suffix_dedup.remove_repeats(docs, ["doc_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
