@@ -13,6 +13,7 @@ where that does not hold are aligned whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -189,14 +190,16 @@ class Aligner:
         lists = pc.split_pattern(pa.array([texts[i] for i in split], pa.large_string()), " ")
         counts[split] = np.diff(lists.offsets.to_numpy())
         words = lists.flatten().dictionary_encode()
-        known = words.dictionary.to_pylist()
-        new = [w for w in known if w not in self.at]
-        if new:
-            self.at.update(zip(new, range(len(self.n_a), len(self.n_a) + len(new)), strict=True))
+        known = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        row_of = np.fromiter(map(self.at.get, known, repeat(-1)), np.int64, len(known))
+        missing = np.flatnonzero(row_of < 0)
+        if len(missing):
+            row_of[missing] = len(self.n_a) + np.arange(len(missing))
+            new = list(map(known.__getitem__, missing.tolist()))
             self._learn(new, words=True)
-        row_of = np.fromiter(map(self.at.__getitem__, known), np.int64, len(known))
-        if len(self.at) <= KEPT_WORDS and self.chars <= KEPT_CHARS:
-            kept, new = (len(self.n_a), len(self.links), self.chars), []
+            if len(self.at) + len(new) <= KEPT_WORDS and self.chars <= KEPT_CHARS:
+                self.at.update(zip(new, row_of[missing].tolist(), strict=True))
+                kept = len(self.n_a), len(self.links), self.chars
         rows = np.empty(int(counts.sum()), np.int64)
         is_word = np.ones(len(texts), bool)
         is_word[whole] = False
@@ -206,8 +209,6 @@ class Aligner:
             rows[~from_words] = len(self.n_a) + np.arange(len(whole))
             self._learn([texts[i] for i in whole], words=False)
         use(rows, counts)
-        for word in new:
-            del self.at[word]
         if len(self.n_a) > kept[0]:
             for name in ("n_a", "n_b", "n_links", "starts", "good", "groups"):
                 setattr(self, name, getattr(self, name)[: kept[0]])

@@ -19,8 +19,9 @@ from martwright.llm.common import ranges
 
 #: Words that a Python worker keeps; words beyond are encoded again in the next slice.
 KEPT_WORDS = 1_000_000
-#: Characters given to the library at a time.
-_BLOCK = 200_000
+#: Characters given to the library at a time. Sentencepiece keeps all pairs of a text in one queue, so
+#: it takes longer over each word of a longer text.
+_BLOCK, _PIECE_BLOCK = 200_000, 10_000
 _SPACE_FIRST = re.compile(r"\s ")
 _ENDS = re.compile(r"^\s|\s$")
 
@@ -34,16 +35,14 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _blocks(words: list[str]):
-    held, size = [], 0
-    for word in words:
-        held.append(word)
-        size += len(word) + 1
-        if size >= _BLOCK:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+def _blocks(words: list[str], size: int):
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    cuts = np.flatnonzero(np.diff(ends // size, prepend=0)) + 1
+    at = 0
+    for stop in [*cuts.tolist(), len(words)]:
+        if stop > at:
+            yield words[at:stop]
+        at = stop
 
 
 class PieceModel:
@@ -83,7 +82,7 @@ class PieceModel:
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and each word's number of ids. Each word begins at a space's piece."""
         ids, counts = [], []
-        for block in _blocks(words):
+        for block in _blocks(words, _PIECE_BLOCK):
             got = np.array(self.model.encode(" ".join(block), num_threads=1), np.int32)
             at = np.flatnonzero(self.starts[got])
             if len(at) != len(block):
@@ -133,7 +132,7 @@ class ByteModel:
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each word with a space before it. An id stands for a fixed number of bytes."""
         ids, counts = [], []
-        for block in _blocks(words):
+        for block in _blocks(words, _BLOCK):
             text = [" " + " ".join(block)]
             got = self.model.encode_batch_fast(text, add_special_tokens=False)[0].ids
             got = np.array(got, np.int32)

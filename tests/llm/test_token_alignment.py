@@ -10,7 +10,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from martwright.llm import token_alignment
+from martwright.llm import token_alignment, word_pieces
 from martwright.llm.queries import queries
 from martwright.llm.word_pieces import tokenizer_file
 
@@ -152,3 +152,33 @@ def test_whole_table(spark, small, encode):
         assert [got[doc_id][c] for c in COLUMNS] == numbers
         digest = hashlib.sha256(groups.encode()).hexdigest() if groups else ""
         assert got[doc_id].groups_sha256 == digest
+
+
+def test_words_beyond_the_store_never_enter_it(encode, monkeypatch):
+    monkeypatch.setattr(token_alignment, "KEPT_WORDS", 20)
+    aligner = token_alignment.Aligner(
+        tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model")
+    )
+    sizes = []
+    for at in range(0, 60, 3):
+        texts = [f"word{at} word{at + 1}", "the of", f"word{at}x word{at}x"]
+        aligner.apply(texts, lambda rows, counts: sizes.append((len(aligner.at), len(rows))))
+    assert [n for _, n in sizes] == [6] * 20
+    assert 0 < max(kept for kept, _ in sizes) <= 20
+    assert len(aligner.n_a) == len(aligner.at) == len(aligner.groups)
+
+
+@pytest.mark.parametrize("size", [1, 7, 40, 10**6])
+def test_words_have_the_same_ids_in_blocks_of_any_size(encode, monkeypatch, size):
+    words = [w for w in {w for _, t in rows() for w in (t or "").split(" ")} if w and w.isalnum()]
+    words += ["a" * 50, "b"]
+    monkeypatch.setattr(word_pieces, "_BLOCK", size)
+    monkeypatch.setattr(word_pieces, "_PIECE_BLOCK", size)
+    for side, kind, file in ((0, word_pieces.ByteModel, "byte_bpe_50k.json"),
+                             (1, word_pieces.PieceModel, "piece_bpe_32k.model")):
+        ids, counts = kind(tokenizer_file(file)).encode_words(words)
+        got = [part.tolist() for part in np.split(ids, np.cumsum(counts)[:-1])]
+        assert got == [[i for i, _ in encode(w)[side]] for w in words]
+    blocks = list(word_pieces._blocks(words, size))
+    assert [w for block in blocks for w in block] == words and all(blocks)
+    assert list(word_pieces._blocks([], size)) == []
