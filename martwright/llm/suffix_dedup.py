@@ -16,6 +16,7 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +37,8 @@ _CHUNK = 1 << 15
 _BUCKET_BYTES = 16 << 20
 _BLOCK_BYTES = 8 << 20
 _SHARD_BYTES = 1 << 19
+#: Texts of so many bytes move compressed one by one; shorter ones are left to Spark's blocks of rows.
+_LONG_TEXT = 1 << 9
 #: Snippets of one anchor that a suffix array takes; strings of larger anchors are grouped singly.
 LARGE_ANCHOR = 30_000
 _BASE = 0x9E3779B97F4A7C15
@@ -260,6 +263,31 @@ def _cells(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
         yield from rows
 
 
+def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with a column packed: their text compressed, if it is long, and then no text."""
+    import zstandard
+
+    compress = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        texts = batch["text"]
+        long = pc.greater_equal(pc.binary_length(texts), _LONG_TEXT)
+        packed = [compress(t.as_buffer()) if big else None
+                  for t, big in zip(texts, long.to_pylist(), strict=True)]
+        columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+        columns["text"] = pc.if_else(long, pa.scalar(None, texts.type), texts)
+        columns["packed"] = pa.array(packed, pa.binary())
+        yield pa.RecordBatch.from_pydict(columns)
+
+
+def _whole_texts(parts: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
+    """Rows that end with text and packed, with the text alone in place of both."""
+    import zstandard
+
+    whole = zstandard.ZstdDecompressor().decompress
+    for rows in parts:
+        yield [(*row, text if packed is None else whole(packed)) for *row, text, packed in rows]
+
+
 _BLOB = pa.schema([("place", pa.int32()), ("blob", pa.binary())])
 #: Bytes of records that a task holds before it merges equal ones.
 _HELD = 16 << 20
@@ -391,7 +419,8 @@ def _mark_copies(shards: int, length: int):
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, told, known = None, [], None
-        for part in _few(batches, "place", "blob", "doc", "text_hash", "text"):
+        names = ("place", "blob", "doc", "text_hash", "text", "packed")
+        for part in _whole_texts(_few(batches, *names)):
             rows = {f.name: [] for f in _MARKED}
 
             def add(*values, rows=rows):
@@ -622,8 +651,15 @@ def _block_of(doc: Column, blocks: int) -> Column:
 
 
 def _meet(notes: DataFrame, rows: DataFrame, blocks: int) -> DataFrame:
-    """Notes (by place, the block) and documents in one partition for each block, notes first."""
+    """Notes (by place, the block) and documents in one partition for each block, notes first.
+
+    The texts are most of what moves; long ones come as packed, see _pack_texts.
+    """
     placed = rows.withColumn("place", _block_of(F.col("doc"), blocks))
+    kinds = [T.StructField(f.name, f.dataType) for f in placed.schema]
+    placed = placed.mapInArrow(
+        _pack_texts, T.StructType([*kinds, T.StructField("packed", T.BinaryType())])
+    )
     both = notes.unionByName(placed, allowMissingColumns=True).repartitionById(blocks, "place")
     return both.sortWithinPartitions("place", F.col("blob").isNull())
 
@@ -635,15 +671,16 @@ def _cut(length: int, schema: pa.Schema):
         block, notes = None, {}
         for batch in batches:
             taken, out = [], {f.name: [] for f in schema if f.name != "row"}
-            names = ("place", "blob", "text", "doc", "text_hash")
-            for i, (place, blob, text, *key) in enumerate(_cells(batch, *names)):
+            names = ("place", "blob", "doc", "text_hash", "text", "packed")
+            rows = (row for part in _whole_texts(_few(iter([batch]), *names)) for row in part)
+            for i, (place, blob, doc, text_hash, text) in enumerate(rows):
                 if place != block:
                     block, notes = place, {}
                 if blob is not None:
-                    notes.setdefault(tuple(key), []).append(blob)
+                    notes.setdefault((doc, text_hash), []).append(blob)
                     continue
                 size, removed, spans = len(text), 0, 0
-                runs = notes.get(tuple(key))
+                runs = notes.get((doc, text_hash))
                 if runs:
                     gone = _covered(size, runs, length)
                     removed = int(gone.sum())
@@ -709,12 +746,17 @@ def drop_repeats(
     Documents that lose every byte go; empty ones stay. Bytes of a character that a cut has split go
     too. A column n_chars follows the new text.
     """
-    cut = remove_repeats(docs, docs.columns, length, id_column, text_column)
+    # the text itself comes back as kept, so beside it only whether it is null has to move
+    null = max(docs.columns, key=len) + "_"
+    others = [c for c in docs.columns if c != text_column]
+    flagged = docs.withColumn(null, F.col(f"`{text_column}`").isNull())
+    cut = remove_repeats(flagged, [*others, null], length, id_column, text_column)
     kept = cut.where((F.col("n_removed") == 0) | (F.length("kept") > 0))
+    same = F.col("kept").cast(docs.schema[text_column].dataType)
     changed = F.when(F.col("n_removed") > 0, _whole_characters(F.col("kept"))).otherwise(
-        F.col(f"row.`{text_column}`")
+        F.when(~F.col(f"row.`{null}`"), same)
     )
-    columns = {c: F.col(f"row.`{c}`") for c in docs.columns} | {text_column: changed}
+    columns = {c: changed if c == text_column else F.col(f"row.`{c}`") for c in docs.columns}
     if "n_chars" in columns:
         length_of = F.length(changed).cast(docs.schema["n_chars"].dataType)
         columns["n_chars"] = F.when(F.col("n_removed") > 0, length_of).otherwise(columns["n_chars"])

@@ -150,3 +150,39 @@ def test_documents_are_dealt_to_blocks_without_python(spark):
         )
     plan = suffix_dedup.remove_repeats(docs, ["doc_id"])._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+
+
+def test_texts_move_compressed(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghijklmnopqrst", k=rng.randint(2, 9))) for _ in range(2000)]
+    texts = [" ".join(rng.choices(words, k=k)) for k in (0, 1, 80, 600, 3000) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate([*texts, None])), SCHEMA)
+    rows = suffix_dedup._rows(docs, "doc_id", "text")
+    notes = spark.createDataFrame([], "place int, blob binary")
+    met = suffix_dedup._meet(notes, rows, 3)
+    kinds = [f.name for f in met.schema if f.dataType.simpleString() == "binary"]
+    moved = met.select([F.sum(F.octet_length(c)) for c in kinds]).first()
+    assert sum(n or 0 for n in moved) < 0.7 * sum(map(len, texts))
+    # and come out whole, on either side of the size from which they are compressed
+    edge = suffix_dedup._LONG_TEXT
+    rows = list(enumerate([*texts, None, *(texts[-1][:n] for n in (edge - 1, edge, edge + 1))]))
+    assert report(spark, rows, 40) == plain(rows, 40)
+
+
+def test_a_text_moves_once_beside_its_other_columns(spark, monkeypatch):
+    """Of the columns of the documents the text is not among those that go along."""
+    own = suffix_dedup.remove_repeats
+    kept = []
+    monkeypatch.setattr(
+        suffix_dedup, "remove_repeats", lambda docs, keep, *more: kept.extend(keep) or own(docs, keep, *more)
+    )
+    body = "words that stand here and again, é " * 30
+    rows = [(1, 10, body), (2, None, None), (3, 0, ""), (None, 7, "short"), (4, 5, "x" + body), (4, 5, "x" + body)]
+    docs = spark.createDataFrame(rows, "doc_id long, text_ int, text string")
+    cut = suffix_dedup.drop_repeats(docs, 30)
+    assert "text" not in kept
+    assert cut.columns == docs.columns
+    assert [f.dataType for f in cut.schema] == [f.dataType for f in docs.schema]
+    got = {tuple(r)[:2]: r.text for r in cut.collect()}
+    assert got[2, None] is None and got[3, 0] == "" and got[None, 7] == "short"
+    assert got[4, 5] == "x" and len(got[1, 10]) < len(body)
