@@ -52,17 +52,29 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
-def stored(df: DataFrame) -> DataFrame:
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, drop_shuffles: bool = False) -> DataFrame:
     """The rows, written once to the shared checkpoint folder; lineage ends there.
 
     The checkpoint folder is the one the cluster names. Spark removes the files with the frame when
-    spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    spark.cleaner.referenceTracking.cleanCheckpoints is set. With drop_shuffles what was shuffled for
+    the rows leaves the disks when they are written, not whenever the driver next collects garbage.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(f"{shared_dir(spark)}/checkpoints")
-    return df.checkpoint(eager=True)
+    if not drop_shuffles:
+        return df.checkpoint(eager=True)
+    before = spark.conf.get(_DROP_SHUFFLES)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        own = df.select("*")  # planned under the setting, with shuffles that no other frame reads
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
+    return own.checkpoint(eager=True)
 
 
 def parts_for(n_bytes: float, part_bytes: int = PART_BYTES, most: int = 100_000) -> int:

@@ -626,12 +626,14 @@ def repeated_runs(
         _tell_repeats(blocks), "place int, blob binary"
     )
     meeting = _meet(told.select("place", "blob"), rows, blocks)
-    marked = stored(meeting.mapInArrow(_mark_copies(shards, length), _MARKED_DDL))
+    marked = stored(
+        meeting.mapInArrow(_mark_copies(shards, length), _MARKED_DDL), drop_shuffles=True
+    )
     copies = marked.where("shard is null").select("doc", "text_hash", "body")
     several = marked.where("shard is not null")
     runs = copies
     sizes = several.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large)
-    sizes = stored(sizes)
+    sizes = stored(sizes, drop_shuffles=True)
     if not sizes.isEmpty():
         over = several.join(sizes, "anchor", "left_semi").select("doc", "text_hash", "start", "body")
         runs = runs.unionByName(_large_anchors(over, length))
@@ -642,7 +644,7 @@ def repeated_runs(
     arrays = ordered.select("doc", "text_hash", "start", "anchor", "body").mapInArrow(
         _sort_shards(length), "doc long, text_hash long, body binary"
     )
-    return stored(runs.unionByName(arrays))
+    return stored(runs.unionByName(arrays), drop_shuffles=True)
 
 
 def _block_of(doc: Column, blocks: int) -> Column:

@@ -2,12 +2,13 @@
 
 import random
 import time
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from martwright.llm import induced_sort, suffix_dedup
+from martwright.llm import common, induced_sort, suffix_dedup
 from martwright.llm.induced_sort import permuted_prefixes, suffix_array
 
 SCHEMA = "doc_id long, text string"
@@ -177,7 +178,7 @@ def test_a_text_moves_once_beside_its_other_columns(spark, monkeypatch):
         suffix_dedup, "remove_repeats", lambda docs, keep, *more: kept.extend(keep) or own(docs, keep, *more)
     )
     body = "words that stand here and again, é " * 30
-    rows = [(1, 10, body), (2, None, None), (3, 0, ""), (None, 7, "short"), (4, 5, "x" + body), (4, 5, "x" + body)]
+    rows = [(1, 10, body), (2, None, None), (3, 0, ""), (None, 7, "short"), *[(4, 5, "x" + body)] * 2]
     docs = spark.createDataFrame(rows, "doc_id long, text_ int, text string")
     cut = suffix_dedup.drop_repeats(docs, 30)
     assert "text" not in kept
@@ -186,3 +187,25 @@ def test_a_text_moves_once_beside_its_other_columns(spark, monkeypatch):
     got = {tuple(r)[:2]: r.text for r in cut.collect()}
     assert got[2, None] is None and got[3, 0] == "" and got[None, 7] == "short"
     assert got[4, 5] == "x" and len(got[1, 10]) < len(body)
+
+
+def test_shuffles_leave_the_disk_when_their_rows_are_stored(spark):
+    rng = random.Random(8)
+    rows = [(i, "".join(rng.choices("abcdefgh", k=4000)) + "a passage that repeats " * 3) for i in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4).localCheckpoint()
+    disks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    folders = [Path(str(f)) for f in disks.localDirs()]
+
+    def shuffled():
+        return {f: f.stat().st_size for folder in folders for f in folder.rglob("shuffle_*.data")}
+
+    before, setting = shuffled(), spark.conf.get(common._DROP_SHUFFLES)
+    runs = suffix_dedup.repeated_runs(docs, 40)
+    for _ in range(50):  # removed in the background
+        left = sum(size for f, size in shuffled().items() if f not in before)
+        if left < 1000:
+            break
+        time.sleep(0.2)
+    assert left < 1000  # of the sum of text lengths
+    assert spark.conf.get(common._DROP_SHUFFLES) == setting
+    assert runs.count() >= 59
