@@ -1,13 +1,16 @@
 """Order, order-and-seller, and seller marts.
 
 Items are merged once, to lines of (order, seller, product); both item marts roll up from these.
-Every step that argmaxes or counts distinct names first aggregates at the grain of that name, and
-each aggregate merges within its tasks before rows move, so a hot order or seller is never gathered.
+Every step that argmaxes or counts distinct names first aggregates at the grain of that name. Lines of
+ordinary orders move once, by order; those of a huge order are merged by name within their tasks before
+they move, so a hot order or seller is never gathered.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from martwright import labels as L
@@ -25,6 +28,9 @@ from martwright.functions.columns import (
 
 Raw = dict[str, DataFrame]
 
+# Lines of an order, from which on they are too many to be brought to one task.
+HUGE_ORDER = 100_000
+
 
 def product_categories(products: DataFrame, translation: DataFrame) -> DataFrame:
     """product_id and its resolved category, joined at product grain before any item is touched."""
@@ -75,9 +81,40 @@ def _sums() -> list[Column]:
     return [*added, F.max("limit_date").alias("limit_date")]
 
 
-def _main_category() -> Column:
+def _merged_by_order(
+    items: DataFrame,
+    lines: DataFrame,
+    in_place: Callable[[DataFrame], DataFrame],
+    by_name: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """The lines merged, each order by itself. Items are the lines before their joins.
+
+    The lines of ordinary orders are brought together once, so that in_place need not move them. Those of
+    huge orders, of which there are at most as many as HUGE_ORDER goes into all lines, stay where they are
+    and are left to by_name.
+    """
+    huge = F.broadcast(
+        items.groupBy(F.col("order_id").alias("huge_id"))
+        .agg(F.count(F.lit(1)).alias("lines"))
+        .where(F.col("lines") > HUGE_ORDER)
+        .select("huge_id")
+    )
+    is_huge = F.col("order_id").eqNullSafe(F.col("huge_id"))
+    ordinary = lines.join(huge, is_huge, "left_anti").repartition("order_id")
+    return in_place(ordinary).unionByName(by_name(lines.join(huge, is_huge, "left_semi")))
+
+
+def _same(*names: str):
+    """All lines of an order that have the same names."""
+    return (
+        Window.partitionBy("order_id", *names).orderBy(names[-1])
+        .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    )
+
+
+def _main_category(price: str) -> Column:
     """The category that earned most."""
-    return F.min_by("category", largest_first(F.col("price"), F.col("category")))
+    return F.min_by("category", largest_first(F.col(price), F.col("category")))
 
 
 def _item_totals(lines: DataFrame) -> DataFrame:
@@ -128,6 +165,39 @@ def _item_totals(lines: DataFrame) -> DataFrame:
         main("category").alias("product_category_name"),
         main("seller_id").alias("main_seller_id"),
     )
+    return _with_mixed(totals)
+
+
+def _item_totals_in_place(lines: DataFrame) -> DataFrame:
+    """As _item_totals, from lines whose orders are each in one task.
+
+    Lines are sorted by order and name and told what the name earned in the order. A task holds its lines
+    for that, which spill if they must, and no map of all names.
+    """
+    for own in ("category", "seller_id", "product_id"):
+        place = F.row_number().over(Window.partitionBy("order_id", own).orderBy(own))
+        lines = lines.withColumns({
+            f"{own}_price": F.sum("price").over(_same(own)),
+            f"{own}_first": F.when(F.col(own).isNotNull(), place == 1),
+        })
+
+    def main(own: str) -> Column:
+        return F.min(largest_first(F.col(f"{own}_price"), F.col(own)))[own]
+
+    return _with_mixed(lines.groupBy("order_id").agg(
+        F.sum("items").alias("order_item_count"),
+        F.count_if("product_id_first").alias("distinct_products"),
+        F.count_if("seller_id_first").alias("distinct_sellers"),
+        F.count_if("category_first").alias("distinct_categories"),
+        as_money(F.sum("price")).alias("total_price"),
+        as_money(F.sum("freight")).alias("total_freight"),
+        F.max("limit_date").alias("max_shipping_limit_date"),
+        main("category").alias("product_category_name"),
+        main("seller_id").alias("main_seller_id"),
+    ))
+
+
+def _with_mixed(totals: DataFrame) -> DataFrame:
     return totals.withColumn(
         "is_mixed_category", F.when(F.col("distinct_categories") > 1, 1).otherwise(0)
     )
@@ -180,17 +250,23 @@ def build_reviews_agg(raw: Raw) -> DataFrame:
 
 def build_orders_mart(raw: Raw, lines: DataFrame | None = None) -> DataFrame:
     """One row per order; lines are the stored order lines, derived from the raw items if absent."""
-    return with_durations(joined_orders(raw, lines))
+    return with_durations(joined_orders(raw, order_totals(raw, lines)))
+
+
+def order_totals(raw: Raw, lines: DataFrame | None = None) -> DataFrame:
+    """Item totals per order that has items, from stored order lines or else from the raw items."""
+    items = _items(raw) if lines is None else lines
+    lines = item_lines(raw) if lines is None else lines
+    return _merged_by_order(items, lines, _item_totals_in_place, _item_totals)
 
 
-def joined_orders(raw: Raw, lines: DataFrame | None = None) -> DataFrame:
+def joined_orders(raw: Raw, totals: DataFrame) -> DataFrame:
     """Orders with their month and their details, which are aggregated to orders before they are joined.
 
     The seller state, whose key differs, is joined to the item totals: they are narrow, so that little
     moves by seller. What follows from an order's own columns is left to with_durations, so that a
     writer can move the rows before they have it.
     """
-    totals = _item_totals(item_lines(raw) if lines is None else lines)
     customers = raw["raw_customers"].select(
         "customer_id", "customer_unique_id", "customer_city", "customer_state"
     )
@@ -257,7 +333,7 @@ def build_order_seller(
             as_money(F.sum("price")).alias("seller_price"),
             as_money(F.sum("freight")).alias("seller_freight"),
             F.max("limit_date").alias("seller_limit_date"),
-            _main_category().alias("product_category_name"),
+            _main_category("price").alias("product_category_name"),
         )
     )
     order_facts = orders_mart.select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -30,14 +32,29 @@ class Marts:
         return seller_sums(self.order_seller) if self.sums is None else self.sums
 
 
-def _orders_mart(raw: dict[str, DataFrame], lines: DataFrame | None = None) -> DataFrame:
+def _orders_mart(raw: dict[str, DataFrame], totals: DataFrame | None = None) -> DataFrame:
     """The orders mart with its rows brought to their month before the columns are added that follow
-    from the others, about half of all."""
+    from the others, about half of all. Item totals come from the raw items unless they are given."""
+    totals = build.order_totals(raw) if totals is None else totals
     return build.with_durations(
-        tables.by_partition(build.joined_orders(raw, lines), PARTITION)
+        tables.by_partition(build.joined_orders(raw, totals), PARTITION)
     )
 
 
+@contextmanager
+def _job_group(spark: SparkSession, text: str) -> Iterator[None]:
+    """Jobs in here have a group of their own, apart from those of the query that asks for a mart."""
+    context = spark.sparkContext
+    names = ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel")
+    before = {name: context.getLocalProperty(name) for name in names}
+    context.setJobGroup(f"martwright {text}", f"martwright: {text}")
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            context.setLocalProperty(name, value)
+
+
 def _path(folder: str, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}"
 
@@ -65,26 +82,40 @@ def require_unique_keys(raw: dict[str, DataFrame]) -> None:
 class MartsOnDemand:
     """The marts of raw tables, each stored in a folder when it is first asked for.
 
-    For single results: one that is made from orders costs the orders mart alone, with the items joined
-    and merged on their way to it and nothing else written. Later marts read the stored ones. A whole
-    set, published at once, is made by refresh_marts.
+    For single results: one that is made from orders costs the orders mart alone. Item totals are stored
+    on the way to it, so that what was shuffled for them has left the disks when orders are joined, and
+    go once it is written. Later marts read the stored ones. A whole set, published at once, is made by
+    refresh_marts.
     """
 
     def __init__(self, raw: dict[str, DataFrame], folder: str):
         self._raw, self._folder = raw, folder
+        self._spark = raw["raw_orders"].sparkSession
+
+    def _is_ready(self, name: str) -> bool:
+        return tables.is_complete(self._spark, _path(self._folder, name))
 
     def _ready(
         self, name: str, df: DataFrame, partition: str | None = None, moved: bool = False
     ) -> DataFrame:
         path = _path(self._folder, name)
-        if not tables.is_complete(df.sparkSession, path):
-            tables.write_table(df, path, partition, moved)
-        return tables.read_table(df.sparkSession, path, df.schema)
+        if not self._is_ready(name):
+            with _job_group(self._spark, f"store {name}"):
+                tables.write_table(df, path, partition, moved)
+        return tables.read_table(self._spark, path, df.schema)
 
     @cached_property
     def orders(self) -> DataFrame:
-        require_unique_keys(self._raw)
-        return self._ready("orders_mart", _orders_mart(self._raw), PARTITION, moved=True)
+        with _job_group(self._spark, "keys"):
+            require_unique_keys(self._raw)
+        totals = build.order_totals(self._raw)
+        if not self._is_ready("orders_mart"):
+            totals = self._ready("item_totals", totals)
+        orders = self._ready(
+            "orders_mart", _orders_mart(self._raw, totals), PARTITION, moved=True
+        )
+        tables.remove_table(self._spark, _path(self._folder, "item_totals"))
+        return orders
 
     @cached_property
     def order_seller(self) -> DataFrame:
@@ -125,7 +156,8 @@ def refresh_marts(raw: dict[str, DataFrame], folder: str, kept: int = 1) -> Mart
     lines = build.order_lines(raw)
     tables.write_table(lines, _path(path, "order_lines"))
     lines = tables.read_table(spark, _path(path, "order_lines"), lines.schema)
-    orders = store("orders_mart", _orders_mart(raw, lines), PARTITION, moved=True)
+    totals = build.order_totals(raw, lines)
+    orders = store("orders_mart", _orders_mart(raw, totals), PARTITION, moved=True)
     order_seller = store(
         "order_seller", build.build_order_seller(raw, orders, lines), PARTITION
     )

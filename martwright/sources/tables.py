@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -37,21 +38,36 @@ def by_partition(df: DataFrame, partition_by: str) -> DataFrame:
     return df.hint("rebalance", partition_by)
 
 
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What is shuffled for a write in here leaves the disks with its end, not whenever the driver next
+    collects garbage."""
+    before = spark.conf.get(_DROP_SHUFFLES)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
+
+
 def write_table(
     df: DataFrame, path: str, partition_by: str | None = None, moved: bool = False
 ) -> Observation:
     """Replaces a Parquet table. The row count is observed during the write, not in a second job.
 
     The rows of a table in partitions go through by_partition first, unless they were moved before
-    columns were added that follow from the others.
+    columns were added that follow from the others. Shuffled files of the write are gone after it.
     """
     written = Observation()
     df = df.observe(written, F.count(F.lit(1)).alias("rows"))
-    if partition_by:
-        df = df if moved else by_partition(df, partition_by)
-        df.write.mode("overwrite").partitionBy(partition_by).parquet(path)
-    else:
-        df.write.mode("overwrite").parquet(path)
+    if partition_by and not moved:
+        df = by_partition(df, partition_by)
+    with shuffles_dropped(df.sparkSession):
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return written
 
 

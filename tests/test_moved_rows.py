@@ -1,9 +1,14 @@
 """Single results cost the marts they need, and little moves on the way to them."""
 
+import random
+import time
+from pathlib import Path
+
 import __spark_entry__ as entry
 import pytest
 from martwright.operators import marts as build
 from martwright.plans import refresh
+from martwright.sources import tables
 from micro import item, order, raw_tables
 from pyspark.sql import functions as F
 
@@ -117,3 +122,95 @@ def test_seller_mart_sorts_no_order_rows(spark, raw):
     assert "HashAggregate" in lowest and "partial_sum" in lowest
     got = {r.seller_id: r for r in build.build_seller_mart(stated).collect()}
     assert got["s1"].seller_state == "SP" and got["s1"].orders == 2 and got["s1"].distinct_categories == 1
+
+
+def same_rows(one, other):
+    return one.exceptAll(other).isEmpty() and other.exceptAll(one).isEmpty()
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    """Orders of 1 to 40 lines with repeated, unknown and tied names, lines without an order, and one order
+    with a third of all."""
+    rng = random.Random(5)
+    ids = [f"o{i}" for i in range(30)]
+    items = [
+        item(rng.choice([*ids, *ids[:4] * 3, "big", None]), f"p{rng.randint(0, 9)}",
+             rng.choice(["s1", "s2", "s3", "s4", None]), rng.choice([1.0, 2.0, 3.5, None]), 0.25,
+             f"2018-01-0{rng.randint(1, 9)} 00:00:00")
+        for _ in range(400)
+    ]
+    items += [item("big", f"p{i % 10}", f"s{i % 7}", float(i % 3)) for i in range(200)]
+    return raw_tables(
+        spark,
+        raw_orders=[order(i, "2018-01-10 00:00:00") for i in [*ids, "big", "none"]],
+        raw_order_items=items,
+        raw_products=[(f"p{i}", f"c{i % 4}") for i in range(8)],
+        raw_category_translation=[(f"c{i}", f"cat{i}") for i in range(3)],
+        raw_sellers=[("s1", "SP", "Campinas"), ("s2", "MG", None), ("s3", None, "Betim")],
+    )
+
+
+def test_orders_merged_in_place_equal_those_merged_by_name(many, monkeypatch):
+    by_name = build._item_totals(build.item_lines(many)).localCheckpoint()
+    assert by_name.count() == 32  # one for lines without an order
+    for lines in (0, 30, 10**9):  # all orders are huge, some, none
+        monkeypatch.setattr(build, "HUGE_ORDER", lines)
+        assert same_rows(build.order_totals(many).select(by_name.columns), by_name)
+        assert same_rows(
+            build.order_totals(many, build.order_lines(many)).select(by_name.columns), by_name
+        )
+
+
+def test_lines_of_an_ordinary_order_move_once_by_order(spark, many, no_broadcast):
+    """Beyond the product and the seller, lines move to their order only; what is merged or joined there
+    stays. The rows of huge orders are merged before they move."""
+    for rows in (build.order_totals(many),):
+        plan = plan_of(rows)
+        assert plan.count("REPARTITION_BY_COL") == 1
+        above = plan[: plan.index("REPARTITION_BY_COL")]
+        assert above.count("Exchange") == 1
+        rest = plan[plan.index("REPARTITION_BY_COL"):].splitlines()
+        merged = [i for i, row in enumerate(rest) if "Exchange hashpartitioning(order_id" in row]
+        assert any("partial_" in rest[i + 1] for i in merged)
+
+
+def shuffled(spark):
+    disks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    folders = [Path(str(f)) for f in disks.localDirs()]
+    return {f for folder in folders for f in folder.rglob("shuffle_*.data")}
+
+
+def test_shuffles_leave_the_disk_when_a_mart_is_stored(spark, many, tmp_path, no_broadcast, monkeypatch):
+    """What was shuffled for item totals is gone when orders are joined, and so on."""
+    left = []
+    write = refresh.tables.write_table
+
+    def watched(df, path, *args):
+        before = shuffled(spark)
+        written = write(df, path, *args)
+        for _ in range(50):  # removed in the background
+            if not shuffled(spark) - before:
+                break
+            time.sleep(0.2)
+        left.append((Path(path).name, len(shuffled(spark) - before)))
+        return written
+
+    monkeypatch.setattr(refresh.tables, "write_table", watched)
+    setting = spark.conf.get(tables._DROP_SHUFFLES)
+    stored = refresh.MartsOnDemand(many, str(tmp_path))
+    assert stored.order_seller.count() > 30
+    assert left == [("item_totals", 0), ("orders_mart", 0), ("order_seller", 0)]
+    assert spark.conf.get(tables._DROP_SHUFFLES) == setting
+    assert {p.name for p in tmp_path.iterdir()} == {"orders_mart", "order_seller"}
+
+
+def test_marts_are_stored_in_a_job_group_of_their_own(spark, many, tmp_path):
+    def jobs():
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    before = jobs()
+    assert refresh.MartsOnDemand(many, str(tmp_path)).sellers is not None
+    assert jobs() == before
+    assert spark.sparkContext.getLocalProperty("spark.jobGroup.id") is None
