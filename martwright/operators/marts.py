@@ -321,31 +321,41 @@ def build_order_seller(
 ) -> DataFrame:
     """One row per order and seller; order-level facts repeat on each seller of the order.
 
-    Lines are merged by category, then to sellers, each time before they move.
+    Lines get the seller's place, are brought to their order, and are merged there by category, then to
+    sellers, and joined with the facts of the order.
     """
-    lines = order_lines(raw) if lines is None else lines
-    totals = (
-        lines.groupBy("order_id", "seller_id", "category")
-        .agg(*_sums())
-        .groupBy("order_id", "seller_id")
-        .agg(
-            F.sum("items").alias("seller_item_count"),
-            as_money(F.sum("price")).alias("seller_price"),
-            as_money(F.sum("freight")).alias("seller_freight"),
-            F.max("limit_date").alias("seller_limit_date"),
-            _main_category("price").alias("product_category_name"),
-        )
-    )
+    items = _items(raw) if lines is None else lines
+    lines = item_lines(raw) if lines is None else lines
+    sellers = raw["raw_sellers"].select("seller_id", "seller_state", "seller_city")
     order_facts = orders_mart.select(
         "order_id", "distinct_sellers", "order_year_month", "order_purchase_timestamp",
         "order_delivered_carrier_date", "customer_state", "is_delivered", "is_cancelled",
         "is_delayed", "delivery_time_days", "handover_time_days", "transit_time_days",
         "review_score", "is_bad_review", "has_review",
     )
-    sellers = raw["raw_sellers"].select("seller_id", "seller_state", "seller_city")
+    place = [F.max(name).alias(name) for name in ("seller_state", "seller_city")]
+
+    def to_sellers(rows: DataFrame, main_category: Column) -> DataFrame:
+        totals = rows.groupBy("order_id", "seller_id").agg(
+            *place,
+            F.sum("items").alias("seller_item_count"),
+            as_money(F.sum("price")).alias("seller_price"),
+            as_money(F.sum("freight")).alias("seller_freight"),
+            F.max("limit_date").alias("seller_limit_date"),
+            main_category.alias("product_category_name"),
+        )
+        return totals.join(order_facts, "order_id", "left")
+
+    def in_place(lines: DataFrame) -> DataFrame:
+        earned = F.sum("price").over(_same("seller_id", "category"))
+        return to_sellers(lines.withColumn("earned", earned), _main_category("earned"))
+
+    def by_name(lines: DataFrame) -> DataFrame:
+        merged = lines.groupBy("order_id", "seller_id", "category").agg(*_sums(), *place)
+        return to_sellers(merged, _main_category("price"))
+
     return (
-        totals.join(sellers, "seller_id", "left")  # while the rows are narrow
-        .join(order_facts, "order_id", "left")
+        _merged_by_order(items, lines.join(sellers, "seller_id", "left"), in_place, by_name)
         .withColumns({
             "is_single_seller_order": F.when(F.col("distinct_sellers") == 1, 1).otherwise(0),
             "is_late_handover": flag(

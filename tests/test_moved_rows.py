@@ -154,18 +154,28 @@ def many(spark):
 def test_orders_merged_in_place_equal_those_merged_by_name(many, monkeypatch):
     by_name = build._item_totals(build.item_lines(many)).localCheckpoint()
     assert by_name.count() == 32  # one for lines without an order
+    got = {}
     for lines in (0, 30, 10**9):  # all orders are huge, some, none
         monkeypatch.setattr(build, "HUGE_ORDER", lines)
         assert same_rows(build.order_totals(many).select(by_name.columns), by_name)
         assert same_rows(
             build.order_totals(many, build.order_lines(many)).select(by_name.columns), by_name
         )
+        got[lines] = build.build_order_seller(many, build.build_orders_mart(many)).localCheckpoint()
+    assert same_rows(got[0], got[30]) and same_rows(got[0], got[10**9])
+    sellers = {(r.order_id, r.seller_id): r for r in got[30].collect()}
+    assert len(sellers) == got[30].count() and (None, "s1") in sellers
+    lines = [r for r in many["raw_order_items"].collect() if (r.order_id, r.seller_id) == ("big", "s2")]
+    big = sellers["big", "s2"]
+    assert (big.seller_item_count, big.seller_state, big.seller_city) == (len(lines), "MG", None)
+    assert big.seller_price == sum(r.price or 0 for r in lines)
 
 
 def test_lines_of_an_ordinary_order_move_once_by_order(spark, many, no_broadcast):
     """Beyond the product and the seller, lines move to their order only; what is merged or joined there
     stays. The rows of huge orders are merged before they move."""
-    for rows in (build.order_totals(many),):
+    facts = build.build_orders_mart(many).localCheckpoint()
+    for rows in (build.order_totals(many), build.build_order_seller(many, facts)):
         plan = plan_of(rows)
         assert plan.count("REPARTITION_BY_COL") == 1
         above = plan[: plan.index("REPARTITION_BY_COL")]
