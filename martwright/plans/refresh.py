@@ -99,10 +99,10 @@ class MartsOnDemand:
         self, name: str, df: DataFrame, partition: str | None = None, moved: bool = False
     ) -> DataFrame:
         path = _path(self._folder, name)
-        if not self._is_ready(name):
-            with _job_group(self._spark, f"store {name}"):
+        with _job_group(self._spark, f"store {name}"):
+            if not self._is_ready(name):
                 tables.write_table(df, path, partition, moved)
-        return tables.read_table(self._spark, path, df.schema)
+            return tables.read_table(self._spark, path, df.schema)  # many folders are listed by a job
 
     @cached_property
     def orders(self) -> DataFrame:
